@@ -41,6 +41,12 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_chats(turns.unionByName(tricky)))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

@@ -22,7 +22,7 @@ from .common import U64, Words, chain, mix, ship, slices, utf8
 BITS = 20
 #: The most labelled documents that the classifier is fitted on.
 MAX_LABELLED = 12_000
-ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.5, 1.0, 4
+ALPHA, BETA, L1, L2, EPOCHS = 3.0, 1.0, 10.0, 0.0, 5
 
 MODEL = "kind int, at int, weight double"
 
