@@ -47,6 +47,19 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_search import quantized, top_k
+
+    rows = quantized(table(spark, sf_dir, "embeddings"))
+    return top_k(rows, rows.where("vec_id % 100 = 0"), 10)
+
+
+def op2_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .masked_lm import pseudo_likelihood
+
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -75,5 +88,19 @@ FROM sets s JOIN reach r ON r.id = s.doc_id GROUP BY s.doc_id, len(s.s)
 """
 
 
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(1024 AS DOUBLE) * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT vec_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM v),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(sum(q.x * d.x) AS BIGINT) AS score
+  FROM c q JOIN c d ON q.i = d.i AND q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1, 2),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql():
-    return {"op6_minhash_near_dedup": OP6_SQL}
+    return {"op1_exact_top_k": OP1_SQL, "op6_minhash_near_dedup": OP6_SQL}
