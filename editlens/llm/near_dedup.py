@@ -296,3 +296,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     out = signed.select("doc_id", "n_shingles").join(ends, "doc_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, with all their columns; of rows that repeat a doc_id one stays."""
+    kept = Scratch(docs.sparkSession).save(near_duplicates(docs, k, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct())
+    # rows of a doc_id are together after this join, so keeping one of them moves nothing more
+    known = docs.join(kept, docs.doc_id.cast("long") == kept._kept, "left_semi").dropDuplicates(["doc_id"])
+    return known.unionByName(docs.where("doc_id is null"))

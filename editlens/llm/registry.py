@@ -60,8 +60,20 @@ def op2_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith("op")} | {"pipeline": pipeline}
 
 
 OP6_SQL = r"""
