@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import U64, Scratch, byte_values, slices, span_hash, utf8
 from .near_dedup import packed_texts
 
-RATE, QUIET, WINDOW, MOST = 24, 7, 16, 192
+RATE, QUIET, WINDOW, MOST = 24, 7, 16, 96
 #: Bytes that a run of whole chunks must cover to be looked at, and bytes it is carried on at most to either side.
 LEAST_RUN, CONTEXT = 64, 256
 MIN_WORDS = 50
