@@ -1,16 +1,18 @@
 """MinHash near-duplicate detection by a multi-index Hamming join.
 
-Each different shingle set gets a signature of ``CHUNKS * WIDTH`` b-bit minima (b = 16). Two sets of similarity s
-differ in each position with probability 1 - s. The signature is cut into CHUNKS chunks of WIDTH positions; if two
-signatures differ in at most T = CHUNKS * (ERRORS + 1) - 1 positions, then by the pigeonhole principle some chunk
-has at most ERRORS differences, so leaving out each choice of ERRORS of its positions and matching the rest finds
-the pair. With 16 chunks of 5 and one error, T is 31 of 80; at similarity 0.8 a pair is beyond T with probability
-about 3e-5, and it shares no key at all with probability 0.263 ** 16 = 5e-10. Found pairs are compared by whole
-signatures (at most REJECT differences, 6.7 standard deviations above the mean at 0.8) and then confirmed on full sets.
-
-No pairs are enumerated within a bucket of keys: its members are first compared with its smallest one; the links found
-are gathered to components, and only members of different components of a bucket are compared further, in tiles of
-bounded size. Components stay the same without the pairs left out. Texts of the same set form a class beforehand.
+Each different shingle set gets MINIMA minima. The first CHUNKS * WIDTH of them, 16 bits each, are its signature; two
+sets of similarity s differ in each position with probability 1 - s. The signature is cut into CHUNKS chunks of WIDTH
+positions; if two signatures differ in at most T = CHUNKS * (ERRORS + 1) - 1 positions, then by the pigeonhole
+principle some chunk has at most ERRORS differences, so leaving out each choice of ERRORS of its positions and matching
+the rest finds the pair. With 14 chunks of 6 and one error T is 27 of 84, and a pair of similarity 0.8 shares no key at
+all with probability 0.345 ** 14 = 3e-7. One bit of each of all MINIMA minima is a sketch that travels with the keys: of
+128 bits 12.8 differ on average at similarity 0.8, and pairs with more than REJECT (5 standard deviations more) differing bits
+are left out.
+
+No pairs are emitted within a bucket of keys, only a forest of its members' close pairs. Its components over all buckets
+are clusters; each document's text goes to its cluster's tiles (pairs of blocks of at most about BLOCK documents), where
+full sets are compared through an inverted index, again only between documents that aren't linked yet, and a forest of
+the confirmed links comes out. Components of the links are the result.
 
 Results for odd rows: a null text counts as empty; a text without words has no shingles, is linked with nothing and
 kept; a row whose doc_id is null is linked with nothing, has a null component and is kept; rows that repeat a doc_id
@@ -19,7 +21,6 @@ count as one document with all their sets. Other columns are not read, so clashi
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -27,17 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Scratch, Words, chain, mix, shingles, slices, utf8
-from .components import connected_components
+from .components import Forest, connected_components
 
-CHUNKS, WIDTH, ERRORS = 16, 5, 1
+CHUNKS, WIDTH, ERRORS = 14, 6, 1
 K = CHUNKS * WIDTH
+MINIMA = 128
 THRESHOLD = CHUNKS * (ERRORS + 1) - 1
-REJECT = 40
-TILE = 1024
+REJECT = 30
+BLOCK = 512
 
 _RNG = np.random.RandomState(7)
-_A = (_RNG.randint(0, 1 << 31, K, np.int64) * 2 + 1).astype(np.uint32)
-_B = _RNG.randint(0, 1 << 32, K, np.int64).astype(np.uint32)
+_A = (_RNG.randint(0, 1 << 31, MINIMA, np.int64) * 2 + 1).astype(np.uint32)
+_B = _RNG.randint(0, 1 << 32, MINIMA, np.int64).astype(np.uint32)
 _SALT = mix(np.arange(1, K * 2 + 1, dtype=np.uint64))
 
 
@@ -50,17 +52,22 @@ def sets_of(batch: pa.RecordBatch, k: int, text: str = "text"):
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """K 16-bit minima for each non-empty set."""
+    """MINIMA 16-bit minima for each non-empty set."""
     sizes = np.array([len(s) for s in sets])
     flat = (np.concatenate(sets) >> U64(32)).astype(np.uint32)
     starts = np.cumsum(sizes) - sizes
-    out = np.empty((len(sets), K), np.uint16)
-    for j in range(K):
+    out = np.empty((len(sets), MINIMA), np.uint16)
+    for j in range(MINIMA):
         out[:, j] = np.minimum.reduceat(flat * _A[j] + _B[j], starts).astype(np.uint16)
     return out
 
 
-_SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, sig binary"
+def sketches(minima: np.ndarray) -> np.ndarray:
+    """The lowest bit of every minimum, in two 64-bit values."""
+    return np.packbits((minima & 1).astype(np.uint8), axis=1).view(np.int64)
+
+
+_SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, sig binary, s1 long, s2 long"
 
 
 def _sign(k: int):
@@ -68,27 +75,20 @@ def _sign(k: int):
         for batch in batches:
             for part, sets in sets_of(batch, k):
                 full = [i for i, s in enumerate(sets) if len(s)]
-                sig = [None] * len(sets)
-                d1, d2 = [None] * len(sets), [None] * len(sets)
+                none = [None] * len(sets)
+                sig, d1, d2, s1, s2 = none[:], none[:], none[:], none[:], none[:]
                 if full:
                     rows = signatures([sets[i] for i in full])
-                    for i, r in zip(full, rows):
-                        sig[i] = r.tobytes()
+                    for i, r, s in zip(full, rows, sketches(rows).tolist()):
+                        sig[i], (s1[i], s2[i]) = r[:K].tobytes(), s
                         d = xxhash.xxh3_128_digest(sets[i].tobytes())
                         d1[i], d2[i] = int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())],
-                    names=["doc_id", "n_shingles", "d1", "d2", "sig"],
-                )
+                longs = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], d1, d2, s1, s2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *longs[:3], pa.array(sig, pa.binary()), *longs[3:]], names=["doc_id", "n_shingles", "d1", "d2", "sig", "s1", "s2"])
 
     return run
 
 
-def _matrix(column) -> np.ndarray:
-    data, _ = utf8(column)
-    return data.view(np.uint16).reshape(-1, K)
-
-
 def _keys(batches):
     """A row for each chunk and each choice of ERRORS (one) positions left out."""
     for batch in batches:
@@ -96,7 +96,7 @@ def _keys(batches):
             part = batch.slice(at, 4096)
             if not part.num_rows:
                 continue
-            sig = _matrix(part.column(1)).astype(U64).reshape(-1, CHUNKS, WIDTH)
+            sig = utf8(part.column(1))[0].view(np.uint16).astype(U64).reshape(-1, CHUNKS, WIDTH)
             out = []
             for c in range(CHUNKS):
                 for left_out in range(WIDTH):
@@ -105,87 +105,56 @@ def _keys(batches):
                         if p != left_out:
                             h = chain(h, sig[:, c, p] + U64(1))
                     out.append(h.view(np.int64))
-            ids = np.tile(part.column(0).to_numpy(zero_copy_only=False), len(out))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(ids)], names=["key", "id"])
+            others = [pa.array(np.tile(part.column(i).to_numpy(zero_copy_only=False), len(out))) for i in (0, 2, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), *others], names=["key", "id", "s1", "s2"])
+
+
+def bucket_forest(ids: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> list[tuple[int, int]]:
+    """A forest of close pairs of one bucket: the members near its first, then each other one against all."""
+    far = lambda i: np.bitwise_count(s1 ^ s1[i]) + np.bitwise_count(s2 ^ s2[i]).astype(np.int64) > REJECT
+    apart = far(0)
+    out = [(int(x), int(ids[0])) for x in ids[~apart] if x != ids[0]]
+    if apart.any():
+        group = np.where(apart, np.arange(len(ids)), 0)
+        for i in np.flatnonzero(apart):
+            near = np.flatnonzero(~far(i) & (group != group[i]))
+            for g in np.unique(group[near]).tolist():
+                out.append((int(ids[i]), int(ids[near[group[near] == g][0]])))
+                group[group == g] = group[i]
+    return out
+
+
+_EDGE = "a long, b long"
+
 
+def _edges(pairs) -> pa.RecordBatch:
+    a, b = zip(*pairs) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-def _stars(batches):
-    """Sorted (key, id) -> (key, id, hub) of keys with several ids; hub: the key's smallest. Rows of a key may span batches."""
-    last_key, last_hub, said = None, None, True
+
+def _buckets(batches):
+    """Rows sorted by (key, id) -> close pairs (a, b), a > b where from the bucket's first. A key may span batches."""
+    held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        new = np.concatenate(([last_key is None or key[0] != last_key], key[1:] != key[:-1]))
-        group = np.cumsum(new)
-        starts = np.flatnonzero(new)
-        hubs = np.concatenate(([last_hub if last_hub is not None else 0], ids[starts]))[group]
-        keep = ids != hubs
-        first = np.zeros(len(ids), bool)  # a hub's own row, once, before its group's first other row
-        rows = np.flatnonzero(keep)
-        if len(rows):
-            g = group[rows]
-            lead = rows[np.concatenate(([True], g[1:] != g[:-1]))]
-            first[lead] = True
-            if said and len(lead) and group[lead[0]] == 0:
-                first[lead[0]] = False
-        k = np.concatenate((key[keep], key[first]))
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.concatenate((ids[keep], hubs[first]))), pa.array(np.concatenate((hubs[keep], hubs[first])))], names=["key", "id", "hub"])
-        tail = group[-1]
-        said = bool((keep & (group == tail)).any()) or (tail == 0 and said and last_key is not None)
-        last_key, last_hub = key[-1], hubs[-1]
-
-
-def _close(batches):
-    """(a, b, siga, sigb) -> (a, b) whose signatures differ in at most REJECT positions."""
-    for batch in batches:
-        if batch.num_rows:
-            near = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(1) <= REJECT
-            yield batch.select([0, 1]).filter(pa.array(near))
-
-
-def _tiles(batches):
-    """Rows sorted by tile (key, lo, hi): compares members of different components by signature; emits (a, b)."""
-
-    def finish(parts):
-        t = pd.concat(parts) if len(parts) > 1 else parts[0]
-        lo, hi = t["lo"].iloc[0], t["hi"].iloc[0]
-        own = t["block"].to_numpy()
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        ids, comp, hub = (t[c].to_numpy() for c in ("id", "component", "hub"))
-        sig = np.frombuffer(b"".join(t["sig"]), np.uint16).reshape(-1, K)
-        for i in left:
-            js = right[(comp[right] != comp[i]) & (hub[i] != ids[i]) & (ids[right] != hub[right]) & ((ids[right] > ids[i]) if lo == hi else True)]
-            if len(js):
-                js = js[(sig[js] != sig[i]).sum(1) <= REJECT]
-                for j in js:
-                    yield max(ids[i], ids[j]), min(ids[i], ids[j])
-
-    def pairs():
-        held, at = [], None
-        for batch in batches:
-            t = batch.to_pandas()
-            if not len(t):
-                continue
-            tag = list(zip(t["key"], t["lo"], t["hi"]))
-            cuts = [0, *(i for i in range(1, len(tag)) if tag[i] != tag[i - 1]), len(tag)]
-            for a, b in zip(cuts, cuts[1:]):
-                if tag[a] != at and held:
-                    yield from finish(held)
-                    held = []
-                at = tag[a]
-                held.append(t.iloc[a:b])
-        if held:
-            yield from finish(held)
-
-    out = []
-    for p in pairs():
-        out.append(p)
-        if len(out) >= 50_000:
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["a", "b"], dtype="int64"), preserve_index=False)
-            out = []
-    if out:
-        yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["a", "b"], dtype="int64"), preserve_index=False)
+        t = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        t[2:] = [x.view(U64) for x in t[2:]]  # bits of signed numbers would be counted on absolute values
+        if held is not None:
+            t = [np.concatenate(x) for x in zip(held, t)]
+        cut = np.flatnonzero(np.concatenate(([True], t[0][1:] != t[0][:-1])))
+        held = [x[cut[-1] :] for x in t]
+        size = np.diff(cut)
+        pairs = set()
+        two = cut[:-1][size == 2]
+        if len(two):
+            near = np.bitwise_count(t[2][two] ^ t[2][two + 1]) + np.bitwise_count(t[3][two] ^ t[3][two + 1]).astype(np.int64) <= REJECT
+            pairs.update(zip(t[1][two + 1][near].tolist(), t[1][two][near].tolist()))
+        for a, n in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist()):
+            pairs.update(bucket_forest(*(x[a : a + n] for x in t[1:])))
+        yield _edges(pairs)
+    if held is not None and len(held[0]) > 1:
+        yield _edges(bucket_forest(*held[1:]))
 
 
 def _pack(batches):
@@ -201,37 +170,61 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(_pack, "doc_id long, packed binary")
 
 
-def _confirm(k: int, percent: int):
-    def run(batches):
+def tile_links(ids: list, sets: list[np.ndarray], block: list, lo: int, hi: int, percent: int) -> list[tuple[int, int]]:
+    """A forest of the links between documents of block lo and those of block hi (or within one block)."""
+    n = len(ids)
+    size = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(n), size)
+    order = np.argsort(flat, kind="stable")
+    owner = owner[order]
+    values, first = np.unique(flat[order], return_index=True)
+    end = np.append(first[1:], len(flat))
+    block = np.array(block)
+    forest, out = Forest(), []
+    root = np.arange(n)
+    for i in range(n):
+        others = root != root[i]
+        if lo != hi:
+            others &= block != block[i]
+        if not others.any():
+            continue
+        at = np.searchsorted(values, sets[i])
+        count = end[at] - first[at]
+        places = np.repeat(first[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        both = np.bincount(owner[places], minlength=n)
+        for j in np.flatnonzero(others & (100 * both >= percent * (size + size[i] - both))).tolist():
+            if root[j] != root[i] and forest.join(i, j):
+                out.append((ids[i], ids[j]))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def _tiles(k: int, percent: int):
+    """Rows (cluster, lo, hi, block, id, packed) sorted by tile -> links (a, b)."""
+
+    def finish(tag, rows):
         expand = zstandard.ZstdDecompressor()
-        at, held = None, None
-        one = lambda z: next(sets_of(pa.record_batch([pa.array([expand.decompress(z)], pa.binary())], ["text"]), k))[1][0]
+        texts = pa.record_batch([pa.array([expand.decompress(r[2]) for r in rows], pa.binary())], ["text"])
+        sets = [s for _, part in sets_of(texts, k) for s in part]
+        return tile_links([r[1] for r in rows], sets, [r[0] for r in rows], tag[1], tag[2], percent)
+
+    def run(batches):
+        held, tag = [], None
         for batch in batches:
-            a, b, za, zb = (batch.column(i).to_pylist() for i in range(4))
-            keep = []
-            for i in range(len(a)):
-                if zb[i] is not at and zb[i] != at:
-                    at, held = zb[i], one(zb[i])
-                mine = one(za[i])
-                both = len(np.intersect1d(mine, held, assume_unique=True))
-                keep.append(100 * both >= percent * (len(mine) + len(held) - both))
-            if any(keep):
-                yield batch.select([0, 1]).filter(pa.array(keep))
+            out = []
+            for c, lo, hi, block, doc, packed in zip(*(x.to_pylist() for x in batch.columns)):
+                if (c, lo, hi) != tag:
+                    out += finish(tag, held) if len(held) > 1 else []
+                    held, tag = [], (c, lo, hi)
+                held.append((block, doc, packed))
+            yield _edges(out)
+        if len(held) > 1:
+            yield _edges(finish(tag, held))
 
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough. Texts of documents in pairs move, compressed, twice."""
-    wanted = scratch.save(pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("hub")).union(pairs.select("b", "b")).distinct().groupBy("doc_id").agg(F.collect_set("hub").alias("hubs")))
-    texts = scratch.save(packed_texts(docs).join(wanted, "doc_id"))
-    left = texts.select(F.col("doc_id").alias("a"), F.explode("hubs").alias("b"), F.col("packed").alias("za")).where("a != b")
-    right = texts.where(F.array_contains("hubs", F.col("doc_id"))).select(F.col("doc_id").alias("b"), F.col("packed").alias("zb"))
-    found = scratch.save(left.join(right, "b").select("a", "b", "za", "zb").mapInArrow(_confirm(k, percent), "a long, b long"))
-    scratch.drop(wanted, texts)
-    return found
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), one row for each row of docs.
 
@@ -243,56 +236,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     # classes of the same set; the smallest doc_id stands for each
     classes = scratch.save(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
-    members = scratch.save(usable.join(classes, ["d1", "d2"]).select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")))
+    members = scratch.save(usable.join(classes, ["d1", "d2"]).select("doc_id", "rep", *(F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("sig", "s1", "s2"))))
+    keys = members.where("sig is not null").select(F.col("rep").alias("id"), "sig", "s1", "s2").mapInArrow(_keys, "key long, id long, s1 long, s2 long")
+    close = scratch.save(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_buckets, _EDGE).distinct())
+    clusters = scratch.save(connected_components(close, scratch))
+    sizes = scratch.save(clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    placed = scratch.save(clusters.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
+    tiles = (
+        packed_texts(plain)
+        .join(placed, "doc_id")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", F.col("doc_id").alias("id"), "packed")
+        .repartition("cluster", "lo", "hi")
+        .sortWithinPartitions("cluster", "lo", "hi", "id")
+    )
     # rows that repeat a doc_id bring several classes together
     same = members.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    reps = members.where("sig is not null").select(F.col("rep").alias("id"), "sig")
-
-    buckets = scratch.save(reps.mapInArrow(_keys, "key long, id long").repartition("key").sortWithinPartitions("key", "id").mapInArrow(_stars, "key long, id long, hub long"))
-    edges = buckets.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    edges = scratch.save(edges)
-    close = (
-        edges.join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
-        .join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-        .select("a", "b", "sa", "sb")
-        .mapInArrow(_close, "a long, b long")
-    )
-    close = scratch.save(close)
-    links = scratch.save(_confirmed(close, plain, k, percent, scratch))
+    links = scratch.save(tiles.mapInArrow(_tiles(k, percent), _EDGE).union(same))
     comp = scratch.save(connected_components(links, scratch))
-
-    # members of a bucket that its hub doesn't reach are compared with the others there
-    own = F.coalesce("component", "id").alias("component")
-    hubs = comp.select(F.col("id").alias("hub"), F.col("component").alias("of_hub"))
-    placed = scratch.save(buckets.join(comp, "id", "left").select("key", "id", "hub", own).join(hubs, "hub", "left").select("key", "id", "hub", "component", F.coalesce("of_hub", "hub").alias("of_hub")))
-    counts = scratch.save(
-        placed.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.when(F.col("component") != F.col("of_hub"), 1).otherwise(0)).alias("apart")).where("apart > 0 and n > 2").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
+    ends = scratch.save(
+        members.select("doc_id", "rep").distinct().join(comp, F.col("doc_id") == F.col("id"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     )
-    tiled = (
-        placed.join(counts, "key")
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "hub", "component")
-        .join(reps, "id")
-        .repartition("key", "lo", "hi")
-        .sortWithinPartitions("key", "lo", "hi")
-        .mapInArrow(_tiles, "a long, b long")
-        .distinct()
-        .join(edges, ["a", "b"], "left_anti")
-    )
-    rest = scratch.save(tiled)
-    if not rest.isEmpty():
-        more = _confirmed(rest, plain, k, percent, scratch)
-        links = links.union(more)
-    links = links.union(same)
-    comp = scratch.save(connected_components(links, scratch))
-    scratch.drop(buckets, edges, close, placed, counts)
-
-    of_row = members.select("doc_id", "rep").distinct()
-    of_row = scratch.save(of_row)
-    placed_rows = of_row.join(comp, of_row.doc_id == comp.id, "left").select("doc_id", "rep", F.col("component").alias("own"))
-    reached = comp.select(F.col("id").alias("rep"), F.col("component").alias("of_rep"))
-    ends = scratch.save(placed_rows.join(reached, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("own", "of_rep", "rep")).alias("component_id")))
     out = signed.select("doc_id", "n_shingles").join(ends, "doc_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
