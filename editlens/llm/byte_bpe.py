@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import byte_values, flat_gather, ship, slices, span_hash, utf8
 
-CACHE = 300_000
+#: Different cuts that a worker remembers.
+CACHE = 100_000
 
 
 @functools.lru_cache(1)
@@ -36,30 +37,46 @@ def byte_characters() -> tuple[str, ...]:
     return tuple(chr(b if b in printable else next(others)) for b in range(256))
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+class Speller:
+    """Bytes of ids, by the byte table reversed."""
+
+    def __init__(self, path: str):
+        chars = byte_characters()
+        names = {r: "".join(chars[b] for b in t) for t, r in read_ranks(path).items()}
+        size = max(names) + 1
+        back = {c: b for b, c in enumerate(chars)}
+        self.token_bytes, self.token_at = _blob([bytes(back[x] for x in names.get(i, "")) for i in range(size)])
+        self.digit_bytes, self.digit_at = _blob([b"%d," % i for i in range(size)])
+
+    def decode(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of consecutive lists of ids, and offsets."""
+        return _spell(ids, offs, self.token_bytes, self.token_at)
+
+    def digits(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Decimal ids, each with a comma behind it."""
+        return _spell(ids, offs, self.digit_bytes, self.digit_at)
+
+
 class Coder:
-    """Encodes and decodes by one rank file."""
+    """Encodes by one rank file."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer, models, pre_tokenizers
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = read_ranks(path)
         chars = byte_characters()
         name = {t: "".join(chars[b] for b in t) for t in ranks}
         merges = [(name[t[:i]], name[t[i:]]) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.model = Tokenizer(models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self.exact = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        # the byte table reversed: bytes of each id, one after another
-        size = max(ranks.values()) + 1
-        back = {c: b for b, c in enumerate(chars)}
-        token = [b""] * size
-        for t, c in self.model.get_vocab().items():
-            token[c] = bytes(back[x] for x in t)
-        self.token_bytes, self.token_at = _blob(token)
-        self.digit_bytes, self.digit_at = _blob([b"%d," % i for i in range(size)])
         self.known: dict[int, np.ndarray] = {}
 
     def _new(self, cuts: list[bytes]) -> list[np.ndarray]:
@@ -96,14 +113,6 @@ class Coder:
         total = np.concatenate(([0], np.cumsum(counts)))
         return ids, total[np.searchsorted(start, offs)]
 
-    def decode(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of consecutive lists of ids, and offsets."""
-        return _spell(ids, offs, self.token_bytes, self.token_at)
-
-    def digits(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Decimal ids, each with a comma behind it."""
-        return _spell(ids, offs, self.digit_bytes, self.digit_at)
-
 
 def _blob(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(items), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in items])))
@@ -130,11 +139,16 @@ def _cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
+@functools.lru_cache(1)
+def speller(path: str) -> Speller:
+    return Speller(path)
+
+
 def _encoded(path: str, pattern: str, text: str):
     def run(batches):
         own = coder(path, pattern)
@@ -144,6 +158,7 @@ def _encoded(path: str, pattern: str, text: str):
                 ids, offs = own.encode(*utf8(part.column(at)))
                 lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(np.diff(offs))], names=[*part.schema.names, "ids", "n_tokens"])
+        own.known.clear()
 
     return run
 
@@ -156,13 +171,23 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text") -
     return docs.mapInArrow(_encoded(path, pattern, text), f"{fields}, ids array<int>, n_tokens long")
 
 
+def _some(batch: pa.RecordBatch, column: int, limit: int = 200_000):
+    """Parts of a batch with lists of at most ``limit`` items in all, or one longer list."""
+    lists = batch.column(column)
+    total = np.concatenate(([0], np.cumsum(np.diff(lists.offsets.to_numpy()))))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(total, total[at] + limit, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _decoded(path: str, pattern: str):
     def run(batches):
-        own = coder(path, pattern)
+        own = speller(path)
         for batch in batches:
             at = batch.schema.get_field_index("ids")
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part in _some(batch, at):
                 lists = part.column(at).fill_null([]) if part.column(at).null_count else part.column(at)
                 cut = lists.offsets.to_numpy()
                 data, offs = own.decode(lists.flatten().to_numpy(zero_copy_only=False), (cut - cut[0]).astype(np.int64))
@@ -187,12 +212,9 @@ def decode_texts(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def _digests(path: str, pattern: str):
     def run(batches):
-        own = coder(path, pattern)
+        own = speller(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                if not part.num_rows:
-                    continue
+            for part in _some(batch, 1):
                 lists = part.column(1)
                 cut = lists.offsets.to_numpy()
                 digits, offs = own.digits(lists.flatten().to_numpy(zero_copy_only=False), (cut - cut[0]).astype(np.int64))

@@ -65,7 +65,7 @@ _CHUNK = "route long, digest long, doc long, pos int, len int, ref_doc long, ref
 
 def _chunks(batches):
     for batch in batches:
-        for part in slices(batch, "text", 1 << 22):
+        for part in slices(batch, "text", 1 << 21):
             data, offs = utf8(part.column(1))
             if not len(data):
                 continue
