@@ -1,9 +1,487 @@
 """Named queries over the driver tables, and the same queries as DuckDB SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..operators import analyzers as A
+from ..operators import enrich, filters, fold, regions
+from ..operators.actions import clock_anomalies, generate_actions, sessions
+from ..operators.change_detection import change_detection
+from ..operators.diff import version_diff
+from .adapters import CTE_ACTIONS, CTE_OPERATIONS, CTE_SESSIONS, HIERARCHY_SQL, WAY_VERSIONS, event_operations, session_actions, table, way_versions
+from .config import Region, default_config
+from .schema import OPERATION_TYPES, operation_dimension
+
+DAY = default_config(temporal_resolution="day")
+KEYS = ("amenity", "building", "highway", "name", "natural", "none")
+TAGGED = {"highway": ("v1", "v2"), "amenity": ()}
+#: What a session can be named after.
+NAMES = tuple(sorted(f"AC_{n[3:]}" for n, _, _ in OPERATION_TYPES if n[3:] in ("CREATE_NODE", "CREATE_WAY", "CREATE_RELATION", "ADD_TAG", "MODIFY_TAG_VALUE", "REMOVE_TAG", "ADD_NODE", "REMOVE_NODE", "ADD_MEMBER", "REMOVE_MEMBER", "MODIFY_COORDINATE")))
+UPDATES = tuple(n for n in NAMES if not n.startswith("AC_CREATE") and n != "AC_REMOVE_TAG")
+RECTANGLE = Region("west", "POLYGON ((9.5 46.4, 12.3 46.4, 12.3 49.0, 9.5 49.0, 9.5 46.4))")
+
+_QUERIES, _SQL = {}, {}
+
+
+def query(sql: str | None = None, actions: bool = False, operations: bool = True):
+    """Registers a query; ``sql`` goes behind the common tables ``ops`` and, if asked for, ``s`` and ``actions``."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            parts = [CTE_OPERATIONS, CTE_SESSIONS, CTE_ACTIONS] if actions else [CTE_OPERATIONS] if operations else []
+            _SQL[f.__name__] = ("WITH " + ",\n".join(parts) + "\n" if parts else "") + sql
+        return f
+
+    return add
+
+
+def _ops(spark, d) -> DataFrame:
+    return A.with_period(event_operations(spark, d), DAY)
+
+
+def _acts(spark, d) -> DataFrame:
+    return A.with_period(session_actions(event_operations(spark, d)), DAY)
+
+
+def _pivot_sql(column: str, values, rename=lambda v: v) -> str:
+    return ", ".join(f"nullif(count(*) FILTER (WHERE {column} = '{v}'), 0) AS \"{rename(v)}\"" for v in values)
+
+
+# ---------------------------------------------------------------- analyzers
+
+
+@query("SELECT operation_type, CAST(ts AS DATE) AS period, count(*) AS count FROM ops GROUP BY 1, 2")
+def a1_operation_per_type(spark, d):
+    return A.operation_per_type(_ops(spark, d))
+
+
+@query("SELECT action_name, CAST(ts AS DATE) AS period, count(*) AS count FROM actions GROUP BY 1, 2", actions=True)
+def a2_action_per_type(spark, d):
+    return A.action_per_type(_acts(spark, d))
+
+
+@query(f"SELECT uid, CAST(ts AS DATE) AS period, {_pivot_sql('feature_type', KEYS)} FROM actions GROUP BY 1, 2", actions=True)
+def a3_action_per_feature_type(spark, d):
+    return A.action_per_feature_type(_acts(spark, d), list(KEYS))
+
+
+@query(f"SELECT uid, CAST(ts AS DATE) AS period, {_pivot_sql('action_name', NAMES)} FROM actions GROUP BY 1, 2", actions=True)
+def a4_user_per_action(spark, d):
+    return A.user_per_action(_acts(spark, d), list(NAMES))
+
+
+@query('SELECT uid, CAST(ts AS DATE) AS period, count(*) AS "AC_UNDEFINED" FROM actions GROUP BY 1, 2', actions=True)
+def a4_user_per_action_merged(spark, d):
+    return A.user_per_action(_acts(spark, d), merge=True)
+
+
+@query("SELECT uid, operation_type, CAST(ts AS DATE) AS period, count(*) AS count FROM ops GROUP BY 1, 2, 3")
+def a5_user_per_operation(spark, d):
+    return A.user_per_operation(_ops(spark, d))
+
+
+@query("SELECT uid, 'OP_UNDEFINED' AS operation_type, CAST(ts AS DATE) AS period, count(*) AS count FROM ops GROUP BY 1, 3")
+def a5_user_per_operation_merged(spark, d):
+    return A.user_per_operation(_ops(spark, d), merge=True)
+
+
+_SLOTS = "nullif(count(*) FILTER (WHERE geometry_type NOT IN ('LINE', 'RELATION')), 0) AS n, nullif(count(*) FILTER (WHERE geometry_type = 'LINE'), 0) AS w, nullif(count(*) FILTER (WHERE geometry_type = 'RELATION'), 0) AS r"
+_TAG_OPS = "operation_type IN ('OP_ADD_TAG', 'OP_MODIFY_TAG_VALUE', 'OP_REMOVE_TAG')"
+
+
+@query(f"SELECT operation_type, uid, key AS tag, {_SLOTS} FROM ops WHERE {_TAG_OPS} GROUP BY 1, 2, 3")
+def a6_user_per_tags(spark, d):
+    return A.user_per_tags(_ops(spark, d))
+
+
+@query(f"SELECT operation_type, uid, value AS tag, {_SLOTS} FROM ops WHERE {_TAG_OPS} AND key = 'highway' GROUP BY 1, 2, 3")
+def a6_user_per_tag_values(spark, d):
+    return A.user_per_tags(_ops(spark, d), "highway")
+
+
+_TAG_COUNTS = "nullif(count(*) FILTER (WHERE operation_type = 'OP_ADD_TAG'), 0) AS added, nullif(count(*) FILTER (WHERE operation_type = 'OP_MODIFY_TAG_VALUE'), 0) AS modified, nullif(count(*) FILTER (WHERE operation_type = 'OP_REMOVE_TAG'), 0) AS removed"
+
+
+@query(f"SELECT CAST(ts AS DATE) AS period, key AS tag, {_TAG_COUNTS} FROM ops WHERE {_TAG_OPS} GROUP BY 1, 2")
+def a7_tags(spark, d):
+    return A.tags(_ops(spark, d))
+
+
+@query(f"SELECT CAST(ts AS DATE) AS period, key AS tag, {_TAG_COUNTS} FROM ops GROUP BY 1, 2")
+def a7_tags_strict(spark, d):
+    return A.tags(_ops(spark, d), strict=True)
+
+
+@query(f"SELECT CAST(ts AS DATE) AS period, value AS tag, {_TAG_COUNTS} FROM ops WHERE {_TAG_OPS} AND key = 'building' GROUP BY 1, 2")
+def a7_tag_values(spark, d):
+    return A.tags(_ops(spark, d), "building")
+
+
+@query("SELECT uid, " + ", ".join(f"nullif(count(*) FILTER (WHERE hour(ts) // 6 = {i}), 0) AS {n}" for i, n in enumerate(("h00_06", "h06_12", "h12_18", "h18_00"))) + " FROM actions GROUP BY 1", actions=True)
+def a8_hour_of_day(spark, d):
+    return A.hour_of_day(_acts(spark, d))
+
+
+@query(f"SELECT geometry_type, {_pivot_sql('feature_type', KEYS)} FROM actions GROUP BY 1", actions=True)
+def a9_geometry_type(spark, d):
+    return A.geometry_type(_acts(spark, d), list(KEYS))
+
+
+_NUMBER = "row_number() OVER (ORDER BY CASE geometry_type WHEN 'POINT' THEN 0 WHEN 'LINE' THEN 1 ELSE 2 END, oid, action_no) AS action_id"
+
+
+@query(
+    f"""SELECT a.action_id, a.oid, a.geometry_type, a.feature_type, a.action_type, s.operation_type, s.uid, s.version, strftime(s.ts, '%Y-%m-%d %H:%M:%S') AS at, s.changeset, s.key, s.value, s.ref_id, s.position
+FROM (SELECT *, {_NUMBER} FROM actions) a JOIN s ON a.geometry_type = s.geometry_type AND a.oid = s.oid AND a.uid = s.uid AND a.session = s.session""",
+    actions=True,
+)
+def a10_action_details(spark, d):
+    rows = A.action_details(_acts(spark, d)).withColumn("at", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return rows.select("action_id", "oid", "geometry_type", "feature_type", "action_type", "operation_type", "uid", "version", "at", "changeset", "key", "value", "ref_id", "position")
+
+
+@query(
+    f"""SELECT hours_until_edit, count(*) AS feature_count FROM (
+  SELECT geometry_type, oid, coalesce(date_diff('microsecond', min(ts) FILTER (WHERE action_no = 0), min(ts) FILTER (WHERE action_no = 1)) // 3600000000, {A.NEVER_HOURS}) AS hours_until_edit
+  FROM actions GROUP BY 1, 2) x GROUP BY 1""",
+    actions=True,
+)
+def a11_feature_stability(spark, d):
+    return A.feature_stability(_acts(spark, d))
+
+
+@query(
+    "SELECT CAST(ts AS DATE) AS period, count(*) FILTER (WHERE action_type = 'CREATE') - count(*) FILTER (WHERE action_type = 'DELETE') AS feature_count_delta, count(DISTINCT (geometry_type || '/' || oid)) FILTER (WHERE action_type = 'UPDATE') AS feature_count_updated, "
+    + ", ".join(f"nullif(count(*) FILTER (WHERE action_type = 'UPDATE' AND action_name = '{n}'), 0) AS \"{n}\"" for n in UPDATES)
+    + " FROM actions GROUP BY 1",
+    actions=True,
+)
+def a12_update(spark, d):
+    return A.update(_acts(spark, d), list(UPDATES))
+
+
+@query()
+def a13_update_geometry(spark, d):
+    return A.update_geometry(enrich.enriched(event_operations(spark, d)))
+
+
+@query()
+def a14_change_detection(spark, d):
+    return change_detection(generate_actions(event_operations(spark, d), default_config()))
+
+
+@query("SELECT feature_type, CAST(ts AS DATE) AS period, action_name, count(*) AS action_count, count(DISTINCT (geometry_type || '/' || oid)) AS affected_count, count(DISTINCT uid) AS user_count FROM actions GROUP BY 1, 2, 3", actions=True)
+def a15_batch_general(spark, d):
+    return A.batch_general(_acts(spark, d))
+
+
+@query()
+def a15_batch_general_by_rules(spark, d):
+    return A.batch_general(A.with_period(generate_actions(event_operations(spark, d), default_config()), DAY))
+
+
+_IN_REGION = """in_region AS (
+  SELECT o.*, n_name AS region FROM ops o JOIN nation ON floor(round((lon - 9.5) * 100) / 140) = n_nationkey % 5 AND floor(round((lat - 46.4) * 100) / 52) = n_nationkey // 5 WHERE lon IS NOT NULL)"""
+_SQL_REGIONS = f"WITH {CTE_OPERATIONS},\n{_IN_REGION}\n"
+
+
+def _in_nation(spark, d) -> DataFrame:
+    """Located operations with the rectangle of the nation's grid that holds them: an equi-join on the grid's cells."""
+    cells = table(spark, d, "nation").select((F.col("n_nationkey") % 5).cast("long").alias("cx"), F.floor(F.col("n_nationkey") / 5).alias("cy"), F.col("n_name").alias("region"))
+    rows = event_operations(spark, d).where("lon IS NOT NULL")
+    rows = rows.withColumn("cx", F.floor(F.round((F.col("lon") - 9.5) * 100) / 140)).withColumn("cy", F.floor(F.round((F.col("lat") - 46.4) * 100) / 52))
+    return rows.join(cells, ["cx", "cy"]).drop("cx", "cy")
+
+
+@query()
+def a16_batch_contributor(spark, d):
+    return A.batch_contributor(_in_nation(spark, d))
+
+
+_SQL["a16_batch_contributor"] = (
+    _SQL_REGIONS
+    + """, each AS (SELECT region, uid, count(*) AS n FROM in_region GROUP BY 1, 2)
+SELECT region, count(*) AS num_user, CAST(sum(n) AS BIGINT) AS num_actions, CAST(sum(n) // count(*) AS BIGINT) AS avg_actions_per_user, arg_max(uid, n * 1000 - uid) AS top_user_id, max(n) AS top_user_action_count FROM each GROUP BY 1"""
+)
+
+
+@query(f"SELECT CAST(ts AS DATE) AS period, count(DISTINCT uid) AS num_user, {', '.join(f'''count(*) FILTER (WHERE action_name = '{n}') AS "{n}"''' for n in NAMES)} FROM actions GROUP BY 1", actions=True)
+def a17_batch_user_action_type(spark, d):
+    return A.batch_user_action_type(_acts(spark, d), list(NAMES))
+
+
+# ---------------------------------------------------------------- filters, time
+
+
+_PASS = "operation_type IN ('OP_ADD_TAG', 'OP_MODIFY_TAG_VALUE') AND (key = 'highway' AND value IN ('v1', 'v2') OR key = 'amenity')"
+
+
+@query(f"SELECT geometry_type, oid, count(*) AS n FROM ops WHERE (geometry_type, oid) IN (SELECT (geometry_type, oid) FROM ops WHERE {_PASS}) GROUP BY 1, 2")
+def f1_tag_filter(spark, d):
+    return filters.features_with_tags(event_operations(spark, d), TAGGED).groupBy("geometry_type", "oid").agg(F.count("*").alias("n"))
+
+
+@query("SELECT geometry_type, oid, min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) AS ymax FROM ops WHERE lon IS NOT NULL GROUP BY 1, 2 HAVING max(lon) >= 9.5 AND min(lon) <= 12.3 AND max(lat) >= 46.4 AND min(lat) <= 49.0")
+def f2_region_envelope(spark, d):
+    return filters.bounding_boxes(event_operations(spark, d)).where("xmax >= 9.5 AND xmin <= 12.3 AND ymax >= 46.4 AND ymin <= 49.0")
+
+
+@query()
+def f3_region_exact(spark, d):
+    return regions.features_in_regions(event_operations(spark, d), default_config(), [RECTANGLE])
+
+
+@query("SELECT geometry_type, oid, count(*) AS n FROM ops WHERE geometry_type = 'RELATION' OR (geometry_type, oid) IN (SELECT (geometry_type, oid) FROM ops WHERE lon BETWEEN 9.5 AND 12.3 AND lat BETWEEN 46.4 AND 49.0) GROUP BY 1, 2")
+def f4_import_regions(spark, d):
+    return regions.near_regions(event_operations(spark, d), [RECTANGLE]).groupBy("geometry_type", "oid").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT geometry_type, oid, count(*) AS n FROM ops WHERE geometry_type <> 'RELATION' OR (geometry_type, oid) IN (SELECT (geometry_type, oid) FROM ops WHERE {_PASS}) GROUP BY 1, 2")
+def f5_import_tags(spark, d):
+    return filters.relations_with_tags(event_operations(spark, d), TAGGED).groupBy("geometry_type", "oid").agg(F.count("*").alias("n"))
+
+
+@query("SELECT operation_type, count(*) AS n FROM ops WHERE ts <= TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1")
+def f6_import_cutoff(spark, d):
+    return event_operations(spark, d).where("ts <= TIMESTAMP_NTZ '2024-01-15 00:00:00'").groupBy("operation_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT action_name, count(*) AS n FROM actions WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1", actions=True)
+def f7_action_window(spark, d):
+    return _acts(spark, d).where("ts >= TIMESTAMP_NTZ '2024-01-10 00:00:00' AND ts <= TIMESTAMP_NTZ '2024-01-20 00:00:00'").groupBy("action_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT geometry_type, oid, min(ts) < TIMESTAMP '2024-01-02 00:00:00' AS early FROM actions WHERE action_no = 0 GROUP BY 1, 2", actions=True)
+def f8_feature_window(spark, d):
+    return _acts(spark, d).where("action_no = 0").select("geometry_type", "oid", F.expr("ts < TIMESTAMP_NTZ '2024-01-02 00:00:00'").alias("early"))
+
+
+def _tags_sql(select: str) -> str:
+    return f"""SELECT {select} FROM (
+  SELECT geometry_type, oid, key, arg_max(operation_type, n) AS last_type, arg_max(value, n) AS value FROM (
+    SELECT *, row_number() OVER w AS n, max(CASE WHEN operation_type LIKE 'OP_CREATE%' THEN version END) OVER (PARTITION BY geometry_type, oid) AS cleared
+    FROM ops WINDOW w AS (PARTITION BY geometry_type, oid ORDER BY version)) x
+  WHERE {_TAG_OPS} AND version > cleared GROUP BY 1, 2, 3) y WHERE last_type <> 'OP_REMOVE_TAG'"""
+
+
+@query(_tags_sql("geometry_type, oid, key, value"))
+def r3_tags_at(spark, d):
+    return fold.tags_at(event_operations(spark, d)).select("geometry_type", "oid", F.explode("tags").alias("key", "value"))
+
+
+@query("SELECT geometry_type, oid, key, count(DISTINCT value) AS n, min(value) AS least, max(value) AS most FROM ops WHERE operation_type IN ('OP_ADD_TAG', 'OP_MODIFY_TAG_VALUE') GROUP BY 1, 2, 3")
+def r4_all_tag_values(spark, d):
+    return fold.all_tag_values(event_operations(spark, d)).select("geometry_type", "oid", "key", F.size("values").cast("long").alias("n"), F.array_min("values").alias("least"), F.array_max("values").alias("most"))
+
+
+@query("SELECT geometry_type, oid, CASE key WHEN 'highway' THEN 'street' ELSE key END AS feature_type FROM (" + _tags_sql("geometry_type, oid, key, value") + ") t WHERE key IN ('highway', 'amenity', 'natural') UNION ALL SELECT geometry_type, oid, unnest(['building', 'buildingPoint']) FROM (" + _tags_sql("geometry_type, oid, key, value") + ") t WHERE key = 'building'")
+def f9_feature_types(spark, d):
+    tags = fold.tags_at(event_operations(spark, d))
+    return tags.select("geometry_type", "oid", F.explode(filters.feature_types_of("tags", default_config().feature_types)).alias("feature_type"))
+
+
+@query()
+def f10_exported_features(spark, d):
+    return fold.assembled_features(event_operations(spark, d), default_config()).drop("tags")
+
+
+@query("SELECT operation_type, key, count(*) AS n FROM ops WHERE NOT (operation_type IN ('OP_ADD_TAG', 'OP_MODIFY_TAG_VALUE', 'OP_REMOVE_TAG') AND key NOT IN ('building', 'name')) GROUP BY 1, 2")
+def f11_only_properties(spark, d):
+    keep = ~(F.col("operation_type").isin(*A.TAG_EDITS) & ~F.col("key").isin(*default_config().feature_type("building").properties))
+    return event_operations(spark, d).where(keep).groupBy("operation_type", "key").agg(F.count("*").alias("n"))
+
+
+_YEAR = "CAST(floor(year(o_orderdate) / {0}) * {0} AS INT)"
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(date_trunc('year', o_orderdate) AS DATE) AS year, make_date(" + _YEAR.format(10) + ", 1, 1) AS decade, make_date(" + _YEAR.format(100) + ", 1, 1) AS century FROM orders", operations=False)
+def time_buckets(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", *(filters.time_period("o_orderdate", r).alias(r) for r in ("day", "month", "year", "decade", "century")))
+
+
+# ---------------------------------------------------------------- joins
+
+
+def _parts(spark, d):
+    line, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    moves = line.groupBy(F.col("l_partkey").alias("node"), F.col("l_shipdate").alias("ts")).agg(F.max("l_extendedprice").alias("place"))
+    adds = line.join(orders, line.l_orderkey == orders.o_orderkey).select("l_orderkey", F.col("l_partkey").alias("node"), F.col("o_orderdate").alias("ts")).distinct()
+    return adds, moves
+
+
+_MOVES = "moves AS (SELECT l_partkey AS node, l_shipdate AS ts, max(l_extendedprice) AS place FROM lineitem GROUP BY 1, 2), adds AS (SELECT DISTINCT l_orderkey, l_partkey AS node, o_orderdate AS ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+@query(f"WITH {_MOVES} SELECT a.l_orderkey, a.node, coalesce(max_by(m.place, m.ts) FILTER (WHERE m.ts <= a.ts), min_by(m.place, m.ts)) AS place FROM adds a LEFT JOIN moves m ON a.node = m.node GROUP BY a.l_orderkey, a.node, a.ts", operations=False)
+def j2_as_of_coordinate(spark, d):
+    adds, moves = _parts(spark, d)
+    return enrich.as_of(adds, moves, "node", "ts", "ts", ["place"], ["ts"]).select("l_orderkey", "node", "place")
+
+
+@query(f"WITH {_MOVES}, since AS (SELECT l_orderkey, node, min(ts) AS since FROM adds GROUP BY 1, 2) SELECT node, count(*) AS n, count(DISTINCT l_orderkey) AS ways FROM since JOIN moves USING (node) WHERE since <= moves.ts GROUP BY 1", operations=False)
+def j3_moves_of_members(spark, d):
+    adds, moves = _parts(spark, d)
+    since = adds.groupBy("l_orderkey", "node").agg(F.min("ts").alias("since"))
+    return since.join(moves, "node").where("since <= ts").groupBy("node").agg(F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("ways"))
+
+
+@query()
+def j3_way_coordinate_changes(spark, d):
+    return enrich.way_coordinate_changes(event_operations(spark, d))
+
+
+_REF = "CASE WHEN operation_type = 'OP_ADD_NODE' THEN 'POINT' WHEN key = 'n' THEN 'POINT' WHEN key = 'w' THEN 'LINE' ELSE 'RELATION' END"
+
+
+@query(f"SELECT r.geometry_type, r.oid, r.ref_type, r.ref_id, f.oid IS NOT NULL AS found FROM (SELECT DISTINCT geometry_type, oid, {_REF} AS ref_type, ref_id FROM ops WHERE operation_type IN ('OP_ADD_NODE', 'OP_ADD_MEMBER')) r LEFT JOIN (SELECT DISTINCT geometry_type, oid FROM ops) f ON f.geometry_type = r.ref_type AND f.oid = r.ref_id")
+def j1_referenced(spark, d):
+    return enrich.referenced(event_operations(spark, d)).select("geometry_type", "oid", "ref_type", "ref_id", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+@query("SELECT oid, count(DISTINCT ref_id) AS members FROM ops WHERE operation_type = 'OP_ADD_MEMBER' GROUP BY 1")
+def j4_relation_members(spark, d):
+    return enrich.with_members(event_operations(spark, d)).select("oid", F.size("members").cast("long").alias("members"))
+
+
+_SPLIT = """nodes AS (SELECT * FROM ops WHERE geometry_type = 'LINE' AND operation_type IN ('OP_ADD_NODE', 'OP_REMOVE_NODE'))
+SELECT DISTINCT n.oid, n.changeset, n.position, 'OP_SPLIT_WAY' AS operation_type FROM nodes n
+JOIN nodes o ON o.ref_id = n.ref_id AND o.changeset = n.changeset AND o.operation_type = 'OP_REMOVE_NODE'
+JOIN ops c ON c.geometry_type = 'LINE' AND c.oid = n.oid AND c.changeset = n.changeset AND c.operation_type = 'OP_CREATE_WAY' WHERE n.operation_type = 'OP_ADD_NODE'
+UNION ALL SELECT DISTINCT n.oid, n.changeset, n.position, 'OP_MERGE_WAY' FROM nodes n
+JOIN nodes o ON o.ref_id = n.ref_id AND o.changeset = n.changeset AND o.operation_type = 'OP_ADD_NODE'
+JOIN ops c ON c.geometry_type = 'LINE' AND c.oid = n.oid AND c.changeset = n.changeset AND c.operation_type = 'OP_DELETE_WAY' WHERE n.operation_type = 'OP_REMOVE_NODE'"""
+
+
+@query()
+def j5_split_and_merged_ways(spark, d):
+    return enrich.split_and_merged_ways(event_operations(spark, d)).select("oid", "changeset", "position", "operation_type")
+
+
+_SQL["j5_split_and_merged_ways"] = f"WITH {CTE_OPERATIONS}, {_SPLIT}"
+
+
+@query()
+def j6_regions(spark, d):
+    return _in_nation(spark, d).groupBy("region", "operation_type").agg(F.count("*").alias("n"))
+
+
+_SQL["j6_regions"] = _SQL_REGIONS + "SELECT region, operation_type, count(*) AS n FROM in_region GROUP BY 1, 2"
+
+
+@query("SELECT geometry_type, oid, count(*) AS n FROM ops WHERE (geometry_type = 'POINT' AND oid IN (0, 3, 6)) OR geometry_type = 'RELATION' GROUP BY 1, 2")
+def j8_id_filter(spark, d):
+    return filters.by_ids(event_operations(spark, d), points=[0, 3, 6], lines=[]).groupBy("geometry_type", "oid").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- version diff, sessions, folds
+
+
+_WAYS = "w AS (" + WAY_VERSIONS.replace("{nodes_not_r}", "list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice)").replace("{l}", "lineitem").replace("{o}", "orders") + ")"
+
+
+@query(f"WITH {_WAYS}, t AS (SELECT id, min(version) AS v1, max(version) AS v2, count(*) AS n FROM w GROUP BY 1) SELECT id AS oid, CAST(v1 AS INT) AS version, 'OP_CREATE_WAY' AS operation_type, '' AS key, '' AS value FROM t UNION ALL SELECT w.id, w.version, 'OP_ADD_TAG', 'status', status FROM w JOIN t ON w.id = t.id AND w.version = t.v1 UNION ALL SELECT id, version, 'OP_ADD_TAG', 'priority', priority FROM w WHERE version = 2", operations=False)
+def d2_tag_diff(spark, d):
+    rows = version_diff(way_versions(spark, d)).where("operation_type IN ('OP_CREATE_WAY', 'OP_ADD_TAG', 'OP_MODIFY_TAG_VALUE', 'OP_REMOVE_TAG')")
+    return rows.select("oid", "version", "operation_type", "key", "value")
+
+
+@query(f"""WITH {_WAYS}, n AS (SELECT id, version, unnest(nodes) AS ref FROM w), c AS (SELECT id, ref, count(*) FILTER (WHERE version = 1) AS a, count(*) FILTER (WHERE version = 2) AS b FROM n GROUP BY 1, 2),
+u AS (SELECT id, count(*) AS versions FROM w GROUP BY 1)
+SELECT id AS oid, CAST(sum(CASE WHEN versions = 1 THEN a + b ELSE a + greatest(b - a, 0) END) AS BIGINT) AS added, CAST(sum(CASE WHEN versions = 1 THEN 0 ELSE greatest(a - b, 0) END) AS BIGINT) AS removed FROM c JOIN u USING (id) GROUP BY 1""", operations=False)
+def d4_way_list_diff(spark, d):
+    of = F.col("operation_type")
+    return version_diff(way_versions(spark, d)).groupBy("oid").agg(F.count_if(of == "OP_ADD_NODE").alias("added"), F.count_if(of == "OP_REMOVE_NODE").alias("removed"))
+
+
+@query()
+def d4_way_operations(spark, d):
+    return version_diff(way_versions(spark, d)).select("oid", "version", "seq", "operation_type", "ref_id", "position", "key", "value")
+
+
+@query("SELECT geometry_type, oid, uid, session, count(*) AS n FROM s GROUP BY 1, 2, 3, 4", actions=True)
+def sessions_by_gap(spark, d):
+    return sessions(event_operations(spark, d), 43_200_000).groupBy("geometry_type", "oid", "uid", "session").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT geometry_type, oid FROM (SELECT *, ts < lag(ts) OVER (PARTITION BY geometry_type, oid ORDER BY version) AS back FROM ops) x WHERE back")
+def clock_anomaly_features(spark, d):
+    return clock_anomalies(event_operations(spark, d))
+
+
+@query(f"SELECT geometry_type, oid, version, operation_type, CAST({HIERARCHY_SQL} AS INT) AS hierarchy FROM ops")
+def operation_hierarchy(spark, d):
+    ops = event_operations(spark, d).select("geometry_type", "oid", "version", "operation_type")
+    return ops.join(F.broadcast(operation_dimension(spark).select("operation_type", "hierarchy")), "operation_type")
+
+
+@query()
+def actions_by_rules(spark, d):
+    return generate_actions(event_operations(spark, d), default_config()).drop("operations")
+
+
+@query()
+def r2_elements(spark, d):
+    return fold.elements_at(event_operations(spark, d)).select("geometry_type", "oid", "visible", "lon", "lat", F.size("nodes").alias("n_nodes"), F.size("members").alias("n_members"), F.size("tags").alias("n_tags"))
+
+
+# ---------------------------------------------------------------- functions, spatial keys
+
+
+@query("SELECT c_custkey, s_suppkey, CAST(levenshtein(c_name, s_name) AS INT) AS edits FROM customer JOIN supplier ON c_nationkey = s_nationkey", operations=False)
+def levenshtein_names(spark, d):
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    return c.join(s, c.c_nationkey == s.s_nationkey).select("c_custkey", "s_suppkey", F.levenshtein("c_name", "s_name").alias("edits"))
+
+
+@query("SELECT geometry_type, oid, version, CAST(floor(lon * 1e7 + 0.5) AS BIGINT) AS x, CAST(floor(lat * 1e7 + 0.5) AS BIGINT) AS y FROM ops WHERE lon IS NOT NULL")
+def coordinate_codes(spark, d):
+    return event_operations(spark, d).where("lon IS NOT NULL").select("geometry_type", "oid", "version", geo.coordinate_code(F.col("lon")).alias("x"), geo.coordinate_code(F.col("lat")).alias("y"))
+
+
+@query()
+def quadtree_paths(spark, d):
+    return regions.adaptive_quadtree(regions.quadtree(event_operations(spark, d)), capacity=10)
+
+
+def _path_sql(levels: int) -> str:
+    """The path as a recursive query: each level halves the quadrant that strictly holds the box."""
+    return f""", box AS (SELECT geometry_type, oid, min(lon) AS a, min(lat) AS b, max(lon) AS c, max(lat) AS d FROM ops WHERE lon IS NOT NULL GROUP BY 1, 2),
+walk AS (
+  SELECT geometry_type, oid, a, b, c, d, 0 AS level, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(180 AS DOUBLE) AS w, CAST(90 AS DOUBLE) AS h, CAST('' AS VARCHAR) AS path FROM box
+  UNION ALL
+  SELECT geometry_type, oid, a, b, c, d, level + 1, CASE WHEN c < x THEN x - w / 2 ELSE x + w / 2 END, CASE WHEN d < y THEN y - h / 2 ELSE y + h / 2 END, w / 2, h / 2,
+    path || '/' || CASE WHEN d < y THEN 'S' ELSE 'N' END || CASE WHEN c < x THEN 'W' ELSE 'E' END
+  FROM walk WHERE level < {levels} AND (a > x - w AND c < x OR a > x AND c < x + w) AND (b > y - h AND d < y OR b > y AND d < y + h))
+SELECT geometry_type, oid, arg_max(path, level) AS qt_path FROM walk GROUP BY 1, 2"""
+
+
+@query()
+def quadtree_path(spark, d):
+    return regions.quadtree(event_operations(spark, d))
+
+
+_SQL["quadtree_path"] = "WITH RECURSIVE " + CTE_OPERATIONS + _path_sql(regions.MAX_LEVEL)
+
+
+@query("SELECT '1' || lpad(CAST(r AS VARCHAR), 3, '0') || lpad(CAST(c AS VARCHAR), 3, '0') AS id, CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM range(23) a(r), range(9) b(c) WHERE c <= CASE WHEN r % 2 = 1 THEN 6 ELSE 7 END", operations=False)
+def hexagon_cells(spark, d):
+    return regions.hexagon_grid(spark, 0.0, 0.0, 105_000.0, 100_000.0).select("id", "row", "col")
+
+
+@query()
+def ellipsoid_distances(spark, d):
+    w = Window.partitionBy("geometry_type", "oid").orderBy("version")
+    rows = event_operations(spark, d).where("lon IS NOT NULL").select("geometry_type", "oid", "version", "lon", "lat", F.lag("lon").over(w).alias("lon0"), F.lag("lat").over(w).alias("lat0"))
+    return rows.where("lon0 IS NOT NULL").select("geometry_type", "oid", "version", geo.andoyer(F.col("lon0"), F.col("lat0"), F.col("lon"), F.col("lat")).alias("metres"))
+
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
