@@ -55,15 +55,25 @@ def area(ring) -> float:
     return float(abs((x[:-1] * y[1:] - x[1:] * y[:-1]).sum()) / 2)
 
 
-def point_to_segments(point, points) -> float:
-    """Distance from a point to a line."""
-    p, q = np.asarray(point, float), np.asarray(points, float)
+def to_segments(points, line) -> np.ndarray:
+    """Distance of each point to a line."""
+    p, q = np.atleast_2d(np.asarray(points, float)), np.asarray(line, float)
     if len(q) == 1:
-        return float(np.hypot(*(q[0] - p)))
+        return np.hypot(*(q[0] - p).T)
     a, d = q[:-1], np.diff(q, axis=0)
     n = (d * d).sum(1)
-    t = np.clip(((p - a) * d).sum(1) / np.where(n == 0, 1, n), 0, 1)
-    return float(np.hypot(*(a + t[:, None] * d - p).T).min())
+    n[n == 0] = 1
+    out = np.empty(len(p))
+    for at in range(0, len(p), 256):
+        away = p[at : at + 256, None] - a
+        t = np.clip((away * d).sum(2) / n, 0, 1)
+        away -= t[:, :, None] * d
+        out[at : at + 256] = np.sqrt((away * away).sum(2).min(1))
+    return out
+
+
+def point_to_segments(point, points) -> float:
+    return float(to_segments(point, points)[0])
 
 
 def inside(point, rings) -> bool:
@@ -84,16 +94,18 @@ def inside(point, rings) -> bool:
 def segments_cross(a, b) -> bool:
     """Whether two lines share a point."""
     a, b = np.asarray(a, float), np.asarray(b, float)
+    if (to_segments(a, b) == 0).any() or (to_segments(b, a) == 0).any():
+        return True
     if len(a) < 2 or len(b) < 2:
-        return len(a) and len(b) and (point_to_segments(a[0], b) == 0 if len(a) < 2 else point_to_segments(b[0], a) == 0)
-    p, r = a[:-1, None], np.diff(a, axis=0)[:, None]
+        return False
     q, s = b[None, :-1], np.diff(b, axis=0)[None]
     turn = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
-    d1, d2 = turn(r, q - p), turn(r, q + s - p)
-    d3, d4 = turn(s, p - q), turn(s, p + r - q)
-    if ((d1 * d2 < 0) & (d3 * d4 < 0)).any():
-        return True
-    return any(point_to_segments(x, b) == 0 for x in a) or any(point_to_segments(x, a) == 0 for x in b)
+    for at in range(0, len(a) - 1, 256):
+        p = a[at : at + 257][:-1, None]
+        r = np.diff(a[at : at + 257], axis=0)[:, None]
+        if ((turn(r, q - p) * turn(r, q + s - p) < 0) & (turn(s, p - q) * turn(s, p + r - q) < 0)).any():
+            return True
+    return False
 
 
 def intersects(kind_a: str, a, kind_b: str, b) -> bool:
@@ -109,21 +121,29 @@ def intersects(kind_a: str, a, kind_b: str, b) -> bool:
 def distance(kind_a: str, a, kind_b: str, b) -> float:
     if intersects(kind_a, a, kind_b, b):
         return 0.0
-    return min(min(point_to_segments(p, y) for p in x) if first else min(point_to_segments(p, x) for p in y) for x in a for y in b for first in (True, False))
+    return min(min(to_segments(x, y).min(), to_segments(y, x).min()) for x in a for y in b)
 
 
-def densified(points, step: float) -> np.ndarray:
-    p = np.asarray(points, float)
-    out = [p[:1]]
-    for a, b in zip(p, p[1:]):
-        n = max(1, math.ceil(float(np.hypot(*(b - a))) / step))
-        out.append(a + (b - a) * (np.arange(1, n + 1) / n)[:, None])
-    return np.concatenate(out)
+#: Places on a segment that are looked at, at most.
+SAMPLES = 64
 
 
 def within_buffer(line, other, radius: float) -> bool:
-    """Whether all of a line is at most ``radius`` from another one (sampled every half radius: an approximation of a buffer)."""
-    return all(point_to_segments(p, other) <= radius for p in densified(line, max(radius / 2, 1e-9)))
+    """Whether all of a line is at most ``radius`` from another one.
+
+    Its corners, and places every half radius (or SAMPLES of them) on segments that the other doesn't have too: an
+    approximation of a buffer."""
+    p, q = np.asarray(line, float), np.asarray(other, float)
+    if (to_segments(p, q) > radius).any():
+        return False
+    shared = {(*x, *y) for x, y in zip(q.tolist(), q[1:].tolist())}
+    for x, y in zip(p, p[1:]):
+        if (*x.tolist(), *y.tolist()) in shared or (*y.tolist(), *x.tolist()) in shared:
+            continue
+        n = min(SAMPLES, max(2, math.ceil(float(np.hypot(*(y - x))) / (radius / 2))))
+        if (to_segments(x + (y - x) * (np.arange(1, n) / n)[:, None], q) > radius).any():
+            return False
+    return True
 
 
 # ---------------------------------------------------------------- projections
