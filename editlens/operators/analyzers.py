@@ -17,6 +17,8 @@ from .filters import FEATURE, time_period
 TAG_EDITS = ("OP_ADD_TAG", "OP_MODIFY_TAG_VALUE", "OP_REMOVE_TAG")
 #: Hours until the second action of a feature that has one only: the largest number of milliseconds as hours.
 NEVER_HOURS = 2**63 // 3_600_000
+#: Ids that are numbered together.
+ID_BUCKET = 65_536
 
 
 def with_period(rows: DataFrame, config: AnalysisConfig) -> DataFrame:
@@ -103,8 +105,8 @@ def geometry_type(actions: DataFrame, feature_types: list[str] | None = None) ->
 def action_details(actions: DataFrame, include_operations: bool = True) -> DataFrame:
     """A row for each action, or each of its operations, with a running number of the action.
 
-    Numbers ascend with (geometry type, id, action); they come from counts of range partitions, so no task sees all."""
-    keyed = with_running_number(actions, [geometry_rank(), F.col("oid"), F.col("action_no")], "action_id")
+    Numbers ascend with (geometry type, id, action); ids are counted in buckets of ID_BUCKET."""
+    keyed = with_running_number(actions, [geometry_rank(), F.floor(F.col("oid") / ID_BUCKET)], [F.col("oid"), F.col("action_no")], "action_id")
     head = ["action_id", "oid", "geometry_type", "feature_type", "action_type"]
     fields = ("uid", "version", "ts", "changeset")
     if not include_operations:
@@ -114,16 +116,17 @@ def action_details(actions: DataFrame, include_operations: bool = True) -> DataF
     return rows.select(*head, *(F.col(f"o.{f}").alias(f) for f in ("operation_type", *fields, "lon", "lat", "key", "value", "ref_id", "position")))
 
 
-def with_running_number(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """rows numbered 1, 2, ... by ``order``: numbers within range partitions, moved by the sizes of those before."""
-    keys = [f"_k{i}" for i in range(len(order))]
-    dealt = rows.select("*", *(c.alias(k) for c, k in zip(order, keys))).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    marked = dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
-    marked = marked.withColumn("_n", F.col("_at") - F.shiftleft(F.col("_part"), 33) + 1).persist()
-    sizes = marked.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = marked.join(F.broadcast(before), "_part")  # a row for each partition
-    return out.withColumn(name, F.col("_n") + F.col("_before")).drop("_at", "_part", "_n", "_size", "_before", *keys)
+def with_running_number(rows: DataFrame, bucket: list[Column], order: list[Column], name: str) -> DataFrame:
+    """rows numbered 1, 2, ... by ``bucket`` and, within equal ones, ``order``.
+
+    Numbers within a bucket are moved by the sizes of the buckets before it; only these sizes, a row for each bucket, are
+    put in order in one place. Nothing depends on how rows happen to be dealt, so a lost task gives the same numbers."""
+    keys = [f"_b{i}" for i in range(len(bucket))]
+    rows = rows.select("*", *(c.alias(k) for c, k in zip(bucket, keys)))
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size")).withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_n", within).join(sizes, keys).withColumn(name, F.col("_n") + F.col("_before")).drop("_n", "_before", *keys)
 
 
 def feature_stability(actions: DataFrame) -> DataFrame:

@@ -19,23 +19,26 @@ def import_history(versions: DataFrame, config: AnalysisConfig) -> DataFrame:
     return near_regions(operations, list(config.regions)) if config.regions else operations
 
 
-def prepared_operations(operations: DataFrame, config: AnalysisConfig) -> DataFrame:
-    """What an analysis works on: filtered, with split and merged ways if asked for, by region if there are any."""
+def prepared_operations(operations: DataFrame, config: AnalysisConfig) -> tuple[DataFrame, DataFrame | None]:
+    """What an analysis works on: filtered operations, with split and merged ways if asked for; and which regions their
+    features are in, if there are any (features in none are left out)."""
     rows = filters.scan(operations, config)
     if config.find_related:
         rows = rows.unionByName(enrich.split_and_merged_ways(rows))
     if config.regions:
-        rows = rows.join(features_in_regions(rows, config), filters.FEATURE)
-    elif config.write_geometry:
+        hits = features_in_regions(rows, config).persist()
+        return rows.join(hits.select(*filters.FEATURE).distinct(), filters.FEATURE, "left_semi"), hits
+    if config.write_geometry:
         rows = rows.join(assembled_features(rows, config).select(*filters.FEATURE), filters.FEATURE, "left_semi")
-    return rows
+    return rows, None
 
 
 def analyze(operations: DataFrame, config: AnalysisConfig) -> dict[str, DataFrame]:
-    """The results of all analyzers of the configuration; with regions, each has a column for them where it keeps one."""
-    rows = prepared_operations(operations, config)
-    plain = rows.drop("region").distinct() if "region" in rows.columns else rows
-    actions = filters.in_window(generate_actions(plain, config), config.start, config.end).persist()
-    if "region" in rows.columns:
-        actions = actions.join(rows.select(*filters.FEATURE, "region").distinct(), filters.FEATURE)
+    """The results of all analyzers of the configuration; with regions, each has a column for them where it keeps one.
+
+    Actions are made once for each feature, however many regions it is in, and persisted, as most analyzers read them."""
+    rows, hits = prepared_operations(operations, config)
+    actions = filters.in_window(generate_actions(rows, config), config.start, config.end).persist()
+    if hits is not None:
+        rows, actions = rows.join(hits, filters.FEATURE), actions.join(hits, filters.FEATURE)
     return analyzers.run_all(rows, actions, config)
