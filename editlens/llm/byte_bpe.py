@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, flat_gather, ship, slices, span_hash, utf8
+from .common import byte_values, flat_gather, ship, slices, span_hash, tidy, utf8
 
 #: Different cuts that a worker remembers.
-CACHE = 100_000
+CACHE = 250_000
 
 
 @functools.lru_cache(1)
@@ -80,12 +80,13 @@ class Coder:
         self.known: dict[int, np.ndarray] = {}
 
     def _new(self, cuts: list[bytes]) -> list[np.ndarray]:
-        texts = [c.decode("utf-8") for c in cuts]
-        out = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-        for i, t in enumerate(texts):
-            if (right := self.exact.encode_ordinary(t)) != out[i]:  # equal ranks may merge in another order
-                out[i] = right
-        return [np.array(x, np.int32) for x in out]
+        out = []
+        for at in range(0, len(cuts), 2048):  # the library's results are large
+            texts = [c.decode("utf-8") for c in cuts[at : at + 2048]]
+            for t, e in zip(texts, self.model.encode_batch_fast(texts, add_special_tokens=False)):
+                right = self.exact.encode_ordinary(t)  # equal ranks may merge in another order
+                out.append(np.array(e.ids if e.ids == right else right, np.int32))
+        return out
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of consecutive texts, and offsets."""
@@ -168,7 +169,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text") -
     ship(docs.sparkSession)
     docs = docs.drop("ids", "n_tokens")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_encoded(path, pattern, text), f"{fields}, ids array<int>, n_tokens long")
+    return docs.mapInArrow(tidy(_encoded(path, pattern, text)), f"{fields}, ids array<int>, n_tokens long")
 
 
 def _some(batch: pa.RecordBatch, column: int, limit: int = 200_000):
@@ -202,7 +203,7 @@ def decode_ids(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     ship(tokens.sparkSession)
     tokens = tokens.drop("decoded")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema)
-    return tokens.mapInArrow(_decoded(path, pattern), f"{fields}, decoded binary")
+    return tokens.mapInArrow(tidy(_decoded(path, pattern)), f"{fields}, decoded binary")
 
 
 def decode_texts(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -210,24 +211,44 @@ def decode_texts(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     return decode_ids(tokens, path, pattern).withColumn("decoded", F.decode("decoded", "UTF-8"))
 
 
-def _digests(path: str, pattern: str):
+def _both(path: str, pattern: str, digests: bool):
+    """Encodes, and decodes the ids again, in one pass: digests of both, or the ids and whether the text came back."""
+
     def run(batches):
-        own = speller(path)
+        own, back = coder(path, pattern), speller(path)
         for batch in batches:
-            for part in _some(batch, 1):
-                lists = part.column(1)
-                cut = lists.offsets.to_numpy()
-                digits, offs = own.digits(lists.flatten().to_numpy(zero_copy_only=False), (cut - cut[0]).astype(np.int64))
-                raw = digits.tobytes()
-                sha = [hashlib.sha256(raw[a : max(a, b - 1)]).hexdigest() for a, b in zip(offs, offs[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sha), part.column(3)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            at = batch.schema.get_field_index("text")
+            for part in slices(batch, "text"):
+                data, starts = utf8(part.column(at))
+                ids, offs = own.encode(data, starts)
+                decoded, ends = back.decode(ids, offs)
+                others = [c for i, c in enumerate(part.columns) if i != at]
+                names = [n for i, n in enumerate(part.schema.names) if i != at]
+                count = pa.array(np.diff(offs))
+                if digests:
+                    numbers, cut = back.digits(ids, offs)
+                    sha = lambda b, a, z: hashlib.sha256(b[a:z]).hexdigest()
+                    new = [pa.array([sha(numbers, a, max(a, z - 1)) for a, z in zip(cut, cut[1:])], pa.string()), pa.array([sha(decoded, a, z) for a, z in zip(ends, ends[1:])], pa.string())]
+                    yield pa.RecordBatch.from_arrays([*others, count, *new], names=[*names, "n_tokens", "ids_sha256", "decoded_sha256"])
+                else:
+                    lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids))
+                    same = [bool(np.array_equal(decoded[a:z], data[x:y])) for a, z, x, y in zip(ends, ends[1:], starts, starts[1:])]
+                    yield pa.RecordBatch.from_arrays([*others, lists, count, pa.array(same, pa.bool_())], names=[*names, "ids", "n_tokens", "restored"])
+        own.known.clear()
 
     return run
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of what they decode to."""
+    ship(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = encode_texts(plain, path, pattern).select("doc_id", "ids", "n_tokens")
-    read = decode_ids(tokens, path, pattern).select("doc_id", "ids", "n_tokens", F.sha2("decoded", 256).alias("decoded_sha256"))
-    return read.mapInArrow(_digests(path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return plain.mapInArrow(tidy(_both(path, pattern, True)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokens_of(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs with ``ids``, ``n_tokens`` and ``restored`` (whether the ids decode to the text) in place of ``text``."""
+    ship(docs.sparkSession)
+    docs = docs.drop("ids", "n_tokens", "restored")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    return docs.mapInArrow(tidy(_both(path, pattern, False)), f"{fields}, ids array<int>, n_tokens long, restored boolean")

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_gather, ship, utf8
+from .common import flat_gather, ship, tidy, utf8
 
 HEAD, END = "<|im_start|>", "<|im_end|>\n"
 #: Strings that some chat template gives a meaning.
@@ -115,7 +115,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """turns(conv_id, turn, role, text) -> one row for each conversation: FORMATTED."""
     ship(turns.sparkSession)
     plain = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return plain.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(_formatted, FORMATTED)
+    return plain.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(tidy(_formatted), FORMATTED)
 
 
 _TURN = re.compile(re.escape(HEAD) + "(.*?)\n(.*?)" + re.escape(END), re.S)
@@ -152,4 +152,4 @@ def _digests(batches):
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What reading the formatted conversations back gives."""
-    return formatted.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(tidy(_digests), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

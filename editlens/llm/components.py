@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 EDGES = 500_000
 
@@ -57,7 +57,7 @@ def _with_roots(edges: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """links(a, b), a written table -> (id, component): every node that has a link, with the smallest id it reaches."""
     tasks = max(1, -(-links.count() // EDGES))
-    edges = scratch.save(links.where("a != b").select("a", "b").coalesce(tasks).mapInArrow(_contract, "u long, v long"))
+    edges = scratch.save(links.where("a != b").select("a", "b").coalesce(tasks).mapInArrow(tidy(_contract), "u long, v long"))
     if tasks == 1:
         return _with_roots(edges)
     mark = None

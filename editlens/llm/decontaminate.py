@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, mix, ship, slices, utf8
+from .common import U64, Words, mix, ship, slices, tidy, utf8
 
 MASKS = ("1110111", "110010111", "1011001101", "111")
 MIN_WORDS, EQUAL, DIFFERENT = 13, 1, -4
@@ -148,7 +148,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for index in blocks(benchmark):
-        own = plain.mapInArrow(_found(docs.sparkSession.sparkContext.broadcast(index)), FOUND)
+        own = plain.mapInArrow(tidy(_found(docs.sparkSession.sparkContext.broadcast(index))), FOUND)
         out = own if out is None else out.union(own)
     return out
 
@@ -169,5 +169,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     for index in blocks(benchmark):
-        docs = docs.mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+        docs = docs.mapInArrow(tidy(keep(docs.sparkSession.sparkContext.broadcast(index))), docs.schema)
     return docs

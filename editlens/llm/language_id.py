@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, ship, slices, utf8
+from .common import U64, mix, ship, slices, tidy, utf8
 from .toxicity import in_part
 
 BITS, ORDERS, ALPHA = 15, 3, 0.5
@@ -82,7 +82,7 @@ def learn(docs: DataFrame):
     """(languages, log-probabilities, log-priors) from docs(lang, text), or None; languages in order."""
     ship(docs.sparkSession)
     known = docs.where("lang is not null").select(F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts = known.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = known.mapInArrow(tidy(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):
         return None
     names = sorted(set(counts.lang))
@@ -121,4 +121,4 @@ def language_id(docs: DataFrame, parts: int = 4, held_out: int = 2) -> DataFrame
     out = in_part("doc_id", parts, held_out)
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs.where(~out)))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double").select("doc_id", out.alias("held_out"), "lang_pred", "score")
+    return plain.mapInArrow(tidy(_predict(shared)), "doc_id long, lang_pred string, score double").select("doc_id", out.alias("held_out"), "lang_pred", "score")

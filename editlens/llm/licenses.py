@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chain, ship, slices, utf8
+from .common import Words, chain, ship, slices, tidy, utf8
 
 GRAM, WINDOW, BAND = 3, 2, 8
 LEAST_COVERAGE = 0.8
@@ -170,4 +170,4 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_COVE
                 types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 8, types)], names=[x.split()[0] for x in _FOUND.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _FOUND)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), _FOUND)

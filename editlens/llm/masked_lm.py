@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, Words, slices, utf8
+from .common import Scratch, U64, Words, slices, tidy, utf8
 
 VOCABULARY, INPUTS, RARE, CLASSES = 8192, 2048, 4096, 64
 HIDDEN, RADIUS, BATCH, RATE = 16, 2, 4096, 0.1
@@ -92,7 +92,7 @@ class Lexicon:
 
 
 def lexicon(docs: DataFrame, scratch: Scratch) -> Lexicon:
-    counts = scratch.save(docs.mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    counts = scratch.save(docs.mapInArrow(tidy(_count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     top = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY).toPandas()
     if not len(top):
         return Lexicon(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros((RARE, 2)))
@@ -211,11 +211,11 @@ def train(docs: DataFrame, words: Lexicon) -> np.ndarray:
     """The averaged weights after one pass over all of docs(text)."""
     start = Network(log_class=words.log_class).flat()
     shared = docs.sparkSession.sparkContext.broadcast((words, start))
-    copies = docs.mapInArrow(_train(shared), "n long, weights binary")
+    copies = docs.mapInArrow(tidy(_train(shared)), "n long, weights binary")
     tasks = docs.rdd.getNumPartitions()
     while tasks > FANIN:
         tasks = -(-tasks // FANIN)
-        copies = copies.repartition(tasks).mapInArrow(_average, "n long, weights binary")
+        copies = copies.repartition(tasks).mapInArrow(tidy(_average), "n long, weights binary")
     got = copies.toPandas()
     if not len(got):
         return start
@@ -251,4 +251,4 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     texts = plain.select("text").where("text is not null")
     words = lexicon(texts, scratch)
     shared = spark.sparkContext.broadcast((words, train(texts, words)))
-    return plain.mapInArrow(_score(shared), "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    return plain.mapInArrow(tidy(_score(shared)), "doc_id long, n_words long, log_prob double, mean_log_prob double")

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, Words, chain, mix, shingles, slices, utf8
+from .common import Scratch, U64, Words, chain, mix, shingles, slices, tidy, utf8
 from .components import Forest, connected_components
 
 CHUNKS, WIDTH, ERRORS = 14, 6, 1
@@ -167,7 +167,7 @@ def _pack(batches):
 
 def packed_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, packed): texts compressed before they are shuffled."""
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(_pack, "doc_id long, packed binary")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(tidy(_pack), "doc_id long, packed binary")
 
 
 def tile_links(ids: list, sets: list[np.ndarray], block: list, lo: int, hi: int, percent: int) -> list[tuple[int, int]]:
@@ -232,13 +232,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     scratch = Scratch(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.save(plain.mapInArrow(_sign(k), _SIGNED))
+    signed = scratch.save(plain.mapInArrow(tidy(_sign(k)), _SIGNED))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     # classes of the same set; the smallest doc_id stands for each
     classes = scratch.save(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
     members = scratch.save(usable.join(classes, ["d1", "d2"]).select("doc_id", "rep", *(F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("sig", "s1", "s2"))))
-    keys = members.where("sig is not null").select(F.col("rep").alias("id"), "sig", "s1", "s2").mapInArrow(_keys, "key long, id long, s1 long, s2 long")
-    close = scratch.save(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_buckets, _EDGE).distinct())
+    keys = members.where("sig is not null").select(F.col("rep").alias("id"), "sig", "s1", "s2").mapInArrow(tidy(_keys), "key long, id long, s1 long, s2 long")
+    close = scratch.save(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(tidy(_buckets), _EDGE).distinct())
     clusters = scratch.save(connected_components(close, scratch))
     sizes = scratch.save(clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     placed = scratch.save(clusters.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
@@ -252,11 +252,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
     # rows that repeat a doc_id bring several classes together
     same = members.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    links = scratch.save(tiles.mapInArrow(_tiles(k, percent), _EDGE).union(same))
+    links = scratch.save(tiles.mapInArrow(tidy(_tiles(k, percent)), _EDGE).union(same))
     comp = scratch.save(connected_components(links, scratch))
     ends = scratch.save(
         members.select("doc_id", "rep").distinct().join(comp, F.col("doc_id") == F.col("id"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     )
+    scratch.drop(classes, members, close, clusters, sizes, placed, links, comp)
     out = signed.select("doc_id", "n_shingles").join(ends, "doc_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, byte_values, slices, span_hash, utf8
+from .common import Scratch, U64, byte_values, slices, span_hash, tidy, utf8
 from .near_dedup import packed_texts
 
 RATE, QUIET, WINDOW, MOST = 24, 7, 16, 96
@@ -231,27 +231,29 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     runs = (
         plain.where("text is not null")
-        .mapInArrow(_chunks, _CHUNK)
+        .mapInArrow(tidy(_chunks), _CHUNK)
         .repartition("route")
         .sortWithinPartitions("digest", "doc", "pos")
-        .mapInArrow(_repeated, _REPEATED)
+        .mapInArrow(tidy(_repeated), _REPEATED)
         .repartition("doc")
         .sortWithinPartitions("doc", "pos")
-        .mapInArrow(_runs, _RUN)
+        .mapInArrow(tidy(_runs), _RUN)
     )
     runs = scratch.save(runs)
     nothing = F.lit(None)
     want = lambda kind, doc, at: runs.select(F.col(doc).alias("doc"), F.lit(kind).alias("kind"), F.col(at).alias("start"), nothing.cast("int").alias("end"), nothing.cast("long").alias("left_doc"), nothing.cast("int").alias("left_pos"), nothing.cast("long").alias("right_doc"), nothing.cast("int").alias("right_pos")).distinct()
     asked = runs.select("doc", F.lit(0).alias("kind"), "start", "end", "left_doc", "left_pos", "right_doc", "right_pos").union(want(1, "left_doc", "left_pos")).union(want(2, "right_doc", "right_pos"))
     wants = scratch.save(asked.groupBy("doc").agg(F.collect_list(F.struct("kind", "start", "end", "left_doc", "left_pos", "right_doc", "right_pos")).alias("wants")).withColumnRenamed("doc", "doc_id"))
-    seen = scratch.save(packed_texts(plain).join(wants, "doc_id").select("doc_id", "packed", "wants").mapInArrow(_contexts, _SEEN))
+    seen = scratch.save(packed_texts(plain).join(wants, "doc_id").select("doc_id", "packed", "wants").mapInArrow(tidy(_contexts), _SEEN))
     mine = seen.where("kind = 0").select("doc", "start", "end", "left_doc", "left_pos", "right_doc", "right_pos", "words", "left", "right")
     before = seen.where("kind = 1").select(F.col("doc").alias("left_doc"), F.col("start").alias("left_pos"), F.col("left").alias("there_l")).dropDuplicates(["left_doc", "left_pos"])
     after = seen.where("kind = 2").select(F.col("doc").alias("right_doc"), F.col("start").alias("right_pos"), F.col("right").alias("there_r")).dropDuplicates(["right_doc", "right_pos"])
     before, after = scratch.save(before), scratch.save(after)
     both = mine.join(before, ["left_doc", "left_pos"]).join(after, ["right_doc", "right_pos"])
-    out = both.select("doc", "start", "end", "words", "left", "right", "there_l", "there_r", F.col("left_doc").alias("ref")).mapInArrow(_carried(min_words), _PASSAGE)
-    return scratch.save(out)
+    out = both.select("doc", "start", "end", "words", "left", "right", "there_l", "there_r", F.col("left_doc").alias("ref")).mapInArrow(tidy(_carried(min_words)), _PASSAGE)
+    found = scratch.save(out)
+    scratch.drop(runs, wants, seen, before, after)
+    return found
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -285,4 +287,4 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 columns["n_chars"] = pa.array(counted, columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names).filter(pa.array(keep))
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, chain, mix, ship, slices, utf8
+from .common import U64, Words, chain, mix, ship, slices, tidy, utf8
 
 BITS = 20
 #: The most labelled documents that the classifier is fitted on.
@@ -111,7 +111,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame):
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).select("doc_id", "y", F.xxhash64("doc_id").alias("place"))
     # at most MAX_LABELLED rows of three numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("text", "y", "place")
-    model = rows.mapInArrow(_rows, "ids array<int>, y int, place long").coalesce(1).mapInArrow(_train, MODEL).toPandas()
+    model = rows.mapInArrow(tidy(_rows), "ids array<int>, y int, place long").coalesce(1).mapInArrow(tidy(_train), MODEL).toPandas()
     if not len(model):
         return None
     w = model[model.kind == 0]
@@ -143,7 +143,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs(doc_id, text), labels(doc_id, toxic) -> (doc_id, held_out, score, predicted), a row for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = plain.mapInArrow(_score(shared), "doc_id long, score double")
+    scored = plain.mapInArrow(tidy(_score(shared)), "doc_id long, score double")
     return scored.select("doc_id", in_part("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
@@ -158,4 +158,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 found = next(iter(_score(shared)(iter([pa.record_batch([part.column(at)], ["text"])])))).column(0) if part.num_rows else pa.array([], pa.float64())
                 yield part.filter(pc.less(found, 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

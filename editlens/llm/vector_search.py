@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 #: Below every score.
 LEAST = -(1 << 62)
@@ -161,7 +161,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     taken, taken_ids = np.array(sample["v"].tolist(), np.int64), sample["vec_id"].to_numpy(np.int64)
     pivots = pick_pivots(_lift(taken, most), PIVOTS)
-    index = scratch.save(rows.mapInArrow(_keyed(pivots, most), "vec_id long, v array<long>, pivot int, distance double").repartitionByRange("pivot", "distance", "vec_id").sortWithinPartitions("pivot", "distance", "vec_id"))
+    index = scratch.save(rows.mapInArrow(tidy(_keyed(pivots, most)), "vec_id long, v array<long>, pivot int, distance double").repartitionByRange("pivot", "distance", "vec_id").sortWithinPartitions("pivot", "distance", "vec_id"))
     found = None
     for wave in range(waves):
         own = (queries if waves == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == wave)).toPandas()
@@ -173,7 +173,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             r = np.arange(a, min(a + 1024, len(q)))
             start.add(r, products(q[r], taken), taken_ids, q_ids[r])
         shared = spark.sparkContext.broadcast((q_ids, q, start.score[:, -1]))
-        part = index.mapInArrow(_search(shared, pivots, most, k), _OUT)
+        part = index.mapInArrow(tidy(_search(shared, pivots, most, k)), _OUT)
         found = part if found is None else found.union(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
