@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     placed = scratch.save(clusters.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
     tiles = (
         packed_texts(plain)
-        .join(placed, "doc_id")
+        .join(placed.hint("merge"), "doc_id")  # it grows with the documents: one plan at every size
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", F.col("doc_id").alias("id"), "packed")
         .repartition("cluster", "lo", "hi")
