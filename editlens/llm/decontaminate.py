@@ -3,9 +3,11 @@
 A seed is the hash of the words at the positions that a fixed mask keeps, so it survives substitutions at the others.
 Seeds of all benchmark items form a table; every position of every document is looked up under every mask. Each hit
 gives an item and a diagonal (the shift between item and document), and on each hit diagonal the words are compared
-one by one: the overlap is the run of words with the largest sum of +1 for an equal and -4 for a different word, so at
-least four fifths of it are equal. It counts if it covers ``MIN_WORDS`` words, or the whole item where that is shorter.
-Words are runs of letters, digits and other non-ASCII characters, in lower case.
+one by one: the overlap is the run of at least ``MIN_WORDS`` words (the whole item where that is shorter) with the largest
+sum of +1 for an equal and -4 for a different word, and it counts if the sum isn't negative: four fifths of it are equal.
+The masks miss no such run: of words that are four fifths equal, four in a row are, or else 15 words have just their 4th,
+8th and 12th different, which 1110111 fits; a shorter item has three equal words in a row, or is of five words with the
+middle one different, which 11011 fits. Words are runs of letters, digits and other non-ASCII characters, in lower case.
 
 The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words, each broadcast in turn and held against all
 documents; a usual benchmark is one block.
@@ -24,10 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import U64, Words, mix, ship, slices, tidy, utf8
 
-MASKS = ("1110111", "110010111", "1011001101", "111")
+MASKS = ("1110111", "1111")
+#: Of items shorter than MIN_WORDS, besides.
+SHORT_MASKS = ("111", "11011")
 MIN_WORDS, EQUAL, DIFFERENT = 13, 1, -4
 BLOCK_WORDS = 2_000_000
 _FILTER_BITS = 22
+#: Hits, and words of diagonals, that are held at once.
+_PIECE = 1 << 21
 FOUND = "doc_id long, item_id long, words_equal int, words_covered int, item_words int, word_start int, word_end int"
 
 
@@ -48,8 +54,39 @@ def _seeds(h: np.ndarray, doc: np.ndarray, mask: str) -> tuple[np.ndarray, np.nd
     return mix(out)[fits], fits
 
 
+def _pieces(size: np.ndarray):
+    """Slices of rows whose sizes sum up to about _PIECE (a larger row comes alone)."""
+    total = np.cumsum(size)
+    start = 0
+    while start < len(size):
+        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + _PIECE, side="right")))
+        yield slice(start, end)
+        start = end
+
+
+def _different(doc: np.ndarray, item: np.ndarray, zero: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((zero, item, doc))
+    doc, item, zero = doc[order], item[order], zero[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (zero[1:] != zero[:-1])
+    return doc[new], item[new], zero[new]
+
+
+def best_run(same: np.ndarray, need: int) -> tuple[int, int, int] | None:
+    """(start, end, equal words) of the run of at least ``need`` words with the largest sum, if that isn't negative."""
+    total = np.concatenate(([0], np.cumsum(np.where(same, EQUAL, DIFFERENT))))
+    if len(total) <= need:
+        return None
+    score = total[need:] - np.minimum.accumulate(total[: len(total) - need])
+    end = need + int(score.argmax())
+    if score[end - need] < 0:
+        return None
+    start = int(total[: end - need + 1].argmin())
+    return start, end, int(same[start:end].sum())
+
+
 class Index:
-    """Seeds of a block of benchmark items. The contiguous mask is used for items that no other mask fits well."""
+    """Seeds of a block of benchmark items. Short masks are used for items shorter than MIN_WORDS only."""
 
     def __init__(self, ids: np.ndarray, texts: pa.Array):
         w = _words(texts)
@@ -57,17 +94,17 @@ class Index:
         size = np.diff(w.first)
         doc = np.repeat(np.arange(len(size)), size)
         seeds, places, masks = [], [], []
-        for m, mask in enumerate(MASKS):
+        for mask in MASKS + SHORT_MASKS:
             s, p = _seeds(w.hash, doc, mask)
-            if mask == MASKS[-1]:
+            if mask in SHORT_MASKS:
                 short = size[doc[p]] < MIN_WORDS
                 s, p = s[short], p[short]
             seeds.append(s)
             places.append(p)
-        for d in np.flatnonzero((size > 0) & (size < len(MASKS[-1]))):  # one or two words: looked up word by word
+        for d in np.flatnonzero((size > 0) & (size < len(SHORT_MASKS[0]))):  # one or two words: looked up word by word
             seeds.append(w.hash[w.first[d] : w.first[d] + 1])
             places.append(w.first[d : d + 1])
-        self.single = np.unique(np.concatenate(seeds[len(MASKS) :])) if len(seeds) > len(MASKS) else np.zeros(0, U64)
+        self.single = np.unique(np.concatenate(seeds[len(MASKS + SHORT_MASKS) :])) if len(seeds) > len(MASKS + SHORT_MASKS) else np.zeros(0, U64)
         seed, place = np.concatenate(seeds), np.concatenate(places)
         order = np.argsort(seed, kind="stable")
         self.seed, self.place = seed[order], place[order]
@@ -77,14 +114,26 @@ class Index:
         self.short = bool((size < MIN_WORDS).any())
 
     def hits(self, seeds: np.ndarray, at: np.ndarray):
-        """(document position, item, item position) of equal seeds."""
+        """Yields (document position, item, item position) of equal seeds, about _PIECE at a time."""
         maybe = np.flatnonzero(self.any[seeds >> U64(64 - _FILTER_BITS)])
-        s = seeds[maybe]
-        lo, hi = np.searchsorted(self.seed, s), np.searchsorted(self.seed, s, side="right")
+        lo, hi = np.searchsorted(self.seed, seeds[maybe]), np.searchsorted(self.seed, seeds[maybe], side="right")
         found = hi > lo
-        size = (hi - lo)[found]
-        index = np.repeat(lo[found] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return np.repeat(at[maybe[found]], size), self.item[index], self.place[index]
+        lo, size, at = lo[found], (hi - lo)[found], at[maybe[found]]
+        for part in _pieces(size):
+            n = size[part]
+            index = np.repeat(lo[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield np.repeat(at[part], n), self.item[index], self.place[index]
+
+    def diagonals(self, w: Words, doc: np.ndarray):
+        """(text, item, where the item's first word would stand in the slice's words), different ones in order."""
+        out = []
+        looked_up = [_seeds(w.hash, doc, mask) for mask in (MASKS + SHORT_MASKS if self.short else MASKS)]
+        if len(self.single):
+            looked_up.append((w.hash, np.arange(len(w.hash))))
+        for seeds, places in looked_up:
+            for at, item, place in self.hits(seeds, places):
+                out.append(_different(doc[at], item, at - (place - self.first[item])))
+        return _different(*(np.concatenate(x) for x in zip(*out))) if out else (np.zeros(0, np.int64),) * 3
 
     def search(self, texts: pa.Array):
         """(text, item, equal, covered, item words, start, end) of overlaps; the longest of each text and item."""
@@ -92,29 +141,28 @@ class Index:
         if not len(w.hash) or not len(self.seed):
             return []
         doc = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-        positions = []
-        for mask in MASKS if self.short else MASKS[:-1]:
-            positions.append(self.hits(*_seeds(w.hash, doc, mask)))
-        if len(self.single):
-            positions.append(self.hits(w.hash, np.arange(len(w.hash))))
-        at, item, place = (np.concatenate(x) for x in zip(*positions))
-        if not len(at):
-            return []
-        # a diagonal: where the item's first word would stand in the slice's words
-        keys = np.unique(np.stack([doc[at], item, at - (place - self.first[item])], 1), axis=0)
+        d, i, zero = self.diagonals(w, doc)
+        a, b = self.first[i], self.first[i + 1]
+        lo, hi = np.maximum(zero, w.first[d]), np.minimum(zero + b - a, w.first[d + 1])
+        need = np.minimum(MIN_WORDS, b - a)
         best: dict[tuple[int, int], tuple] = {}
-        for d, i, zero in keys.tolist():
-            a, b = self.first[i], self.first[i + 1]
-            lo, hi = max(zero, w.first[d]), min(zero + b - a, w.first[d + 1])
-            same = w.hash[lo:hi] == self.hash[a + lo - zero : a + hi - zero]
-            gain = np.where(same, EQUAL, DIFFERENT)
-            total = np.concatenate(([0], np.cumsum(gain)))
-            low = np.minimum.accumulate(total)
-            end = int((total - low).argmax())
-            start = int(total[: end + 1].argmin())
-            covered, equal = end - start, int(same[start:end].sum())
-            if covered >= min(MIN_WORDS, b - a) and (d, i) not in best or (d, i) in best and equal > best[d, i][0]:
-                best[d, i] = (equal, covered, int(b - a), int(lo + start - w.first[d]), int(lo + end - w.first[d]))
+        for part in _pieces(hi - lo):
+            n = (hi - lo)[part]
+            first = np.cumsum(n) - n
+            at = np.repeat(lo[part] - first, n) + np.arange(n.sum())
+            same = w.hash[at] == self.hash[at + np.repeat((a - zero)[part], n)]
+            equal = np.add.reduceat(same, first, dtype=np.int64)
+            # where too few words are equal for any run, as on most diagonals of a chance hit, none is looked for
+            for k in np.flatnonzero((n >= need[part]) & (-DIFFERENT * need[part] <= (EQUAL - DIFFERENT) * equal)).tolist():
+                j = part.start + k
+                run = best_run(same[first[k] : first[k] + n[k]], int(need[j]))
+                if run is None:
+                    continue
+                start, end, equals = run
+                key = (int(d[j]), int(i[j]))
+                if key not in best or equals > best[key][0]:
+                    shift = int(lo[j] - w.first[d[j]])
+                    best[key] = (equals, end - start, int(b[j] - a[j]), shift + start, shift + end)
         return [(d, i, *v) for (d, i), v in best.items()]
 
 

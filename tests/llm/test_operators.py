@@ -290,6 +290,32 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert got >= {(i, i) for i in range(12)}
 
 
+def test_decontamination_finds_every_run_of_four_fifths():
+    import itertools
+
+    from editlens.llm.decontaminate import MIN_WORDS, Index
+
+    def search(item, doc):
+        index = Index(np.array([7]), pa.array([" ".join(item)]))
+        return index.search(pa.array([" ".join(["before"] * 3 + doc + ["after"] * 3)]))
+
+    for n in range(1, 18):
+        item = [f"w{i}" for i in range(n)]
+        least = min(n, MIN_WORDS)
+        for changed in range(0, 5):
+            for places in itertools.combinations(range(n), changed):
+                doc = ["other" if i in places else x for i, x in enumerate(item)]
+                runs = [(b - a, sum(x != "other" for x in doc[a:b])) for a in range(n) for b in range(a + least, n + 1)]
+                whole = any(5 * equal >= 4 * covered for covered, equal in runs)
+                got = search(item, doc)
+                assert bool(got) == whole, (n, places)
+                for _, _, equal, covered, size, start, end in got:
+                    assert (size, end - start) == (n, covered) and covered >= least and 5 * equal >= 4 * covered
+                    assert equal == sum(x == y for x, y in zip(doc[start - 3 : end - 3], item[start - 3 :]))
+    long = [f"w{i}" for i in range(25)]
+    assert search(long, ["other" if i in (4, 9, 14, 19) else x for i, x in enumerate(long)])
+
+
 def test_license_scan(spark):
     from editlens.llm.licenses import TEMPLATES, license_scan
 
