@@ -4,9 +4,11 @@ The hash of the last 16 bytes, h = (h << 2) + G[byte] in 32 bits, ends a chunk w
 1/RATE of all values (and no such place lies among the 7 before), so chunk borders move with their content and an
 insertion upsets only the chunks around it. A chunk that would be longer than MOST bytes (as in texts that go on repeating
 themselves) ends at the last place of the smallest hash within them. Chunks are compared by 64-bit digests. A chunk is repeated when a document of
-a smaller id has it; neighbouring repeated chunks form runs, and a run is carried on byte by byte to both sides as far as
-the documents that have its outer chunks agree, then cut back to whole words. Passages of ``min_words`` words are
-reported for every document but the first that has them.
+a smaller id has it, and votes for the place where one has it: a document and the shift between both. Neighbouring
+repeated chunks form runs. For each place that chunks of a run vote for, both documents' bytes are compared from REACH
+before its first vote to REACH after its last (CONTEXT beyond the run at most), so that a chunk within a passage may vote
+for another place. Stretches of equal bytes, cut back to words that are whole in both documents, are passages if they have
+``min_words`` words: each stands in one piece in its ``first_doc_id``. Passages within others aren't reported.
 
 Before the shuffle by digest a slice of texts keeps one document's rows of each digest; the others' rows, known to be
 repeated, bypass it (they are dealt by their own place). So a chunk that many documents share sends a row for each
@@ -28,8 +30,8 @@ from .common import Scratch, U64, byte_values, slices, span_hash, tidy, utf8
 from .near_dedup import packed_texts
 
 RATE, QUIET, WINDOW, MOST = 24, 7, 16, 96
-#: Bytes that a run of whole chunks must cover to be looked at, and bytes it is carried on at most to either side.
-LEAST_RUN, CONTEXT = 64, 256
+#: Bytes that a run of whole chunks must cover to be looked at, and bytes compared beyond a run and beyond votes.
+LEAST_RUN, CONTEXT, REACH = 64, 256, 512
 MIN_WORDS = 50
 
 _GEAR = np.random.RandomState(31).randint(0, 1 << 32, 256, np.int64).astype(np.uint32)
@@ -113,123 +115,138 @@ def _repeated(batches):
         yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(4), pa.array(ref_doc), pa.array(ref_pos)], names=["doc", "pos", "len", "ref_doc", "ref_pos"]).filter(pa.array(keep))
 
 
-_RUN = "doc long, start int, end int, left_doc long, left_pos int, right_doc long, right_pos int"
+_PLACE = "doc long, start int, end int, ref_doc long, ref_start int"
+_BLANK = b" \t\n\x0b\x0c\r"
+
+
+def _batch(columns, spec: str) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, kinds = zip(*(x.split() for x in spec.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(columns or [()] * len(names), kinds)], names=names)
 
 
-def _runs(batches):
-    """Rows sorted by (doc, pos) -> runs of neighbouring chunks that cover LEAST_RUN bytes."""
+def _places(batches):
+    """Rows sorted by (doc, pos) -> the places that runs of neighbouring chunks of LEAST_RUN bytes vote for."""
     held = None
 
-    def out(rows):
-        full = [r for r in rows if r[2] - r[1] >= LEAST_RUN]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in full], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=[x.split()[0] for x in _RUN.split(", ")])
+    def out(doc, pos, size, ref, place):
+        end, shift = pos + size, place - pos
+        run = np.cumsum(np.concatenate(([False], (doc[1:] != doc[:-1]) | (pos[1:] > end[:-1]))))
+        first, last = np.searchsorted(run, np.arange(run[-1] + 1)), np.searchsorted(run, np.arange(run[-1] + 1), side="right") - 1
+        from_, to = pos[first], end[last]
+        long = np.flatnonzero((to - from_ >= LEAST_RUN)[run])
+        if not len(long):
+            return _batch(None, _PLACE)
+        order = long[np.lexsort((pos[long], shift[long], ref[long], run[long]))]
+        r, d, s = run[order], ref[order], shift[order]
+        new = np.concatenate(([True], (r[1:] != r[:-1]) | (d[1:] != d[:-1]) | (s[1:] != s[:-1])))
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(order)) - 1
+        start = np.maximum(pos[order[a]] - REACH, from_[r[a]] - CONTEXT)
+        start = np.maximum(start, np.maximum(0, -s[a]))  # both texts begin at 0
+        stop = np.minimum(end[order[b]] + REACH, to[r[a]] + CONTEXT)
+        return _batch((doc[order[a]], start.astype(np.int32), stop.astype(np.int32), d[a], (start + s[a]).astype(np.int32)), _PLACE)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        doc, pos, size, ref, place = (batch.column(i).to_numpy().astype(np.int64) for i in range(5))
-        end = pos + size
-        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (pos[1:] > end[:-1])))
-        a = np.flatnonzero(new)
-        b = np.append(a[1:], len(doc)) - 1
-        rows = list(map(list, zip(doc[a].tolist(), pos[a].tolist(), end[b].tolist(), ref[a].tolist(), place[a].tolist(), ref[b].tolist(), (place[b] + size[b]).tolist())))
+        t = [batch.column(i).to_numpy().astype(np.int64) for i in range(5)]
         if held is not None:
-            if held[0] == rows[0][0] and rows[0][1] <= held[2]:
-                rows[0] = [*held[:2], max(held[2], rows[0][2]), *held[3:5], *rows[0][5:]]
-            else:
-                rows.insert(0, held)
-        held = rows.pop()
-        yield out(rows)
+            t = [np.concatenate(x) for x in zip(held, t)]
+        ends = t[1] + t[2]
+        breaks = np.flatnonzero((t[0][1:] != t[0][:-1]) | (t[1][1:] > ends[:-1])) + 1
+        cut = int(breaks[-1]) if len(breaks) else 0
+        held = [x[cut:] for x in t]
+        if cut:
+            yield out(*(x[:cut] for x in t))
     if held is not None:
-        yield out([held])
+        yield out(*held)
 
 
-_SEEN = "kind int, doc long, start int, end int, left_doc long, left_pos int, right_doc long, right_pos int, words int, left binary, right binary"
-_BLANK = b" \t\n\x0b\x0c\r"
+_SEEN = "kind int, doc long, start int, end int, ref_doc long, ref_start int, ref_end int, bytes binary"
 
 
 def _contexts(batches):
-    """(doc, packed, wants) -> kind 0: runs with their words and surroundings; kind 1 and 2: what others ask for, the
-    bytes before and from a place."""
+    """(doc, packed, wants) -> the bytes of places, one more on either side: kind 0 the document's own, kind 1 those that
+    others are held against."""
     expand = zstandard.ZstdDecompressor()
-    names = [x.split()[0] for x in _SEEN.split(", ")]
-    types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
     for batch in batches:
         rows = []
         for doc, packed, wants in zip(*(batch.column(i).to_pylist() for i in range(3))):
             text = expand.decompress(packed)
             for w in wants:
-                kind, a, b = w["kind"], w["start"], w["end"]
-                if kind == 1:
-                    rows.append((1, doc, a, None, None, None, None, None, None, text[max(0, a - CONTEXT) : a], None))
-                elif kind == 2:
-                    rows.append((2, doc, a, None, None, None, None, None, None, None, text[a : a + CONTEXT]))
+                a, b = w["start"], w["end"]
+                # a blank stands for the start and the end of the text
+                piece = (text[a - 1 : a] if a else b"") or b" "
+                piece += text[a:b] + (text[b : b + 1] or b" ")
+                if w["kind"]:
+                    rows.append((1, None, None, None, doc, a, b, piece))
                 else:
-                    s, e = a, b  # inwards to whole words
-                    while s < e and s > 0 and text[s - 1] not in _BLANK:
-                        s += 1
-                    while s < e and text[s] in _BLANK:
-                        s += 1
-                    while e > s and e < len(text) and text[e] not in _BLANK:
-                        e -= 1
-                    while e > s and text[e - 1] in _BLANK:
-                        e -= 1
-                    first = max(0, a - CONTEXT)
-                    # a blank stands for the start and the end of the text
-                    left = (b" " if first == 0 else b"") + text[first:s]
-                    right = text[e : b + CONTEXT] + (b" " if b + CONTEXT >= len(text) else b"")
-                    rows.append((0, doc, s, e, w["left_doc"], w["left_pos"], w["right_doc"], w["right_pos"], len(text[s:e].split()), text[a:s] + b"\0" + left, text[e:b] + b"\0" + right))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(types), types)], names=names)
+                    rows.append((0, doc, a, b, w["ref_doc"], w["ref_start"], w["ref_start"] + b - a, piece))
+        yield _batch(list(zip(*rows)), _SEEN)
+
+
+def passages(own: bytes, there: bytes, min_words: int) -> list[tuple[int, int, int]]:
+    """(start, end, words) of the passages of ``min_words`` whole words that stand at the same place of both pieces, which
+    have one byte more on either side."""
+    n = min(len(own), len(there)) - 2
+    if n < 2 * min_words - 1:
+        return []
+    same = np.frombuffer(own, np.uint8, n, 1) == np.frombuffer(there, np.uint8, n, 1)
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], same, [False]))))
+    out = []
+    for s, e in zip((edge[::2] + 1).tolist(), (edge[1::2] + 1).tolist()):
+        if e - s < 2 * min_words - 1:
+            continue
+        if own[s - 1] not in _BLANK or there[s - 1] not in _BLANK:
+            while s < e and own[s] not in _BLANK:
+                s += 1
+        if own[e] not in _BLANK or there[e] not in _BLANK:
+            while e > s and own[e - 1] not in _BLANK:
+                e -= 1
+        piece = own[s:e]
+        words = len(piece.split())
+        if words >= min_words:
+            out.append((s - 1 + len(piece) - len(piece.lstrip(_BLANK)), s - 1 + len(piece.rstrip(_BLANK)), words))
+    return out
 
 
 _PASSAGE = "doc_id long, start int, end int, n_words int, first_doc_id long"
 
 
-def _carried(min_words: int):
-    """Runs with the contexts of their outer chunks elsewhere -> passages of whole words that are long enough."""
-
-    def common(a: bytes, b: bytes) -> int:
-        n = min(len(a), len(b))
-        x, y = np.frombuffer(a, np.uint8, n), np.frombuffer(b, np.uint8, n)
-        differs = np.flatnonzero(x != y)
-        return int(differs[0]) if len(differs) else n
+def _compared(min_words: int):
+    """(doc, start, ref_doc, own bytes, the other's) -> passages."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, s, e, words, left, right, there_l, there_r, ref in zip(*(c.to_pylist() for c in batch.columns)):
-                head, left = left.split(b"\0", 1) if left.index(b"\0") == 0 else (left[: left.index(b"\0")], left[left.index(b"\0") + 1 :])
-                tail, right = right[: right.index(b"\0")], right[right.index(b"\0") + 1 :]
-                back = left[::-1]
-                n = common(back, (b" " + (there_l or b"") + head)[::-1] if len(there_l or b"") < CONTEXT else ((there_l or b"") + head)[::-1])
-                while n and n < len(back) and back[n - 1] not in _BLANK and back[n] not in _BLANK:
-                    n -= 1
-                more = back[:n][::-1].strip(_BLANK)
-                if more:
-                    s -= len(back[:n][::-1].lstrip(_BLANK))
-                    words += len(more.split())
-                other = tail + (there_r or b"")
-                n = common(right, other + b" " if len(there_r or b"") < CONTEXT else other)
-                while n and n < len(right) and right[n - 1] not in _BLANK and right[n] not in _BLANK:
-                    n -= 1
-                more = right[:n].strip(_BLANK)
-                if more:
-                    e += len(right[:n].rstrip(_BLANK))
-                    words += len(more.split())
-                if words >= min_words:
-                    rows.append((doc, s, e, words, ref))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], names=[x.split()[0] for x in _PASSAGE.split(", ")])
+            for doc, start, ref, own, there in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += [(doc, start + s, start + e, words, ref) for s, e, words in passages(own, there, min_words)]
+            yield _batch(list(zip(*rows)), _PASSAGE)
 
     return run
 
 
+def _outer(batches):
+    """Passages sorted by (doc_id, start, end descending, first_doc_id) -> those that lie within no other."""
+    last, reached = None, 0
+    for batch in batches:
+        keep = []
+        for doc, end in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            if doc != last:
+                last, reached = doc, 0
+            keep.append(end > reached)
+            reached = max(reached, end)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, start, end, n_words, first_doc_id): passages, in bytes of the UTF-8 text, that
-    a document of a smaller id has too; first_doc_id is one that has its first chunk."""
+    a document of a smaller id, first_doc_id, has too, in one piece."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    runs = (
+    places = (
         plain.where("text is not null")
         .mapInArrow(tidy(_chunks), _CHUNK)
         .repartition("route")
@@ -237,22 +254,20 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .mapInArrow(tidy(_repeated), _REPEATED)
         .repartition("doc")
         .sortWithinPartitions("doc", "pos")
-        .mapInArrow(tidy(_runs), _RUN)
+        .mapInArrow(tidy(_places), _PLACE)
     )
-    runs = scratch.save(runs)
-    nothing = F.lit(None)
-    want = lambda kind, doc, at: runs.select(F.col(doc).alias("doc"), F.lit(kind).alias("kind"), F.col(at).alias("start"), nothing.cast("int").alias("end"), nothing.cast("long").alias("left_doc"), nothing.cast("int").alias("left_pos"), nothing.cast("long").alias("right_doc"), nothing.cast("int").alias("right_pos")).distinct()
-    asked = runs.select("doc", F.lit(0).alias("kind"), "start", "end", "left_doc", "left_pos", "right_doc", "right_pos").union(want(1, "left_doc", "left_pos")).union(want(2, "right_doc", "right_pos"))
-    wants = scratch.save(asked.groupBy("doc").agg(F.collect_list(F.struct("kind", "start", "end", "left_doc", "left_pos", "right_doc", "right_pos")).alias("wants")).withColumnRenamed("doc", "doc_id"))
+    places = scratch.save(places)
+    own = places.select("doc", F.lit(0).alias("kind"), "start", "end", "ref_doc", "ref_start")
+    asked = places.select(F.col("ref_doc").alias("doc"), F.lit(1).alias("kind"), F.col("ref_start").alias("start"), (F.col("ref_start") + F.col("end") - F.col("start")).alias("end"), F.lit(None).cast("long").alias("ref_doc"), F.lit(None).cast("int").alias("ref_start")).distinct()
+    wants = scratch.save(own.union(asked).groupBy("doc").agg(F.collect_list(F.struct("kind", "start", "end", "ref_doc", "ref_start")).alias("wants")).withColumnRenamed("doc", "doc_id"))
     seen = scratch.save(packed_texts(plain).join(wants, "doc_id").select("doc_id", "packed", "wants").mapInArrow(tidy(_contexts), _SEEN))
-    mine = seen.where("kind = 0").select("doc", "start", "end", "left_doc", "left_pos", "right_doc", "right_pos", "words", "left", "right")
-    before = seen.where("kind = 1").select(F.col("doc").alias("left_doc"), F.col("start").alias("left_pos"), F.col("left").alias("there_l")).dropDuplicates(["left_doc", "left_pos"])
-    after = seen.where("kind = 2").select(F.col("doc").alias("right_doc"), F.col("start").alias("right_pos"), F.col("right").alias("there_r")).dropDuplicates(["right_doc", "right_pos"])
-    before, after = scratch.save(before), scratch.save(after)
-    both = mine.join(before, ["left_doc", "left_pos"]).join(after, ["right_doc", "right_pos"])
-    out = both.select("doc", "start", "end", "words", "left", "right", "there_l", "there_r", F.col("left_doc").alias("ref")).mapInArrow(tidy(_carried(min_words)), _PASSAGE)
+    key = ["ref_doc", "ref_start", "ref_end"]
+    there = seen.where("kind = 1").select(*key, F.col("bytes").alias("there"))
+    both = seen.where("kind = 0").select("doc", "start", *key, "bytes").join(there, key)
+    out = both.select("doc", "start", "ref_doc", "bytes", "there").mapInArrow(tidy(_compared(min_words)), _PASSAGE)
+    out = out.repartition("doc_id").sortWithinPartitions("doc_id", "start", F.desc("end"), "first_doc_id").mapInArrow(tidy(_outer), _PASSAGE)
     found = scratch.save(out)
-    scratch.drop(runs, wants, seen, before, after)
+    scratch.drop(places, wants, seen)
     return found
 
 

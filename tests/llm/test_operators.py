@@ -257,6 +257,27 @@ def test_repeated_passages(spark):
     assert without_repeats(df).columns == df.columns and repeated_passages(df.where("false")).count() == 0
 
 
+def repeat_rows():
+    """Passages of 50 to 55 words in pairs of documents, of which outer and inner words stand in smaller documents too."""
+    own = lambda s, n: [f"{random.Random(s * 10_000 + i).choice(WORDS)}{random.Random(s * 777 + i).randrange(10**5)}" for i in range(n)]
+    rows = []
+    for p in range(60):
+        passage, at = own(5000 + p, 50 + p % 6), p % 40
+        for k, part in enumerate((passage[:9], passage[-9:], passage[at : at + 9])):  # chunks of these vote for others
+            rows.append((10 * p + k, " ".join(own(6000 + 10 * p + k, 30) + part + own(7000 + 10 * p + k, 30))))
+        for k in (5, 6):
+            rows.append((10 * p + k, " ".join(own(8000 + 10 * p + k, 40) + passage + own(9000 + 10 * p + k, 40))))
+    return rows
+
+
+def test_repeated_passages_whose_ends_stand_elsewhere(spark):
+    from editlens.llm.substring_dedup import repeated_passages
+
+    rows = repeat_rows()
+    got = {(x.doc_id, x.n_words, x.first_doc_id) for x in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert got == {(10 * p + 6, 50 + p % 6, 10 * p + 5) for p in range(60)}
+
+
 def test_decontamination(spark):
     from editlens.llm.decontaminate import overlaps, without_contaminated
 
