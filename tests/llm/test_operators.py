@@ -278,6 +278,18 @@ def test_repeated_passages_whose_ends_stand_elsewhere(spark):
     assert got == {(10 * p + 6, 50 + p % 6, 10 * p + 5) for p in range(60)}
 
 
+def test_no_passage_of_pieces_of_several_documents(spark):
+    from editlens.llm.substring_dedup import repeated_passages
+
+    own = lambda s, n: [f"{random.Random(s * 10_000 + i).choice(WORDS)}{random.Random(s * 777 + i).randrange(10**5)}" for i in range(n)]
+    rows = []
+    for i in range(20):
+        whole = own(3000 + i, 70)
+        for k, part in enumerate((whole[:42], whole[28:], whole)):  # every chunk of the last stands in one of the others
+            rows.append((10 * i + k, " ".join(own(3100 + 10 * i + k, 30) + part + own(4100 + 10 * i + k, 30))))
+    assert not repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+
+
 def test_decontamination(spark):
     from editlens.llm.decontaminate import overlaps, without_contaminated
 
