@@ -90,6 +90,15 @@ def test_near_duplicates_of_random_copies(spark):
     assert got == brute_components(rows, 2, 80)
 
 
+def test_sketches_of_small_sets_are_not_rejected():
+    from editlens.llm.near_dedup import REJECT, signatures, sketches
+
+    r = np.random.RandomState(5)
+    full = [r.randint(0, 1 << 63, 5, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(20_000)]
+    less, more = (sketches(signatures(x)).view(np.uint64) for x in ([f[:4] for f in full], full))  # exactly 80 %
+    assert (np.bitwise_count(less ^ more).sum(1) > REJECT).sum() <= 1
+
+
 def test_components_of_a_long_chain(spark, monkeypatch):
     from editlens.llm import components
     from editlens.llm.common import Scratch
