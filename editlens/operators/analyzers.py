@@ -1,7 +1,7 @@
 """The analyzers: statistics of operations, actions and features, each a table of its own.
 
-Inputs have ``ts``; where a result goes by time, ``period`` is the bucket that ``with_period`` adds. Columns that only some
-regions have (``region``) are kept as a grouping column where named. Pivots take their columns from the configuration
+Inputs have ``ts``; where a result goes by time, ``period`` is the bucket that ``with_period`` adds. Where rows have a
+``region``, every analyzer gives each region a result of its own, told by that column. Pivots take their columns from the configuration
 where they are given, so no job looks for them."""
 
 from __future__ import annotations
@@ -25,6 +25,11 @@ def with_period(rows: DataFrame, config: AnalysisConfig) -> DataFrame:
     return rows.withColumn("period", time_period("ts", config.temporal_resolution, config.start))
 
 
+def by_region(rows: DataFrame, *keys: str) -> list[str]:
+    """The keys, after the region where rows have one."""
+    return [*(c for c in ("region",) if c in rows.columns), *keys]
+
+
 def _count() -> Column:
     return F.count("*").alias("count")
 
@@ -35,6 +40,7 @@ def _slot(column: str) -> str:
 
 def _pivot(rows: DataFrame, keys: list[str], column: str, values: list[str] | None) -> DataFrame:
     """Counts of each value as columns; nothing counted is null."""
+    keys = by_region(rows, *keys)
     if values is None:
         return rows.groupBy(*keys).pivot(column).count()
     return rows.groupBy(*keys).agg(*(F.nullif(F.count_if(F.col(column) == v), F.lit(0)).alias(v) for v in values))
@@ -42,12 +48,12 @@ def _pivot(rows: DataFrame, keys: list[str], column: str, values: list[str] | No
 
 def operation_per_type(operations: DataFrame) -> DataFrame:
     """Operations of each type and period."""
-    return operations.groupBy("operation_type", "period").agg(_count())
+    return operations.groupBy(*by_region(operations, "operation_type", "period")).agg(_count())
 
 
 def action_per_type(actions: DataFrame) -> DataFrame:
     """Actions of each name and period."""
-    return actions.groupBy("action_name", "period").agg(_count())
+    return actions.groupBy(*by_region(actions, "action_name", "period")).agg(_count())
 
 
 def action_per_feature_type(actions: DataFrame, feature_types: list[str] | None = None) -> DataFrame:
@@ -58,14 +64,14 @@ def action_per_feature_type(actions: DataFrame, feature_types: list[str] | None
 def user_per_action(actions: DataFrame, names: list[str] | None = None, merge: bool = False) -> DataFrame:
     """Actions of each contributor and period, a column for each action name in order (or one for all)."""
     if merge:
-        return actions.groupBy("uid", "period").agg(F.count("*").alias("AC_UNDEFINED"))
+        return actions.groupBy(*by_region(actions, "uid", "period")).agg(F.count("*").alias("AC_UNDEFINED"))
     return _pivot(actions, ["uid", "period"], "action_name", sorted(set(names)) if names is not None else None)
 
 
 def user_per_operation(operations: DataFrame, merge: bool = False) -> DataFrame:
     """Operations of each contributor, type (or all as one) and period."""
     rows = operations.withColumn("operation_type", F.lit("OP_UNDEFINED")) if merge else operations
-    return rows.groupBy("uid", "operation_type", "period").agg(_count())
+    return rows.groupBy(*by_region(rows, "uid", "operation_type", "period")).agg(_count())
 
 
 def user_per_tags(operations: DataFrame, tag_key: str = "") -> DataFrame:
@@ -76,7 +82,7 @@ def user_per_tags(operations: DataFrame, tag_key: str = "") -> DataFrame:
     slot = lambda g: F.nullif(F.count_if(g), F.lit(0))
     line, relation = F.col("geometry_type") == "LINE", F.col("geometry_type") == "RELATION"
     named = rows.withColumn("tag", geo.clean_text(F.col("value" if tag_key else "key")))
-    return named.groupBy("operation_type", "uid", "tag").agg(slot(~line & ~relation).alias("n"), slot(line).alias("w"), slot(relation).alias("r"))
+    return named.groupBy(*by_region(named, "operation_type", "uid", "tag")).agg(slot(~line & ~relation).alias("n"), slot(line).alias("w"), slot(relation).alias("r"))
 
 
 def tags(operations: DataFrame, tag_key: str = "", strict: bool = False) -> DataFrame:
@@ -87,14 +93,20 @@ def tags(operations: DataFrame, tag_key: str = "", strict: bool = False) -> Data
     if not strict:
         rows = rows.where(F.col("operation_type").isin(*TAG_EDITS))
     rows = rows.withColumn("tag", F.col("value" if tag_key else "key"))
-    return rows.groupBy("period", "tag").agg(*(F.nullif(F.count_if(F.col("operation_type") == t), F.lit(0)).alias(n) for t, n in zip(TAG_EDITS, ("added", "modified", "removed"))))
+    return rows.groupBy(*by_region(rows, "period", "tag")).agg(*(F.nullif(F.count_if(F.col("operation_type") == t), F.lit(0)).alias(n) for t, n in zip(TAG_EDITS, ("added", "modified", "removed"))))
 
 
 def hour_of_day(actions: DataFrame, all_users: DataFrame | None = None) -> DataFrame:
     """Actions of each contributor in the quarters of the day (UTC); ``all_users`` (uid) adds empty rows for others."""
     quarter = F.floor(F.hour("ts") / 6)
-    out = actions.groupBy("uid").agg(*(F.nullif(F.count_if(quarter == i), F.lit(0)).alias(n) for i, n in enumerate(("h00_06", "h06_12", "h12_18", "h18_00"))))
-    return out if all_users is None else all_users.select("uid").distinct().join(out, "uid", "left")
+    keys = by_region(actions, "uid")
+    out = actions.groupBy(*keys).agg(*(F.nullif(F.count_if(quarter == i), F.lit(0)).alias(n) for i, n in enumerate(("h00_06", "h06_12", "h12_18", "h18_00"))))
+    if all_users is None:
+        return out
+    users = all_users.select("uid").distinct()
+    if len(keys) > 1:
+        users = actions.select("region").distinct().crossJoin(users)
+    return users.join(out, keys, "left")
 
 
 def geometry_type(actions: DataFrame, feature_types: list[str] | None = None) -> DataFrame:
@@ -103,11 +115,11 @@ def geometry_type(actions: DataFrame, feature_types: list[str] | None = None) ->
 
 
 def action_details(actions: DataFrame, include_operations: bool = True) -> DataFrame:
-    """A row for each action, or each of its operations, with a running number of the action.
+    """A row for each action, or each of its operations, with a running number of the action (within its region).
 
     Numbers ascend with (geometry type, id, action); ids are counted in buckets of ID_BUCKET."""
     keyed = with_running_number(actions, [geometry_rank(), F.floor(F.col("oid") / ID_BUCKET)], [F.col("oid"), F.col("action_no")], "action_id")
-    head = ["action_id", "oid", "geometry_type", "feature_type", "action_type"]
+    head = [*by_region(actions), "action_id", "oid", "geometry_type", "feature_type", "action_type"]
     fields = ("uid", "version", "ts", "changeset")
     if not include_operations:
         first = F.col("operations")[0]
@@ -117,23 +129,24 @@ def action_details(actions: DataFrame, include_operations: bool = True) -> DataF
 
 
 def with_running_number(rows: DataFrame, bucket: list[Column], order: list[Column], name: str) -> DataFrame:
-    """rows numbered 1, 2, ... by ``bucket`` and, within equal ones, ``order``.
+    """rows (of each region) numbered 1, 2, ... by ``bucket`` and, within equal ones, ``order``.
 
     Numbers within a bucket are moved by the sizes of the buckets before it; only these sizes, a row for each bucket, are
     put in order in one place. Nothing depends on how rows happen to be dealt, so a lost task gives the same numbers."""
     keys = [f"_b{i}" for i in range(len(bucket))]
     rows = rows.select("*", *(c.alias(k) for c, k in zip(bucket, keys)))
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size")).withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_n", within).join(sizes, keys).withColumn(name, F.col("_n") + F.col("_before")).drop("_n", "_before", *keys)
+    both = by_region(rows, *keys)
+    before = Window.partitionBy(*by_region(rows)).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*both).agg(F.count("*").alias("_size")).withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    within = F.row_number().over(Window.partitionBy(*both).orderBy(*order))
+    return rows.withColumn("_n", within).join(sizes, both).withColumn(name, F.col("_n") + F.col("_before")).drop("_n", "_before", *keys)
 
 
 def feature_stability(actions: DataFrame) -> DataFrame:
     """Features by the whole hours between their first and second action."""
-    times = actions.groupBy(*FEATURE).agg(F.min_by("ts", "action_no").alias("first"), F.slice(F.sort_array(F.collect_list(F.when(F.col("action_no") <= 1, F.struct("action_no", "ts")))), 2, 1).alias("second"))
+    times = actions.groupBy(*by_region(actions, *FEATURE)).agg(F.min_by("ts", "action_no").alias("first"), F.slice(F.sort_array(F.collect_list(F.when(F.col("action_no") <= 1, F.struct("action_no", "ts")))), 2, 1).alias("second"))
     wait = F.when(F.size("second") == 0, F.lit(NEVER_HOURS)).otherwise(F.expr("timestampdiff(HOUR, first, second[0].ts)"))
-    return times.groupBy(wait.alias("hours_until_edit")).agg(F.count("*").alias("feature_count"))
+    return times.groupBy(*by_region(times), wait.alias("hours_until_edit")).agg(F.count("*").alias("feature_count"))
 
 
 def update(actions: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -143,17 +156,17 @@ def update(actions: DataFrame, names: list[str] | None = None) -> DataFrame:
     if names is None:
         names = sorted(r[0] for r in actions.where("action_type = 'UPDATE'").select("action_name").distinct().collect())
     delta = F.count_if(of == "CREATE") - F.count_if(of == "DELETE")
-    return actions.groupBy("period").agg(delta.alias("feature_count_delta"), changed.alias("feature_count_updated"), *(F.nullif(F.count_if((of == "UPDATE") & (F.col("action_name") == n)), F.lit(0)).alias(n) for n in names))
+    return actions.groupBy(*by_region(actions, "period")).agg(delta.alias("feature_count_delta"), changed.alias("feature_count_updated"), *(F.nullif(F.count_if((of == "UPDATE") & (F.col("action_name") == n)), F.lit(0)).alias(n) for n in names))
 
 
 def update_geometry(operations: DataFrame, key: str = "version") -> DataFrame:
     """For each ``key``: nodes of ways, their changes of position, and the metres moved (in EPSG:31258)."""
     rows = operations.where("operation_type IN ('OP_ADD_NODE', 'OP_MODIFY_WAY_COORDINATE') AND lon IS NOT NULL")
-    w = Window.partitionBy(key, "ref_id").orderBy(geometry_rank(), "oid", "version", "ts", "seq")
+    w = Window.partitionBy(*by_region(operations, key, "ref_id")).orderBy(geometry_rank(), "oid", "version", "ts", "seq")
     moved = rows.withColumn("_at", geo.austria_gk_central("lon", "lat")).withColumn("_x", F.col("_at.x")).withColumn("_y", F.col("_at.y")).withColumn("_dx", F.col("_x") - F.lag("_x").over(w)).withColumn("_dy", F.col("_y") - F.lag("_y").over(w))
     step = F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))
-    nodes = moved.groupBy(key, "ref_id").agg(F.count_if(step > 0).alias("changes"), F.coalesce(F.sum(step), F.lit(0.0)).alias("metres"))
-    return nodes.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("node_count"), F.sum("changes").alias("update_count"), F.sum("metres").alias("coordinate_delta"))
+    nodes = moved.groupBy(*by_region(moved, key, "ref_id")).agg(F.count_if(step > 0).alias("changes"), F.coalesce(F.sum(step), F.lit(0.0)).alias("metres"))
+    return nodes.groupBy(*by_region(nodes), F.col(key).alias("id")).agg(F.count("*").alias("node_count"), F.sum("changes").alias("update_count"), F.sum("metres").alias("coordinate_delta"))
 
 
 def batch_general(actions: DataFrame, keys: tuple[str, ...] = ("feature_type", "period", "action_name")) -> DataFrame:

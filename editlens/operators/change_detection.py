@@ -106,14 +106,16 @@ _CHANGES = "geometry_type string, osm_id long, feature_type string, change_no in
 
 
 def change_detection(actions: DataFrame) -> DataFrame:
-    """actions -> changes in order by ``change_no`` within feature and feature type."""
-    schema = pa.schema([(n.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[n.split()[1]]) for n in _CHANGES.split(", ")])
+    """actions -> changes in order by ``change_no`` within (region, where there is that column,) feature and feature type."""
+    region = [c for c in ("region",) if c in actions.columns]
+    keys, spec = [*region, *FEATURE, "feature_type"], "".join(f"{c} string, " for c in region) + _CHANGES
+    schema = pa.schema([(n.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[n.split()[1]]) for n in spec.split(", ")])
 
     def run(batches):
         rows = []
-        for (kind, oid, feature_type), group in grouped_rows(batches, 3):
-            for n, (op, *rest) in enumerate(action_changes(feature_type, group)):
-                rows.append((kind, oid, feature_type, n, op["version"], op["changeset"], op["us"], *rest))
+        for key, group in grouped_rows(batches, len(keys)):
+            for n, (op, *rest) in enumerate(action_changes(key[-1], group)):
+                rows.append((*key, n, op["version"], op["changeset"], op["us"], *rest))
             if len(rows) >= 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                 rows = []
@@ -121,7 +123,7 @@ def change_detection(actions: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     ops = F.transform("operations", lambda o: F.struct(o["operation_type"].alias("operation_type"), o["version"].alias("version"), o["changeset"].alias("changeset"), F.unix_micros(o["ts"]).alias("us"), o["key"].alias("key"), o["value"].alias("value")))
-    rows = actions.where(F.col("feature_type").isin(*_BUILDINGS, "street")).select(*FEATURE, "feature_type", "action_no", "action_type", ops.alias("operations"), "geom_wkt")
-    rows = rows.repartition(*FEATURE, "feature_type").sortWithinPartitions(*FEATURE, "feature_type", "action_no")
-    out = rows.mapInArrow(run, _CHANGES)
+    rows = actions.where(F.col("feature_type").isin(*_BUILDINGS, "street")).select(*keys, "action_no", "action_type", ops.alias("operations"), "geom_wkt")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "action_no")
+    out = rows.mapInArrow(run, spec)
     return out.withColumn("ts", F.timestamp_micros("us")).drop("us")

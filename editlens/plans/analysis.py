@@ -34,7 +34,8 @@ def prepared_operations(operations: DataFrame, config: AnalysisConfig) -> tuple[
 
 
 def analyze(operations: DataFrame, config: AnalysisConfig) -> dict[str, DataFrame]:
-    """The results of all analyzers of the configuration; with regions, each has a column for them where it keeps one.
+    """The results of all analyzers of the configuration; with regions, each has a column
+    for them and gives each region what it gives that region alone.
 
     Actions are made once for each feature, however many regions it is in, and persisted, as most analyzers read them."""
     rows, hits = prepared_operations(operations, config)

@@ -217,6 +217,29 @@ def test_columns_of_geometry(spark):
     assert a < 13.0 and c > 13.1 and b < 46.0 and d > 46.1
 
 
+def test_every_analyzer_gives_each_region_what_it_gives_it_alone(spark):
+    from editlens.plans.analysis import analyze
+    from editlens.plans.config import Analyzer
+
+    rows = []
+    for i in range(12):  # three in each overlap
+        at = (i + 0.5, 0.5)
+        rows += [op("CREATE_NODE", i, hours=i, at=at, changeset=i), op("ADD_TAG", i, seq=1, hours=i, key="building", value="yes", changeset=i), op("MODIFY_TAG_VALUE", i, version=2, hours=i + 50, uid=2 + i % 2, key="building", value="shop", changeset=i + 100), op("MODIFY_COORDINATE", i, version=3, hours=i + 99, at=(i + 0.6, 0.5), changeset=i + 200)]
+        rows += [op("CREATE_WAY", i, "LINE", hours=i), op("ADD_TAG", i, "LINE", seq=1, hours=i, key="highway", value="path"), *(op("ADD_NODE", i, "LINE", version=v, seq=2 + p + v, hours=i + v, at=(i + 0.2 + 0.1 * p + 0.01 * v, 0.5), ref=1000 + p, pos=p) for v in (1, 2) for p in (0, 1))]
+    ops = frame(spark, *rows)
+    squares = [Region(f"r{n}", f"POLYGON (({a} 0, {b} 0, {b} 1, {a} 1, {a} 0))") for n, a, b in ((0, 0, 7), (1, 4, 12))]
+    names = ["OperationPerType", "ActionPerType", "ActionPerFeatureType", "UserPerAction", "UserPerOperation", "UserPerTags", "Tags", "HourOfDay", "GeometryType", "ActionDetails", "FeatureStability", "Update", "UpdateGeometry", "ChangeDetection", "BatchGeneral", "BatchContributor", "BatchUserActionType"]
+    config = default_config(analyzers=tuple(Analyzer(n, {"includeOperationDetails": "true"}) for n in names))
+    plain = lambda df: sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in df.collect())
+    together = analyze(ops, config.with_(regions=tuple(squares)))
+    for square in squares:
+        alone = analyze(ops, config.with_(regions=(square,)))
+        for n in names:
+            assert "region" in together[n].columns, n
+            assert plain(together[n].where(F.col("region") == square.label)) == plain(alone[n]), n
+    assert together["ActionPerType"].agg(F.sum("count")).first()[0] > 0 and together["ChangeDetection"].count() > 0
+
+
 def test_quadtree_and_regions(spark, tmp_path):
     from editlens.sources.tables import read_operations, read_quadrants, write_operations, write_quadtree
 
