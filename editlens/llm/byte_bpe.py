@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, flat_gather, ship, slices, span_hash, tidy, utf8
+from .common import byte_kinds, flat_gather, ship, slices, span_hash, tidy, utf8
 
 #: Different cuts that a worker remembers.
 CACHE = 250_000
@@ -95,7 +95,7 @@ class Coder:
             return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
         start = _cuts(data, offs)
         end = np.append(start[1:], n)
-        code, seen = pd.factorize(span_hash(data, start, end, byte_values("exact")[0]))
+        code, seen = pd.factorize(span_hash(data, start, end))
         if len(self.known) + len(seen) > CACHE:
             self.known.clear()
         first = np.full(len(seen), -1, np.int64)
@@ -127,7 +127,7 @@ def _spell(ids, offs, blob, at):
 
 def _cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Starts of the cuts: texts' starts, and blanks (ASCII white space) behind a character that isn't white space."""
-    blank = byte_values("exact")[1][data]
+    blank = byte_kinds("exact")[1][data]
     cut = blank.copy()
     cut[0] = False
     cut[1:] &= ~blank[:-1]

@@ -13,6 +13,7 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -108,9 +109,6 @@ def tidy(run):
 
 
 def _give_back() -> None:
-    global _POW, _INV
-    if len(_POW) > SLICE_BYTES:
-        _POW, _INV = np.ones(1, U64), np.ones(1, U64)
     pa.default_memory_pool().release_unused()
     libc = ctypes.util.find_library("c")
     if libc and hasattr(c := ctypes.CDLL(libc), "malloc_trim"):
@@ -153,24 +151,6 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES):
         start = end
 
 
-#: An odd multiplier (3 modulo 4, so that differences of its powers keep few factors of two).
-_R = 0x9E3779B97F4A7C1B | 3
-_POW = np.ones(1, U64)
-_INV = np.ones(1, U64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _INV
-    if len(_POW) < n:
-        size = max(n, SLICE_BYTES)
-        inverse = pow(_R, -1, 1 << 64)
-        factors = [np.full(size, r, U64) for r in (_R, inverse)]
-        for f in factors:
-            f[0] = 1
-        _POW, _INV = (np.cumprod(f, dtype=U64) for f in factors)
-    return _POW, _INV
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = h ^ (h >> U64(33))
@@ -182,15 +162,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(None)
-def byte_values(kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """A random 64-bit value for each byte, and which bytes part words.
+def byte_kinds(kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The byte that each byte counts as, and which bytes part words.
 
     ``ascii``: words are runs without space, tab, LF, VT, FF, CR; A-Z count as a-z.
     ``letters``: words are runs of letters, digits and bytes of 128 and more; A-Z count as a-z.
     ``exact``: as ``ascii``, with letter case."""
-    values = np.random.RandomState(20240607).randint(1, 1 << 62, 256, np.int64).astype(U64) * U64(2) + U64(1)
-    values = mix(values)
-    apart = np.zeros(256, bool)
+    counts_as, apart = np.arange(256, dtype=np.uint8), np.zeros(256, bool)
     if kind == "letters":
         apart[:128] = True
         for a, b in ((48, 58), (65, 91), (97, 123)):
@@ -198,15 +176,15 @@ def byte_values(kind: str) -> tuple[np.ndarray, np.ndarray]:
     else:
         apart[[32, 9, 10, 11, 12, 13]] = True
     if kind != "exact":
-        values[65:91] = values[97:123]
-    return values, apart
+        counts_as[65:91] = counts_as[97:123]
+    return counts_as, apart
 
 
 class Words:
     """64-bit hashes of the words of consecutive texts, where they start and end, and each text's first word."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, kind: str):
-        values, apart = byte_values(kind)
+        counts_as, apart = byte_kinds(kind)
         n = len(data)
         if n == 0:
             self.hash, self.start, self.end = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -221,24 +199,32 @@ class Words:
         begin[a] |= inside[a]
         stop[b] |= inside[b]
         self.start, self.end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-        self.hash = span_hash(data, self.start, self.end, values)
+        self.hash = span_hash(counts_as[data], self.start, self.end)
         self.first = np.searchsorted(self.start, offs)
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Hashes of non-empty spans of bytes; equal contents hash alike wherever they stand."""
-    power, inverse = _powers(len(data))
-    total = values[data]
-    total *= power[: len(data)]
-    np.cumsum(total, out=total)
-    h = total[end - 1]
-    later = start > 0
-    h[later] -= total[start[later] - 1]
-    h *= inverse[start]
-    return mix(h)
-
-
 _C = U64(0xD6E8FEB86659FD93)
+#: The lowest bytes that are left of eight, by their number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Longer spans are hashed one by one.
+_LONG = 256
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of non-empty spans of bytes; equal contents hash alike wherever they stand.
+
+    Eight bytes at a time go through ``mix``, which is no linear function of them, so that no family of texts collides."""
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    size = end - start
+    h = mix(size.astype(U64) * _C)
+    live, done = np.flatnonzero(size <= _LONG), 0
+    while len(live):
+        left = size[live] - done
+        h[live] = mix(h[live] * _C ^ eight[start[live] + done] & _LOW[np.minimum(left, 8)])
+        live, done = live[left > 8], done + 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    return h
 
 
 def chain(left: np.ndarray, right: np.ndarray) -> np.ndarray:

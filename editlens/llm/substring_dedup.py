@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, U64, byte_values, slices, span_hash, tidy, utf8
+from .common import Scratch, U64, slices, span_hash, tidy, utf8
 from .near_dedup import packed_texts
 
 RATE, QUIET, WINDOW, MOST = 24, 7, 16, 96
@@ -74,7 +74,7 @@ def _chunks(batches):
             end = chunk_ends(data, offs)
             start = np.concatenate(([0], end[:-1]))
             row = np.searchsorted(offs, start, side="right") - 1
-            digest = span_hash(data, start, end, byte_values("exact")[0]).view(np.int64)
+            digest = span_hash(data, start, end).view(np.int64)
             doc = part.column(0).to_numpy()[row]
             pos, size = (start - offs[row]).astype(np.int32), (end - start).astype(np.int32)
             order = np.lexsort((pos, doc, digest))
