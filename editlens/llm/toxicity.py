@@ -6,8 +6,9 @@ documents, those of the smallest hashed doc_id; in FTRL-proximal every coordinat
 keeps most weights at zero, so that only the few others are broadcast.
 
 Results for odd rows: null and empty texts have no features and get the score of the bias; without any labelled row
-every score is 0; a null doc_id is scored like any other and isn't held out; of repeated labels the largest counts;
-other columns are not read."""
+every score is 0, and an empty table gives no rows; a null doc_id is scored like any other and isn't held out; of repeated
+labels the largest counts, of labelled documents that repeat an id the smallest text; texts are whole, however long; rows
+that repeat are scored alike; other columns are not read."""
 
 from __future__ import annotations
 
@@ -110,8 +111,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame):
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).select("doc_id", "y", F.xxhash64("doc_id").alias("place"))
     # at most MAX_LABELLED rows of three numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("text", "y", "place")
-    model = rows.mapInArrow(tidy(_rows), "ids array<int>, y int, place long").coalesce(1).mapInArrow(tidy(_train), MODEL).toPandas()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    # repeated documents count once, so that the one task that fits, behind a shuffle, reads no more than these rows
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y", F.xxhash64("doc_id").alias("place"))
+    model = rows.mapInArrow(tidy(_rows), "ids array<int>, y int, place long").repartition(1).mapInArrow(tidy(_train), MODEL).toPandas()
     if not len(model):
         return None
     w = model[model.kind == 0]
