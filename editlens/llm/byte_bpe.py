@@ -1,14 +1,20 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 A rank file becomes a vocabulary and merges in the characters of the byte table (every byte has a printable
-character): each split of a token into two known ones is a merge, in the order of the tokens' ranks. Texts are cut at
-blanks that follow other characters, where no match of the pattern can span; each different cut is encoded once a
-batch by the library, with a bounded cache for a worker, and checked against the rank rule by the tiktoken library.
+character). By the rank rule (of all neighbours that form a token, those of the smallest rank merge first, the leftmost of
+equals) a token always comes from the same two parts, whatever stands around it: until it is whole, no merge crosses its
+ends, and those within it go on as if it stood alone. So one merge for each token, in the order of ranks, makes the library
+give the ids of the rank rule.
+
+Texts are cut at blanks that follow other characters, where no match of the pattern can span. Different cuts (hashed, then
+compared byte by byte) are put together to long texts, which the library splits by the pattern and encodes; the byte offsets
+of its tokens give each cut its ids, and a worker remembers a bounded number of them by their bytes.
 Decoding maps ids back through the reversed byte table by offsets; characters split over tokens come together in the
 bytes, and ``decode_texts`` replaces only bytes that form no character.
 
-Results for odd rows: a null or empty text has no ids and decodes to no bytes. Other columns stay as they are, unless
-they have the names of the output."""
+Results for odd rows: a null or empty text has no ids and decodes to no bytes; an empty table gives no rows; texts are
+whole, however long; rows that repeat, and ties in doc_id, are encoded alike, each for itself; a null doc_id stays null.
+Other columns stay as they are, unless they have the names of the output."""
 
 from __future__ import annotations
 
@@ -27,6 +33,10 @@ from .common import byte_kinds, flat_gather, ship, slices, span_hash, tidy, utf8
 
 #: Different cuts that a worker remembers.
 CACHE = 250_000
+#: Bytes of cuts that are encoded together.
+_TOGETHER = 1 << 14
+_NEVER = 1 << 62
+_BLANKS = b" \t\n\x0b\x0c\r"
 
 
 @functools.lru_cache(1)
@@ -62,30 +72,66 @@ class Speller:
         return _spell(ids, offs, self.digit_bytes, self.digit_at)
 
 
+def last_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
+    """The two parts that the rank rule merges to this token; None if it doesn't come to it."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    if any(p not in ranks for p in parts):
+        return None
+    while len(parts) > 2:
+        found = [ranks.get(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
+        least = min(found)
+        if least == _NEVER:
+            return None
+        i = found.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return tuple(parts) if len(parts) == 2 else None
+
+
 class Coder:
     """Encodes by one rank file."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tiktoken
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         ranks = read_ranks(path)
         chars = byte_characters()
         name = {t: "".join(chars[b] for b in t) for t in ranks}
-        merges = [(name[t[:i]], name[t[i:]]) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        merges = [(name[m[0]], name[m[1]]) for t in sorted(ranks, key=ranks.get) if (m := last_merge(t, ranks))]
         self.model = Tokenizer(models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-        self.exact = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[int, np.ndarray] = {}
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), level])
+        self.size = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+        for t, r in ranks.items():
+            self.size[r] = len(t)
+        self.known: dict[bytes, np.ndarray] = {}
 
     def _new(self, cuts: list[bytes]) -> list[np.ndarray]:
-        out = []
-        for at in range(0, len(cuts), 2048):  # the library's results are large
-            texts = [c.decode("utf-8") for c in cuts[at : at + 2048]]
-            for t, e in zip(texts, self.model.encode_batch_fast(texts, add_special_tokens=False)):
-                right = self.exact.encode_ordinary(t)  # equal ranks may merge in another order
-                out.append(np.array(e.ids if e.ids == right else right, np.int32))
+        """Ids of different cuts."""
+        out: list = [None] * len(cuts)
+        groups, group, size = [], [], 0
+        for i, c in enumerate(cuts):
+            if c[0] not in _BLANKS or c[-1] in _BLANKS or c[-1] >= 0x80 and c[-3:].decode("utf-8", "ignore")[-1:].isspace():
+                groups.append([i])  # it can't be told from what would stand before or behind it
+            else:
+                group.append(i)
+                size += len(c)
+                if size > _TOGETHER:
+                    groups.append(group)
+                    group, size = [], 0
+        groups += [group] if group else []
+        for at in range(0, len(groups), 64):  # the library's results are large
+            part = groups[at : at + 64]
+            texts = [b"".join(cuts[i] for i in g) for g in part]
+            for g, t, e in zip(part, texts, self.model.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)):
+                ids = np.array(e.ids, np.int32)
+                ends = np.cumsum(self.size[ids])
+                wanted = np.cumsum([len(cuts[i]) for i in g])
+                upto = np.searchsorted(ends, wanted)
+                if not len(ends) or (ends[upto] != wanted).any():
+                    raise ValueError("the library's tokens don't end where the cuts do")
+                for i, a, b in zip(g, [0, *(upto[:-1] + 1)], upto + 1):
+                    out[i] = ids[a:b]
         return out
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,17 +140,21 @@ class Coder:
         if not n:
             return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
         start = _cuts(data, offs)
-        end = np.append(start[1:], n)
-        code, seen = pd.factorize(span_hash(data, start, end))
-        if len(self.known) + len(seen) > CACHE:
-            self.known.clear()
+        size = np.diff(np.append(start, n))
+        raw = data.tobytes()
+        code, seen = pd.factorize(span_hash(data, start, start + size))
         first = np.full(len(seen), -1, np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
-        raw = data.tobytes()
-        keys = seen.tolist()
-        fresh = [i for i, k in enumerate(keys) if k not in self.known]
-        for i, ids in zip(fresh, self._new([raw[start[first[i]] : end[first[i]]] for i in fresh])):
-            self.known[keys[i]] = ids
+        like = first[code]
+        if (size != size[like]).any() or (data != data[flat_gather(start[like], size)]).any():  # a hash stands for two cuts
+            code, seen = pd.factorize(np.array([raw[a : a + k] for a, k in zip(start.tolist(), size.tolist())], object))
+            first = np.full(len(seen), -1, np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+        keys = [raw[a : a + k] for a, k in zip(start[first].tolist(), size[first].tolist())]
+        if len(self.known) + len(keys) > CACHE:
+            self.known.clear()
+        fresh = [k for k in keys if k not in self.known]
+        self.known.update(zip(fresh, self._new(fresh)))
         each = [self.known[k] for k in keys]
         sizes = np.array([len(x) for x in each])
         flat = np.concatenate(each)
