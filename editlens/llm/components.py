@@ -62,7 +62,7 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
         return _with_roots(edges)
     mark = None
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if now == mark:
             return _with_roots(edges)
         mark = now

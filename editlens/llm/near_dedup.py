@@ -5,18 +5,28 @@ sets of similarity s differ in each position with probability 1 - s. The signatu
 positions; if two signatures differ in at most T = CHUNKS * (ERRORS + 1) - 1 positions, then by the pigeonhole
 principle some chunk has at most ERRORS differences, so leaving out each choice of ERRORS of its positions and matching
 the rest finds the pair. With 14 chunks of 6 and one error T is 27 of 84, and a pair of similarity 0.8 shares no key at
-all with probability 0.345 ** 14 = 3e-7. One bit of each of all MINIMA minima, mixed, is a sketch that travels with the keys: of
-128 bits 12.8 differ on average at similarity 0.8, and pairs with more than REJECT (5 standard deviations more) differing bits
-are left out.
+all with probability 0.345 ** 14 = 3e-7; more similar pairs are lost less. One mixed bit of each of all MINIMA minima is a sketch
+that travels with the keys: of 128 bits 12.8 differ on average at similarity 0.8, and more than REJECT with probability 2e-9. Only
+such pairs aren't candidates.
 
 No pairs are emitted within a bucket of keys, only a forest of its members' close pairs. Its components over all buckets
-are clusters; each document's text goes to its cluster's tiles (pairs of blocks of at most about BLOCK documents), where
-full sets are compared through an inverted index, again only between documents that aren't linked yet, and a forest of
-the confirmed links comes out. Components of the links are the result.
+are clusters. Full sets are compared within clusters:
+
+* a cluster of up to BLOCK documents and BLOCK_SHINGLES shingles goes to one task, each text once, and an inverted index compares
+  documents that aren't linked yet;
+* in a larger one each document is first held against the smallest one of a bucket of its, then, where that leaves it in
+  another component, against the others that it is close to; each is one shuffle of as many texts as there are such pairs.
+  Documents of clusters that aren't one component by then are compared by prefixes: of two sets of that similarity, the
+  rarest fifth of the shingles (by their counts within the cluster) has one in common, so only documents of different components
+  that share a shingle there are held against each other. No pair of a cluster escapes that, and documents that
+  share only what is frequent in the cluster, as pages of one template do, make no pairs.
+
+Components of the links are the result.
 
 Results for odd rows: a null text counts as empty; a text without words has no shingles, is linked with nothing and
 kept; a row whose doc_id is null is linked with nothing, has a null component and is kept; rows that repeat a doc_id
-count as one document with all their sets. Other columns are not read, so clashing names do no harm."""
+count as one document with all their sets; texts are whole, however long; sets that tie with the threshold are linked; an empty
+table gives no rows. Other columns are not read, so clashing names do no harm."""
 
 from __future__ import annotations
 
@@ -24,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, U64, Words, chain, mix, shingles, slices, tidy, utf8
@@ -34,8 +44,10 @@ CHUNKS, WIDTH, ERRORS = 14, 6, 1
 K = CHUNKS * WIDTH
 MINIMA = 128
 THRESHOLD = CHUNKS * (ERRORS + 1) - 1
-REJECT = 30
-BLOCK = 512
+REJECT = 36
+BLOCK, BLOCK_SHINGLES = 512, 1 << 22
+#: Documents that a task holds against one.
+STAR = 512
 
 _RNG = np.random.RandomState(7)
 _A = (_RNG.randint(0, 1 << 31, MINIMA, np.int64) * 2 + 1).astype(np.uint32)
@@ -58,16 +70,22 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     flat = (np.concatenate(sets) >> U64(32)).astype(np.uint32)
     starts = np.cumsum(sizes) - sizes
     out = np.empty((len(sets), MINIMA), np.uint16)
+    h, high = np.empty_like(flat), np.empty_like(flat)
     for j in range(MINIMA):
-        out[:, j] = np.minimum.reduceat(flat * _A[j] + _B[j], starts).astype(np.uint16)
+        np.multiply(flat, _A[j], out=h)
+        h += _B[j]
+        # a linear function alone would order the few members of a small set alike for many j
+        np.right_shift(h, np.uint32(15), out=high)
+        h ^= high
+        h *= np.uint32(0x2C1B3C6D)
+        np.right_shift(h, np.uint32(12), out=high)
+        h ^= high
+        out[:, j] = np.minimum.reduceat(h, starts).astype(np.uint16)
     return out
 
 
 def sketches(minima: np.ndarray) -> np.ndarray:
-    """A bit of the mixed value of every minimum and its number, in two 64-bit values.
-
-    The lowest bits of the minima themselves are those of their shingles' hashes, the same for every minimum that a shingle
-    wins, so that one shingle more could turn a fifth of the bits at once."""
+    """A bit of the mixed value of every minimum and its number, in two 64-bit values."""
     bits = mix(minima.astype(U64) + _SKETCH_SALT) >> U64(63)
     return np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
 
@@ -175,8 +193,8 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(tidy(_pack), "doc_id long, packed binary")
 
 
-def tile_links(ids: list, sets: list[np.ndarray], block: list, lo: int, hi: int, percent: int) -> list[tuple[int, int]]:
-    """A forest of the links between documents of block lo and those of block hi (or within one block)."""
+def links_within(ids: list, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A forest of the links between documents, by an inverted index of their shingles."""
     n = len(ids)
     size = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
@@ -185,13 +203,10 @@ def tile_links(ids: list, sets: list[np.ndarray], block: list, lo: int, hi: int,
     owner = owner[order]
     values, first = np.unique(flat[order], return_index=True)
     end = np.append(first[1:], len(flat))
-    block = np.array(block)
     forest, out = Forest(), []
     root = np.arange(n)
     for i in range(n):
         others = root != root[i]
-        if lo != hi:
-            others &= block != block[i]
         if not others.any():
             continue
         at = np.searchsorted(values, sets[i])
@@ -205,31 +220,146 @@ def tile_links(ids: list, sets: list[np.ndarray], block: list, lo: int, hi: int,
     return out
 
 
-def _tiles(k: int, percent: int):
-    """Rows (cluster, lo, hi, block, id, packed) sorted by tile -> links (a, b)."""
+def unpacked_sets(packed: pa.Array, k: int):
+    """The shingle set of each compressed text, in order, about a megabyte of them at a time."""
+    expand = zstandard.ZstdDecompressor()
+    for part in slices(pa.record_batch([packed], ["packed"]), "packed", 1 << 19):
+        texts = pa.record_batch([pa.array([expand.decompress(x) for x in part.column(0).to_pylist()], pa.binary())], ["text"])
+        for _, sets in sets_of(texts, k):
+            yield from sets
+
+
+def _compare(k: int, percent: int):
+    """Rows (cluster, id, packed) sorted by cluster -> links (a, b)."""
+
+    def run(batches):
+        ids, sets, tag = [], [], None
+        for batch in batches:
+            out = []
+            for c, doc, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), unpacked_sets(batch.column(2), k)):
+                if c != tag:
+                    out += links_within(ids, sets, percent) if len(ids) > 1 else []
+                    ids, sets, tag = [], [], c
+                ids.append(doc)
+                sets.append(own)
+            yield _edges(out)
+        if len(ids) > 1:
+            yield _edges(links_within(ids, sets, percent))
+
+    return run
+
 
-    def finish(tag, rows):
-        expand = zstandard.ZstdDecompressor()
-        texts = pa.record_batch([pa.array([expand.decompress(r[2]) for r in rows], pa.binary())], ["text"])
-        sets = [s for _, part in sets_of(texts, k) for s in part]
-        return tile_links([r[1] for r in rows], sets, [r[0] for r in rows], tag[1], tag[2], percent)
+def _stars(k: int, percent: int):
+    """Rows (b, part, kind, id, packed) sorted so, b's own text first (kind 0) -> links of the others with b."""
 
     def run(batches):
-        held, tag = [], None
+        heads, tag = [], None
         for batch in batches:
             out = []
-            for c, lo, hi, block, doc, packed in zip(*(x.to_pylist() for x in batch.columns)):
-                if (c, lo, hi) != tag:
-                    out += finish(tag, held) if len(held) > 1 else []
-                    held, tag = [], (c, lo, hi)
-                held.append((block, doc, packed))
+            for b, part, kind, doc, own in zip(*(batch.column(i).to_pylist() for i in range(4)), unpacked_sets(batch.column(4), k)):
+                if (b, part) != tag:
+                    heads, tag = [], (b, part)
+                if kind == 0:
+                    heads.append(own)
+                    continue
+                for head in heads:
+                    both = len(np.intersect1d(own, head, assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(head) - both):
+                        out.append((doc, b))
+                        break
             yield _edges(out)
-        if len(held) > 1:
-            yield _edges(finish(tag, held))
 
     return run
 
 
+def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs(a, b) whose full sets, of texts(doc_id, packed), are similar enough. A document b of many pairs is dealt in
+    parts, each with its text."""
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    others = dealt.join(texts, F.col("a") == F.col("doc_id")).select("b", "part", F.lit(1).alias("kind"), F.col("a").alias("id"), "packed")
+    heads = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(texts, F.col("b") == F.col("doc_id"))
+    rows = others.unionByName(heads.select("b", "part", F.lit(0).alias("kind"), F.col("b").alias("id"), "packed"))
+    return rows.repartition("b", "part").sortWithinPartitions("b", "part", "kind", "id").mapInArrow(tidy(_stars(k, percent)), _EDGE)
+
+
+_SHINGLE = "cluster long, id long, component long, n int, own long, h long"
+
+
+def _shingled(k: int):
+    """(cluster, id, component, packed) -> a row for each shingle; ``own`` tells texts of one id apart."""
+
+    def run(batches):
+        for batch in batches:
+            for c, doc, component, own in zip(*(batch.column(i).to_pylist() for i in range(3)), unpacked_sets(batch.column(3), k)):
+                n = len(own)
+                columns = [np.full(n, x, np.int64) for x in (c, doc, component, np.bitwise_xor.reduce(own, initial=U64(0)).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns[:3], np.full(n, n, np.int32), columns[3], own.view(np.int64))], names=[x.split()[0] for x in _SHINGLE.split(", ")])
+
+    return run
+
+
+def _prefix_pairs(percent: int):
+    """Rows (cluster, h, n, id, component) sorted so -> pairs of different components whose sizes allow the similarity."""
+
+    def pairs(n, ids, component):
+        if (component == component[0]).all():
+            return
+        for i in range(1, len(ids)):
+            lo = int(np.searchsorted(n, -(-percent * int(n[i]) // 100)))
+            near = ids[lo:i][component[lo:i] != component[i]]
+            if len(near):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(near, ids[i])), pa.array(np.minimum(near, ids[i]))], names=["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = [batch.column(i).to_numpy() for i in range(5)]
+            if held is not None:
+                t = [np.concatenate(x) for x in zip(held, t)]
+            cut = np.flatnonzero(np.concatenate(([True], (t[0][1:] != t[0][:-1]) | (t[1][1:] != t[1][:-1]))))
+            held = [x[cut[-1] :] for x in t]
+            for a, b in zip(cut[:-1], cut[1:]):
+                if b - a > 1:
+                    yield from pairs(*(x[a:b] for x in t[2:]))
+        if held is not None and len(held[0]) > 1:
+            yield from pairs(*held[2:])
+
+    return run
+
+
+def links_of_large(plain: DataFrame, large: DataFrame, close: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links within clusters large(doc_id, cluster) that connect what is linked in them; close(a, b): candidate pairs."""
+    texts = scratch.save(packed_texts(plain).join(large.hint("merge"), "doc_id").select("doc_id", "cluster", "packed"))
+    ends = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    near = scratch.save(close.select(*ends).distinct().join(large.select(F.col("doc_id").alias("a")), "a", "left_semi"))
+
+    def component_of(links, name):
+        known = connected_components(links, scratch).withColumnRenamed("id", "doc_id")
+        return scratch.save(large.select("doc_id").join(known, "doc_id", "left").select(F.col("doc_id").alias(name), F.coalesce("component", "doc_id").alias(f"of_{name}")))
+
+    links = scratch.save(confirmed(near.groupBy("a").agg(F.min("b").alias("b")), texts, k, percent))
+    comp = component_of(links, "a")
+    open_ = near.join(comp, "a").join(comp.select(F.col("a").alias("b"), F.col("of_a").alias("of_b")), "b").where("of_a != of_b").select("a", "b")
+    links = scratch.save(links.union(confirmed(scratch.save(open_), texts, k, percent)))
+    comp = component_of(links, "doc_id").withColumnRenamed("of_doc_id", "component")
+    where = comp.join(large, "doc_id")
+    apart = where.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("cluster")
+    rest = where.join(apart, "cluster", "left_semi").select("doc_id", "component")
+    rows = scratch.save(texts.join(rest, "doc_id").select("cluster", F.col("doc_id").alias("id"), "component", "packed").mapInArrow(tidy(_shingled(k)), _SHINGLE))
+    counts = rows.groupBy("cluster", "h").agg(F.count("*").alias("count")).where("count > 1")
+    text = Window.partitionBy("cluster", "id", "own")
+    # shingles of one document only come first in a document's order: they are counted, not joined
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    place = F.row_number().over(text.orderBy("count", "h")) + F.col("n") - F.count("*").over(text)
+    first = rows.join(counts, ["cluster", "h"]).withColumn("place", place).where(F.col("place") <= prefix)
+    first = first.select("cluster", "h", "n", "id", "component").repartition("cluster", "h").sortWithinPartitions("cluster", "h", "n", "id")
+    pairs = scratch.save(first.mapInArrow(tidy(_prefix_pairs(percent)), _EDGE).distinct())
+    return scratch.save(links.union(confirmed(pairs, texts, k, percent)))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), one row for each row of docs.
 
@@ -241,23 +371,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     # classes of the same set; the smallest doc_id stands for each
     classes = scratch.save(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
-    members = scratch.save(usable.join(classes, ["d1", "d2"]).select("doc_id", "rep", *(F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("sig", "s1", "s2"))))
+    own = lambda *names: (F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in names)
+    members = scratch.save(usable.join(classes, ["d1", "d2"]).select("doc_id", "rep", *own("n_shingles", "sig", "s1", "s2")))
     keys = members.where("sig is not null").select(F.col("rep").alias("id"), "sig", "s1", "s2").mapInArrow(tidy(_keys), "key long, id long, s1 long, s2 long")
     close = scratch.save(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(tidy(_buckets), _EDGE).distinct())
-    clusters = scratch.save(connected_components(close, scratch))
-    sizes = scratch.save(clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    placed = scratch.save(clusters.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
-    tiles = (
+    clusters = scratch.save(connected_components(close, scratch).join(members.where("n_shingles is not null").groupBy("doc_id").agg(F.sum("n_shingles").alias("n")), F.col("id") == F.col("doc_id")).select("doc_id", F.col("component").alias("cluster"), "n"))
+    sizes = scratch.save(clusters.groupBy("cluster").agg(((F.count("*") > BLOCK) | (F.sum("n") > BLOCK_SHINGLES)).alias("large")))
+    placed = scratch.save(clusters.join(sizes, "cluster").select("doc_id", "cluster", "large"))
+    small = (
         packed_texts(plain)
-        .join(placed.hint("merge"), "doc_id")  # it grows with the documents: one plan at every size
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", F.col("doc_id").alias("id"), "packed")
-        .repartition("cluster", "lo", "hi")
-        .sortWithinPartitions("cluster", "lo", "hi", "id")
+        .join(placed.where("not large").select("doc_id", "cluster").hint("merge"), "doc_id")  # it grows with the documents: one plan at every size
+        .select("cluster", F.col("doc_id").alias("id"), "packed")
+        .repartition("cluster")
+        .sortWithinPartitions("cluster", "id")
     )
     # rows that repeat a doc_id bring several classes together
     same = members.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    links = scratch.save(tiles.mapInArrow(tidy(_tiles(k, percent)), _EDGE).union(same))
+    links = small.mapInArrow(tidy(_compare(k, percent)), _EDGE).union(same)
+    large = placed.where("large").select("doc_id", "cluster")
+    if not large.isEmpty():
+        links = links.union(links_of_large(plain, large, close, k, percent, scratch))
+    links = scratch.save(links)
     comp = scratch.save(connected_components(links, scratch))
     ends = scratch.save(
         members.select("doc_id", "rep").distinct().join(comp, F.col("doc_id") == F.col("id"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
@@ -269,8 +403,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with all their columns; of rows that repeat a doc_id one stays."""
+    """The rows of docs that near_duplicates keeps, with all their columns. Of rows that repeat a doc_id and its text the
+    one whose columns have the smallest hash stays; rows of one doc_id with different texts all stay."""
     kept = Scratch(docs.sparkSession).save(near_duplicates(docs, k, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct())
-    # rows of a doc_id are together after this join, so keeping one of them moves nothing more
-    known = docs.join(kept, docs.doc_id.cast("long") == kept._kept, "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null"))
+    known = docs.join(kept, docs.doc_id.cast("long") == kept._kept, "left_semi")
+    # rows of a doc_id are together after this join, so telling repeats moves nothing more
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind]  # maps have no hash
+    first = Window.partitionBy("doc_id").orderBy("_text_hash", "_row_hash")
+    marks = known.withColumn("_text_hash", F.xxhash64("text")).withColumn("_row_hash", F.xxhash64(*plain))
+    marks = marks.withColumn("_hash_before", F.lag("_text_hash").over(first))
+    return marks.where("_hash_before is null or _hash_before != _text_hash").select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -90,13 +90,40 @@ def test_near_duplicates_of_random_copies(spark):
     assert got == brute_components(rows, 2, 80)
 
 
-def test_sketches_of_small_sets_are_not_rejected():
-    from editlens.llm.near_dedup import REJECT, signatures, sketches
+@pytest.mark.parametrize("less, more", [(4, 5), (8, 10), (12, 15), (16, 20)])
+def test_no_pair_at_the_threshold_is_lost(less, more):
+    from editlens.llm.near_dedup import CHUNKS, ERRORS, K, REJECT, WIDTH, signatures, sketches
 
     r = np.random.RandomState(5)
-    full = [r.randint(0, 1 << 63, 5, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(20_000)]
-    less, more = (sketches(signatures(x)).view(np.uint64) for x in ([f[:4] for f in full], full))  # exactly 80 %
-    assert (np.bitwise_count(less ^ more).sum(1) > REJECT).sum() <= 1
+    full = [r.randint(0, 1 << 63, more, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(100_000)]
+    a, b = (signatures(x) for x in ([f[:less] for f in full], full))  # exactly 80 %
+    shared = (a[:, :K] != b[:, :K]).reshape(-1, CHUNKS, WIDTH).sum(2).min(1) <= ERRORS
+    far = np.bitwise_count(sketches(a).view(np.uint64) ^ sketches(b).view(np.uint64)).sum(1) > REJECT
+    assert (~shared | far).sum() == 0
+
+
+def test_near_duplicates_of_large_clusters(spark, monkeypatch):
+    """Clusters over BLOCK: close pairs first, prefixes for the rest, among copies, near copies and pages of one template."""
+    from editlens.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 6)
+    monkeypatch.setattr(near_dedup, "STAR", 5)
+    r = random.Random(14)
+    rows = []
+    for base in (text(2000, 120), text(2001, 25)):
+        n = len(base.split())
+        for _ in range(90):
+            w = base.split()
+            for _ in range(r.randrange(0, n // 5)):
+                w[r.randrange(n)] = f"w{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w), "en"))
+    template = text(2002, 70)
+    for i in range(60):
+        rows.append((len(rows), template + " " + text(3000 + i // 2, r.randrange(5, 40)), "en"))
+    rows += [(5, rows[100][1], "en"), (len(rows), rows[3][1], "en")]
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(frame(spark, rows), 2, 80).collect()}
+    assert got == brute_components(rows, 2, 80)
+    assert near_dedup.near_duplicates(frame(spark, []), 2, 80).count() == 0
 
 
 def test_components_of_a_long_chain(spark, monkeypatch):
