@@ -386,14 +386,62 @@ def test_decontamination_finds_every_run_of_four_fifths():
 
 
 def test_license_scan(spark):
-    from editlens.llm.licenses import TEMPLATES, license_scan
+    from editlens.llm.licenses import WORDINGS, license_scan
 
-    mit, gpl = TEMPLATES[2][1], TEMPLATES[5][1]
-    docs = [(1, "Start here. " + mit + " The end.", "en"), (2, mit.replace("free of charge", "without any fee").replace("merge, ", ""), "en"), (3, gpl.upper(), "en"), (4, "nothing to see", "en"), (5, None, "en"), (6, "", "en"), (7, "\n".join([TEMPLATES[0][1], "x y z", TEMPLATES[3][1]]), "en"), (8, " ".join(mit.split()[:20]), "en"), (None, TEMPLATES[0][1], "en")]
+    mit, gpl = WORDINGS[0][1].replace("{", "").replace("}", ""), "This work is licensed under the GNU General Public License, version 3."
+    short, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    docs = [(1, "Start here. " + mit + " The end.", "en"), (2, mit.replace("free of charge", "without any fee").replace("merge, ", ""), "en"), (3, gpl.upper(), "en"), (4, "nothing to see", "en"), (5, None, "en"), (6, "", "en"), (7, "\n".join([short, "x y z", apache]), "en"), (8, " ".join(mit.split()[:20]), "en"), (None, short, "en")]
+    docs += [(20, "Licensed under CC BY 4.0.", "en"), (21, "Licensed under CC BY-SA 4.0.", "en"), (22, "GNU General Public License, version 2.", "en"), (23, "Released under the BSD License.", "en"), (24, "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "en")]
+    docs += [(30, f"{short} {short}", "en"), (31, text(3, 20_000) + " " + " and ".join([short] * 4000), "en"), (30, f"{short} {short}", "en"), (32, "Licensed under CC BY-ND-SA 4.0.", "en")]
     got = license_scan(frame(spark, docs)).collect()
-    assert {(r.doc_id, r.license) for r in got} == {(1, "MIT"), (2, "MIT"), (3, "GPL-3.0"), (7, "MIT"), (7, "Apache-2.0"), (None, "MIT")}
+    count = {}
+    for r in got:
+        count[r.doc_id, r.license] = count.get((r.doc_id, r.license), 0) + 1
+    one = [(1, "MIT"), (2, "MIT"), (3, "GPL-3.0"), (7, "MIT"), (7, "Apache-2.0"), (None, "MIT"), (20, "CC-BY-4.0"), (21, "CC-BY-SA-4.0"), (22, "GPL-2.0"), (23, "BSD"), (24, "CC-BY-ND-4.0")]
+    assert count == {**{x: 1 for x in one}, (30, "MIT"): 4, (31, "MIT"): 4000}
     assert all(0.8 <= r.coverage <= 1 for r in got)
     assert next(r for r in got if r.doc_id == 1).span.startswith("permission is hereby")
+    assert license_scan(frame(spark, [])).count() == 0
+
+
+def test_license_templates_name_themselves():
+    from editlens.llm.licenses import TEMPLATES, Templates
+
+    index = Templates()
+    for name, wording in TEMPLATES:
+        found = [(x[1], x[2]) for x in index.search(pa.array(["Some words before. " + wording.replace("{", "").replace("}", "") + " And some behind."]), 0.8)]
+        assert [x[0] for x in found] == [name], wording
+
+
+def test_license_alignment_brute_force():
+    from editlens.llm.licenses import BAND, align
+
+    r = np.random.RandomState(11)
+    for _ in range(300):
+        template = r.randint(0, 30, r.randint(4, 40))
+        body = []
+        for w in template:  # a few words less, more or others, as few as the band has
+            x = r.rand()
+            body += [] if x < 0.08 else [99, w] if x < 0.16 else [98] if x < 0.24 else [w]
+        words = np.concatenate([r.randint(0, 30, r.randint(0, 20)), body, r.randint(0, 30, r.randint(0, 20))]).astype(np.int64)
+        places = [(i, j) for i in range(len(template)) for j in range(len(words)) if template[i] == words[j]]
+        if not places:
+            continue
+        i, j = places[r.randint(len(places))]
+
+        def best(a, b):  # all of the matrix that the band allows, cell by cell
+            s = np.full((len(a) + 1, len(b) + 1), -(10**6))
+            s[0, 0] = 0
+            for x in range(len(a) + 1):
+                for y in range(len(b) + 1):
+                    if abs(x - y) <= BAND and (x or y):
+                        s[x, y] = max(s[x - 1, y - 1] + (2 if a[x - 1] == b[y - 1] else -2) if x and y else -(10**6), s[x - 1, y] - 1 if x else -(10**6), s[x, y - 1] - 1 if y else -(10**6))
+            return s.max()
+
+        score, pairs = align(template, words, i, j)
+        assert score == best(template[i:], words[j:]) + best(template[:i][::-1], words[:j][::-1])
+        assert all(template[x] == words[y] for x, y in pairs)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:]))
 
 
 def test_pipeline_stages(spark, tmp_path, rows):
