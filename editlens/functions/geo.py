@@ -124,24 +124,50 @@ def distance(kind_a: str, a, kind_b: str, b) -> float:
     return min(min(to_segments(x, y).min(), to_segments(y, x).min()) for x in a for y in b)
 
 
-#: Places on a segment that are looked at, at most.
-SAMPLES = 64
+def _between(start, slope, least, most) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``least <= start + t * slope <= most``: from t to t (from inf to -inf where nowhere)."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a, b = (least - start) / slope, (most - start) / slope
+    flat = slope == 0
+    held = (start >= least) & (start <= most)
+    return np.where(flat, np.where(held, -np.inf, np.inf), np.minimum(a, b)), np.where(flat, np.where(held, np.inf, -np.inf), np.maximum(a, b))
 
 
 def within_buffer(line, other, radius: float) -> bool:
     """Whether all of a line is at most ``radius`` from another one.
 
-    Its corners, and places every half radius (or SAMPLES of them) on segments that the other doesn't have too: an
-    approximation of a buffer."""
+    What lies within ``radius`` of one segment is convex, two discs and a rectangle, so a segment of the line has one stretch there;
+    the stretches of all segments must cover it."""
     p, q = np.asarray(line, float), np.asarray(other, float)
     if (to_segments(p, q) > radius).any():
         return False
-    shared = {(*x, *y) for x, y in zip(q.tolist(), q[1:].tolist())}
-    for x, y in zip(p, p[1:]):
-        if (*x.tolist(), *y.tolist()) in shared or (*y.tolist(), *x.tolist()) in shared:
+    a, d = (q[:-1], np.diff(q, axis=0)) if len(q) > 1 else (q, np.zeros((1, 2)))
+    size = np.hypot(*d.T)
+    along = np.where(size[:, None] > 0, d / np.where(size > 0, size, 1)[:, None], [1.0, 0.0])
+    across = np.stack([-along[:, 1], along[:, 0]], 1)
+    for x, u in zip(p, np.diff(p, axis=0)):
+        square = float(u @ u)
+        if square == 0:
             continue
-        n = min(SAMPLES, max(2, math.ceil(float(np.hypot(*(y - x))) / (radius / 2))))
-        if (to_segments(x + (y - x) * (np.arange(1, n) / n)[:, None], q) > radius).any():
+        away = x - q
+        half, rest = away @ u, (away * away).sum(1) - radius * radius
+        root = half * half - square * rest
+        reach = np.sqrt(np.maximum(root, 0))
+        lo, hi = np.where(root >= 0, (-half - reach) / square, np.inf), np.where(root >= 0, (-half + reach) / square, -np.inf)
+        if len(q) > 1:
+            lo, hi = np.minimum(lo[:-1], lo[1:]), np.maximum(hi[:-1], hi[1:])
+            from_a = x - a
+            l1, h1 = _between((from_a * along).sum(1), along @ u, 0.0, size)
+            l2, h2 = _between((from_a * across).sum(1), across @ u, -radius, radius)
+            l3, h3 = np.maximum(l1, l2), np.minimum(h1, h2)
+            some = l3 <= h3
+            lo, hi = np.where(some, np.minimum(lo, l3), lo), np.where(some, np.maximum(hi, h3), hi)
+        covered = 0.0
+        for k in np.argsort(lo):
+            if lo[k] > covered + 1e-9:
+                break
+            covered = max(covered, float(hi[k]))
+        if covered < 1 - 1e-9:
             return False
     return True
 

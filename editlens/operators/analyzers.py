@@ -195,8 +195,10 @@ def progress(rows: DataFrame, name: str = "progress") -> DataFrame:
     return rows.observe(name, F.count("*").alias("operations"), F.approx_count_distinct(F.struct(*FEATURE)).alias("features"))
 
 
-def run_all(operations: DataFrame, actions: DataFrame, config: AnalysisConfig) -> dict[str, DataFrame]:
-    """The results of the analyzers named in the configuration, by name (with or without the prefix of older profiles)."""
+def run_all(operations: DataFrame, actions: DataFrame, config: AnalysisConfig, features: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The results of the analyzers named in the configuration, by name (with or without the prefix of older profiles).
+
+    ``features``: actions for the analyzers of whole features, where they aren't the same."""
     ops, acts = with_period(operations, config), with_period(actions, config)
     names, types = [a.name for a in config.actions], [t.name for t in config.feature_types]
     updates = [a.name for a in config.actions if a.action_type == "UPDATE"]
@@ -213,7 +215,7 @@ def run_all(operations: DataFrame, actions: DataFrame, config: AnalysisConfig) -
         "HourOfDay": lambda s: hour_of_day(acts),
         "GeometryType": lambda s: geometry_type(acts, types),
         "ActionDetails": lambda s: action_details(acts, s.get("includeOperationDetails") == "true"),
-        "FeatureStability": lambda s: feature_stability(acts),
+        "FeatureStability": lambda s: feature_stability(acts if features is None else features),
         "Update": lambda s: update(acts, updates),
         "UpdateGeometry": lambda s: update_geometry(ops),
         "ChangeDetection": lambda s: change_detection(acts),

@@ -56,12 +56,11 @@ def list_edits(old: list, new: list, first_is_new: bool) -> tuple[list[int], lis
                 there[item] -= 1
             else:
                 added.append(i)
-    gone = set(removed)
-    now = [x for i, x in enumerate(old) if i not in gone]
-    for i in added:
-        now.insert(i, new[i])
+    gone, fresh = set(removed), set(added)
+    kept = iter([x for i, x in enumerate(old) if i not in gone])
+    now = [new[i] if i in fresh else next(kept) for i in range(len(new))]
     moves = []
-    for to, wanted in enumerate(new):
+    for to, wanted in enumerate(new if now != new else ()):
         if to < len(now) and now[to] != wanted and wanted in now[to + 1 :]:
             at = now.index(wanted, to + 1)
             moves.append((at, to))
@@ -82,9 +81,9 @@ def member_edits(old, new) -> list[tuple]:
     """old, new: (element_type, id, role); a member's identity is its type and id."""
     same = lambda m: m[:2]
     removed, added, moves, now = list_edits([same(m) for m in old], [same(m) for m in new], False)
-    roles = [m[2] for i, m in enumerate(old) if i not in set(removed)]
-    for i in added:
-        roles.insert(i, new[i][2])
+    gone, fresh = set(removed), set(added)
+    kept = iter([m[2] for i, m in enumerate(old) if i not in gone])
+    roles = [new[i][2] if i in fresh else next(kept) for i in range(len(new))]
     for a, b in moves:
         roles.insert(b, roles.pop(a))
     out = [_edit("REMOVE_MEMBER", ref=0, position=i) for i in removed]
@@ -132,9 +131,10 @@ def tag_edits(old: Column, new: Column) -> Column:
     return F.concat(set_, gone)
 
 
-def version_diff(versions: DataFrame) -> DataFrame:
+def version_diff(versions: DataFrame, lists: bool = True) -> DataFrame:
     """element_versions -> operations. A missing earlier version counts as none; versions of an element are compared
-    in ascending order. Null lists count as empty, and null ``visible`` as visible."""
+    in ascending order. Null lists count as empty, and null ``visible`` as visible. Without ``lists`` nodes of ways and
+    members aren't compared, and nothing runs in Python."""
     w = Window.partitionBy("element_type", "id").orderBy("version", "ts")
     fields = ("visible", "tags", "lon", "lat", "nodes", "members")
     pairs = versions.withColumn("visible", F.coalesce("visible", F.lit(True))).withColumn("old", F.lag(F.struct(*fields)).over(w))
@@ -158,11 +158,12 @@ def version_diff(versions: DataFrame) -> DataFrame:
     )
     size, was = F.when(kind == "WAY", F.size(nodes)).otherwise(F.size(members)), F.when(kind == "WAY", F.size(was_nodes)).otherwise(F.size(was_members))
     both = F.when(kind == "NODE", False).otherwise((size > 0) & (was > 0) & ~F.when(kind == "WAY", nodes == was_nodes).otherwise(members == was_members))
-    pairs = pairs.withColumn("_both", both)
-    list_part = F.when(kind == "NODE", _none()).when(F.col("_both"), F.col("_edits")).when((was == 0) & (size > 0), added).when((size == 0) & (was > 0), removed).otherwise(_none())
+    pairs = pairs.withColumn("_both", both & F.lit(lists))
+    list_part = _none() if not lists else F.when(kind == "NODE", _none()).when(F.col("_both"), F.col("_edits")).when((was == 0) & (size > 0), added).when((size == 0) & (was > 0), removed).otherwise(_none())
     way = (kind == "WAY") & F.col("_both")
     rel = (kind == "RELATION") & F.col("_both")
-    pairs = pairs.withColumn("_edits", _list_edits(F.when(way, was_nodes), F.when(way, nodes), F.when(rel, was_members), F.when(rel, members)))
+    if lists:
+        pairs = pairs.withColumn("_edits", _list_edits(F.when(way, was_nodes), F.when(way, nodes), F.when(rel, was_members), F.when(rel, members)))
     was_visible = F.coalesce(old("visible"), F.lit(True))
     delete = F.when(~F.col("visible") & (fresh | was_visible), F.array(_op(F.concat(F.lit("OP_DELETE_"), name)))).otherwise(_none())
     again = F.when(

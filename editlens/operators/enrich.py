@@ -28,11 +28,10 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: s
         F.col(key).alias("_key"), F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(None).cast(blank["_order"].dataType).alias("_order"), F.lit(None).cast(blank["_value"].dataType).alias("_value"), F.struct(*names).alias("_row")
     )
     w = Window.partitionBy("_key").orderBy("_ts", "_side", "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = r.unionByName(lft).withColumn("_found", F.last("_value", True).over(w))
+    found = r.unionByName(lft).withColumn("_found", F.last("_value", True).over(w)).where("_side = 1")
     if fallback:
-        first = F.min_by("_value", "_order").over(Window.partitionBy("_key"))
-        every = every.withColumn("_first", first).withColumn("_found", F.coalesce("_found", "_first"))
-    found = every.where("_side = 1")
+        first = r.groupBy("_key").agg(F.min_by("_value", "_order").alias("_first"))
+        found = found.join(first, "_key", "left").withColumn("_found", F.coalesce("_found", "_first"))
     got = F.when(F.col("_key").isNotNull(), F.col("_found"))
     return found.select(*(F.col("_row")[n].alias(n) for n in names if n not in values), *(got[v].alias(v) for v in values))
 
@@ -53,9 +52,11 @@ def way_coordinate_changes(operations: DataFrame, respect_removal: bool = False)
     moves = operations.where("operation_type = 'OP_MODIFY_COORDINATE'").select(F.col("oid").alias("node"), "uid", "ts", "changeset", "lon", "lat", F.col("seq").alias("move_seq"), F.col("version").alias("node_version"))
     ways = operations.where("geometry_type = 'LINE'")
     if respect_removal:
-        steps = ways.where("operation_type IN ('OP_ADD_NODE', 'OP_REMOVE_NODE')").select(F.col("oid").alias("way"), F.col("ref_id").alias("node"), F.col("ts").alias("at"), F.when(F.col("operation_type") == "OP_ADD_NODE", 1).otherwise(-1).alias("step"))
-        ids = ["way", "node", "uid", "ts", "changeset", "lon", "lat", "move_seq", "node_version"]
-        hit = moves.join(steps, "node").where("at <= ts").groupBy(*ids).agg(F.sum("step").alias("n")).where("n > 0").drop("n")
+        steps = ways.where("operation_type IN ('OP_ADD_NODE', 'OP_REMOVE_NODE')").select(F.col("oid").alias("way"), F.col("ref_id").alias("node"), "ts", F.when(F.col("operation_type") == "OP_ADD_NODE", 1).otherwise(-1).alias("step"))
+        # each move once for each way of its node; how often it is in there by then is a running sum, steps first
+        due = moves.join(steps.select("way", "node").distinct(), "node")
+        w = Window.partitionBy("way", "node").orderBy("ts", F.col("step").isNull()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        hit = due.withColumn("step", F.lit(None).cast("int")).unionByName(steps, allowMissingColumns=True).withColumn("n", F.sum("step").over(w)).where("step IS NULL AND n > 0").drop("n", "step")
     else:
         first = ways.where("operation_type = 'OP_ADD_NODE'").groupBy(F.col("oid").alias("way"), F.col("ref_id").alias("node")).agg(F.min("ts").alias("since"))
         hit = moves.join(first, "node").where("since <= ts").drop("since")

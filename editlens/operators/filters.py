@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.config import AnalysisConfig, FeatureType
@@ -65,21 +65,42 @@ def by_id_table(operations: DataFrame, ids: DataFrame) -> DataFrame:
     return operations.join(ids.select(*FEATURE).distinct(), FEATURE, "left_semi")
 
 
+def instant(rows: DataFrame, ts: datetime, column: str = "ts") -> Column:
+    """A time to hold ``column`` against: in UTC where that has no time zone."""
+    if dict(rows.dtypes)[column] == "timestamp_ntz":
+        return F.lit(str(ts.astimezone(timezone.utc).replace(tzinfo=None) if ts.tzinfo else ts)).cast("timestamp_ntz")
+    return F.lit(ts)
+
+
 def before(operations: DataFrame, ts: datetime | None) -> DataFrame:
     """Operations strictly before a time, as a reader does."""
-    return operations if ts is None else operations.where(F.col("ts") < F.lit(ts))
+    return operations if ts is None else operations.where(F.col("ts") < instant(operations, ts))
 
 
 def until(operations: DataFrame, ts: datetime | None) -> DataFrame:
     """Operations not after a time, as an importer does."""
-    return operations if ts is None else operations.where(F.col("ts") <= F.lit(ts))
+    return operations if ts is None else operations.where(F.col("ts") <= instant(operations, ts))
 
 
 def in_window(rows: DataFrame, start: datetime | None, end: datetime | None, ts: str = "ts") -> DataFrame:
     """Rows of actions or features whose (first) time is within the window, both ends included; None is open."""
     if start is not None:
-        rows = rows.where(F.col(ts) >= F.lit(start))
-    return rows if end is None else rows.where(F.col(ts) <= F.lit(end))
+        rows = rows.where(F.col(ts) >= instant(rows, start, ts))
+    return rows if end is None else rows.where(F.col(ts) <= instant(rows, end, ts))
+
+
+def features_in_window(actions: DataFrame, start: datetime | None, end: datetime | None) -> DataFrame:
+    """All actions of the features whose first action is within the window; later ones may lie outside it."""
+    if start is None and end is None:
+        return actions
+    first = Window.partitionBy(*FEATURE).orderBy("action_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return in_window(actions.withColumn("_first_ts", F.first("ts").over(first)), start, end, "_first_ts").drop("_first_ts")
+
+
+def only_properties(operations: DataFrame, feature_type: FeatureType) -> DataFrame:
+    """Operations without those on tags that aren't properties of the feature type."""
+    tagged = F.col("operation_type").isin(*TAG_SET, "OP_REMOVE_TAG")
+    return operations.where(~(tagged & ~F.col("key").isin(*feature_type.properties)))
 
 
 def without_untagged(operations: DataFrame) -> DataFrame:

@@ -13,8 +13,10 @@ from ..plans.config import AnalysisConfig, Region
 from .filters import FEATURE, bounding_boxes
 from .fold import assembled_features
 
-#: Regions that are held against features in one pass; more take several passes.
-REGIONS_AT_ONCE = 2_000
+#: A region's envelope spans at most about this many cells of its level in each direction.
+SPAN = 8
+#: Cells of level n are 360 / 2**n degrees wide and high.
+FINEST = 24
 LEAF_FEATURES, MAX_LEVEL = 100_000, 10
 
 
@@ -31,56 +33,89 @@ def region_table(spark: SparkSession, regions: list[Region]) -> DataFrame:
     return spark.createDataFrame(rows, "label string, wkt string, xmin double, ymin double, xmax double, ymax double")
 
 
-def _envelope_hits(regions: list[Region]) -> Column:
-    """Whether a box touches the envelope of any region."""
-    hit = F.lit(False)
-    for r in regions:
-        p = geo.parse_wkt(r.wkt)[1][0]
+def _level(size: float, cells: int) -> int:
+    """The finest level of whose cells a box of this width or height spans at most ``cells``."""
+    return FINEST if size <= 0 else max(0, min(FINEST, math.floor(math.log2(360.0 * cells / size))))
+
+
+def _cells(level: Column, lo: Column, hi: Column) -> Column:
+    """Numbers of the cells of a level from one coordinate to another."""
+    at = lambda c: F.floor((c + 180.0) * F.pow(F.lit(2.0), level) / 360.0)
+    return F.sequence(at(lo), at(hi))
+
+
+def _with_cells(boxes: DataFrame, levels: Column) -> DataFrame:
+    """A row for each cell of each of ``levels`` that a box (xmin, ymin, xmax, ymax) touches: level, cx, cy."""
+    rows = boxes.withColumn("level", F.explode(levels))
+    rows = rows.withColumn("cx", F.explode(_cells(F.col("level"), F.col("xmin"), F.col("xmax"))))
+    return rows.withColumn("cy", F.explode(_cells(F.col("level"), F.col("ymin"), F.col("ymax"))))
+
+
+def _envelopes(spark: SparkSession, regions: list[Region]) -> tuple[DataFrame, list[int]]:
+    """(no, label, wkt, rxmin, rymin, rxmax, rymax, own) and the levels in use; broken geometries are left out."""
+    rows = []
+    for no, r in enumerate(regions):
+        try:
+            p = geo.parse_wkt(r.wkt)[1][0]
+        except ValueError:
+            continue
         (x0, y0), (x1, y1) = p.min(0), p.max(0)
-        hit = hit | ((F.col("xmax") >= float(x0)) & (F.col("xmin") <= float(x1)) & (F.col("ymax") >= float(y0)) & (F.col("ymin") <= float(y1)))
-    return hit
+        rows.append((no, r.label, r.wkt, float(x0), float(y0), float(x1), float(y1), _level(max(x1 - x0, y1 - y0), SPAN)))
+    return spark.createDataFrame(rows, "no int, label string, wkt string, rxmin double, rymin double, rxmax double, rymax double, own int"), sorted({r[-1] for r in rows})
+
+
+def near_pairs(boxes: DataFrame, regions: DataFrame, levels: list[int]) -> DataFrame:
+    """boxes x regions whose envelopes touch, by an equi-join on cells of a grid of several levels.
+
+    A region has cells of its own level and, for larger boxes, of the coarser ones; a box those of its own level, which it
+    spans at most two of in each direction, and of the coarser levels that regions have. A pair meets at the coarser of
+    both levels."""
+    size = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    own = F.when(size <= 0, FINEST).otherwise(F.greatest(F.lit(0), F.least(F.lit(FINEST), F.floor(F.log2(360.0 / size))))).cast("int")
+    # boxes finer than every region need no level of their own
+    boxes = boxes.withColumn("_own", F.least(own, F.lit(max(levels, default=0))))
+    mine = _with_cells(boxes, F.array_distinct(F.concat(F.array("_own"), F.filter(F.array(*(F.lit(n) for n in levels)), lambda n: n < F.col("_own")))))
+    placed = regions.select("no", "own", *(F.col(f"r{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+    there = _with_cells(placed, F.sequence(F.lit(0), F.col("own"))).select("no", "own", "level", "cx", "cy")
+    met = mine.join(there, ["level", "cx", "cy"]).where(F.col("level") == F.least("own", "_own"))
+    pairs = met.drop("level", "cx", "cy", "own", "_own").distinct().join(regions.drop("own"), "no")
+    return pairs.where("xmax >= rxmin AND xmin <= rxmax AND ymax >= rymin AND ymin <= rymax")
 
 
 def near_regions(operations: DataFrame, regions: list[Region]) -> DataFrame:
     """As on import: features with a coordinate within the envelope of a region; relations are always kept."""
-    hit = F.lit(False)
-    for r in regions:
-        p = geo.parse_wkt(r.wkt)[1][0]
-        (x0, y0), (x1, y1) = p.min(0), p.max(0)
-        hit = hit | (F.col("lon").between(float(x0), float(x1)) & F.col("lat").between(float(y0), float(y1)))
-    kept = operations.where(hit).select(*FEATURE).distinct()
+    table, levels = _envelopes(operations.sparkSession, regions)
+    points = operations.where("lon IS NOT NULL AND lat IS NOT NULL AND geometry_type != 'RELATION'")
+    points = points.select(*FEATURE, F.col("lon").alias("xmin"), F.col("lat").alias("ymin"), F.col("lon").alias("xmax"), F.col("lat").alias("ymax"))
+    kept = near_pairs(points, table, levels).select(*FEATURE).distinct()
     return operations.where("geometry_type = 'RELATION'").unionByName(operations.where("geometry_type != 'RELATION'").join(kept, FEATURE, "left_semi"))
 
 
 def features_in_regions(operations: DataFrame, config: AnalysisConfig, regions: list[Region] | None = None) -> DataFrame:
-    """(region, geometry_type, oid) for each feature whose latest geometry shares a point with the region, in one pass.
-
-    Boxes of all coordinates ever are held against the envelopes first, in the JVM."""
-    regions = list(config.regions if regions is None else regions)
-    spark, out = operations.sparkSession, None
-    for at in range(0, max(len(regions), 1), REGIONS_AT_ONCE):
-        some = []
-        for r in regions[at : at + REGIONS_AT_ONCE]:
-            try:
-                kind, rings = geo.parse_wkt(r.wkt)
-            except ValueError:
-                continue
-            some.append((Region(r.label, r.wkt), kind, rings, rings[0].min(0), rings[0].max(0)))
-        near = bounding_boxes(operations).where(_envelope_hits([s[0] for s in some])).select(*FEATURE)
-        latest = assembled_features(operations.join(near, FEATURE, "left_semi"), config).select(*FEATURE, "geom_wkt")
-
-        def run(batches, some=some):
-            for batch in batches:
-                rows = []
-                for kind, oid, wkt in zip(*(c.to_pylist() for c in batch.columns)):
-                    k, g = geo.parse_wkt(wkt)
-                    lo, hi = g[0].min(0), g[0].max(0)
-                    rows += [(r.label, kind, oid) for r, rk, rings, rlo, rhi in some if (lo <= rhi).all() and (hi >= rlo).all() and geo.intersects(k, g, rk, rings)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, (pa.string(), pa.string(), pa.int64()))], names=["region", *FEATURE])
-
-        found = latest.mapInArrow(run, "region string, geometry_type string, oid long")
-        out = found if out is None else out.union(found)
-    return out if out is not None else spark.createDataFrame([], "region string, geometry_type string, oid long")
+    """(region, geometry_type, oid) for each feature whose latest geometry shares a point with the region.
+
+    Boxes of all coordinates ever meet the envelopes first, by cells of a grid; the geometries of the pairs that are left
+    are then compared exactly."""
+    table, levels = _envelopes(operations.sparkSession, list(config.regions if regions is None else regions))
+    near = near_pairs(bounding_boxes(operations), table, levels).select(*FEATURE, "label", "wkt")
+    latest = assembled_features(operations.join(near.select(*FEATURE).distinct(), FEATURE, "left_semi"), config).select(*FEATURE, "geom_wkt")
+
+    def run(batches):
+        known: dict[str, tuple] = {}
+        for batch in batches:
+            rows = []
+            for kind, oid, wkt, label, area in zip(*(c.to_pylist() for c in batch.columns)):
+                if area not in known:
+                    known.clear() if len(known) > 1000 else None
+                    rk, rings = geo.parse_wkt(area)
+                    known[area] = rk, rings, rings[0].min(0), rings[0].max(0)
+                rk, rings, rlo, rhi = known[area]
+                k, g = geo.parse_wkt(wkt)
+                if (g[0].min(0) <= rhi).all() and (g[0].max(0) >= rlo).all() and geo.intersects(k, g, rk, rings):
+                    rows.append((label, kind, oid))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, (pa.string(), pa.string(), pa.int64()))], names=["region", *FEATURE])
+
+    return latest.join(near, FEATURE).select(*FEATURE, "geom_wkt", "label", "wkt").mapInArrow(run, "region string, geometry_type string, oid long")
 
 
 def quadtree(operations: DataFrame, levels: int = MAX_LEVEL) -> DataFrame:

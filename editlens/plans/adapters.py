@@ -40,6 +40,68 @@ FROM (
 """
 
 
+#: events as versions of 97 nodes; every error hides one.
+NODE_VERSIONS = """
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY ts, event_id) AS INT) AS version, CAST(user_id % 5 AS INT) AS uid, ts, event_type <> 'error' AS visible, event_type AS kind,
+  CASE WHEN event_type <> 'error' THEN CAST(9.5 AS DOUBLE) + CAST(event_id % 7 AS DOUBLE) / 100 END AS lon, CASE WHEN event_type <> 'error' THEN CAST(46.4 AS DOUBLE) + CAST(event_id % 3 AS DOUBLE) / 100 END AS lat
+FROM (SELECT *, event_id % 97 AS id FROM {events}) e
+"""
+
+#: lineitem and orders as operations: parts are nodes that move when they are shipped, orders are ways that get their parts
+#: when they are made.
+PART_OPERATIONS = """
+SELECT DISTINCT 'LINE' AS geometry_type, l_orderkey AS oid, 1 AS version, 'OP_ADD_NODE' AS operation_type, o_orderdate AS ts, CAST(NULL AS DOUBLE) AS lon, l_partkey AS ref_id FROM {l} JOIN {o} ON l_orderkey = o_orderkey
+UNION ALL
+SELECT 'POINT', l_partkey, 1, 'OP_MODIFY_COORDINATE', l_shipdate, max(l_extendedprice), CAST(-1 AS BIGINT) FROM {l} GROUP BY l_partkey, l_shipdate
+"""
+
+#: lineitem and orders as edits of ways in changesets of a customer: open orders create a way, finished ones delete it, and
+#: returned parts are taken out of theirs.
+WAY_EDITS = """
+SELECT DISTINCT l_orderkey AS oid, 1 AS version, CASE WHEN l_returnflag = 'R' THEN 'OP_REMOVE_NODE' ELSE 'OP_ADD_NODE' END AS operation_type, o_custkey AS changeset, o_orderdate AS ts, l_partkey AS ref_id, l_linenumber AS position FROM {l} JOIN {o} ON l_orderkey = o_orderkey
+UNION ALL
+SELECT o_orderkey, 1, CASE o_orderstatus WHEN 'O' THEN 'OP_CREATE_WAY' ELSE 'OP_DELETE_WAY' END, o_custkey, o_orderdate, CAST(-1 AS BIGINT), -1 FROM {o} WHERE o_orderstatus IN ('O', 'F')
+"""
+
+#: orders as operations of customers, whose times go up and down.
+ORDER_EDITS = "SELECT o_custkey AS oid, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS version, o_orderdate AS ts FROM {o}"
+
+
+def _operations(rows: DataFrame) -> DataFrame:
+    """OPERATIONS of rows that have some of its columns."""
+    blank = {"geometry_type": "LINE", "operation_type": "OP_ADD_TAG", "uid": 0, "seq": 0, "changeset": 0, "lon": None, "lat": None, "key": "", "value": "", "ref_id": -1, "position": -1}
+    types = {"uid": "int", "seq": "int", "changeset": "long", "lon": "double", "lat": "double", "ref_id": "long", "position": "int", "version": "int"}
+    return rows.select(*((F.col(c) if c in rows.columns else F.lit(blank[c])).cast(types.get(c, dict(rows.dtypes).get(c, "string"))).alias(c) for c in OPERATION_COLUMNS))
+
+
+def part_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(PART_OPERATIONS, l=table(spark, sf_dir, "lineitem"), o=table(spark, sf_dir, "orders"))
+    return _operations(rows.withColumn("lat", F.col("lon")))
+
+
+def way_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _operations(spark.sql(WAY_EDITS, l=table(spark, sf_dir, "lineitem"), o=table(spark, sf_dir, "orders")))
+
+
+def order_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _operations(spark.sql(ORDER_EDITS, o=table(spark, sf_dir, "orders")))
+
+
+def node_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ELEMENT_VERSIONS of nodes from events, with one tag while they are visible."""
+    rows = spark.sql(NODE_VERSIONS, events=table(spark, sf_dir, "events"))
+    members = F.lit(None).cast("array<struct<element_type:string,id:bigint,role:string>>")
+    tags = F.when(F.col("visible"), F.create_map(F.lit("kind"), "kind"))
+    return rows.select(F.lit("NODE").alias("element_type"), "id", "version", "uid", F.lit("").alias("username"), "ts", F.col("uid").cast("long").alias("changeset"), "visible", tags.alias("tags"), "lon", "lat", F.lit(None).cast("array<bigint>").alias("nodes"), members.alias("members"))
+
+
+def relation_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ELEMENT_VERSIONS of relations: the ways of ``way_versions``, with their parts as members that change their role."""
+    kind = lambda n: F.when(n % 3 == 0, "NODE").when(n % 3 == 1, "WAY").otherwise("RELATION")
+    member = F.transform("nodes", lambda n: F.struct(kind(n).alias("element_type"), n.alias("id"), F.concat(F.lit("r"), F.col("version")).alias("role")))
+    return way_versions(spark, sf_dir).withColumn("element_type", F.lit("RELATION")).withColumn("members", member).withColumn("nodes", F.lit(None).cast("array<bigint>"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

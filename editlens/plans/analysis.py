@@ -33,13 +33,30 @@ def prepared_operations(operations: DataFrame, config: AnalysisConfig) -> tuple[
     return rows, None
 
 
-def analyze(operations: DataFrame, config: AnalysisConfig) -> dict[str, DataFrame]:
+class Results(dict):
+    """Results by the analyzer's name. ``release`` gives back what they were computed from, once they are written."""
+
+    def __init__(self, results: dict[str, DataFrame], kept: list[DataFrame]):
+        super().__init__(results)
+        self._kept = kept
+
+    def release(self) -> None:
+        while self._kept:
+            self._kept.pop().unpersist()
+
+
+def analyze(operations: DataFrame, config: AnalysisConfig) -> Results:
     """The results of all analyzers of the configuration; with regions, each has a column
     for them and gives each region what it gives that region alone.
 
-    Actions are made once for each feature, however many regions it is in, and persisted, as most analyzers read them."""
+    Actions are made once for each feature, however many regions it is in, and persisted until ``release``, as most
+    analyzers read them. Analyzers of actions see the actions within the configured time, analyzers of features all
+    actions of those features whose first action is within it."""
     rows, hits = prepared_operations(operations, config)
-    actions = filters.in_window(generate_actions(rows, config), config.start, config.end).persist()
+    every = generate_actions(rows, config).persist()
+    actions, features = filters.in_window(every, config.start, config.end), filters.features_in_window(every, config.start, config.end)
+    kept = [every]
     if hits is not None:
-        rows, actions = rows.join(hits, filters.FEATURE), actions.join(hits, filters.FEATURE)
-    return analyzers.run_all(rows, actions, config)
+        rows, actions, features = (x.join(hits, filters.FEATURE) for x in (rows, actions, features))
+        kept.append(hits)
+    return Results(analyzers.run_all(rows, actions, config, features), kept)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from ..operators import enrich, filters, fold, regions
 from ..operators.actions import clock_anomalies, generate_actions, sessions
 from ..operators.change_detection import change_detection
 from ..operators.diff import version_diff
-from .adapters import CTE_ACTIONS, CTE_OPERATIONS, CTE_SESSIONS, HIERARCHY_SQL, WAY_VERSIONS, event_operations, session_actions, table, way_versions
+from .adapters import CTE_ACTIONS, CTE_OPERATIONS, CTE_SESSIONS, GAP_MS, HIERARCHY_SQL, NODE_VERSIONS, ORDER_EDITS, WAY_EDITS, WAY_VERSIONS, event_operations, node_versions, order_edits, part_operations, relation_versions, session_actions, table, way_edits, way_versions
 from .config import Region, default_config
 from .schema import OPERATION_TYPES, operation_dimension
 
@@ -51,6 +53,36 @@ def _pivot_sql(column: str, values, rename=lambda v: v) -> str:
     return ", ".join(f"nullif(count(*) FILTER (WHERE {column} = '{v}'), 0) AS \"{rename(v)}\"" for v in values)
 
 
+# ---------------------------------------------------------------- what several SQL texts have in common
+
+
+#: Lists of nodes and members. All positions of the events' operations are 0, so a list is a stack: an added item is left
+#: unless the stack gets lower than it was behind it.
+CTE_LISTS = """edits AS (SELECT geometry_type, oid, version, ref_id, lon, lat, CASE WHEN operation_type IN ('OP_ADD_NODE', 'OP_ADD_MEMBER') THEN 1 ELSE -1 END AS step
+  FROM ops WHERE operation_type IN ('OP_ADD_NODE', 'OP_REMOVE_NODE', 'OP_ADD_MEMBER', 'OP_REMOVE_MEMBER')),
+depths AS (SELECT *, sum(step) OVER (PARTITION BY geometry_type, oid ORDER BY version) AS d FROM edits),
+heights AS (SELECT *, d - least(0, min(d) OVER (PARTITION BY geometry_type, oid ORDER BY version)) AS h FROM depths),
+lists AS (SELECT * FROM (SELECT *, min(h) OVER (PARTITION BY geometry_type, oid ORDER BY version ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS lowest FROM heights) x WHERE step = 1 AND coalesce(lowest, h) >= h)"""
+
+#: The latest geometry of points and lines.
+CTE_SHAPES = CTE_LISTS + """,
+points AS (SELECT geometry_type, oid, arg_max(lon, version) AS lon, arg_max(lat, version) AS lat FROM ops WHERE geometry_type = 'POINT' AND lon IS NOT NULL GROUP BY 1, 2),
+corners AS (SELECT *, row_number() OVER (PARTITION BY oid ORDER BY version DESC) AS n, count(*) OVER (PARTITION BY oid) AS size FROM lists WHERE geometry_type = 'LINE'),
+lines AS (SELECT geometry_type, oid, size, 'LINESTRING (' || string_agg(printf('%.7f %.7f', lon, lat), ', ' ORDER BY n) || ')' AS wkt, 'POLYGON ((' || string_agg(printf('%.7f %.7f', lon, lat), ', ' ORDER BY n) || '))' AS ring,
+  size >= 4 AND min(lon) FILTER (WHERE n = 1) = min(lon) FILTER (WHERE n = size) AND min(lat) FILTER (WHERE n = 1) = min(lat) FILTER (WHERE n = size) AS closed FROM corners WHERE size >= 2 GROUP BY 1, 2, 3)"""
+
+#: Moves of nodes as operations of the ways that they had been added to.
+CTE_WAY_MOVES = """since AS (SELECT oid AS way, ref_id AS node, min(ts) AS since FROM ops WHERE geometry_type = 'LINE' AND operation_type = 'OP_ADD_NODE' GROUP BY 1, 2),
+ways AS (SELECT oid AS way, ts, version FROM ops WHERE geometry_type = 'LINE'), first_ways AS (SELECT way, min(version) AS version FROM ways GROUP BY 1),
+hits AS (SELECT s.way, m.oid AS node, m.uid, m.ts, m.changeset, m.lon, m.lat, m.version AS node_version FROM ops m JOIN since s ON s.node = m.oid AND s.since <= m.ts WHERE m.operation_type = 'OP_MODIFY_COORDINATE'),
+dated AS (SELECT h.*, coalesce(w.version, f.version) AS version FROM hits h ASOF LEFT JOIN ways w ON h.way = w.way AND h.ts >= w.ts LEFT JOIN first_ways f ON f.way = h.way),
+way_moves AS (SELECT way AS oid, version, CAST(1000000 + row_number() OVER (PARTITION BY way, version ORDER BY ts, node, node_version) AS INT) AS seq, uid, ts, changeset, lon, lat, node AS ref_id FROM dated)"""
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ",\n".join([CTE_OPERATIONS, *parts]) + "\n"
+
+
 # ---------------------------------------------------------------- analyzers
 
 
@@ -166,6 +198,22 @@ def a12_update(spark, d):
 
 @query()
 def a13_update_geometry(spark, d):
+    return A.update_geometry(enrich.enriched(event_operations(spark, d))).select("id", "node_count", "update_count")
+
+
+_SQL["a13_update_geometry"] = _with(
+    CTE_WAY_MOVES,
+    """places AS (SELECT oid AS node, ts, version, lon, lat FROM ops WHERE operation_type IN ('OP_CREATE_NODE', 'OP_MODIFY_COORDINATE') AND lon IS NOT NULL),
+first_places AS (SELECT node, arg_min(lon, version) AS lon, arg_min(lat, version) AS lat FROM places GROUP BY 1),
+added AS (SELECT o.oid, o.version, o.ts, 0 AS seq, o.ref_id, coalesce(p.lon, f.lon) AS lon, coalesce(p.lat, f.lat) AS lat
+  FROM (SELECT * FROM ops WHERE geometry_type = 'LINE' AND operation_type = 'OP_ADD_NODE') o ASOF LEFT JOIN places p ON o.ref_id = p.node AND o.ts >= p.ts LEFT JOIN first_places f ON f.node = o.ref_id),
+steps AS (SELECT oid, version, ts, seq, ref_id, lon, lat FROM added WHERE lon IS NOT NULL UNION ALL SELECT oid, version, ts, seq, ref_id, lon, lat FROM way_moves),
+seen AS (SELECT *, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0 FROM steps WINDOW w AS (PARTITION BY version, ref_id ORDER BY oid, version, ts, seq))""",
+) + "SELECT version AS id, count(DISTINCT ref_id) AS node_count, count(*) FILTER (WHERE lon <> lon0 OR lat <> lat0) AS update_count FROM seen GROUP BY 1"
+
+
+@query()
+def a13_update_geometry_metres(spark, d):
     return A.update_geometry(enrich.enriched(event_operations(spark, d)))
 
 
@@ -181,7 +229,7 @@ def a15_batch_general(spark, d):
 
 @query()
 def a15_batch_general_by_rules(spark, d):
-    return A.batch_general(A.with_period(generate_actions(event_operations(spark, d), default_config()), DAY))
+    return A.batch_general(A.with_period(generate_actions(_of_points(spark, d), default_config()), DAY))
 
 
 _IN_REGION = """in_region AS (
@@ -235,6 +283,11 @@ def f3_region_exact(spark, d):
     return regions.features_in_regions(event_operations(spark, d), default_config(), [RECTANGLE])
 
 
+# the rectangle has the west end of all latitudes, so a line that touches it has a corner there
+_SQL["f3_region_exact"] = _with(CTE_SHAPES) + """SELECT 'west' AS region, geometry_type, oid FROM points WHERE round(lon, 7) <= 12.3
+UNION ALL SELECT 'west', 'LINE', oid FROM corners WHERE size >= 2 GROUP BY 3 HAVING min(round(lon, 7)) <= 12.3"""
+
+
 @query("SELECT geometry_type, oid, count(*) AS n FROM ops WHERE geometry_type = 'RELATION' OR (geometry_type, oid) IN (SELECT (geometry_type, oid) FROM ops WHERE lon BETWEEN 9.5 AND 12.3 AND lat BETWEEN 46.4 AND 49.0) GROUP BY 1, 2")
 def f4_import_regions(spark, d):
     return regions.near_regions(event_operations(spark, d), [RECTANGLE]).groupBy("geometry_type", "oid").agg(F.count("*").alias("n"))
@@ -247,17 +300,40 @@ def f5_import_tags(spark, d):
 
 @query("SELECT operation_type, count(*) AS n FROM ops WHERE ts <= TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1")
 def f6_import_cutoff(spark, d):
-    return event_operations(spark, d).where("ts <= TIMESTAMP_NTZ '2024-01-15 00:00:00'").groupBy("operation_type").agg(F.count("*").alias("n"))
+    return filters.until(event_operations(spark, d), datetime(2024, 1, 15)).groupBy("operation_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT operation_type, count(*) AS n FROM ops WHERE ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1")
+def s7_read_cutoff(spark, d):
+    return filters.before(event_operations(spark, d), datetime(2024, 1, 15)).groupBy("operation_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT operation_type, count(*) AS n FROM ops WHERE geometry_type = 'LINE' GROUP BY 1")
+def s6_element_type(spark, d):
+    return filters.of_element_type(event_operations(spark, d), "WAY").groupBy("operation_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT action_name, count(*) AS n FROM actions WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1", actions=True)
 def f7_action_window(spark, d):
-    return _acts(spark, d).where("ts >= TIMESTAMP_NTZ '2024-01-10 00:00:00' AND ts <= TIMESTAMP_NTZ '2024-01-20 00:00:00'").groupBy("action_name").agg(F.count("*").alias("n"))
+    return filters.in_window(_acts(spark, d), datetime(2024, 1, 10), datetime(2024, 1, 20)).groupBy("action_name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT geometry_type, oid, min(ts) < TIMESTAMP '2024-01-02 00:00:00' AS early FROM actions WHERE action_no = 0 GROUP BY 1, 2", actions=True)
+_EARLY = "SELECT *, min(ts) FILTER (WHERE action_no = 0) OVER (PARTITION BY geometry_type, oid) <= TIMESTAMP '2024-01-01 01:00:00' AS early FROM actions"
+
+
+@query(f"SELECT geometry_type, oid, count(*) AS n FROM ({_EARLY}) x WHERE early GROUP BY 1, 2", actions=True)
 def f8_feature_window(spark, d):
-    return _acts(spark, d).where("action_no = 0").select("geometry_type", "oid", F.expr("ts < TIMESTAMP_NTZ '2024-01-02 00:00:00'").alias("early"))
+    return filters.features_in_window(_acts(spark, d), None, datetime(2024, 1, 1, 1)).groupBy("geometry_type", "oid").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""SELECT hours_until_edit, count(*) AS feature_count FROM (
+  SELECT geometry_type, oid, coalesce(date_diff('microsecond', min(ts) FILTER (WHERE action_no = 0), min(ts) FILTER (WHERE action_no = 1)) // 3600000000, {A.NEVER_HOURS}) AS hours_until_edit
+  FROM ({_EARLY}) y WHERE early GROUP BY 1, 2) x GROUP BY 1""",
+    actions=True,
+)
+def a11_feature_stability_in_window(spark, d):
+    return A.feature_stability(filters.features_in_window(_acts(spark, d), None, datetime(2024, 1, 1, 1)))
 
 
 def _tags_sql(select: str) -> str:
@@ -289,10 +365,16 @@ def f10_exported_features(spark, d):
     return fold.assembled_features(event_operations(spark, d), default_config()).drop("tags")
 
 
+_SQL["f10_exported_features"] = _with(CTE_SHAPES, "tags AS (" + _tags_sql("geometry_type, oid, list(key) AS keys").replace("WHERE last_type <> 'OP_REMOVE_TAG'", "WHERE last_type <> 'OP_REMOVE_TAG' GROUP BY 1, 2") + ")") + """
+SELECT geometry_type, oid, CASE WHEN list_contains(keys, 'building') THEN 'buildingPoint' WHEN list_contains(keys, 'amenity') THEN 'amenity' ELSE 'invalidPoint' END AS feature_type,
+  'Point' AS geometry, printf('POINT (%.7f %.7f)', lon, lat) AS geom_wkt, false AS deleted FROM points LEFT JOIN tags USING (geometry_type, oid)
+UNION ALL SELECT geometry_type, oid, kind, CASE WHEN kind IN ('building', 'invalidPolygon') THEN 'Polygon' ELSE 'LineString' END, CASE WHEN kind IN ('building', 'invalidPolygon') THEN ring ELSE wkt END, false
+FROM (SELECT *, CASE WHEN list_contains(keys, 'highway') THEN 'street' WHEN closed AND list_contains(keys, 'building') THEN 'building' WHEN closed THEN 'invalidPolygon' ELSE 'invalidLine' END AS kind FROM lines LEFT JOIN tags USING (geometry_type, oid)) x"""
+
+
 @query("SELECT operation_type, key, count(*) AS n FROM ops WHERE NOT (operation_type IN ('OP_ADD_TAG', 'OP_MODIFY_TAG_VALUE', 'OP_REMOVE_TAG') AND key NOT IN ('building', 'name')) GROUP BY 1, 2")
 def f11_only_properties(spark, d):
-    keep = ~(F.col("operation_type").isin(*A.TAG_EDITS) & ~F.col("key").isin(*default_config().feature_type("building").properties))
-    return event_operations(spark, d).where(keep).groupBy("operation_type", "key").agg(F.count("*").alias("n"))
+    return filters.only_properties(event_operations(spark, d), default_config().feature_type("building")).groupBy("operation_type", "key").agg(F.count("*").alias("n"))
 
 
 _YEAR = "CAST(floor(year(o_orderdate) / {0}) * {0} AS INT)"
@@ -324,14 +406,29 @@ def j2_as_of_coordinate(spark, d):
 
 @query(f"WITH {_MOVES}, since AS (SELECT l_orderkey, node, min(ts) AS since FROM adds GROUP BY 1, 2) SELECT node, count(*) AS n, count(DISTINCT l_orderkey) AS ways FROM since JOIN moves USING (node) WHERE since <= moves.ts GROUP BY 1", operations=False)
 def j3_moves_of_members(spark, d):
-    adds, moves = _parts(spark, d)
-    since = adds.groupBy("l_orderkey", "node").agg(F.min("ts").alias("since"))
-    return since.join(moves, "node").where("since <= ts").groupBy("node").agg(F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("ways"))
+    moves = enrich.way_coordinate_changes(part_operations(spark, d))
+    return moves.groupBy(F.col("ref_id").alias("node")).agg(F.count("*").alias("n"), F.count_distinct("oid").alias("ways"))
+
+
+_MOVE = ("oid", "version", "seq", "uid", "at", "changeset", "lon", "lat", "ref_id")
 
 
 @query()
 def j3_way_coordinate_changes(spark, d):
-    return enrich.way_coordinate_changes(event_operations(spark, d))
+    return enrich.way_coordinate_changes(event_operations(spark, d)).withColumn("at", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).select(*_MOVE)
+
+
+_SQL["j3_way_coordinate_changes"] = _with(CTE_WAY_MOVES) + "SELECT oid, version, seq, uid, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, changeset, lon, lat, ref_id FROM way_moves"
+
+
+@query(
+    """SELECT s.way AS oid, s.node AS ref_id, count(*) AS n FROM (
+  SELECT DISTINCT w.oid AS way, m.oid AS node, m.version,
+    (SELECT sum(CASE WHEN e.operation_type = 'OP_ADD_NODE' THEN 1 ELSE -1 END) FROM ops e WHERE e.geometry_type = 'LINE' AND e.operation_type IN ('OP_ADD_NODE', 'OP_REMOVE_NODE') AND e.oid = w.oid AND e.ref_id = m.oid AND e.ts <= m.ts) AS there
+  FROM ops m JOIN ops w ON w.geometry_type = 'LINE' AND w.operation_type IN ('OP_ADD_NODE', 'OP_REMOVE_NODE') AND w.ref_id = m.oid WHERE m.operation_type = 'OP_MODIFY_COORDINATE') s WHERE there > 0 GROUP BY 1, 2"""
+)
+def j3_moves_while_members(spark, d):
+    return enrich.way_coordinate_changes(event_operations(spark, d), respect_removal=True).groupBy("oid", "ref_id").agg(F.count("*").alias("n"))
 
 
 _REF = "CASE WHEN operation_type = 'OP_ADD_NODE' THEN 'POINT' WHEN key = 'n' THEN 'POINT' WHEN key = 'w' THEN 'LINE' ELSE 'RELATION' END"
@@ -347,29 +444,57 @@ def j4_relation_members(spark, d):
     return enrich.with_members(event_operations(spark, d)).select("oid", F.size("members").cast("long").alias("members"))
 
 
-_SPLIT = """nodes AS (SELECT * FROM ops WHERE geometry_type = 'LINE' AND operation_type IN ('OP_ADD_NODE', 'OP_REMOVE_NODE'))
+_SPLIT = "WITH e AS (" + WAY_EDITS.replace("{l}", "lineitem").replace("{o}", "orders") + """),
+nodes AS (SELECT * FROM e WHERE operation_type IN ('OP_ADD_NODE', 'OP_REMOVE_NODE'))
 SELECT DISTINCT n.oid, n.changeset, n.position, 'OP_SPLIT_WAY' AS operation_type FROM nodes n
 JOIN nodes o ON o.ref_id = n.ref_id AND o.changeset = n.changeset AND o.operation_type = 'OP_REMOVE_NODE'
-JOIN ops c ON c.geometry_type = 'LINE' AND c.oid = n.oid AND c.changeset = n.changeset AND c.operation_type = 'OP_CREATE_WAY' WHERE n.operation_type = 'OP_ADD_NODE'
+JOIN e c ON c.oid = n.oid AND c.changeset = n.changeset AND c.operation_type = 'OP_CREATE_WAY' WHERE n.operation_type = 'OP_ADD_NODE'
 UNION ALL SELECT DISTINCT n.oid, n.changeset, n.position, 'OP_MERGE_WAY' FROM nodes n
 JOIN nodes o ON o.ref_id = n.ref_id AND o.changeset = n.changeset AND o.operation_type = 'OP_ADD_NODE'
-JOIN ops c ON c.geometry_type = 'LINE' AND c.oid = n.oid AND c.changeset = n.changeset AND c.operation_type = 'OP_DELETE_WAY' WHERE n.operation_type = 'OP_REMOVE_NODE'"""
+JOIN e c ON c.oid = n.oid AND c.changeset = n.changeset AND c.operation_type = 'OP_DELETE_WAY' WHERE n.operation_type = 'OP_REMOVE_NODE'"""
 
 
-@query()
+@query(_SPLIT, operations=False)
 def j5_split_and_merged_ways(spark, d):
-    return enrich.split_and_merged_ways(event_operations(spark, d)).select("oid", "changeset", "position", "operation_type")
+    return enrich.split_and_merged_ways(way_edits(spark, d)).select("oid", "changeset", "position", "operation_type")
 
 
-_SQL["j5_split_and_merged_ways"] = f"WITH {CTE_OPERATIONS}, {_SPLIT}"
+def _rectangles(spark, d) -> list[Region]:
+    """The nations' grid, moved by half a hundredth so that no coordinate lies on an edge."""
+    out = []
+    for n, name in table(spark, d, "nation").select("n_nationkey", "n_name").collect():
+        x, y = 9.495 + 1.4 * (n % 5), 46.395 + 0.52 * (n // 5)
+        ring = [(x, y), (x + 1.4, y), (x + 1.4, y + 0.52), (x, y + 0.52), (x, y)]
+        out.append(Region(name, geo.polygon_wkt([ring])))
+    return out
 
 
 @query()
 def j6_regions(spark, d):
+    return regions.features_in_regions(event_operations(spark, d), default_config(), _rectangles(spark, d))
+
+
+_SQL["j6_regions"] = _with(
+    CTE_SHAPES,
+    "areas AS (SELECT n_name AS region, 9.495 + 1.4 * (n_nationkey % 5) AS x0, 46.395 + 0.52 * (n_nationkey // 5) AS y0, 9.495 + 1.4 * (n_nationkey % 5) + 1.4 AS x1, 46.395 + 0.52 * (n_nationkey // 5) + 0.52 AS y1 FROM nation)",
+    "segments AS (SELECT oid, lon AS a, lat AS b, lead(lon) OVER w AS c, lead(lat) OVER w AS d FROM corners WHERE size >= 2 WINDOW w AS (PARTITION BY oid ORDER BY n))",
+    # the share of the segment that is between both vertical and both horizontal edges
+    """cut AS (SELECT region, oid, CASE WHEN c = a THEN CASE WHEN a BETWEEN x0 AND x1 THEN -1e9 ELSE 1e9 END ELSE least((x0 - a) / (c - a), (x1 - a) / (c - a)) END AS f1, CASE WHEN c = a THEN CASE WHEN a BETWEEN x0 AND x1 THEN 1e9 ELSE -1e9 END ELSE greatest((x0 - a) / (c - a), (x1 - a) / (c - a)) END AS t1,
+  CASE WHEN d = b THEN CASE WHEN b BETWEEN y0 AND y1 THEN -1e9 ELSE 1e9 END ELSE least((y0 - b) / (d - b), (y1 - b) / (d - b)) END AS f2, CASE WHEN d = b THEN CASE WHEN b BETWEEN y0 AND y1 THEN 1e9 ELSE -1e9 END ELSE greatest((y0 - b) / (d - b), (y1 - b) / (d - b)) END AS t2
+  FROM segments, areas WHERE c IS NOT NULL)""",
+) + """SELECT region, 'POINT' AS geometry_type, oid FROM points JOIN areas ON lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1
+UNION ALL SELECT DISTINCT region, 'LINE', oid FROM cut WHERE greatest(0, f1, f2) <= least(1, t1, t2)"""
+
+
+@query(_SQL_REGIONS + "SELECT region, operation_type, count(*) AS n FROM in_region GROUP BY 1, 2", operations=False)
+def operations_by_grid_cell(spark, d):
     return _in_nation(spark, d).groupBy("region", "operation_type").agg(F.count("*").alias("n"))
 
 
-_SQL["j6_regions"] = _SQL_REGIONS + "SELECT region, operation_type, count(*) AS n FROM in_region GROUP BY 1, 2"
+@query("SELECT geometry_type, oid, count(*) AS n FROM ops WHERE (geometry_type, oid) IN (SELECT (geometry_type, oid) FROM ops WHERE key = 'name') GROUP BY 1, 2")
+def j8_id_table(spark, d):
+    ops = event_operations(spark, d)
+    return filters.by_id_table(ops, ops.where("key = 'name'")).groupBy("geometry_type", "oid").agg(F.count("*").alias("n"))
 
 
 @query("SELECT geometry_type, oid, count(*) AS n FROM ops WHERE (geometry_type = 'POINT' AND oid IN (0, 3, 6)) OR geometry_type = 'RELATION' GROUP BY 1, 2")
@@ -385,7 +510,7 @@ _WAYS = "w AS (" + WAY_VERSIONS.replace("{nodes_not_r}", "list(l_partkey ORDER B
 
 @query(f"WITH {_WAYS}, t AS (SELECT id, min(version) AS v1, max(version) AS v2, count(*) AS n FROM w GROUP BY 1) SELECT id AS oid, CAST(v1 AS INT) AS version, 'OP_CREATE_WAY' AS operation_type, '' AS key, '' AS value FROM t UNION ALL SELECT w.id, w.version, 'OP_ADD_TAG', 'status', status FROM w JOIN t ON w.id = t.id AND w.version = t.v1 UNION ALL SELECT id, version, 'OP_ADD_TAG', 'priority', priority FROM w WHERE version = 2", operations=False)
 def d2_tag_diff(spark, d):
-    rows = version_diff(way_versions(spark, d)).where("operation_type IN ('OP_CREATE_WAY', 'OP_ADD_TAG', 'OP_MODIFY_TAG_VALUE', 'OP_REMOVE_TAG')")
+    rows = version_diff(way_versions(spark, d), lists=False).where("operation_type IN ('OP_CREATE_WAY', 'OP_ADD_TAG', 'OP_MODIFY_TAG_VALUE', 'OP_REMOVE_TAG')")
     return rows.select("oid", "version", "operation_type", "key", "value")
 
 
@@ -397,6 +522,51 @@ def d4_way_list_diff(spark, d):
     return version_diff(way_versions(spark, d)).groupBy("oid").agg(F.count_if(of == "OP_ADD_NODE").alias("added"), F.count_if(of == "OP_REMOVE_NODE").alias("removed"))
 
 
+@query(f"""WITH {_WAYS}, t AS (SELECT id, count(*) AS versions FROM w GROUP BY 1),
+n AS (SELECT id, version, unnest(nodes) AS ref, generate_subscripts(nodes, 1) - 1 AS position FROM w),
+c AS (SELECT id, ref, count(*) FILTER (WHERE version = 1) AS a, count(*) FILTER (WHERE version = 2) AS b FROM n GROUP BY 1, 2),
+r AS (SELECT n.*, a, b, versions, row_number() OVER (PARTITION BY n.id, n.version, n.ref ORDER BY n.position) AS k FROM n JOIN c ON n.id = c.id AND n.ref = c.ref JOIN t ON t.id = n.id)
+SELECT id AS oid, version, 'OP_ADD_NODE' AS operation_type, ref AS ref_id, CAST(position AS INT) AS position FROM r WHERE versions = 1 OR version = 1 OR k <= b - a
+UNION ALL SELECT id, 2, 'OP_REMOVE_NODE', ref, CAST(position AS INT) FROM r WHERE versions = 2 AND version = 1 AND k <= a - b""", operations=False)
+def d4_way_list_positions(spark, d):
+    return version_diff(way_versions(spark, d)).where("operation_type IN ('OP_ADD_NODE', 'OP_REMOVE_NODE')").select("oid", "version", "operation_type", "ref_id", "position")
+
+
+_NODES = "v AS (" + NODE_VERSIONS.replace("{events}", "events") + "), p AS (SELECT *, lag(visible) OVER w AS was, lag(kind) OVER w AS kind0, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0 FROM v WINDOW w AS (PARTITION BY id ORDER BY version))"
+_D = "SELECT id AS oid, version, '{0}' AS operation_type, {1} AS lon, {2} AS lat, {3} AS key, {4} AS value FROM p WHERE {5}"
+_NONE = "CAST(NULL AS DOUBLE)"
+
+
+@query(f"WITH {_NODES} " + " UNION ALL ".join((
+    _D.format("OP_CREATE_NODE", "lon", "lat", "''", "''", "version = 1"),
+    _D.format("OP_MODIFY_COORDINATE", "lon", "lat", "''", "''", "lon <> lon0 OR lat <> lat0"),
+    _D.format("OP_ADD_TAG", _NONE, _NONE, "'kind'", "kind", "visible AND (version = 1 OR NOT was)"),
+    _D.format("OP_MODIFY_TAG_VALUE", _NONE, _NONE, "'kind'", "kind", "visible AND was AND kind <> kind0"),
+    _D.format("OP_REMOVE_TAG", _NONE, _NONE, "'kind'", "''", "NOT visible AND was"),
+    _D.format("OP_DELETE_NODE", _NONE, _NONE, "''", "''", "NOT visible AND (version = 1 OR was)"),
+    _D.format("OP_RECREATE_NODE", "lon", "lat", "''", "''", "visible AND version > 1 AND NOT was"),
+)), operations=False)
+def d1_d3_node_diff(spark, d):
+    return version_diff(node_versions(spark, d)).select("oid", "version", "operation_type", "lon", "lat", "key", "value")
+
+
+@query(f"""WITH {_WAYS}, n AS (SELECT id, version, unnest(nodes) AS ref FROM w), c AS (SELECT id, ref, count(*) FILTER (WHERE version = 1) AS a, count(*) FILTER (WHERE version = 2) AS b FROM n GROUP BY 1, 2),
+u AS (SELECT id, count(*) AS versions FROM w GROUP BY 1)
+SELECT id AS oid, ref % 3 AS kind, CAST(sum(CASE WHEN versions = 1 THEN a + b ELSE a + greatest(b - a, 0) END) AS BIGINT) AS added FROM c JOIN u USING (id) GROUP BY 1, 2""", operations=False)
+def d5_members_added(spark, d):
+    rows = version_diff(relation_versions(spark, d)).where("operation_type = 'OP_ADD_MEMBER'")
+    kind = F.when(F.col("key") == "n", 0).when(F.col("key") == "w", 1).otherwise(2).cast("long")
+    return rows.groupBy("oid", kind.alias("kind")).agg(F.count("*").alias("added"))
+
+
+@query(f"""WITH {_WAYS}, n AS (SELECT id, version, unnest(nodes) AS ref FROM w), c AS (SELECT id, ref, count(*) FILTER (WHERE version = 1) AS a, count(*) FILTER (WHERE version = 2) AS b FROM n GROUP BY 1, 2),
+u AS (SELECT id, count(*) AS versions FROM w GROUP BY 1)
+SELECT id AS oid, CAST(sum(CASE WHEN versions = 2 THEN greatest(a - b, 0) ELSE 0 END) AS BIGINT) AS removed, CAST(sum(CASE WHEN versions = 2 THEN least(a, b) ELSE 0 END) AS BIGINT) AS roles FROM c JOIN u USING (id) GROUP BY 1""", operations=False)
+def d5_member_diff(spark, d):
+    of = F.col("operation_type")
+    return version_diff(relation_versions(spark, d)).groupBy("oid").agg(F.count_if(of == "OP_REMOVE_MEMBER").alias("removed"), F.count_if(of == "OP_MODIFY_ROLE").alias("roles"))
+
+
 @query()
 def d4_way_operations(spark, d):
     return version_diff(way_versions(spark, d)).select("oid", "version", "seq", "operation_type", "ref_id", "position", "key", "value")
@@ -407,9 +577,9 @@ def sessions_by_gap(spark, d):
     return sessions(event_operations(spark, d), 43_200_000).groupBy("geometry_type", "oid", "uid", "session").agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT geometry_type, oid FROM (SELECT *, ts < lag(ts) OVER (PARTITION BY geometry_type, oid ORDER BY version) AS back FROM ops) x WHERE back")
+@query("WITH e AS (" + ORDER_EDITS.replace("{o}", "orders") + ") SELECT DISTINCT 'LINE' AS geometry_type, oid FROM (SELECT *, ts < lag(ts) OVER (PARTITION BY oid ORDER BY version) AS back FROM e) x WHERE back", operations=False)
 def clock_anomaly_features(spark, d):
-    return clock_anomalies(event_operations(spark, d))
+    return clock_anomalies(order_edits(spark, d))
 
 
 @query(f"SELECT geometry_type, oid, version, operation_type, CAST({HIERARCHY_SQL} AS INT) AS hierarchy FROM ops")
@@ -418,14 +588,65 @@ def operation_hierarchy(spark, d):
     return ops.join(F.broadcast(operation_dimension(spark).select("operation_type", "hierarchy")), "operation_type")
 
 
+def _of_points(spark, d) -> DataFrame:
+    return event_operations(spark, d).where("geometry_type = 'POINT'")
+
+
+def _rules_sql(only_properties: bool) -> str:
+    """Actions of points by the rules of the default configuration, whose times ascend with versions."""
+    own = "AND (x.operation_type NOT LIKE '%TAG%' OR list_contains(u.properties, x.key))" if only_properties else ""
+    return f"""g AS (SELECT *, row_number() OVER (PARTITION BY oid ORDER BY from_version) AS g FROM (SELECT oid, uid, session, min(version) AS from_version, max(ts) AS last_ts FROM s WHERE geometry_type = 'POINT' GROUP BY 1, 2, 3) x),
+grouped AS (SELECT s.*, g.g FROM s JOIN g ON s.geometry_type = 'POINT' AND s.oid = g.oid AND s.uid = g.uid AND s.session = g.session),
+reach AS (SELECT oid, g, max(upto) OVER (PARTITION BY oid ORDER BY g) AS upto FROM (SELECT g.oid, g.g, max(o.version) AS upto FROM g JOIN ops o ON o.geometry_type = 'POINT' AND o.oid = g.oid AND date_diff('microsecond', g.last_ts, o.ts) <= {GAP_MS * 1000} GROUP BY 1, 2) x),
+shape AS (SELECT r.oid, r.g, printf('POINT (%.7f %.7f)', arg_max(o.lon, o.version), arg_max(o.lat, o.version)) AS geom_wkt FROM reach r JOIN ops o ON o.geometry_type = 'POINT' AND o.oid = r.oid AND o.version <= r.upto AND o.lon IS NOT NULL GROUP BY 1, 2),
+types AS (SELECT * FROM (VALUES (2, 'buildingPoint', 'building', ['building', 'name']), (3, 'amenity', 'amenity', ['amenity', 'name']), (4, 'natural', 'natural', ['natural'])) t(rank, name, key, properties)),
+state AS (SELECT g.oid, g.g, t.rank, t.name, t.properties, coalesce(arg_max(x.operation_type <> 'OP_REMOVE_TAG', x.g * 10000000 + x.version), false) AS now
+  FROM g CROSS JOIN types t LEFT JOIN grouped x ON x.oid = g.oid AND x.g <= g.g AND x.key = t.key AND x.operation_type IN ('OP_ADD_TAG', 'OP_MODIFY_TAG_VALUE', 'OP_REMOVE_TAG') GROUP BY 1, 2, 3, 4, 5),
+due AS (SELECT *, CASE WHEN now AND was THEN 'UPDATE' WHEN now THEN 'CREATE' ELSE 'DELETE' END AS kind FROM (SELECT *, coalesce(lag(now) OVER (PARTITION BY oid, name ORDER BY g), false) AS was FROM state) x WHERE now OR was),
+rules AS (SELECT * FROM (VALUES ('DELETE', 1, 'AC_DELETE_POINT', 'DELETE', ['OP_REMOVE_TAG', 'OP_MODIFY_TAG_VALUE']), ('UPDATE', 1, 'AC_UPDATE_POINT', 'UPDATE', ['OP_ADD_TAG', 'OP_MODIFY_TAG_VALUE', 'OP_REMOVE_TAG', 'OP_MODIFY_COORDINATE']),
+  ('CREATE', 1, 'AC_CREATE_POINT', 'CREATE', ['OP_CREATE_NODE', 'OP_ADD_TAG', 'OP_MODIFY_TAG_VALUE']), ('CREATE', 2, 'AC_UPDATE_POINT', 'UPDATE', ['OP_REMOVE_TAG', 'OP_MODIFY_COORDINATE'])) r(kind, part, action_name, action_type, takes)),
+taken AS (SELECT u.oid, u.g, u.now, u.rank, u.name, r.part, r.action_name, r.action_type, count(*) AS n_operations, arg_min(x, [-x.high, x.version]) AS first
+  FROM due u JOIN rules r ON r.kind = u.kind JOIN grouped x ON x.oid = u.oid AND x.g = u.g AND list_contains(r.takes, x.operation_type) {own} GROUP BY ALL),
+made AS (SELECT 'POINT' AS geometry_type, oid, CAST(row_number() OVER (PARTITION BY oid ORDER BY g, now, rank, part) - 1 AS INT) AS action_no, name AS feature_type, action_name, action_type, first.uid AS uid, first.ts AS ts,
+  first.operation_type AS first_operation, CAST(n_operations AS INT) AS n_operations, geom_wkt, false AS deleted FROM taken JOIN shape USING (oid, g))"""
+
+
+_MADE = "SELECT geometry_type, oid, action_no, feature_type, action_name, action_type, uid, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, first_operation, n_operations, geom_wkt, deleted FROM made"
+
+
+def _made(actions: DataFrame) -> DataFrame:
+    return actions.withColumn("at", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).drop("operations", "ts")
+
+
 @query()
 def actions_by_rules(spark, d):
-    return generate_actions(event_operations(spark, d), default_config()).drop("operations")
+    return _made(generate_actions(_of_points(spark, d), default_config()))
+
+
+@query()
+def actions_by_rules_only_properties(spark, d):
+    return _made(generate_actions(_of_points(spark, d), default_config(only_feature_type_tags=True)))
+
+
+@query()
+def actions_by_rules_of_lines(spark, d):
+    return generate_actions(event_operations(spark, d).where("geometry_type = 'LINE'"), default_config()).drop("operations")
+
+
+_SQL["actions_by_rules"] = _with(CTE_SESSIONS, _rules_sql(False)) + _MADE
+_SQL["actions_by_rules_only_properties"] = _with(CTE_SESSIONS, _rules_sql(True)) + _MADE
+_SQL["a15_batch_general_by_rules"] = _with(CTE_SESSIONS, _rules_sql(False)) + "SELECT feature_type, CAST(ts AS DATE) AS period, action_name, count(*) AS action_count, count(DISTINCT oid) AS affected_count, count(DISTINCT uid) AS user_count FROM made GROUP BY 1, 2, 3"
 
 
 @query()
 def r2_elements(spark, d):
-    return fold.elements_at(event_operations(spark, d)).select("geometry_type", "oid", "visible", "lon", "lat", F.size("nodes").alias("n_nodes"), F.size("members").alias("n_members"), F.size("tags").alias("n_tags"))
+    size = lambda c: F.size(c).cast("long").alias(f"n_{c}")
+    return fold.elements_at(event_operations(spark, d)).select("geometry_type", "oid", "visible", "lon", "lat", size("nodes"), size("members"), size("tags"))
+
+
+_SQL["r2_elements"] = _with(CTE_SHAPES, "tags AS (" + _tags_sql("geometry_type, oid, count(*) AS n_tags").replace("WHERE last_type <> 'OP_REMOVE_TAG'", "WHERE last_type <> 'OP_REMOVE_TAG' GROUP BY 1, 2") + ")", "sizes AS (SELECT geometry_type, oid, count(*) AS n FROM lists GROUP BY 1, 2)") + """
+SELECT geometry_type, oid, true AS visible, lon, lat, CASE WHEN geometry_type = 'LINE' THEN coalesce(n, 0) ELSE 0 END AS n_nodes, CASE WHEN geometry_type = 'RELATION' THEN coalesce(n, 0) ELSE 0 END AS n_members, coalesce(n_tags, 0) AS n_tags
+FROM (SELECT DISTINCT geometry_type, oid FROM ops) f LEFT JOIN points USING (geometry_type, oid) LEFT JOIN sizes USING (geometry_type, oid) LEFT JOIN tags USING (geometry_type, oid)"""
 
 
 # ---------------------------------------------------------------- functions, spatial keys
@@ -465,6 +686,11 @@ def quadtree_path(spark, d):
 
 
 _SQL["quadtree_path"] = "WITH RECURSIVE " + CTE_OPERATIONS + _path_sql(regions.MAX_LEVEL)
+_head, _, _last = _SQL["quadtree_path"].rpartition("SELECT geometry_type, oid, arg_max")
+_SQL["quadtree_paths"] = f"""{_head}, paths AS (SELECT geometry_type, oid, arg_max{_last}),
+above AS (SELECT qt_path, unnest(list_transform(range(0, length(qt_path) // 3 + 1), lambda i: substr(qt_path, 1, 3 * i))) AS prefix FROM paths),
+crowded AS (SELECT prefix FROM above GROUP BY 1 HAVING count(*) > 10)
+SELECT geometry_type, oid, qt_path, substr(qt_path, 1, coalesce((SELECT max(length(c.prefix)) + 3 FROM crowded c WHERE starts_with(p.qt_path, c.prefix)), 0)) AS quadrant FROM paths p"""
 
 
 @query("SELECT '1' || lpad(CAST(r AS VARCHAR), 3, '0') || lpad(CAST(c AS VARCHAR), 3, '0') AS id, CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM range(23) a(r), range(9) b(c) WHERE c <= CASE WHEN r % 2 = 1 THEN 6 ELSE 7 END", operations=False)
@@ -476,7 +702,17 @@ def hexagon_cells(spark, d):
 def ellipsoid_distances(spark, d):
     w = Window.partitionBy("geometry_type", "oid").orderBy("version")
     rows = event_operations(spark, d).where("lon IS NOT NULL").select("geometry_type", "oid", "version", "lon", "lat", F.lag("lon").over(w).alias("lon0"), F.lag("lat").over(w).alias("lat0"))
-    return rows.where("lon0 IS NOT NULL").select("geometry_type", "oid", "version", geo.andoyer(F.col("lon0"), F.col("lat0"), F.col("lon"), F.col("lat")).alias("metres"))
+    metres = geo.andoyer(F.col("lon0"), F.col("lat0"), F.col("lon"), F.col("lat"))
+    return rows.where("lon0 IS NOT NULL").select("geometry_type", "oid", "version", F.round(metres * 1000).cast("long").alias("millimetres"))
+
+
+_SQL["ellipsoid_distances"] = _with(
+    "steps AS (SELECT geometry_type, oid, version, lon, lat, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0 FROM ops WHERE lon IS NOT NULL WINDOW w AS (PARTITION BY geometry_type, oid ORDER BY version))",
+    "angles AS (SELECT *, 6378137.0::DOUBLE AS a, (6378137.0::DOUBLE - 6356752.314::DOUBLE) / 6378137.0::DOUBLE AS f, radians((lat0 + lat) / 2) AS m, radians((lat0 - lat) / 2) AS p, radians((lon0 - lon) / 2) AS l FROM steps WHERE lon0 IS NOT NULL)",
+    "sums AS (SELECT *, sin(p) ** 2 * cos(l) ** 2 + cos(m) ** 2 * sin(l) ** 2 AS s, cos(p) ** 2 * cos(l) ** 2 + sin(m) ** 2 * sin(l) ** 2 AS c FROM angles)",
+    "arcs AS (SELECT *, atan(sqrt(s / c)) AS w FROM sums)",
+    "ratios AS (SELECT *, CASE WHEN w > 0 THEN sqrt(s * c) / w END AS r FROM arcs)",
+) + """SELECT geometry_type, oid, version, CASE WHEN lon = lon0 AND lat = lat0 THEN 0 ELSE CAST(round(1000 * 2 * w * a * (1 + f * ((3 * r - 1) / (2 * c)) * sin(m) ** 2 * cos(p) ** 2 - f * ((3 * r + 1) / (2 * s)) * cos(m) ** 2 * sin(p) ** 2)) AS BIGINT) END AS millimetres FROM ratios"""
 
 
 def queries():
