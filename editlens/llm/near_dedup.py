@@ -283,24 +283,38 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return rows.repartition("b", "part").sortWithinPartitions("b", "part", "kind", "id").mapInArrow(tidy(_stars(k, percent)), _EDGE)
 
 
-_SHINGLE = "cluster long, id long, component long, n int, own long, h long"
+_SHINGLE = "own long, n int, h long"
 
 
 def _shingled(k: int):
-    """(cluster, id, component, packed) -> a row for each shingle; ``own`` tells texts of one id apart."""
+    """(cluster, packed) -> a row for each shingle, hashed with the cluster; ``own`` is its set."""
 
     def run(batches):
         for batch in batches:
-            for c, doc, component, own in zip(*(batch.column(i).to_pylist() for i in range(3)), unpacked_sets(batch.column(3), k)):
+            for c, own in zip(batch.column(0).to_pylist(), unpacked_sets(batch.column(1), k)):
                 n = len(own)
-                columns = [np.full(n, x, np.int64) for x in (c, doc, component, np.bitwise_xor.reduce(own, initial=U64(0)).view(np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns[:3], np.full(n, n, np.int32), columns[3], own.view(np.int64))], names=[x.split()[0] for x in _SHINGLE.split(", ")])
+                h = mix(own ^ mix(np.array([c], np.int64).view(U64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, set_number(own))), pa.array(np.full(n, n, np.int32)), pa.array(h)], names=["own", "n", "h"])
+
+    return run
+
+
+def set_number(own: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+
+
+def _numbered(k: int):
+    """(doc_id, packed) -> (doc_id, own)."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_number(own) for own in unpacked_sets(batch.column(1), k)], pa.int64())], names=["doc_id", "own"])
 
     return run
 
 
 def _prefix_pairs(percent: int):
-    """Rows (cluster, h, n, id, component) sorted so -> pairs of different components whose sizes allow the similarity."""
+    """Rows (h, n, id, component) sorted so -> pairs of different components whose sizes allow the similarity."""
 
     def pairs(n, ids, component):
         if (component == component[0]).all():
@@ -316,23 +330,23 @@ def _prefix_pairs(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = [batch.column(i).to_numpy() for i in range(5)]
+            t = [batch.column(i).to_numpy() for i in range(4)]
             if held is not None:
                 t = [np.concatenate(x) for x in zip(held, t)]
-            cut = np.flatnonzero(np.concatenate(([True], (t[0][1:] != t[0][:-1]) | (t[1][1:] != t[1][:-1]))))
+            cut = np.flatnonzero(np.concatenate(([True], t[0][1:] != t[0][:-1])))
             held = [x[cut[-1] :] for x in t]
             for a, b in zip(cut[:-1], cut[1:]):
                 if b - a > 1:
-                    yield from pairs(*(x[a:b] for x in t[2:]))
+                    yield from pairs(*(x[a:b] for x in t[1:]))
         if held is not None and len(held[0]) > 1:
-            yield from pairs(*held[2:])
+            yield from pairs(*held[1:])
 
     return run
 
 
-def links_of_large(plain: DataFrame, large: DataFrame, close: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Links within clusters large(doc_id, cluster) that connect what is linked in them; close(a, b): candidate pairs."""
-    texts = scratch.save(packed_texts(plain).join(large.hint("merge"), "doc_id").select("doc_id", "cluster", "packed"))
+def links_of_large(texts: DataFrame, close: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links within clusters, texts(doc_id, cluster, packed), that connect what is linked in them; close(a, b): candidate pairs."""
+    large = scratch.save(texts.select("doc_id", "cluster").distinct())
     ends = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     near = scratch.save(close.select(*ends).distinct().join(large.select(F.col("doc_id").alias("a")), "a", "left_semi"))
 
@@ -347,16 +361,16 @@ def links_of_large(plain: DataFrame, large: DataFrame, close: DataFrame, k: int,
     comp = component_of(links, "doc_id").withColumnRenamed("of_doc_id", "component")
     where = comp.join(large, "doc_id")
     apart = where.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("cluster")
-    rest = where.join(apart, "cluster", "left_semi").select("doc_id", "component")
-    rows = scratch.save(texts.join(rest, "doc_id").select("cluster", F.col("doc_id").alias("id"), "component", "packed").mapInArrow(tidy(_shingled(k)), _SHINGLE))
-    counts = rows.groupBy("cluster", "h").agg(F.count("*").alias("count")).where("count > 1")
-    text = Window.partitionBy("cluster", "id", "own")
-    # shingles of one document only come first in a document's order: they are counted, not joined
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    place = F.row_number().over(text.orderBy("count", "h")) + F.col("n") - F.count("*").over(text)
-    first = rows.join(counts, ["cluster", "h"]).withColumn("place", place).where(F.col("place") <= prefix)
-    first = first.select("cluster", "h", "n", "id", "component").repartition("cluster", "h").sortWithinPartitions("cluster", "h", "n", "id")
-    pairs = scratch.save(first.mapInArrow(tidy(_prefix_pairs(percent)), _EDGE).distinct())
+    rest = scratch.save(texts.join(where.join(apart, "cluster", "left_semi").select("doc_id", "component"), "doc_id"))
+    sets = rest.select("doc_id", "packed").mapInArrow(tidy(_numbered(k)), "doc_id long, own long").join(rest.select("doc_id", "component").distinct(), "doc_id")
+    rows = rest.select("cluster", "packed").mapInArrow(tidy(_shingled(k)), _SHINGLE)
+    counted = rows.withColumn("count", F.count("*").over(Window.partitionBy("h"))).where("count > 1")
+    # shingles of one set only come first in a set's order: they are counted, not ranked
+    of_set = Window.partitionBy("own")
+    place = F.row_number().over(of_set.orderBy("count", "h")) + F.col("n") - F.count("*").over(of_set)
+    first = counted.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("own", "n", "h")
+    dealt = first.join(sets, "own").select("h", "n", F.col("doc_id").alias("id"), "component").repartition("h").sortWithinPartitions("h", "n", "id")
+    pairs = scratch.save(dealt.mapInArrow(tidy(_prefix_pairs(percent)), _EDGE).distinct())
     return scratch.save(links.union(confirmed(pairs, texts, k, percent)))
 
 
@@ -378,25 +392,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     clusters = scratch.save(connected_components(close, scratch).join(members.where("n_shingles is not null").groupBy("doc_id").agg(F.sum("n_shingles").alias("n")), F.col("id") == F.col("doc_id")).select("doc_id", F.col("component").alias("cluster"), "n"))
     sizes = scratch.save(clusters.groupBy("cluster").agg(((F.count("*") > BLOCK) | (F.sum("n") > BLOCK_SHINGLES)).alias("large")))
     placed = scratch.save(clusters.join(sizes, "cluster").select("doc_id", "cluster", "large"))
-    small = (
-        packed_texts(plain)
-        .join(placed.where("not large").select("doc_id", "cluster").hint("merge"), "doc_id")  # it grows with the documents: one plan at every size
-        .select("cluster", F.col("doc_id").alias("id"), "packed")
-        .repartition("cluster")
-        .sortWithinPartitions("cluster", "id")
-    )
+    # placed grows with the documents: one plan at every size
+    texts = scratch.save(packed_texts(plain).join(placed.hint("merge"), "doc_id").select("doc_id", "cluster", "large", "packed"))
+    small = texts.where("not large").select("cluster", F.col("doc_id").alias("id"), "packed").repartition("cluster").sortWithinPartitions("cluster", "id")
     # rows that repeat a doc_id bring several classes together
     same = members.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     links = small.mapInArrow(tidy(_compare(k, percent)), _EDGE).union(same)
-    large = placed.where("large").select("doc_id", "cluster")
+    large = texts.where("large").select("doc_id", "cluster", "packed")
     if not large.isEmpty():
-        links = links.union(links_of_large(plain, large, close, k, percent, scratch))
+        links = links.union(links_of_large(large, close, k, percent, scratch))
     links = scratch.save(links)
     comp = scratch.save(connected_components(links, scratch))
     ends = scratch.save(
         members.select("doc_id", "rep").distinct().join(comp, F.col("doc_id") == F.col("id"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     )
-    scratch.drop(classes, members, close, clusters, sizes, placed, links, comp)
+    scratch.drop(classes, members, close, clusters, sizes, placed, texts, links, comp)
     out = signed.select("doc_id", "n_shingles").join(ends, "doc_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

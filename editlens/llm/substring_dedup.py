@@ -7,7 +7,8 @@ themselves) ends at the last place of the smallest hash within them. Chunks are
 a smaller id has it, and votes for the place where one has it: a document and the shift between both. Neighbouring
 repeated chunks form runs. For each place that chunks of a run vote for, both documents' bytes are compared from REACH
 before its first vote to REACH after its last (CONTEXT beyond the run at most), so that a chunk within a passage may vote
-for another place. Stretches of equal bytes, cut back to words that are whole in both documents, are passages if they have
+for another place; where the equal bytes go on to the end of what was compared (FOLLOWED of them or more), twice as much is
+compared, again and again. Stretches of equal bytes, cut back to words that are whole in both documents, are passages if they have
 ``min_words`` words: each stands in one piece in its ``first_doc_id``. Passages within others aren't reported.
 
 Before the shuffle by digest a slice of texts keeps one document's rows of each digest; the others' rows, known to be
@@ -15,8 +16,9 @@ repeated, bypass it (they are dealt by their own place). So a chunk that many do
 slice, not for each document. Texts move compressed, and only contexts of runs move further.
 
 Results for odd rows: null and empty texts and rows with a null doc_id repeat nothing and stay as they are; repeats within
-one document, and between rows of the same doc_id, don't count; a document of which no word is left is dropped by
-``without_repeats``; other columns are kept by it and not read here."""
+one document, and between rows of the same doc_id, don't count; of several documents that have a passage (ties included) the
+smallest id keeps it; an empty table gives no rows; texts are whole, however long; a document of which no word is left is
+dropped by ``without_repeats``; other columns are kept by it and not read here."""
 
 from __future__ import annotations
 
@@ -32,6 +34,10 @@ from .near_dedup import packed_texts
 RATE, QUIET, WINDOW, MOST = 24, 7, 16, 96
 #: Bytes that a run of whole chunks must cover to be looked at, and bytes compared beyond a run and beyond votes.
 LEAST_RUN, CONTEXT, REACH = 64, 256, 512
+#: Equal bytes at an edge of what was compared that are followed beyond it.
+FOLLOWED = 8
+#: Ids that may be broadcast.
+FEW_IDS = 1_000_000
 MIN_WORDS = 50
 
 _GEAR = np.random.RandomState(31).randint(0, 1 << 32, 256, np.int64).astype(np.uint32)
@@ -120,7 +126,7 @@ _BLANK = b" \t\n\x0b\x0c\r"
 
 
 def _batch(columns, spec: str) -> pa.RecordBatch:
-    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
     names, kinds = zip(*(x.split() for x in spec.split(", ")))
     return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(columns or [()] * len(names), kinds)], names=names)
 
@@ -163,12 +169,12 @@ def _places(batches):
         yield out(*held)
 
 
-_SEEN = "kind int, doc long, start int, end int, ref_doc long, ref_start int, ref_end int, bytes binary"
+_SEEN = "kind int, doc long, start int, end int, ref_doc long, ref_start int, ref_end int, bytes binary, more int"
 
 
 def _contexts(batches):
     """(doc, packed, wants) -> the bytes of places, one more on either side: kind 0 the document's own, kind 1 those that
-    others are held against."""
+    others are held against; ``more``: 1 if the text has more before them, 2 behind them, 3 both."""
     expand = zstandard.ZstdDecompressor()
     for batch in batches:
         rows = []
@@ -179,10 +185,11 @@ def _contexts(batches):
                 # a blank stands for the start and the end of the text
                 piece = (text[a - 1 : a] if a else b"") or b" "
                 piece += text[a:b] + (text[b : b + 1] or b" ")
+                more = (a > 0) + 2 * (b < len(text))
                 if w["kind"]:
-                    rows.append((1, None, None, None, doc, a, b, piece))
+                    rows.append((1, None, None, None, doc, a, b, piece, more))
                 else:
-                    rows.append((0, doc, a, b, w["ref_doc"], w["ref_start"], w["ref_start"] + b - a, piece))
+                    rows.append((0, doc, a, b, w["ref_doc"], w["ref_start"], w["ref_start"] + b - a, piece, more))
         yield _batch(list(zip(*rows)), _SEEN)
 
 
@@ -212,17 +219,31 @@ def passages(own: bytes, there: bytes, min_words: int) -> list[tuple[int, int, i
 
 
 _PASSAGE = "doc_id long, start int, end int, n_words int, first_doc_id long"
+_COMPARED = _PASSAGE + ", ref_start int, again boolean"
+
+
+def goes_on(own: bytes, there: bytes, more: int) -> tuple[bool, bool]:
+    """Whether equal bytes reach the start and the end of both pieces where both texts have more beyond."""
+    n = min(len(own), len(there)) - 2
+    if n < FOLLOWED:
+        return False, False
+    return bool(more & 1 and own[1 : 1 + FOLLOWED] == there[1 : 1 + FOLLOWED]), bool(more & 2 and own[1 + n - FOLLOWED : 1 + n] == there[1 + n - FOLLOWED : 1 + n])
 
 
 def _compared(min_words: int):
-    """(doc, start, ref_doc, own bytes, the other's) -> passages."""
+    """(doc, start, end, ref_doc, ref_start, own bytes, the other's, more) -> passages, or a wider place to compare."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, start, ref, own, there in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += [(doc, start + s, start + e, words, ref) for s, e, words in passages(own, there, min_words)]
-            yield _batch(list(zip(*rows)), _PASSAGE)
+            for doc, start, end, ref, ref_start, own, there, more in zip(*(c.to_pylist() for c in batch.columns)):
+                before, behind = goes_on(own, there, more)
+                if before or behind:
+                    wider = min(end - start, start, ref_start) if before else 0
+                    rows.append((doc, start - wider, end + (end - start if behind else 0), None, ref, ref_start - wider, True))
+                else:
+                    rows += [(doc, start + s, start + e, words, ref, None, False) for s, e, words in passages(own, there, min_words)]
+            yield _batch(list(zip(*rows)), _COMPARED)
 
     return run
 
@@ -256,19 +277,29 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .sortWithinPartitions("doc", "pos")
         .mapInArrow(tidy(_places), _PLACE)
     )
-    places = scratch.save(places)
-    own = places.select("doc", F.lit(0).alias("kind"), "start", "end", "ref_doc", "ref_start")
-    asked = places.select(F.col("ref_doc").alias("doc"), F.lit(1).alias("kind"), F.col("ref_start").alias("start"), (F.col("ref_start") + F.col("end") - F.col("start")).alias("end"), F.lit(None).cast("long").alias("ref_doc"), F.lit(None).cast("int").alias("ref_start")).distinct()
-    wants = scratch.save(own.union(asked).groupBy("doc").agg(F.collect_list(F.struct("kind", "start", "end", "ref_doc", "ref_start")).alias("wants")).withColumnRenamed("doc", "doc_id"))
-    seen = scratch.save(packed_texts(plain).join(wants, "doc_id").select("doc_id", "packed", "wants").mapInArrow(tidy(_contexts), _SEEN))
-    key = ["ref_doc", "ref_start", "ref_end"]
-    there = seen.where("kind = 1").select(*key, F.col("bytes").alias("there"))
-    both = seen.where("kind = 0").select("doc", "start", *key, "bytes").join(there, key)
-    out = both.select("doc", "start", "ref_doc", "bytes", "there").mapInArrow(tidy(_compared(min_words)), _PASSAGE)
-    out = out.repartition("doc_id").sortWithinPartitions("doc_id", "start", F.desc("end"), "first_doc_id").mapInArrow(tidy(_outer), _PASSAGE)
-    found = scratch.save(out)
-    scratch.drop(places, wants, seen)
-    return found
+    places, found = scratch.save(places), None
+    while True:
+        own = places.select("doc", F.lit(0).alias("kind"), "start", "end", "ref_doc", "ref_start")
+        asked = places.select(F.col("ref_doc").alias("doc"), F.lit(1).alias("kind"), F.col("ref_start").alias("start"), (F.col("ref_start") + F.col("end") - F.col("start")).alias("end"), F.lit(None).cast("long").alias("ref_doc"), F.lit(None).cast("int").alias("ref_start")).distinct()
+        wants = scratch.save(own.union(asked).groupBy("doc").agg(F.collect_list(F.struct("kind", "start", "end", "ref_doc", "ref_start")).alias("wants")).withColumnRenamed("doc", "doc_id"))
+        texts = plain
+        if found is not None and wants.count() <= FEW_IDS:  # only these texts are moved again
+            texts = plain.join(F.broadcast(wants.select("doc_id")), "doc_id", "left_semi")
+        seen = scratch.save(packed_texts(texts).join(wants, "doc_id").select("doc_id", "packed", "wants").mapInArrow(tidy(_contexts), _SEEN))
+        key = ["ref_doc", "ref_start", "ref_end"]
+        there = seen.where("kind = 1").select(*key, F.col("bytes").alias("there"), F.col("more").alias("more_there"))
+        both = seen.where("kind = 0").join(there, key)
+        both = both.select("doc", "start", "end", "ref_doc", "ref_start", "bytes", "there", F.col("more").bitwiseAND(F.col("more_there")).alias("more"))
+        compared = scratch.save(both.mapInArrow(tidy(_compared(min_words)), _COMPARED))
+        scratch.drop(places, wants, seen)
+        here = compared.where("not again").select("doc_id", "start", "end", "n_words", "first_doc_id")
+        found = here if found is None else found.union(here)
+        again = compared.where("again").select(F.col("doc_id").alias("doc"), "start", "end", F.col("first_doc_id").alias("ref_doc"), "ref_start")
+        if again.isEmpty():
+            break
+        places = scratch.save(again.distinct())
+    out = found.repartition("doc_id").sortWithinPartitions("doc_id", "start", F.desc("end"), "first_doc_id").mapInArrow(tidy(_outer), _PASSAGE)
+    return scratch.save(out)
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

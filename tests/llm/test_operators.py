@@ -314,6 +314,54 @@ def test_repeated_passages_whose_ends_stand_elsewhere(spark):
     assert got == {(10 * p + 6, 50 + p % 6, 10 * p + 5) for p in range(60)}
 
 
+def test_a_long_passage_whose_chunks_vote_elsewhere_is_followed(spark):
+    from editlens.llm.substring_dedup import repeated_passages
+
+    own = lambda s, n: [f"{random.Random(s * 10_000 + i).choice(WORDS)}{random.Random(s * 777 + i).randrange(10**5)}" for i in range(n)]
+    passage = own(70, 900)
+    rows = [(i, " ".join(own(7000 + i, 20) + passage[i : i + 24] + own(8000 + i, 20))) for i in range(0, 900, 12) if not 430 < i < 470]
+    rows += [(2000, " ".join(own(71, 60) + passage + own(72, 60))), (2001, " ".join(own(73, 500) + passage + own(74, 5)))]
+    got = {(x.doc_id, x.n_words, x.first_doc_id) for x in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert got == {(2001, 900, 2000)}
+
+
+def common_runs(a, b, least):
+    """Word places of b that lie in a run of ``least`` words that a has too."""
+    runs = {tuple(a[i : i + least]) for i in range(len(a) - least + 1)}
+    return {j + k for j in range(len(b) - least + 1) if tuple(b[j : j + least]) in runs for k in range(least)}
+
+
+def test_repeated_passages_brute_force(spark):
+    """Every reported passage stands in its first document (precision 1), and all words that stand in one smaller document
+    in 50 words or more are in a passage but for a hundredth of them (recall)."""
+    from editlens.llm.substring_dedup import repeated_passages
+
+    r = random.Random(31)
+    pool = [text(9000 + i, r.randrange(30, 140)).split() for i in range(25)]
+    docs = []
+    for i in range(120):
+        w = text(9500 + i, r.randrange(0, 60)).split()
+        for _ in range(r.randrange(0, 3)):
+            p = list(r.choice(pool))
+            if r.random() < 0.4:
+                p[r.randrange(len(p))] = f"changed{i}"
+            a = r.randrange(0, len(p) // 3)
+            w += p[a:] + text(9800 + i, r.randrange(1, 40)).split()
+        docs.append((i, w))
+    docs += [(300, ["solo"] * 4000 + ["end"]), (301, text(77, 9).split() + ["solo"] * 4000), (302, text(5, 3000).split()), (303, text(5, 3000).split()[700:])]
+    got = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(6)).collect()
+    texts = {i: " ".join(w) for i, w in docs}
+    found = {}
+    for x in got:
+        said = texts[x.doc_id].encode()[x.start : x.end].decode()
+        assert f" {said} " in f" {texts[x.first_doc_id]} " and x.first_doc_id < x.doc_id and len(said.split()) == x.n_words >= 50
+        first = len(texts[x.doc_id].encode()[: x.start].decode().split())
+        found.setdefault(x.doc_id, set()).update(range(first, first + x.n_words))
+    due = {i: set().union(*(common_runs(a, b, 50) for j, a in docs if j < i), set()) for i, b in docs}
+    assert all(found.get(i, set()) <= due[i] for i, _ in docs)
+    assert sum(len(found.get(i, set())) for i in due) >= 0.99 * sum(map(len, due.values()))
+
+
 def test_no_passage_of_pieces_of_several_documents(spark):
     from editlens.llm.substring_dedup import repeated_passages
 
