@@ -10,7 +10,9 @@ Conversations come together by a shuffle on their id, sorted by turn within part
 one conversation and a batch of rows, as long as the string it makes of it.
 
 Results for odd rows: null text and role count as empty; null turns come first; ties go by role, then text; repeated
-rows are repeated turns; rows with a null conv_id form one conversation; other columns are not read."""
+rows are repeated turns; a row with a null conv_id is a conversation of its own (such rows are dealt by their contents); an empty
+table gives no rows; texts are whole, however long (a formatted conversation has up to 2 GB, as every string); other columns
+are not read."""
 
 from __future__ import annotations
 
@@ -79,43 +81,56 @@ def assemble(conv: np.ndarray, roles: pa.Array, texts: pa.Array):
 FORMATTED = "conv_id long, n_turns long, formatted string, loss_start array<long>, loss_end array<long>"
 
 
+#: Conversations of about this many bytes are assembled at once (a longer one alone).
+_AT_ONCE = 32 << 20
+
+
+def _starts(batch: pa.RecordBatch) -> np.ndarray:
+    """Where conversations start in a sorted batch: at other ids, and at each null."""
+    key, nul = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | nul[1:] | nul[:-1])))
+
+
 def _formatted(batches):
-    held = None
-
-    def out(t: pa.Table):
-        t = t.combine_chunks()
-        ids = t.column("conv_id")
-        key = ids.fill_null(0).to_numpy()
-        nul = ids.is_null().to_numpy()
-        new = np.concatenate(([False], (key[1:] != key[:-1]) | (nul[1:] != nul[:-1])))
-        conv = np.cumsum(new)
-        whole = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-        text, lists, turns = assemble(conv, whole(t.column("role").cast(pa.large_string())), whole(t.column("text").cast(pa.large_string())))
-        first = np.flatnonzero(np.concatenate(([True], new[1:]))) if len(new) else []
-        return pa.RecordBatch.from_arrays([whole(ids.take(pa.array(first))), pa.array(turns), text.cast(pa.string()), *lists], names=["conv_id", "n_turns", "formatted", "loss_start", "loss_end"])
+    held: list[pa.RecordBatch] = []  # rows of the last conversation
+
+    def out(parts):
+        t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        start = _starts(t)
+        size = np.bincount(np.searchsorted(start, np.arange(t.num_rows), side="right") - 1, np.diff(utf8(t.column(2))[1]) + 64)
+        cut = np.append(np.flatnonzero(np.diff(np.cumsum(size) // _AT_ONCE, prepend=-1)), len(start))
+        for a, b in zip(cut, cut[1:]):
+            piece = t.slice(start[a], (start[b] if b < len(start) else t.num_rows) - start[a])
+            own = start[a:b] - start[a]
+            conv = np.searchsorted(own, np.arange(piece.num_rows), side="right") - 1
+            text, lists, turns = assemble(conv, piece.column(1).cast(pa.large_string()), piece.column(2).cast(pa.large_string()))
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(own)), pa.array(turns), text.cast(pa.string()), *lists], names=["conv_id", "n_turns", "formatted", "loss_start", "loss_end"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = pa.Table.from_batches([batch])
-        held = t if held is None else pa.concat_tables([held, t])
-        ids = held.column("conv_id")
-        last = ids[held.num_rows - 1]
-        # the last conversation may go on
-        same = pc.is_null(ids) if not last.is_valid else pc.fill_null(pc.equal(ids, last), False)
-        done = held.num_rows - int(pc.sum(same).as_py())
-        if done:
-            yield out(held.slice(0, done))
-            held = held.slice(done)
-    if held is not None and held.num_rows:
-        yield out(held)
+        start = _starts(batch)
+        first = batch.column(0)[0]
+        goes_on = bool(held) and first.is_valid and first.equals(held[-1].column(0)[0])
+        if goes_on and len(start) == 1:
+            held.append(batch)
+            continue
+        if held and not goes_on:
+            yield from out(held)
+            held = []
+        if start[-1]:
+            yield from out([*held, batch.slice(0, start[-1])])
+        held = [*([] if start[-1] else held), batch.slice(start[-1])]
+    if held:
+        yield from out(held)
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """turns(conv_id, turn, role, text) -> one row for each conversation: FORMATTED."""
     ship(turns.sparkSession)
     plain = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return plain.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(tidy(_formatted), FORMATTED)
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    return plain.repartition(F.col("conv_id"), alone).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(tidy(_formatted), FORMATTED)
 
 
 _TURN = re.compile(re.escape(HEAD) + "(.*?)\n(.*?)" + re.escape(END), re.S)

@@ -12,9 +12,11 @@ middle one different, which 11011 fits. Words are runs of letters, digits and ot
 The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words, each broadcast in turn and held against all
 documents; a usual benchmark is one block.
 
-Results for odd rows: null and empty texts and items overlap nothing; an item shorter than every mask is found by
-its whole words only, as one seed without gaps; repeated rows give repeated results; a null doc_id is reported as
-null; other columns are not read (``without_contaminated`` keeps them)."""
+Items of fewer than ``least_item`` words (LEAST_ITEM) would mark every document with a common phrase and overlap nothing.
+
+Results for odd rows: null and empty texts and items overlap nothing; empty tables give no rows (and no benchmark, no
+overlaps); repeated rows give repeated results; a null doc_id is reported as null; texts are whole, however long; of overlaps
+of one document and item that tie the first is reported; other columns are not read (``without_contaminated`` keeps them)."""
 
 from __future__ import annotations
 
@@ -30,6 +32,7 @@ MASKS = ("1110111", "1111")
 #: Of items shorter than MIN_WORDS, besides.
 SHORT_MASKS = ("111", "11011")
 MIN_WORDS, EQUAL, DIFFERENT = 13, 1, -4
+LEAST_ITEM = 5
 BLOCK_WORDS = 2_000_000
 _FILTER_BITS = 22
 #: Hits, and words of diagonals, that are held at once.
@@ -88,8 +91,10 @@ def best_run(same: np.ndarray, need: int) -> tuple[int, int, int] | None:
 class Index:
     """Seeds of a block of benchmark items. Short masks are used for items shorter than MIN_WORDS only."""
 
-    def __init__(self, ids: np.ndarray, texts: pa.Array):
+    def __init__(self, ids: np.ndarray, texts: pa.Array, least_item: int = LEAST_ITEM):
         w = _words(texts)
+        long = np.diff(w.first) >= least_item
+        ids, w = ids[long], w if long.all() else _words(texts.filter(pa.array(long)))
         self.ids, self.first, self.hash = ids, w.first, w.hash
         size = np.diff(w.first)
         doc = np.repeat(np.arange(len(size)), size)
@@ -166,7 +171,7 @@ class Index:
         return [(d, i, *v) for (d, i), v in best.items()]
 
 
-def blocks(benchmark: DataFrame):
+def blocks(benchmark: DataFrame, least_item: int = LEAST_ITEM):
     """Indexes of the benchmark, one for each block of about BLOCK_WORDS words at most."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     letters = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
@@ -174,7 +179,7 @@ def blocks(benchmark: DataFrame):
     for k in range(n):
         own = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         t = own.toPandas()
-        yield Index(t["item_id"].to_numpy(), pa.array(t["text"].tolist(), pa.string()))
+        yield Index(t["item_id"].to_numpy(), pa.array(t["text"].tolist(), pa.string()), least_item)
 
 
 def _found(shared):
@@ -190,18 +195,18 @@ def _found(shared):
     return run
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, least_item: int = LEAST_ITEM) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> FOUND: a row for each document and item that overlap."""
     ship(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for index in blocks(benchmark):
+    for index in blocks(benchmark, least_item):
         own = plain.mapInArrow(tidy(_found(docs.sparkSession.sparkContext.broadcast(index))), FOUND)
         out = own if out is None else out.union(own)
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, least_item: int = LEAST_ITEM) -> DataFrame:
     """The rows of docs that overlap no benchmark item, with all their columns."""
     ship(docs.sparkSession)
 
@@ -216,6 +221,6 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
-    for index in blocks(benchmark):
+    for index in blocks(benchmark, least_item):
         docs = docs.mapInArrow(tidy(keep(docs.sparkSession.sparkContext.broadcast(index))), docs.schema)
     return docs

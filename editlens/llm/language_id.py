@@ -2,10 +2,13 @@
 
 Texts are lower-cased and all that isn't a letter becomes one blank; n-grams of one to ORDERS characters are hashed
 to 2**BITS buckets. Counts are exact over all learning documents: each task counts in numpy, Spark adds the counts,
-and the matrix of log-probabilities (languages x buckets) is broadcast.
+and the matrix of log-probabilities (languages x buckets) is broadcast, LANGUAGES of them (16 MB) at a time: a table of more
+languages is scored block by block, and each text carries its best language and its sum of probabilities on.
 
 Results for odd rows: a null text, and one without a letter, is ``und`` with score 0; so is every text when nothing
-could be learned; rows with a null lang teach nothing; a null doc_id is predicted and teaches; extra columns are not read."""
+could be learned; rows with a null lang teach nothing; a null doc_id is predicted and teaches; an empty table gives no rows;
+texts are whole, however long; repeated rows teach and are predicted each for itself; of languages that tie the first in order
+is taken; extra columns are not read."""
 
 from __future__ import annotations
 
@@ -18,10 +21,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, ship, slices, tidy, utf8
+from .common import Scratch, U64, mix, slices, tidy, utf8
 from .toxicity import in_part
 
-BITS, ORDERS, ALPHA = 15, 3, 0.5
+BITS, ORDERS, ALPHA, LANGUAGES = 15, 3, 0.5, 64
 
 
 @functools.lru_cache(None)
@@ -61,64 +64,81 @@ def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _count(batches):
     """(lang, text) -> (lang, bucket, n): counts of the whole task; bucket -1 has the number of texts."""
     total: dict[str, np.ndarray] = {}
+
+    def rows():
+        for name, own in total.items():
+            at = np.flatnonzero(own)
+            bucket = np.where(at == 1 << BITS, -1, at)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(bucket.astype(np.int32)), pa.array(own[at])], names=["lang", "bucket", "n"])
+        total.clear()
+
     for batch in batches:
         for part in slices(batch, "text"):
             langs = part.column(0).dictionary_encode()
             names, code = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             ids, docs, _ = ngrams(part.column(1))
-            both = np.bincount(code[docs] << BITS | ids, minlength=len(names) << BITS).reshape(-1, 1 << BITS)
             texts = np.bincount(code, minlength=len(names))
+            order = np.argsort(code[docs], kind="stable")
+            ids, cut = ids[order], np.searchsorted(code[docs][order], np.arange(len(names) + 1))
             for k, name in enumerate(names):
+                if name not in total and len(total) >= LANGUAGES:
+                    yield from rows()
                 own = total.setdefault(name, np.zeros((1 << BITS) + 1, np.int64))
-                own[:-1] += both[k]
+                own[:-1] += np.bincount(ids[cut[k] : cut[k + 1]], minlength=1 << BITS)
                 own[-1] += texts[k]
-    for name, own in total.items():
-        at = np.flatnonzero(own)
-        bucket = np.where(at == 1 << BITS, -1, at)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(bucket.astype(np.int32)), pa.array(own[at])], names=["lang", "bucket", "n"])
+    yield from rows()
 
 
-def learn(docs: DataFrame):
-    """(languages, log-probabilities, log-priors) from docs(lang, text), or None; languages in order."""
-    ship(docs.sparkSession)
+def learn(docs: DataFrame, scratch: Scratch):
+    """Yields (languages, log-probabilities, log-priors, whether they are the last) from docs(lang, text), at most LANGUAGES in
+    order at a time."""
     known = docs.where("lang is not null").select(F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts = known.mapInArrow(tidy(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    if not len(counts):
-        return None
-    names = sorted(set(counts.lang))
-    at = counts.lang.map({x: i for i, x in enumerate(names)}).to_numpy()
-    table = np.zeros((len(names), 1 << BITS))
-    texts = np.zeros(len(names))
-    first = (counts.bucket == -1).to_numpy()
-    texts[at[first]] = counts.n.to_numpy()[first]
-    table[at[~first], counts.bucket.to_numpy()[~first]] = counts.n.to_numpy()[~first]
-    log = np.log(table + ALPHA) - np.log(table.sum(1, keepdims=True) + ALPHA * (1 << BITS))
-    return names, np.ascontiguousarray(log.T), np.log(texts / texts.sum())
-
-
-def _predict(shared):
+    counts = scratch.save(known.mapInArrow(tidy(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    texts = counts.where("bucket = -1").orderBy("lang").select("lang", "n").toPandas()  # a row for each language
+    every = texts.n.sum()
+    for start in range(0, len(texts), LANGUAGES):
+        some = texts.iloc[start : start + LANGUAGES]
+        names = some.lang.tolist()
+        number = F.element_at(F.create_map(*(x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i)))), F.col("lang"))
+        own = counts.where((F.col("bucket") >= 0) & F.col("lang").between(names[0], names[-1])).select(number.alias("k"), "bucket", "n").toPandas()
+        table = np.zeros((len(names), 1 << BITS))
+        table[own.k.to_numpy(np.int64), own.bucket.to_numpy()] = own.n.to_numpy()
+        log = np.log(table + ALPHA) - np.log(table.sum(1, keepdims=True) + ALPHA * (1 << BITS))
+        yield names, np.ascontiguousarray(log.T), np.log(some.n.to_numpy() / every), start + LANGUAGES >= len(texts)
+
+
+def _score(shared):
+    """Rows with the best language so far and its log-probability, and the log of the sum of all, after these languages too."""
+
     def run(batches):
-        model = shared.value
+        names, log, prior, last = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                lang, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
-                if model is not None and part.num_rows:
-                    names, log, prior = model
-                    ids, docs, letters = ngrams(part.column(1))
-                    total = np.stack([np.bincount(docs, log[:, k][ids], part.num_rows) for k in range(len(names))], 1) + prior
-                    best = total.argmax(1)
-                    chance = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-                    for i in np.flatnonzero(letters):
-                        lang[i] = names[best[i]]
-                    score = np.where(letters > 0, chance, 0.0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+                ids, docs, letters = ngrams(part.column(part.schema.get_field_index("text")))
+                total = np.stack([np.bincount(docs, log[:, k][ids], part.num_rows) for k in range(len(names))], 1) + prior
+                at = total.argmax(1)
+                top = total[np.arange(len(at)), at]
+                sums = top + np.log(np.exp(total - top[:, None]).sum(1))
+                top = np.where(letters > 0, top, -np.inf)
+                best = part.column(part.schema.get_field_index("best")).to_numpy()
+                whole = np.logaddexp(part.column(part.schema.get_field_index("whole")).to_numpy(), sums)
+                better = top > best  # of equals the first
+                before = part.column(part.schema.get_field_index("lang_pred")).to_pylist()
+                lang = [names[k] if b else x for k, b, x in zip(at, better, before)]
+                columns = {"best": pa.array(np.where(better, top, best)), "whole": pa.array(whole), "lang_pred": pa.array(lang, pa.string())}
+                kept = [n for n in part.schema.names if n != "text" or not last]
+                yield pa.RecordBatch.from_arrays([columns.get(n, part.column(part.schema.get_field_index(n))) for n in kept], names=kept)
 
     return run
 
 
 def language_id(docs: DataFrame, parts: int = 4, held_out: int = 2) -> DataFrame:
     """docs(doc_id, text, lang) -> (doc_id, held_out, lang_pred, score); learns on documents that aren't held out."""
-    out = in_part("doc_id", parts, held_out)
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs.where(~out)))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(tidy(_predict(shared)), "doc_id long, lang_pred string, score double").select("doc_id", out.alias("held_out"), "lang_pred", "score")
+    out, spark = in_part("doc_id", parts, held_out), docs.sparkSession
+    low = F.lit(float("-inf"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit("und").alias("lang_pred"), low.alias("best"), low.alias("whole"))
+    for model in learn(docs.where(~out), Scratch(spark)):
+        text = "" if model[-1] else "text string, "
+        rows = rows.mapInArrow(tidy(_score(spark.sparkContext.broadcast(model))), f"doc_id long, {text}lang_pred string, best double, whole double")
+    score = F.when(F.col("best") == float("-inf"), 0.0).otherwise(F.least(F.lit(1.0), F.exp(F.col("best") - F.col("whole"))))
+    return rows.select("doc_id", out.alias("held_out"), "lang_pred", score.alias("score"))

@@ -9,11 +9,13 @@ remain is beyond the query's k-th best score so far. A first k-th best comes fro
 Scores are exact integers; bounds have a slack over their rounding, and ties are never cut off.
 
 The pivots are picked on at most SAMPLE vectors (those of the smallest hashed id), each far from those before.
-Queries are broadcast in waves of at most WAVE, so any number of them can be asked.
+Queries are broadcast in waves of at most WAVE_BYTES, so any number of them can be asked.
 
-Results for odd rows: vectors that are null, or hold a null or a non-finite component, and rows with a null id take no
-part; vectors of another length than the most frequent one raise an error in the task; repeated ids are separate
-candidates, except that a query never gets rows of its own id; other columns are not read."""
+Results for odd rows: vectors that are null or empty, or hold a null or a non-finite component, and rows with a null id take no
+part, nor do vectors of another length than the most frequent one (of equally frequent ones the smallest); repeated ids are
+separate candidates, except that a query never gets rows of its own id, and of rows that repeat a query's id the smallest vector
+asks; empty tables give no rows; ties go to the smaller id, and rows that tie in score and id all count; scores beyond 63 bits
+are held to 62 bits; other columns are not read."""
 
 from __future__ import annotations
 
@@ -26,7 +28,7 @@ from .common import Scratch, tidy
 
 #: Below every score.
 LEAST = -(1 << 62)
-PIVOTS, SAMPLE, RING, WAVE, SCALE = 32, 2048, 512, 50_000, 1024
+PIVOTS, SAMPLE, RING, WAVE_BYTES, SCALE = 32, 2048, 512, 32 << 20, 1024
 
 
 def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -53,7 +55,10 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     most = (int(np.abs(a).max(initial=0)) or 1) * (int(np.abs(b).max(initial=0)) or 1) * max(1, a.shape[1])
     if most < 1 << 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    if most < 1 << 63:
+        return a @ b.T
+    exact = a.astype(object) @ b.T.astype(object)  # integers of any size
+    return np.clip(exact, LEAST + 1, -LEAST).astype(np.int64)
 
 
 def _lift(v: np.ndarray, most: float) -> np.ndarray:
@@ -132,7 +137,7 @@ def _search(shared, pivots: np.ndarray, most: float, k: int):
             bound = np.maximum(0, np.maximum(lo - d, d - hi))
             for r in np.argsort(bound.min(0), kind="stable"):
                 reach = np.maximum(best.score[block, -1], floor[block]).astype(np.float64)
-                limit = np.sqrt(np.maximum(square[block] + most - 2 * reach, 0)) * (1 + 1e-9) + 1e-3
+                limit = np.sqrt(np.maximum(square[block] + most - 2 * reach, 0)) * (1 + 1e-9) + 1e-3 + 1e-6 * np.sqrt(square[block] + most)
                 live = np.flatnonzero((bound[:, r] <= limit) | (reach <= LEAST))
                 if len(live):
                     rows = block[live]
@@ -145,20 +150,25 @@ def _search(shared, pivots: np.ndarray, most: float, k: int):
 
 
 _OUT = "query_id long, vec_id long, score long"
+_RANKED = "query_id long, rank int, vec_id long, score long"
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """vectors(vec_id, v), queries(vec_id, v) -> (query_id, rank, vec_id, score): the k largest inner products."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    rows = scratch.save(vectors)
+    usual = vectors.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("k"), "n").first()
+    if usual is None:
+        return spark.createDataFrame([], _RANKED)
+    rows = scratch.save(vectors.where(F.size("v") == usual.n))
+    queries = scratch.save(queries.where(F.size("v") == usual.n).groupBy("vec_id").agg(F.min("v").alias("v")))
     square = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     most, n = rows.agg(F.coalesce(F.max(square), F.lit(0.0)), F.count("*")).first()
     most = most * (1 + 1e-12) + 1
-    waves = max(1, -(-queries.count() // WAVE))
+    waves = max(1, -(-queries.count() * usual.n * 8 // WAVE_BYTES))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     if not len(sample):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return spark.createDataFrame([], _RANKED)
     taken, taken_ids = np.array(sample["v"].tolist(), np.int64), sample["vec_id"].to_numpy(np.int64)
     pivots = pick_pivots(_lift(taken, most), PIVOTS)
     index = scratch.save(rows.mapInArrow(tidy(_keyed(pivots, most)), "vec_id long, v array<long>, pivot int, distance double").repartitionByRange("pivot", "distance", "vec_id").sortWithinPartitions("pivot", "distance", "vec_id"))
@@ -176,7 +186,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         part = index.mapInArrow(tidy(_search(shared, pivots, most, k)), _OUT)
         found = part if found is None else found.union(part)
     if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return spark.createDataFrame([], _RANKED)
     from pyspark.sql import Window
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

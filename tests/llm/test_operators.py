@@ -167,12 +167,16 @@ def test_chat_round_trip(spark):
     convs = {}
     for x in rows:
         convs.setdefault(x[0], []).append(x)
-    for row in out.collect():
+    alone = [x for x in convs.pop(None)]  # each a conversation of its own
+    none = [row for row in out.collect() if row.conv_id is None]
+    assert sorted(read_back(row.formatted) for row in none) == sorted([(x[2] or "", x[3] or "")] for x in alone)
+    assert format_chats(df.where("false")).count() == 0
+    for row in out.where("conv_id is not null").collect():
         want = [(x[2] or "", x[3] or "") for x in sorted(convs[row.conv_id], key=lambda x: (x[1], x[2] is not None, x[2] or "", x[3] is not None, x[3] or ""))]
         assert read_back(row.formatted) == want and row.n_turns == len(want)
         for s in CONTROL[2:]:
             assert s not in row.formatted
-    for d in digests(out).collect():
+    for d in digests(out.where("conv_id is not null")).collect():
         turns = [(x[2] or "", x[3] or "") for x in sorted(convs[d.conv_id], key=lambda x: (x[1], x[2] is not None, x[2] or "", x[3] is not None, x[3] or ""))]
         loss = "".join(t for role, t in turns if role == "assistant")
         assert (d.loss_chars, d.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
@@ -223,6 +227,47 @@ def test_language_id(spark, rows):
     assert all(got[i].held_out for i, _ in held) and np.mean([got[i].lang_pred == g for i, g in held]) > 0.97
     assert {got[i].lang_pred for i in (1001, 1002, 1003)} == {"und"} and got[1004].lang_pred in said
     assert language_id(frame(spark, docs[:3]).withColumn("lang", F.lit(None).cast("string"))).where("lang_pred != 'und'").count() == 0
+    assert language_id(frame(spark, [])).count() == 0
+    tie = [(i, t, g) for i, (t, g) in enumerate([("abc", "b"), ("abc", "a")] * 4)]
+    assert {x.lang_pred for x in language_id(frame(spark, tie)).collect() if sum(zlib.crc32(str(i).encode()) % 4 != 2 for i, _, g in tie if g == "a") == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i, _, g in tie if g == "b")} <= {"a"}
+
+
+def test_language_id_brute_force_in_blocks_of_languages(spark, monkeypatch):
+    """Against naive Bayes over dictionaries of n-grams (by bucket), for more languages than one block has."""
+    import math
+    import re
+
+    from editlens.llm import language_id as L
+
+    monkeypatch.setattr(L, "LANGUAGES", 3)
+    r = random.Random(15)
+    said = {f"l{k}": [text(100 + 7 * k + j, 1)[:6] for j in range(8)] for k in range(8)}
+    docs = [(i, " ".join(r.choice(said[g]) for _ in range(r.randrange(1, 9))), g) for i in range(160) for g in [r.choice(list(said))]]
+    learned = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 4 != 2]
+
+    def grams(t):
+        s = re.sub("[^a-zéñ]+", " ", t.lower())
+        s = s.lstrip()
+        found = [s[i : i + k] for k in (1, 2, 3) for i in range(len(s) - k + 1) if s[i : i + k] != " "]
+        buckets = L.ngrams(pa.array([t]))[0].tolist()
+        assert len(buckets) == len(found) and all(known.setdefault(x, b) == b for x, b in zip(found, buckets))
+        return buckets
+
+    known, counts, texts = {}, {g: {} for g in said}, {g: 0 for g in said}
+    for _, t, g in learned:
+        texts[g] += 1
+        for x in grams(t):
+            counts[g][x] = counts[g].get(x, 0) + 1
+
+    def scores(t):
+        return {g: math.log(texts[g] / len(learned)) + sum(math.log((counts[g].get(x, 0) + L.ALPHA) / (sum(counts[g].values()) + L.ALPHA * (1 << L.BITS))) for x in grams(t)) for g in said}
+
+    got = {x.doc_id: x for x in L.language_id(frame(spark, docs)).collect()}
+    for i, t, _ in docs:
+        s = scores(t)
+        best = min(s, key=lambda g: (-s[g], g))
+        share = 1 / sum(math.exp(v - s[best]) for v in s.values())
+        assert got[i].lang_pred == best and abs(got[i].score - share) < 1e-9
 
 
 def test_top_k_brute_force(spark):
@@ -246,6 +291,20 @@ def test_top_k_brute_force(spark):
         best = sorted((-int(s[j]), int(ids[j])) for j in range(len(ids)) if ids[j] != query)[:10]
         assert [got[query][n] for n in range(1, 11)] == [(i, -x) for x, i in best]
     assert top_k(data.where("false"), data.where("false")).count() == 0
+    repeated = top_k(data, data.where("vec_id in (300, 500)"), 10).groupBy("query_id").count().collect()
+    assert sorted((r.query_id, r["count"]) for r in repeated) == [(300, 10), (500, 10)]
+
+
+def test_top_k_of_odd_vectors(spark):
+    from editlens.llm.vector_search import quantized, top_k
+
+    rows = [(i, [float(i), 1.0]) for i in range(30)] + [(100, [1.0, 2.0, 3.0]), (200, []), (300, [5.0]), (400, [1e15, 1e15]), (401, [1e15, -1e15])]
+    data = quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for r in top_k(data, data.where("vec_id in (0, 3, 100, 300, 400)"), 3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == [0, 3, 400]  # others have another length
+    assert [x[1] for x in sorted(got[3])] == [400, 401, 29] and sorted(got[400])[0][1] == 29 or sorted(got[400])[0][2] > 1 << 60
 
 
 def test_masked_lm(spark, rows):
@@ -392,9 +451,12 @@ def test_decontamination(spark):
     docs += [(100, own(100) + " " + items[3][1], "en"), (101, altered(items[4][1], 8) + " " + own(101), "en"), (102, " ".join(items[5][1].split()[:16]), "en"), (103, " ".join(items[6][1].split()[:9]), "en"), (104, own(1) + " Solo. " + own(2), "en"), (105, items[23][1].upper(), "en"), (106, None, "en"), (107, "", "en")]
     df = frame(spark, docs)
     got = {(x.doc_id, x.item_id) for x in overlaps(df, bench).collect()}
-    assert got == {(100, 3), (101, 4), (102, 5), (104, 22), (105, 23)}
-    assert sorted(x.doc_id for x in without_contaminated(df, bench).collect()) == [*range(30), 103, 106, 107]
-    assert overlaps(df, bench.where("false")).count() == 0
+    assert got == {(100, 3), (101, 4), (102, 5), (105, 23)}  # an item of one word overlaps nothing
+    assert {(x.doc_id, x.item_id) for x in overlaps(df, bench, least_item=1).collect()} == got | {(104, 22)}
+    assert sorted(x.doc_id for x in without_contaminated(df, bench).collect()) == [*range(30), 103, 104, 106, 107]
+    assert overlaps(df, bench.where("false")).count() == overlaps(df.where("false"), bench).count() == without_contaminated(df.where("false"), bench).count() == 0
+    odd = [(None, items[3][1], "en"), (200, text(1, 30_000) + " " + items[7][1] + " " + text(2, 30_000), "en"), (201, items[8][1], "en"), (201, items[8][1], "en")]
+    assert sorted((x.doc_id or -1, x.item_id) for x in overlaps(frame(spark, odd), bench).collect()) == [(-1, 3), (200, 7), (201, 8), (201, 8)]
 
 
 def test_decontamination_in_blocks(spark, monkeypatch):
@@ -413,7 +475,7 @@ def test_decontamination_finds_every_run_of_four_fifths():
     from editlens.llm.decontaminate import MIN_WORDS, Index
 
     def search(item, doc):
-        index = Index(np.array([7]), pa.array([" ".join(item)]))
+        index = Index(np.array([7]), pa.array([" ".join(item)]), 1)
         return index.search(pa.array([" ".join(["before"] * 3 + doc + ["after"] * 3)]))
 
     for n in range(1, 18):
