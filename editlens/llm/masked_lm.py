@@ -1,35 +1,38 @@
 """Masked pseudo-likelihood scores: a bidirectional window network predicts every word from both sides.
 
-The words of all documents are counted exactly. The most frequent VOCABULARY words form CLASSES - 1 classes of about
-equal mass, the others one more. The network adds an embedding for each of the RADIUS words on either side (by place),
-applies tanh and gives the class of the hidden word by softmax; within its class a word has its share of the counts
-(a rare one its hashed bucket's share, divided by the different words there). The log-probabilities of all words,
-each with itself hidden, add up to the document's score.
-
-Training covers every position of every document once: each task trains a copy from the same start in numpy (Adagrad
-on minibatches) and the copies are averaged, weighted by words, through a tree of tasks, so that what reaches the
-driver doesn't grow with the number of tasks.
-
-Results for odd rows: null and empty texts, and those without words, have 0 words, log-probability 0 and a null mean;
-repeated rows are scored alike; a null doc_id stays null; other columns are not read."""
+The words of all documents are counted exactly. The VOCABULARY most frequent ones, and one leaf for all others, are the leaves
+of a Huffman tree of their counts. The network adds an embedding for each of the RADIUS words on either side (by place; of
+the vocabulary, else by hash) and applies tanh; every inner node of the tree has a vector that tells by a sigmoid which way
+the hidden word lies, so that the probabilities of all words sum up to one. A word beyond the vocabulary has, behind
+its leaf, its own exact share of the counts of such words, by a join with the counts. The log-probabilities of all words, each with
+itself hidden, add up to the document's score.
+
+Training covers every position of every document, ROUNDS times: documents are dealt by hash to shards of about SHARD_WORDS words,
+a number that only the corpus decides; each shard trains a copy from the same start in numpy (Adagrad on minibatches), in the
+order of the hashes, and the copies are averaged, weighted by words, through a tree of tasks. So neither the number of
+tasks nor a lost executor changes the model (but for rounding), and what reaches the driver doesn't grow.
+
+Results for odd rows: null and empty texts, and those without words, have 0 words, log-probability 0 and a null mean; an empty
+table gives no rows; repeated rows are scored alike and count as often as they are there; of words that tie in their count the
+smaller hash comes first; texts are whole, however long; a null doc_id stays null; other columns are not read."""
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, U64, Words, slices, tidy, utf8
+from .common import Scratch, U64, Words, flat_gather, slices, tidy, utf8
 
-VOCABULARY, INPUTS, RARE, CLASSES = 8192, 2048, 4096, 64
-HIDDEN, RADIUS, BATCH, RATE = 16, 2, 4096, 0.1
+VOCABULARY, SPARE, HIDDEN, RADIUS, BATCH, RATE = 8192, 1024, 16, 2, 8192, 0.1
 OFFSETS = (*range(-RADIUS, 0), *range(1, RADIUS + 1))
-_SPARE = 64
-#: Input numbers: the INPUTS most frequent words, hashed others, and the edge of a text.
-EDGE = INPUTS + _SPARE
-FANIN = 16
+#: Input numbers: words of the vocabulary, hashed others, and the edge of a text.
+EDGE = VOCABULARY + SPARE
+SHARD_WORDS, ROUNDS, FANIN = 4_000_000, 1, 16
 
 
 def words_of(texts: pa.Array) -> Words:
@@ -60,114 +63,129 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["h", "n"])
 
 
+def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inner nodes and turns (-1, 1) on the way from the root to each leaf, one leaf after another, and offsets."""
+    n = len(weights)
+    heap = [(float(w), i) for i, w in enumerate(weights)]
+    heapq.heapify(heap)
+    up, turn = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.float32)
+    for node in range(n, 2 * n - 1):
+        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+        up[x], up[y], turn[x], turn[y] = node, node, -1, 1
+        heapq.heappush(heap, (a + b, node))
+    nodes, turns, size = [], [], []
+    for leaf in range(n):
+        at, before = leaf, len(nodes)
+        while at != 2 * n - 2:
+            nodes.append(up[at] - n)
+            turns.append(turn[at])
+            at = up[at]
+        size.append(len(nodes) - before)
+    return np.array(nodes, np.int64), np.array(turns, np.float32), np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+
+
 class Lexicon:
-    """Numbers, classes and within-class log-probabilities of words, from counts over all documents."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, rare: np.ndarray):
-        """hashes, counts: the vocabulary, most frequent first. rare: for each bucket the count and number of others."""
-        mass = np.cumsum(counts) - counts
-        self.of_rank = np.minimum((mass * (CLASSES - 1)) // max(1, counts.sum()), CLASSES - 2).astype(np.int64)
-        whole = np.bincount(self.of_rank, counts, CLASSES)
-        self.log_in = np.log(counts / whole[self.of_rank])
-        all_rare = max(1.0, rare[:, 0].sum())
-        self.log_rare = np.log(np.maximum(rare[:, 0], 1) / all_rare / np.maximum(rare[:, 1], 1))
+    """Numbers of the most frequent words and the tree of their counts; the last leaf stands for all others."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, rare: int):
+        """hashes, counts: the vocabulary, most frequent first. rare: how often all other words occur."""
         order = np.argsort(hashes)
         self.hashes, self.ranks = hashes[order], order
-        share = np.bincount(self.of_rank, counts, CLASSES)
-        share[-1] += all_rare
-        self.log_class = np.log((share + 1) / (share + 1).sum())
-
-    def look_up(self, h: np.ndarray):
-        """(input number, class, log-probability within the class) of each word."""
+        self.leaves, self.rare = len(hashes) + 1, rare
+        weights = np.append(counts, max(1, rare)).astype(float)
+        self.nodes, self.turns, self.start = huffman(weights)
+        # log-odds of the counts at each node, so that training starts from frequencies
+        ways = np.zeros((2, max(1, self.leaves - 1)))
+        leaf = np.repeat(np.arange(self.leaves), np.diff(self.start))
+        np.add.at(ways, ((self.turns > 0).astype(int), self.nodes), weights[leaf])
+        self.odds = np.log((ways[1] + 0.5) / (ways[0] + 0.5)).astype(np.float32)
+
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(input number, leaf) of each word."""
         at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
         known = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
-        rank = np.where(known, self.ranks[at] if len(self.hashes) else 0, VOCABULARY)
-        spare = (INPUTS + (h >> U64(58)).astype(np.int64)) if len(h) else np.zeros(0, np.int64)
-        number = np.where(rank < INPUTS, rank, spare)
-        cls = np.full(len(h), CLASSES - 1)
-        cls[known] = self.of_rank[rank[known]]
-        inside = self.log_rare[(h >> U64(40)).astype(np.int64) & (RARE - 1)]
-        inside[known] = self.log_in[rank[known]]
-        return number, cls, inside
-
-
-def lexicon(docs: DataFrame, scratch: Scratch) -> Lexicon:
-    counts = scratch.save(docs.mapInArrow(tidy(_count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+        leaf = np.full(len(h), self.leaves - 1)
+        number = VOCABULARY + (h >> U64(54)).astype(np.int64)
+        if known.any():
+            leaf[known] = number[known] = self.ranks[at[known]]
+        return number, leaf
+
+
+def lexicon(counts: DataFrame) -> Lexicon:
+    """From counts(h, n) of all words."""
     top = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY).toPandas()
-    if not len(top):
-        return Lexicon(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros((RARE, 2)))
-    last_n, last_h = int(top.n.iloc[-1]), int(top.h.iloc[-1])
-    others = counts.where((F.col("n") < last_n) | ((F.col("n") == last_n) & (F.col("h") > last_h)))
-    bucket = F.shiftright(F.col("h"), 40).bitwiseAND(RARE - 1)
-    found = others.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).toPandas()
-    rare = np.zeros((RARE, 2))
-    rare[found.b.to_numpy(np.int64)] = found[["n", "k"]].to_numpy()
-    scratch.drop(counts)
-    return Lexicon(top.h.to_numpy(np.int64).view(U64), top.n.to_numpy(np.int64), rare)
+    every = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return Lexicon(top.h.to_numpy(np.int64).view(U64), top.n.to_numpy(np.int64), int(every - top.n.sum()))
 
 
 class Network:
-    """Hidden = tanh(bias + sum of place-wise embeddings); class scores = hidden @ out + base."""
+    """Hidden = tanh(bias + sum of place-wise embeddings); the score of a node = hidden . vector + base."""
 
-    SHAPES = ((len(OFFSETS), EDGE + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
-
-    def __init__(self, start: np.ndarray | None = None, log_class: np.ndarray | None = None):
+    def __init__(self, words: Lexicon, start: np.ndarray | None = None):
+        self.words = words
+        inner = max(1, words.leaves - 1)
+        self.shapes = ((len(OFFSETS), EDGE + 1, HIDDEN), (HIDDEN,), (inner, HIDDEN), (inner,))
         if start is None:
             rng = np.random.RandomState(5)
-            self.parts = [(rng.standard_normal(s) * 0.1).astype(np.float32) for s in self.SHAPES]
-            self.parts[3][:] = log_class
+            self.parts = [(rng.standard_normal(s) * 0.1).astype(np.float32) for s in self.shapes]
+            self.parts[3][:] = words.odds
         else:
-            cut = np.cumsum([int(np.prod(s)) for s in self.SHAPES])[:-1]
-            self.parts = [x.reshape(s).copy() for x, s in zip(np.split(start, cut), self.SHAPES)]
-        self.seen = [np.full(s, 1e-3, np.float32) for s in self.SHAPES]
+            cut = np.cumsum([int(np.prod(s)) for s in self.shapes])[:-1]
+            self.parts = [x.reshape(s).copy() for x, s in zip(np.split(start, cut), self.shapes)]
+        self.seen = [np.full(s, 1e-3, np.float32) for s in self.shapes]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts])
 
-    def forward(self, context: np.ndarray):
-        embed, bias, out, base = self.parts
-        hidden = embed[0][context[0]]
+    def hidden(self, context: np.ndarray) -> np.ndarray:
+        embed, bias, _, _ = self.parts
+        out = embed[0][context[0]]
         for k in range(1, len(OFFSETS)):
-            hidden += embed[k][context[k]]
-        hidden += bias
-        np.tanh(hidden, out=hidden)
-        score = hidden @ out
-        score += base
-        score -= score.max(1, keepdims=True)
-        return hidden, score
-
-    def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, score = self.forward(context)
-        own = score[np.arange(len(target)), target]
-        np.exp(score, out=score)
-        return own - np.log(score.sum(1))
-
-    def step(self, context: np.ndarray, target: np.ndarray) -> None:
-        embed, bias, out, base = self.parts
-        hidden, p = self.forward(context)
-        np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(target)), target] -= 1
-        p /= len(target)
-        back = p @ out.T
+            out += embed[k][context[k]]
+        out += bias
+        return np.tanh(out, out=out)
+
+    def ways(self, leaf: np.ndarray):
+        """(position, node, turn) of every step to each position's leaf, and where each position's steps start."""
+        start = self.words.start
+        size = start[leaf + 1] - start[leaf]
+        at = flat_gather(start[leaf], size)
+        return np.repeat(np.arange(len(leaf)), size), self.words.nodes[at], self.words.turns[at], np.cumsum(size) - size
+
+    def log_prob(self, context: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        if self.words.leaves < 2:
+            return np.zeros(len(leaf))
+        position, node, turn, first = self.ways(leaf)
+        score = np.einsum("ij,ij->i", self.hidden(context)[position], self.parts[2][node]) + self.parts[3][node]
+        return -np.add.reduceat(np.logaddexp(np.float32(0), -turn * score), first)
+
+    def step(self, context: np.ndarray, leaf: np.ndarray) -> None:
+        if self.words.leaves < 2:
+            return
+        _, _, vectors, base = self.parts
+        hidden = self.hidden(context)
+        position, node, turn, first = self.ways(leaf)
+        own, there = hidden[position], vectors[node]
+        z = turn * (np.einsum("ij,ij->i", own, there) + base[node])
+        g = -turn / (1 + np.exp(z)) / np.float32(len(leaf))
+        there *= g[:, None]
+        back = np.add.reduceat(there, first, axis=0)
         back *= 1 - hidden * hidden
-        self._move(2, hidden.T @ p)
-        self._move(3, p.sum(0))
+        own *= g[:, None]
+        self._move(2, np.stack([np.bincount(node, c, len(base)) for c in own.T], 1))
+        self._move(3, np.bincount(node, g, len(base)))
         self._move(1, back.sum(0))
         columns = np.ascontiguousarray(back.T)
         for k in range(len(OFFSETS)):
-            grad = np.stack([np.bincount(context[k], c, EDGE + 1) for c in columns], 1)
-            rows = np.flatnonzero(grad.any(1))
-            g = grad[rows].astype(np.float32)
-            self.seen[0][k, rows] += g * g
-            embed[k, rows] -= RATE * g / np.sqrt(self.seen[0][k, rows])
+            self._move(0, np.stack([np.bincount(context[k], c, EDGE + 1) for c in columns], 1), k)
 
-    def _move(self, i: int, g: np.ndarray) -> None:
-        self.seen[i] += g * g
-        self.parts[i] -= RATE * g / np.sqrt(self.seen[i])
+    def _move(self, i: int, g: np.ndarray, k=slice(None)) -> None:
+        g = g.astype(np.float32)
+        self.seen[i][k] += g * g
+        self.parts[i][k] -= RATE * g / np.sqrt(self.seen[i][k])
 
 
-def _contexts(w: Words, number: np.ndarray) -> np.ndarray:
+def contexts(w: Words, number: np.ndarray) -> np.ndarray:
     """For each place around a word the input number there, EDGE outside the text."""
     n = len(number)
     doc = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
@@ -180,19 +198,30 @@ def _contexts(w: Words, number: np.ndarray) -> np.ndarray:
 
 
 def _train(shared):
+    """(shard, text) sorted by shard -> the sum of the weights of all shards here, each by its words."""
+
     def run(batches):
         words, start = shared.value
-        net, seen = Network(start), 0
+        net, shard, seen, total, sums = None, None, 0, 0, None
         for batch in batches:
-            for part in slices(batch, "text"):
-                w = words_of(part.column(0))
-                number, cls, _ = words.look_up(w.hash)
-                context = _contexts(w, number)
-                for a in range(0, len(cls), BATCH):
-                    net.step(context[:, a : a + BATCH], cls[a : a + BATCH])
-                seen += len(cls)
+            ids = batch.column(0).to_numpy()
+            for at in [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist()] if len(ids) else []:
+                own = batch.slice(at, int(np.searchsorted(ids, ids[at], side="right")) - at)
+                if ids[at] != shard:
+                    if seen:
+                        total, sums = total + seen, net.flat().astype(np.float64) * seen + (0 if sums is None else sums)
+                    net, shard, seen = Network(words, start), ids[at], 0
+                for part in slices(own, "text"):
+                    w = words_of(part.column(1))
+                    number, leaf = words.look_up(w.hash)
+                    context = contexts(w, number)
+                    for a in range(0, len(leaf), BATCH):
+                        net.step(context[:, a : a + BATCH], leaf[a : a + BATCH])
+                    seen += len(leaf)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([net.flat().tobytes()], pa.binary())], names=["n", "weights"])
+            total, sums = total + seen, net.flat().astype(np.float64) * seen + (0 if sums is None else sums)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([(sums / total).astype(np.float32).tobytes()], pa.binary())], names=["n", "weights"])
 
     return run
 
@@ -207,38 +236,61 @@ def _average(batches):
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["n", "weights"])
 
 
-def train(docs: DataFrame, words: Lexicon) -> np.ndarray:
-    """The averaged weights after one pass over all of docs(text)."""
-    start = Network(log_class=words.log_class).flat()
-    shared = docs.sparkSession.sparkContext.broadcast((words, start))
-    copies = docs.mapInArrow(tidy(_train(shared)), "n long, weights binary")
-    tasks = docs.rdd.getNumPartitions()
-    while tasks > FANIN:
-        tasks = -(-tasks // FANIN)
-        copies = copies.repartition(tasks).mapInArrow(tidy(_average), "n long, weights binary")
-    got = copies.toPandas()
-    if not len(got):
-        return start
-    n = got.n.to_numpy(float)
-    return (np.stack([np.frombuffer(x, np.float32) for x in got.weights]) * (n / n.sum())[:, None]).sum(0).astype(np.float32)
+def train(docs: DataFrame, words: Lexicon, n_words: int) -> np.ndarray:
+    """The averaged weights after ROUNDS passes over all of docs(doc_id, text)."""
+    weights = Network(words).flat()
+    shards = max(1, -(-n_words // SHARD_WORDS))
+    mark = F.xxhash64("text", "doc_id")
+    dealt = docs.select(F.pmod(mark, F.lit(shards)).cast("int").alias("shard"), mark.alias("mark"), "text").repartition("shard").sortWithinPartitions("shard", "mark").select("shard", "text")
+    for _ in range(ROUNDS):
+        shared = docs.sparkSession.sparkContext.broadcast((words, weights))
+        copies, tasks = dealt.mapInArrow(tidy(_train(shared)), "n long, weights binary"), shards
+        while tasks > FANIN:
+            tasks = -(-tasks // FANIN)
+            copies = copies.repartition(tasks).mapInArrow(tidy(_average), "n long, weights binary")
+        got = copies.toPandas()
+        if len(got):
+            n = got.n.to_numpy(float)
+            weights = (np.stack([np.frombuffer(x, np.float32) for x in got.weights]) * (n / n.sum())[:, None]).sum(0).astype(np.float32)
+    return weights
+
+
+_SCORED = "doc_id long, mark long, n_words long, log_prob double"
 
 
 def _score(shared):
     def run(batches):
         words, weights = shared.value
-        net = Network(weights)
+        net = Network(words, weights)
         for batch in batches:
             for part in slices(batch, "text"):
-                w = words_of(part.column(1))
-                number, cls, log = words.look_up(w.hash)
-                context = _contexts(w, number)
-                for a in range(0, len(cls), BATCH):
-                    log[a : a + BATCH] += net.log_prob(context[:, a : a + BATCH], cls[a : a + BATCH])
-                count = np.diff(w.first)
+                w = words_of(part.column(2))
+                number, leaf = words.look_up(w.hash)
+                context = contexts(w, number)
+                log = np.zeros(len(leaf))
+                for a in range(0, len(leaf), BATCH):
+                    log[a : a + BATCH] = net.log_prob(context[:, a : a + BATCH], leaf[a : a + BATCH])
                 total = np.concatenate(([0.0], np.cumsum(log)))
-                total = total[w.first[1:]] - total[w.first[:-1]]
-                mean = pa.array(total / np.maximum(count, 1), mask=count == 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count), pa.array(total), mean], names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(w.first)), pa.array(total[w.first[1:]] - total[w.first[:-1]])], names=["doc_id", "mark", "n_words", "log_prob"])
+
+    return run
+
+
+def _rare(shared):
+    """(mark, text) -> (mark, h, n): how often a text has each word beyond the vocabulary."""
+
+    def run(batches):
+        words = shared.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                w = words_of(part.column(1))
+                _, leaf = words.look_up(w.hash)
+                at = np.flatnonzero(leaf == words.leaves - 1)
+                doc = np.repeat(np.arange(part.num_rows), np.diff(w.first))[at]
+                order = np.lexsort((w.hash[at], doc))
+                h, doc = w.hash[at][order], doc[order]
+                new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))) if len(h) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[new])), pa.array(h[new].view(np.int64)), pa.array(np.diff(np.append(new, len(h))))], names=["mark", "h", "n"])
 
     return run
 
@@ -247,8 +299,17 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_words, log_prob, mean_log_prob); the model is trained on docs itself."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = plain.select("text").where("text is not null")
-    words = lexicon(texts, scratch)
-    shared = spark.sparkContext.broadcast((words, train(texts, words)))
-    return plain.mapInArrow(tidy(_score(shared)), "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
+    texts = plain.where("text is not null")
+    counts = scratch.save(texts.select("text").mapInArrow(tidy(_count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    words = lexicon(counts)
+    n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = spark.sparkContext.broadcast((words, train(texts, words, n_words)))
+    scored = plain.mapInArrow(tidy(_score(shared)), _SCORED)
+    # words beyond the vocabulary have their own shares; texts that repeat bring them as often, and are counted
+    found = texts.select("mark", "text").mapInArrow(tidy(_rare(spark.sparkContext.broadcast(words))), "mark long, h long, n long")
+    share = F.log(F.col("count") / F.lit(float(max(1, words.rare))))
+    logs = found.join(counts.withColumnRenamed("n", "count"), "h").groupBy("mark").agg(F.sum(F.col("n") * share).alias("logs"))
+    logs = logs.join(texts.groupBy("mark").agg(F.count("*").alias("copies")), "mark").select("mark", (F.col("logs") / F.col("copies")).alias("logs"))
+    whole = scored.join(logs, "mark", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("logs", F.lit(0.0)))
+    return whole.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))

@@ -319,6 +319,66 @@ def test_masked_lm(spark, rows):
     assert len(got) == len(docs) + len(odd) and (got[1001].n_words, got[1001].log_prob, got[1001].mean_log_prob) == (0, 0.0, None)
     assert got[1000].mean_log_prob < np.mean([got[i].mean_log_prob for i in range(200)]) - 0.2
     assert pseudo_likelihood(frame(spark, docs).where("false")).count() == 0
+    odd = [(1, None, "en"), (2, " 1 ", "en"), (3, " . ", None), (4, text(1, 60_000), "en"), (5, "same words here", "en"), (5, "same words here", "en"), (None, "same words here", "en")]
+    got = [tuple(x) for x in pseudo_likelihood(frame(spark, odd)).collect()]
+    assert len(got) == len(odd) and len({x[1:] for x in got if x[1] == 3}) == 1 and {x[1] for x in got} == {0, 1, 3, 60_000}
+
+
+def test_masked_lm_tells_words_of_equal_frequency_apart(spark):
+    """Words that occur alike often, in fixed pairs: the word itself is predicted from its neighbours, not its frequency."""
+    from editlens.llm.masked_lm import pseudo_likelihood
+
+    r = random.Random(12)
+    pairs = [(f"left{k}", f"right{k}") for k in range(12)]
+    docs = [(i, " ".join(f"{a} {b}" for a, b in (r.choice(pairs) for _ in range(60))), "en") for i in range(500)]
+    a, b = "left3 right3 left5 right5 left7 right7", "left3 right5 left5 right7 left7 right3"
+    got = {x.doc_id: x.mean_log_prob for x in pseudo_likelihood(frame(spark, docs + [(900, a, "en"), (901, b, "en")])).collect()}
+    assert got[900] > got[901] + 0.5
+
+
+def test_masked_lm_probabilities_and_model(spark):
+    """All words' probabilities sum up to one at every position; rare words have exact shares; the score is that of the
+    formula written out; the model doesn't depend on how many tasks there are."""
+    from editlens.llm import masked_lm as M
+    from editlens.llm.common import Scratch
+
+    r = np.random.RandomState(2)
+    n, counts = 40, np.sort(r.randint(5, 500, 40))[::-1]
+    names = [f"w{i}" for i in range(n)]
+    hashes = M.words_of(pa.array([" ".join(names)])).hash
+    net = M.Network(M.Lexicon(hashes, counts, 77))
+    net.parts[2] += r.standard_normal(net.parts[2].shape).astype(np.float32)
+    context = r.randint(0, n, (len(M.OFFSETS), 7))
+    every = np.stack([np.exp(net.log_prob(context, np.full(7, leaf))) for leaf in range(n + 1)])
+    assert np.abs(every.sum(0) - 1).max() < 1e-4
+
+    docs = [(i, text(i, 50), "en") for i in range(300)] + [(900, "once only", "en")]
+    df = frame(spark, docs)
+    runs = [{x.doc_id: x.log_prob for x in M.pseudo_likelihood(df.repartition(k)).collect()} for k in (1, 7)]
+    assert all(abs(runs[0][i] - runs[1][i]) < 1e-2 for i in runs[0])
+    plain = df.select("doc_id", "text")
+    counted = Scratch(spark).save(plain.select("text").mapInArrow(M.tidy(M._count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    words = M.lexicon(counted)
+    embed, bias, vectors, base = M.Network(words, M.train(plain, words, 20_000)).parts
+    said = docs[4][1].split()
+    number, leaf = words.look_up(M.words_of(pa.array([" ".join(said)])).hash)
+    total, flat = 0.0, M.words_of(pa.array([docs[4][1]]))
+    for i in range(len(number)):
+        near = [number[i + o] if 0 <= i + o < len(number) else M.EDGE for o in M.OFFSETS]
+        hidden = np.tanh(sum(embed[k][x] for k, x in enumerate(near)) + bias)
+        for at in range(words.start[leaf[i]], words.start[leaf[i] + 1]):
+            total -= np.log1p(np.exp(-words.turns[at] * (hidden @ vectors[words.nodes[at]] + base[words.nodes[at]])))
+    assert len(flat.hash) == len(number) and abs(total - runs[0][4]) < 0.05
+
+
+def test_masked_lm_rare_words_have_their_own_counts(spark, monkeypatch):
+    from editlens.llm import masked_lm as M
+
+    docs = [(i, "often " * 50 + "also " * 40, "en") for i in range(20)] + [(100, "twice", "en"), (101, "twice", "en"), (102, "single", "en")]
+    monkeypatch.setattr(M, "VOCABULARY", 2)
+    df = frame(spark, docs)
+    got = {x.doc_id: x.log_prob for x in M.pseudo_likelihood(df).collect()}
+    assert abs(got[100] - got[102] - np.log(2)) < 1e-6 and got[100] == got[101]
 
 
 def test_repeated_passages(spark):
