@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,6 +153,21 @@ def quadrants_of(regions: list[Region], paths: list[str]) -> list[str]:
     return out
 
 
+def localized(regions: list[Region], path: str) -> str | None:
+    """How a quadrant lies to the regions: WITHIN if one is within it, else OVERLAPS if a border crosses it, else None."""
+    a, b, c, d = geo.quad_box(path)
+    ring = np.array([(a, b), (c, b), (c, d), (a, d), (a, b)])
+    found = None
+    for r in regions:
+        _, rings = geo.parse_wkt(r.wkt)
+        p = rings[0]
+        if (p[:, 0] >= a).all() and (p[:, 0] <= c).all() and (p[:, 1] >= b).all() and (p[:, 1] <= d).all():
+            return "WITHIN"
+        if any(geo.segments_cross(x, ring) for x in rings):
+            found = "OVERLAPS"
+    return found
+
+
 def hexagon_grid(spark: SparkSession, west: float, south: float, east: float, north: float, width: float = 10_000.0) -> DataFrame:
     """(id, row, col, points, wkt): hexagons over a rectangle in metres, row by row; odd rows stand 3/4 of a width to the east.
 

@@ -174,15 +174,22 @@ class Blob(InputPartition):
         super().__init__((path, offset, length))
 
 
+def opened(path: str):
+    """A file to read at any place: of a file system that Arrow knows by its URI (s3, gs, abfs, hdfs, file), or by local path."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return store.open_input_file(at)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.path = path
 
     def partitions(self):
         out = []
-        with open(self.path, "rb") as f:
-            f.seek(0, 2)
-            size = f.tell()
+        with opened(self.path) as f:
+            size = f.size()
 
             def read(at, n):
                 f.seek(at)
@@ -197,13 +204,13 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         path, at, n = partition.value
-        with open(path, "rb") as f:
+        with opened(path) as f:
             f.seek(at)
             yield from versions(unpack(f.read(n)))
 
 
 class HistoryPbf(DataSource):
-    """Files in a folder that all executors see; each blob of about 8,000 elements is a task."""
+    """A file in storage that all executors reach; each blob of about 8,000 elements is a task."""
 
     @classmethod
     def name(cls) -> str:

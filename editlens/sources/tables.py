@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import number_text
 from ..plans.config import AnalysisConfig, Region
-from ..plans.schema import OPERATION_COLUMNS, OPERATIONS
+from ..plans.schema import OPERATION_COLUMNS, OPERATIONS, lookup
 
 OPERATIONS_PER_FILE = 500_000
 
@@ -34,14 +34,27 @@ def write_quadtree(operations: DataFrame, paths: DataFrame, path: str) -> None:
 
 
 def read_quadrants(spark: SparkSession, path: str, regions: list[Region] | None = None) -> DataFrame:
-    """Operations of quadrants that touch a region's envelope: the others' folders aren't listed in the scan."""
-    from ..operators.regions import quadrants_of
+    """Operations of quadrants that touch a region: the others' folders aren't listed in the scan. With regions,
+    ``localized`` tells whether one of them lies WITHIN the quadrant or else OVERLAPS it (null: it holds the quadrant)."""
+    from ..operators.regions import localized, quadrants_of
 
     rows = spark.read.parquet(path)
     if regions is None:
         return rows
-    there = [r[0] for r in rows.select("qt_path").distinct().collect()]  # a row for each quadrant
-    return rows.where(F.col("qt_path").isin(quadrants_of(regions, there)))
+    there = quadrants_of(regions, [r[0] for r in rows.select("qt_path").distinct().collect()])  # a row for each quadrant
+    return rows.where(F.col("qt_path").isin(there)).withColumn("localized", lookup("qt_path", {p: localized(regions, p) for p in there}))
+
+
+def operations_of(spark: SparkSession, config: AnalysisConfig) -> DataFrame:
+    """The operations of a profile's data folder: of quadrants that touch its regions, if it reads the quadtree, or all."""
+    if config.read_quadtree:
+        return read_quadrants(spark, f"{config.data_folder}/quadtree", list(config.regions) or None).select(*OPERATION_COLUMNS)
+    return read_operations(spark, f"{config.data_folder}/operations")
+
+
+def write_regions(grid: DataFrame, path: str) -> None:
+    """grid(id, wkt) as lines of WKT;label, as ``read_regions`` reads them."""
+    grid.select(F.concat_ws(";", "wkt", "id").alias("value")).write.mode("overwrite").text(path)
 
 
 def read_regions(spark: SparkSession, path: str) -> list[Region]:

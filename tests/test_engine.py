@@ -217,6 +217,76 @@ def test_columns_of_geometry(spark):
     assert a < 13.0 and c > 13.1 and b < 46.0 and d > 46.1
 
 
+def test_windows_of_features_and_of_actions(spark):
+    """A feature counts with all its actions if its first is within the window; actions count if they are themselves."""
+    from editlens.plans.analysis import analyze
+    from editlens.plans.config import Analyzer
+
+    rows = []
+    for i, hours in enumerate(((0, 100, 300), (200, 320, 350), (290, 400, 500))):
+        rows += [op("CREATE_NODE", i, hours=hours[0], at=(10.0 + i, 47.0)), op("ADD_TAG", i, seq=1, hours=hours[0], key="amenity", value="a")]
+        rows += [op("MODIFY_TAG_VALUE", i, version=2 + n, hours=h, key="amenity", value=f"b{n}") for n, h in enumerate(hours[1:])]
+    config = default_config(analyzers=(Analyzer("FeatureStability"), Analyzer("ActionPerType")), start=T0 + dt.timedelta(hours=150), end=T0 + dt.timedelta(hours=360))
+    results = analyze(frame(spark, *rows), config)
+    # the first feature begins before the window; of the third the second action lies behind it
+    assert {(r.hours_until_edit, r.feature_count) for r in results["FeatureStability"].collect()} == {(120, 1), (110, 1)}
+    assert results["ActionPerType"].agg(F.sum("count")).first()[0] == 5
+    results.release()
+
+
+def test_regions_of_many_sizes_by_grid_cells(spark):
+    """The equi-join on cells finds exactly what holding every feature against every region finds."""
+    import random
+
+    from editlens.functions import geo
+
+    r = random.Random(8)
+    rows, lines = [], {}
+    for i in range(120):
+        x, y, size = r.uniform(-20, 40), r.uniform(-50, 50), r.choice((0.0001, 0.01, 0.5, 8.0))
+        points = [(x + r.uniform(-size, size), y + r.uniform(-size, size)) for _ in range(4)]
+        lines[i] = points
+        rows += [op("CREATE_WAY", i, "LINE", hours=0), op("ADD_TAG", i, "LINE", seq=1, hours=0, key="highway", value="path"), *(op("ADD_NODE", i, "LINE", seq=2 + p, hours=0, at=at, ref=p, pos=p) for p, at in enumerate(points))]
+    areas = []
+    for n in range(60):
+        x, y, size = r.uniform(-20, 40), r.uniform(-50, 50), r.choice((0.001, 0.2, 3.0, 60.0))
+        if n % 3 == 0:
+            x, y = lines[n][0]
+        areas.append(Region(f"a{n}", geo.polygon_wkt([[(x - size, y - size), (x + size, y - size), (x, y + size), (x - size, y - size)]])))
+    got = {(x.region, x.oid) for x in regions.features_in_regions(frame(spark, *rows), default_config(), areas).collect()}
+    rounded = {i: [tuple(map(float, p.split())) for p in geo.line_wkt(points)[12:-1].split(", ")] for i, points in lines.items()}
+    want = {(a.label, i) for a in areas for i, points in rounded.items() if geo.intersects("LINESTRING", [points], *geo.parse_wkt(a.wkt))}
+    assert got == want and len(want) > 60
+    near = {x.oid for x in regions.near_regions(frame(spark, *rows), areas).select("oid").distinct().collect()}
+    boxes = [(*geo.parse_wkt(a.wkt)[1][0].min(0), *geo.parse_wkt(a.wkt)[1][0].max(0)) for a in areas]
+    assert near == {i for i, points in lines.items() if any(x0 <= x <= x1 and y0 <= y <= y1 for x0, y0, x1, y1 in boxes for x, y in points)}
+
+
+def test_a_profile_from_end_to_end(spark, tmp_path):
+    from editlens.plans import run
+    from editlens.plans.schema import ELEMENT_VERSIONS
+    from editlens.sources.tables import read_quadrants, read_regions
+
+    v = lambda i, n, x, **tags: ("NODE", i, n, 1, "u", T0 + dt.timedelta(hours=20 * n), n, True, tags, x, 47.0, None, None)
+    versions = spark.createDataFrame([v(i, n, 10.0 + i + n / 100, amenity=f"a{n}") for i in range(8) for n in (1, 2)], ELEMENT_VERSIONS)
+    profile = f"""<settings><general settingName="s" pbfDataFolder="{tmp_path}/data" resultFolder="{tmp_path}/out" readQuadtree="true"/>
+<analysis temporalResolution="year"><featureType name="amenity" geometryType="Point"><includeTag key="amenity" value=""/></featureType><analysisSubject name="OperationPerType"/><analysisSubject name="FeatureStability"/>
+<actionDefinition name="AC_CREATE" actionType="CREATE"><definitionRule operationType="OP_CREATE_NODE"/></actionDefinition><actionDefinition name="AC_UPDATE" actionType="UPDATE"><definitionRule operationType="OP_MODIFY_TAG_VALUE"/></actionDefinition></analysis>
+<filterPolygons><polygon label="p" geometry="POLYGON((9.5 46,12.5 46,12.5 48,9.5 48,9.5 46))"/></filterPolygons></settings>"""
+    config = load_settings(profile)
+    run.import_operations(versions, config)
+    run.build_quadtree(spark, config, capacity=2)
+    run.write_raster(spark, config, 0.0, 0.0, 50_000.0, 40_000.0)
+    took = run.run_analysis(spark, config)
+    assert set(took) == {"OperationPerType", "FeatureStability"}
+    lines = {r[0] for r in spark.read.text(str(tmp_path / "out" / "feature_stability.csv")).collect()}
+    assert "20;3" in lines or any(x.endswith(";3") for x in lines)  # three of eight features lie in the region
+    parts = read_quadrants(spark, f"{tmp_path}/data/quadtree", list(config.regions))
+    assert {r[0] for r in parts.select("localized").distinct().collect()} <= {"WITHIN", "OVERLAPS", None}
+    assert parts.select("oid").distinct().count() < 8
+    assert len(read_regions(spark, f"{tmp_path}/data/raster")) > 10
+
+
 def test_every_analyzer_gives_each_region_what_it_gives_it_alone(spark):
     from editlens.plans.analysis import analyze
     from editlens.plans.config import Analyzer
