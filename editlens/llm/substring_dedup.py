@@ -169,6 +169,8 @@ def _places(batches):
         yield out(*held)
 
 
+#: Bytes of texts or pieces that are worked on at once.
+_HELD = 1 << 21
 _SEEN = "kind int, doc long, start int, end int, ref_doc long, ref_start int, ref_end int, bytes binary, more int"
 
 
@@ -176,21 +178,26 @@ def _contexts(batches):
     """(doc, packed, wants) -> the bytes of places, one more on either side: kind 0 the document's own, kind 1 those that
     others are held against; ``more``: 1 if the text has more before them, 2 behind them, 3 both."""
     expand = zstandard.ZstdDecompressor()
+    rows, held = [], 0
     for batch in batches:
-        rows = []
-        for doc, packed, wants in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            text = expand.decompress(packed)
-            for w in wants:
-                a, b = w["start"], w["end"]
-                # a blank stands for the start and the end of the text
-                piece = (text[a - 1 : a] if a else b"") or b" "
-                piece += text[a:b] + (text[b : b + 1] or b" ")
-                more = (a > 0) + 2 * (b < len(text))
-                if w["kind"]:
-                    rows.append((1, None, None, None, doc, a, b, piece, more))
-                else:
-                    rows.append((0, doc, a, b, w["ref_doc"], w["ref_start"], w["ref_start"] + b - a, piece, more))
-        yield _batch(list(zip(*rows)), _SEEN)
+        for part in slices(batch, "packed", _HELD):
+            for doc, packed, wants in zip(*(part.column(i).to_pylist() for i in range(3))):
+                text = expand.decompress(packed)
+                for w in wants:
+                    a, b = w["start"], w["end"]
+                    # a blank stands for the start and the end of the text
+                    piece = (text[a - 1 : a] if a else b"") or b" "
+                    piece += text[a:b] + (text[b : b + 1] or b" ")
+                    more = (a > 0) + 2 * (b < len(text))
+                    if w["kind"]:
+                        rows.append((1, None, None, None, doc, a, b, piece, more))
+                    else:
+                        rows.append((0, doc, a, b, w["ref_doc"], w["ref_start"], w["ref_start"] + b - a, piece, more))
+                    held += len(piece)
+                    if held > _HELD:
+                        yield _batch(list(zip(*rows)), _SEEN)
+                        rows, held = [], 0
+    yield _batch(list(zip(*rows)), _SEEN)
 
 
 def passages(own: bytes, there: bytes, min_words: int) -> list[tuple[int, int, int]]:
@@ -236,7 +243,7 @@ def _compared(min_words: int):
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, start, end, ref, ref_start, own, there, more in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, start, end, ref, ref_start, own, there, more in (x for part in slices(batch, "bytes", _HELD) for x in zip(*(c.to_pylist() for c in part.columns))):
                 before, behind = goes_on(own, there, more)
                 if before or behind:
                     wider = min(end - start, start, ref_start) if before else 0
