@@ -216,6 +216,46 @@ def test_toxicity_held_out(spark, rows):
     assert {r.score for r in none} == {0.0}
 
 
+def test_toxicity_brute_force(spark):
+    """FTRL-proximal one coordinate and one document after the other, over dictionaries of words, pairs and skip-pairs."""
+    import math
+
+    from editlens.llm import toxicity as T
+
+    docs, labels = labelled(spark, 220)
+    docs += [(1000, None, "en"), (1001, "", "en"), (3, docs[3][1], "en"), (1002, text(4, 20_000), "en")]
+
+    def features(t):
+        w = "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+        return {(x,) for x in w} | {("next", a, b) for a, b in zip(w, w[1:])} | {("over", a, b) for a, b in zip(w, w[2:])}
+
+    for _, t, _ in docs[:50] + docs[-4:]:
+        ids, of = T._features(pa.array([t], pa.string()))
+        assert len(set(ids.tolist())) <= len(features(t)) <= 1.02 * len(set(ids.tolist())) + 1  # a bucket may hold two
+
+    place = {r.doc_id: r.x for r in spark.createDataFrame([(i,) for i, *_ in labels], "doc_id long").select("doc_id", F.xxhash64("doc_id").alias("x")).collect()}
+    learned = sorted((place[i], i, y) for i, _, y in labels if zlib.crc32(str(i).encode()) % 5)
+    texts = {i: t for i, t, _ in docs}
+    z, s = {}, {}
+
+    def weight(k):
+        v, cut = z.get(k, 0.0), 0.0 if k == "bias" else T.L1
+        return 0.0 if abs(v) <= cut else -(v - math.copysign(cut, v)) / ((T.BETA + math.sqrt(s.get(k, 0.0))) / T.ALPHA + (0.0 if k == "bias" else T.L2))
+
+    bucket = {t: sorted(set(T._features(pa.array([t], pa.string()))[0].tolist())) + ["bias"] for t in texts.values()}
+    for epoch in range(T.EPOCHS):
+        for n in np.random.RandomState(epoch).permutation(len(learned)):
+            _, i, y = learned[n]
+            own = {k: weight(k) for k in bucket[texts[i]]}
+            g = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(own.values()))))) - y
+            for k, w in own.items():
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(s.get(k, 0.0) + g * g) - math.sqrt(s.get(k, 0.0))) / T.ALPHA * w
+                s[k] = s.get(k, 0.0) + g * g
+    for r in T.toxicity(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect():
+        assert abs(r.score - 1 / (1 + math.exp(-sum(weight(k) for k in bucket[texts[r.doc_id]])))) < 1e-9
+    assert T.toxicity(frame(spark, []), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
+
+
 def test_language_id(spark, rows):
     from editlens.llm.language_id import language_id
 
@@ -625,6 +665,16 @@ def test_pipeline_stages(spark, tmp_path, rows):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "bench item words are here to be found by anyone who looks for them now")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    # the same by the classifier's own predictions and brute force for what follows
+    from editlens.llm.toxicity import toxicity
+
+    clean = {r.doc_id for r in toxicity(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")).where("predicted = 0").collect()}
+    left = [d for d in docs if d[0] in clean]
+    first = brute_components(left, 5, 80)
+    left = [d for d in left if first[d[0]] == d[0]]
+    item = "bench item words are here to be found by anyone who looks for them now".split()
+    left = [d for d in left if not common_runs(item, (d[1] or "").split(), 13)]
+    assert set(got) == {d[0] for d in left}
     assert 2000 in got and 2001 not in got and 2004 not in got and {2002, 2003, 2005, 2006} <= set(got)
     assert all(r.restored for r in got.values())
     assert got[2003].n_tokens < got[2002].n_tokens
