@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections import Counter
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,15 +93,24 @@ def member_edits(old, new) -> list[tuple]:
     return out + [_edit("MODIFY_ROLE", value=m[2] or "", position=i) for i, m in enumerate(new) if i < len(roles) and roles[i] != m[2]]
 
 
-@F.pandas_udf(EDIT)
-def _list_edits(old_nodes: pd.Series, nodes: pd.Series, old_members: pd.Series, members: pd.Series) -> pd.Series:
-    names = EDIT.elementType.names
+_EDIT_ARROW = pa.struct([("operation_type", pa.string()), ("lon", pa.float64()), ("lat", pa.float64()), ("key", pa.string()), ("value", pa.string()), ("ref_id", pa.int64()), ("position", pa.int32())])
+
+
+@F.arrow_udf(EDIT)
+def _list_edits(old_nodes: pa.Array, nodes: pa.Array, old_members: pa.Array, members: pa.Array) -> pa.Array:
+    edits, offsets = [], np.zeros(len(nodes) + 1, np.int32)
+    counts = np.zeros(len(nodes), np.int64)
     tuples = lambda ms: [(m["element_type"], m["id"], m["role"]) for m in ms]
-    out = []
-    for a, b, c, d in zip(old_nodes, nodes, old_members, members):
-        edits = way_edits(list(a), list(b)) if a is not None else member_edits(tuples(c), tuples(d)) if c is not None else []
-        out.append([dict(zip(names, e)) for e in edits])
-    return pd.Series(out)
+    for column, other, edit, shape in ((old_nodes, nodes, way_edits, lambda x: x), (old_members, members, member_edits, tuples)):
+        at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))  # only these rows become Python values
+        for i, was, now in zip(at.tolist(), column.take(pa.array(at)).to_pylist(), other.take(pa.array(at)).to_pylist()):
+            own = edit(shape(was), shape(now))
+            counts[i] = len(own)
+            edits.append((i, own))
+    np.cumsum(counts, out=offsets[1:])
+    rows = [e for _, own in sorted(edits, key=lambda x: x[0]) for e in own]
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(_EDIT_ARROW), _EDIT_ARROW)]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, fields=list(_EDIT_ARROW)))
 
 
 def _op(kind: Column | str, lon=None, lat=None, key="", value="", ref=-1, position=-1) -> Column:
