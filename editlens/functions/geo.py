@@ -133,21 +133,21 @@ def _between(start, slope, least, most) -> tuple[np.ndarray, np.ndarray]:
     return np.where(flat, np.where(held, -np.inf, np.inf), np.minimum(a, b)), np.where(flat, np.where(held, np.inf, -np.inf), np.maximum(a, b))
 
 
-def within_buffer(line, other, radius: float) -> bool:
-    """Whether all of a line is at most ``radius`` from another one.
+def outside_buffer(line, other, radius: float) -> list[tuple[int, float, float]]:
+    """The stretches of a line that are more than ``radius`` from another one: (segment, from and to as shares of it).
 
     What lies within ``radius`` of one segment is convex, two discs and a rectangle, so a segment of the line has one stretch there;
-    the stretches of all segments must cover it."""
+    what the stretches of all segments don't cover is outside."""
     p, q = np.asarray(line, float), np.asarray(other, float)
-    if (to_segments(p, q) > radius).any():
-        return False
     a, d = (q[:-1], np.diff(q, axis=0)) if len(q) > 1 else (q, np.zeros((1, 2)))
     size = np.hypot(*d.T)
     along = np.where(size[:, None] > 0, d / np.where(size > 0, size, 1)[:, None], [1.0, 0.0])
     across = np.stack([-along[:, 1], along[:, 0]], 1)
-    for x, u in zip(p, np.diff(p, axis=0)):
+    out = []
+    for n, (x, u) in enumerate(zip(p, np.diff(p, axis=0))):
         square = float(u @ u)
         if square == 0:
+            out += [(n, 0.0, 1.0)] if to_segments(x, q)[0] > radius else []
             continue
         away = x - q
         half, rest = away @ u, (away * away).sum(1) - radius * radius
@@ -164,12 +164,33 @@ def within_buffer(line, other, radius: float) -> bool:
             lo, hi = np.where(some, np.minimum(lo, l3), lo), np.where(some, np.maximum(hi, h3), hi)
         covered = 0.0
         for k in np.argsort(lo):
+            if lo[k] >= 1 or hi[k] <= covered:
+                continue
             if lo[k] > covered + 1e-9:
-                break
-            covered = max(covered, float(hi[k]))
+                out.append((n, covered, float(lo[k])))
+            covered = float(hi[k])
         if covered < 1 - 1e-9:
-            return False
-    return True
+            out.append((n, covered, 1.0))
+    return out
+
+
+def within_buffer(line, other, radius: float) -> bool:
+    """Whether all of a line is at most ``radius`` from another one."""
+    return not (to_segments(line, other) > radius).any() and not outside_buffer(line, other, radius)
+
+
+def pieces_wkt(line, stretches: list[tuple[int, float, float]]) -> str | None:
+    """Stretches of a line's segments as lines; those that go on from one segment to the next are one."""
+    p, lines, last = np.asarray(line, float), [], None
+    for n, a, b in stretches:
+        start, end = (tuple(p[n] + t * (p[n + 1] - p[n])) for t in (a, b))
+        if last == n - 1 and a == 0:
+            lines[-1].append(end)
+        else:
+            lines.append([start, end])
+        last = n if b == 1 else None
+    texts = [line_wkt(x)[len("LINESTRING ") :] for x in lines]
+    return None if not texts else f"LINESTRING {texts[0]}" if len(texts) == 1 else f"MULTILINESTRING ({', '.join(texts)})"
 
 
 # ---------------------------------------------------------------- projections

@@ -1,8 +1,8 @@
 """Changes of buildings and streets from action to action: attributes by windows' logic in a fold, geometry in UTM 33N.
 
 Actions of a feature and feature type follow each other in order; the state starts anew with either. Within an action
-attributes come first, then geometry against the one before, then split or merge, creation and deletion. Comparing streets
-with buffers is done on sampled lines (an approximation, half a buffer fine)."""
+attributes come first, then geometry against the one before, then split or merge, creation and deletion. A street is within the
+buffer of another if no point of it is farther away than that (ends are round)."""
 
 from __future__ import annotations
 
@@ -57,27 +57,30 @@ def _projected(wkt: str):
 
 
 def geometry_change(feature_type: str, old, new):
-    """(status, old value, new value) of a geometry against the one before, or None."""
+    """(status, old value, new value, whether the old geometry is told, stretches of the old that are gone) of a geometry
+    against the one before, or None. Values are areas and lengths, or the distance as the new one."""
     (ka, a), (kb, b) = old, new
     if ka == kb and len(a) == len(b) and all(x.shape == y.shape and np.allclose(x, y, atol=1e-6) for x, y in zip(a, b)):
         return None
+    away = geo.distance(ka, a, kb, b)
     if feature_type == "building":
-        if geo.intersects(ka, a, kb, b):
+        if away == 0:
             size = lambda k, g: geo.area(g[0]) if k == "POLYGON" else 0.0
-            return "BuildingIntersects", size(ka, a), size(kb, b)
-        return "BuildingWithinBuffer" if geo.distance(ka, a, kb, b) < NEAR else "BuildingOutsideBuffer", None, None
+            return "BuildingIntersects", size(ka, a), size(kb, b), True, None
+        return "BuildingWithinBuffer" if away < NEAR else "BuildingOutsideBuffer", None, away, True, None
     if feature_type == "buildingPoint":
-        return ("BuildingOutsideBuffer", None, None) if geo.distance(ka, a, kb, b) > NEAR else None
+        return ("BuildingOutsideBuffer", None, away, True, None) if away > NEAR else None
     if feature_type == "street":
         x, y = a[0], b[0]
-        if geo.distance(ka, a, kb, b) > NEAR:
-            return "StreetDisjoint", None, None
+        if away > NEAR:
+            return "StreetDisjoint", None, away, True, None
         was, now = geo.length(x), geo.length(y)
-        if geo.within_buffer(y, x, NEAR):
-            return ("StreetShortened" if now < SHORTER * was else "StreetWithinBuffer"), was, now
-        if geo.within_buffer(x, y, NEAR):
-            return ("StreetLengthened" if now > LONGER * was else "StreetWithinBuffer"), was, now
-        return "StreetCrossesBuffer", was, now
+        for fits, status, much in ((geo.within_buffer(y, x, NEAR), "StreetShortened", now < SHORTER * was), (geo.within_buffer(x, y, NEAR), "StreetLengthened", now > LONGER * was)):
+            if fits:
+                if much:
+                    return status, was, now, True, geo.outside_buffer(x, y, NEAR)
+                return ("StreetWithinBuffer", was, now, False, None) if now != was else None
+        return "StreetCrossesBuffer", was, now, True, None
     return None
 
 
@@ -88,21 +91,22 @@ def action_changes(feature_type: str, actions):
         ops, first = a["operations"], a["operations"][0]
         kinds = [op["operation_type"] for op in ops]
         for op, status, old, new in attribute_changes(feature_type, ops, attributes):
-            yield op, status, old, new, None, None
+            yield op, status, old, new, None, None, None
         shape = _projected(a["geom_wkt"])
         if before is not None and (change := geometry_change(feature_type, before[0], shape)):
-            yield first, change[0], *(None if v is None else str(v) for v in change[1:]), before[1], a["geom_wkt"]
+            gone = geo.pieces_wkt(geo.parse_wkt(before[1])[1][0], change[4]) if change[4] else None
+            yield first, change[0], *(None if v is None else str(v) for v in change[1:3]), before[1] if change[3] else None, a["geom_wkt"], gone
         joined = next((k for k in kinds if k in ("OP_SPLIT_WAY", "OP_MERGE_WAY")), None)
         if joined:
-            yield first, "GeometrySplit" if joined == "OP_SPLIT_WAY" else "GeometryMerge", None, None, before and before[1], a["geom_wkt"]
+            yield first, "GeometrySplit" if joined == "OP_SPLIT_WAY" else "GeometryMerge", None, None, before and before[1], a["geom_wkt"], None
         if a["action_type"] == "CREATE" and kinds[0] != "OP_SPLIT_WAY":
-            yield first, "CreateGeometry", None, None, None, a["geom_wkt"]
+            yield first, "CreateGeometry", None, None, None, a["geom_wkt"], None
         if a["action_type"] == "DELETE" and kinds[0] != "OP_MERGE_WAY":
-            yield first, "DeleteGeometry", None, None, before and before[1], None
+            yield first, "DeleteGeometry", None, None, before and before[1], None, None
         before = (shape, a["geom_wkt"])
 
 
-_CHANGES = "geometry_type string, osm_id long, feature_type string, change_no int, version int, changeset long, us long, status string, value_old string, value_new string, geometry_old string, geometry_new string"
+_CHANGES = "geometry_type string, osm_id long, feature_type string, change_no int, version int, changeset long, us long, status string, value_old string, value_new string, geometry_old string, geometry_new string, geometry_diff string"
 
 
 def change_detection(actions: DataFrame) -> DataFrame:

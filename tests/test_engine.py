@@ -185,8 +185,29 @@ def test_change_detection(spark):
     line = lambda pts, v0: [op("ADD_NODE", 1, "LINE", seq=i + 1, ref=i, pos=i, at=p) for i, p in enumerate(pts)]
     rows = [op("CREATE_WAY", 1, "LINE"), *line([(13.0, 47.0), (13.01, 47.0)], 0), op("ADD_TAG", 1, "LINE", seq=9, key="highway", value="track"), op("ADD_TAG", 1, "LINE", seq=10, key="name", value="High Street")]
     rows += [op("MODIFY_TAG_VALUE", 1, "LINE", version=2, hours=40, key="name", value="High Streets"), op("MODIFY_TAG_VALUE", 1, "LINE", version=3, hours=80, key="name", value="Other Road"), op("ADD_NODE", 1, "LINE", version=4, hours=120, ref=5, pos=2, at=(13.02, 47.0)), op("MODIFY_WAY_COORDINATE", 1, "LINE", version=5, hours=160, ref=5, at=(13.0101, 47.0))]
-    got = [r.status for r in change_detection(generate_actions(frame(spark, *rows), default_config())).orderBy("change_no").collect()]
-    assert got == ["CreateGeometry", "StreetNameModifiedLittle", "StreetNameModified", "StreetLengthened", "StreetShortened"]
+    found = change_detection(generate_actions(frame(spark, *rows), default_config())).orderBy("change_no").collect()
+    assert [r.status for r in found] == ["CreateGeometry", "StreetNameModifiedLittle", "StreetNameModified", "StreetLengthened", "StreetShortened"]
+    assert [r.geometry_diff is None for r in found] == [True] * 4 + [False] and float(found[-1].value_new) < 0.8 * float(found[-1].value_old)
+    (x0, _), (x1, _) = (map(float, p.split()) for p in found[-1].geometry_diff[len("LINESTRING (") : -1].split(", "))
+    assert 13.0101 + 0.00024 < x0 < 13.0101 + 0.00029 and x1 == 13.02  # 20 metres behind the new end
+
+
+def test_what_lies_outside_a_buffer():
+    import numpy as np
+
+    from editlens.functions.geo import outside_buffer, to_segments, within_buffer
+
+    r = np.random.RandomState(4)
+    for _ in range(200):
+        other = np.cumsum(r.randn(r.randint(1, 6), 2) * 10, 0)
+        line = np.cumsum(r.randn(r.randint(2, 5), 2) * 8, 0)
+        out = outside_buffer(line, other, 6.0)
+        for n, (x, y) in enumerate(zip(line, line[1:])):
+            t = r.rand(300)
+            far = to_segments(x + (y - x) * t[:, None], other)
+            told = np.any([(t > a) & (t < b) for k, a, b in out if k == n] or [np.zeros(300, bool)], 0)
+            assert ((far > 6.0) == told)[np.abs(far - 6.0) > 1e-6].all()
+        assert within_buffer(line, other, 6.0) == (not out)
 
 
 def test_geometry():
