@@ -178,6 +178,8 @@ class Templates:
         w = _words(pa.array([re.sub("[{}]", " ", t[1]) for t in templates], pa.string()))
         self.words = [w.hash[a:b] for a, b in zip(w.first, w.first[1:])]
         self.required = [list(_spans(t[1])) for t in templates]
+        self.plain = [x.tolist() for x in self.words]
+        self.needed = [{x[i] for a, b in spans for i in range(a, b)} for x, spans in zip(self.plain, self.required)]
         h, place, of = winnowed(w)
         order = np.argsort(h, kind="stable")
         self.hash, self.of, self.place = h[order], of[order], (place - w.first[of])[order]
@@ -204,8 +206,9 @@ class Templates:
             if at < seen or any(at < end and at - there == shift for shift, end in tried):
                 continue
             text, words = w.hash[w.first[d] : w.first[d + 1]], self.words[t]
-            near = text[max(0, at - there - BAND) : at + len(words) - there + BAND]
-            if np.isin(words, near).sum() < least * len(words):
+            # no alignment is looked for where too few words are near, or one that must match isn't
+            near = set(text[max(0, at - there - BAND) : at + len(words) - there + BAND].tolist())
+            if not self.needed[t] <= near or sum(map(near.__contains__, self.plain[t])) < least * len(words):
                 tried = {(at - there, at + len(words) - there)} | {x for x in tried if x[1] > at}
                 continue
             _, pairs = align(words, text, there, at)
