@@ -75,17 +75,29 @@ def _different(doc: np.ndarray, item: np.ndarray, zero: np.ndarray) -> tuple[np.
     return doc[new], item[new], zero[new]
 
 
-def best_run(same: np.ndarray, need: int) -> tuple[int, int, int] | None:
-    """(start, end, equal words) of the run of at least ``need`` words with the largest sum, if that isn't negative."""
-    total = np.concatenate(([0], np.cumsum(np.where(same, EQUAL, DIFFERENT))))
-    if len(total) <= need:
-        return None
-    score = total[need:] - np.minimum.accumulate(total[: len(total) - need])
-    end = need + int(score.argmax())
-    if score[end - need] < 0:
-        return None
-    start = int(total[: end - need + 1].argmin())
-    return start, end, int(same[start:end].sum())
+def best_runs(same: np.ndarray, first: np.ndarray, size: np.ndarray, need: int):
+    """Of stretches of ``same`` (starts and sizes, ``need`` or more each) the run of at least ``need`` words with the largest sum,
+    where that isn't negative: (number of the stretch, start, end, equal words)."""
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        # stretches of about one length side by side, filled up with different words
+        few = order[at : at + max(1, _PIECE // int(size[order[at]]))]
+        few = few[size[few] <= 2 * size[few[0]]]
+        at += len(few)
+        width = int(size[few].max())
+        place = np.arange(width)
+        inside = place < size[few][:, None]
+        equal = same[np.minimum(first[few][:, None] + place, len(same) - 1)] & inside
+        total = np.zeros((len(few), width + 1), np.int32)
+        np.cumsum(np.where(equal, EQUAL, DIFFERENT), axis=1, out=total[:, 1:])
+        lowest = np.minimum.accumulate(total[:, : width + 1 - need], axis=1)
+        score = total[:, need:] - lowest
+        end = score.argmax(1)
+        rows = np.flatnonzero(score[np.arange(len(few)), end] >= 0)
+        start = (total[rows] == lowest[rows, end[rows]][:, None]).argmax(1)
+        for k, a, b in zip(rows.tolist(), start.tolist(), (end[rows] + need).tolist()):
+            yield int(few[k]), a, b, int(equal[k, a:b].sum())
 
 
 class Index:
@@ -158,16 +170,15 @@ class Index:
             same = w.hash[at] == self.hash[at + np.repeat((a - zero)[part], n)]
             equal = np.add.reduceat(same, first, dtype=np.int64)
             # where too few words are equal for any run, as on most diagonals of a chance hit, none is looked for
-            for k in np.flatnonzero((n >= need[part]) & (-DIFFERENT * need[part] <= (EQUAL - DIFFERENT) * equal)).tolist():
-                j = part.start + k
-                run = best_run(same[first[k] : first[k] + n[k]], int(need[j]))
-                if run is None:
-                    continue
-                start, end, equals = run
-                key = (int(d[j]), int(i[j]))
-                if key not in best or equals > best[key][0]:
+            maybe = np.flatnonzero((n >= need[part]) & (-DIFFERENT * need[part] <= (EQUAL - DIFFERENT) * equal))
+            for least in np.unique(need[part][maybe]).tolist():
+                some = maybe[need[part][maybe] == least]
+                for k, start, end, equals in best_runs(same, first[some], n[some], least):
+                    j = part.start + int(some[k])
+                    key = (int(d[j]), int(i[j]))
                     shift = int(lo[j] - w.first[d[j]])
-                    best[key] = (equals, end - start, int(b[j] - a[j]), shift + start, shift + end)
+                    if key not in best or (equals, -shift - start) > (best[key][0], -best[key][3]):
+                        best[key] = (equals, end - start, int(b[j] - a[j]), shift + start, shift + end)
         return [(d, i, *v) for (d, i), v in best.items()]
 
 
