@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..plans.config import AnalysisConfig, FeatureType
 from ..plans.schema import ACTIONS, HIERARCHY, OPERATION_COLUMNS, canonical_order
-from .filters import FEATURE
+from .filters import FEATURE, TAG_SET
 from .fold import FeatureState, by_feature, grouped_rows, shape_wkt
 
 _CLEARS = tuple(f"OP_{a}" for a in ("CREATE_", "DELETE_", "RECREATE_"))
@@ -135,7 +135,8 @@ _DDL = "geometry_type string, oid long, action_no int, feature_type string, acti
 
 
 def generate_actions(operations: DataFrame, config: AnalysisConfig) -> DataFrame:
-    """operations -> ACTIONS, in canonical order within a feature by ``action_no``. Relations never make actions."""
+    """operations -> ACTIONS, in canonical order within a feature by ``action_no``. Relations never make actions, nor do
+    features that never had a key of a feature type: they don't reach Python."""
     rules = Rules(config)
 
     def run(batches):
@@ -149,7 +150,9 @@ def generate_actions(operations: DataFrame, config: AnalysisConfig) -> DataFrame
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
 
-    rows = by_feature(operations.where("geometry_type != 'RELATION'").withColumn("ts", F.col("ts").cast("timestamp")))
+    keys = sorted({k for t in config.feature_types for k in t.include})
+    typed = F.col("operation_type").isin(*TAG_SET) & F.col("key").isin(*keys)
+    rows = by_feature(operations.where("geometry_type != 'RELATION'").withColumn("ts", F.col("ts").cast("timestamp")), only=typed)
     rows = rows.withColumn("ts", F.unix_micros("ts")).withColumnRenamed("ts", "us").withColumn("uid", F.col("uid").cast("int")).withColumn("version", F.col("version").cast("int")).withColumn("seq", F.col("seq").cast("int")).withColumn("position", F.col("position").cast("int"))
     made = rows.mapInArrow(run, _DDL)
     timed = F.transform("operations", lambda o: F.struct(*((F.timestamp_micros(o["us"]) if c == "ts" else o[c]).alias(c) for c in OPERATION_COLUMNS)))

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -120,9 +120,17 @@ def grouped_rows(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple
         yield key, (r for _, r in group)
 
 
-def by_feature(operations: DataFrame) -> DataFrame:
-    """Operations dealt by feature and sorted in canonical order."""
-    return operations.select(*FEATURE, *(c for c in OPERATION_COLUMNS if c not in FEATURE)).repartition(*FEATURE).sortWithinPartitions(*FEATURE, *canonical_order())
+#: What a feature's state is made of.
+STATE_COLUMNS = ("operation_type", "lon", "lat", "key", "value", "ref_id", "position")
+
+
+def by_feature(operations: DataFrame, columns: tuple[str, ...] = tuple(c for c in OPERATION_COLUMNS if c not in FEATURE), only: Column | None = None) -> DataFrame:
+    """Operations dealt by feature and sorted in canonical order, with some columns. ``only``: of features of which it holds for
+    an operation; the dealt rows tell, so that nothing more is shuffled."""
+    rows = operations.select(*FEATURE, *(c for c in OPERATION_COLUMNS if c not in FEATURE)).repartition(*FEATURE)
+    if only is not None:
+        rows = rows.withColumn("_only", F.max(only).over(Window.partitionBy(*FEATURE))).where("_only").drop("_only")
+    return rows.sortWithinPartitions(*FEATURE, *canonical_order()).select(*FEATURE, *columns)
 
 
 def _as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -151,7 +159,7 @@ def assembled_features(operations: DataFrame, config: AnalysisConfig) -> DataFra
                 out = []
         yield _as_batch(out, schema)
 
-    rows = by_feature(operations.where("geometry_type != 'RELATION'"))
+    rows = by_feature(operations.where("geometry_type != 'RELATION'"), STATE_COLUMNS)
     return rows.mapInArrow(run, "geometry_type string, oid long, feature_type string, geometry string, geom_wkt string, deleted boolean, tags map<string,string>")
 
 
@@ -203,4 +211,4 @@ def elements_at(operations: DataFrame, cutoff: datetime | None = None) -> DataFr
         yield _as_batch(out, schema)
 
     rows = operations if cutoff is None else operations.where(F.col("ts") <= F.lit(cutoff))
-    return by_feature(rows).mapInArrow(run, "geometry_type string, oid long, visible boolean, lon double, lat double, nodes array<long>, members array<struct<element_type:string,id:long,role:string>>, tags map<string,string>")
+    return by_feature(rows, STATE_COLUMNS).mapInArrow(run, "geometry_type string, oid long, visible boolean, lon double, lat double, nodes array<long>, members array<struct<element_type:string,id:long,role:string>>, tags map<string,string>")
