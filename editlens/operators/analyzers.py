@@ -6,7 +6,7 @@ where they are given, so no job looks for them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -190,8 +190,8 @@ def batch_user_action_type(actions: DataFrame, names: list[str]) -> DataFrame:
     return actions.groupBy(*keys).agg(F.count_distinct("uid").alias("num_user"), *(F.count_if(F.col("action_name") == n).alias(n) for n in names))
 
 
-def progress(rows: DataFrame, name: str = "progress") -> DataFrame:
-    """rows, observed: number of operations and of features while they pass (``Observation`` by that name)."""
+def progress(rows: DataFrame, name: str | Observation = "progress") -> DataFrame:
+    """rows, observed: number of operations and of features while they pass (an ``Observation``, or one by that name)."""
     return rows.observe(name, F.count("*").alias("operations"), F.approx_count_distinct(F.struct(*FEATURE)).alias("features"))
 
 

@@ -238,6 +238,27 @@ def test_columns_of_geometry(spark):
     assert a < 13.0 and c > 13.1 and b < 46.0 and d > 46.1
 
 
+def test_progress_counts_what_passes(spark):
+    from pyspark.sql import Observation
+
+    rows = [op("ADD_TAG", i % 7, version=i, key="k", value="v") for i in range(40)]
+    seen = Observation("seen")
+    out = analyzers.progress(frame(spark, *rows), seen).groupBy("oid").count()
+    assert out.count() == 7 and seen.get == {"operations": 40, "features": 7}
+
+
+def test_readers_skip_files_by_their_statistics(spark, tmp_path):
+    """The index of files is Parquet's own: type and id reach the scan as partition and pushed filters."""
+    from editlens.sources.tables import read_operations, write_operations
+
+    write_operations(frame(spark, *(op("ADD_TAG", i, version=1, key="k", value="v") for i in range(500))), f"{tmp_path}/ops")
+    some = filters.by_ids(read_operations(spark, f"{tmp_path}/ops").where("geometry_type = 'POINT'"), points=[3, 5])
+    plan = some.select("oid", "key")._jdf.queryExecution().executedPlan().toString()
+    assert {r.oid for r in some.collect()} == {3, 5}
+    assert "PartitionFilters: [isnotnull(geometry_type" in plan and "In(oid, [3,5])" in plan
+    assert "ReadSchema: struct<oid:bigint,key:string>" in plan
+
+
 def test_windows_of_features_and_of_actions(spark):
     """A feature counts with all its actions if its first is within the window; actions count if they are themselves."""
     from editlens.plans.analysis import analyze
