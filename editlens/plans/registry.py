@@ -522,12 +522,28 @@ def d4_way_list_diff(spark, d):
     return version_diff(way_versions(spark, d)).groupBy("oid").agg(F.count_if(of == "OP_ADD_NODE").alias("added"), F.count_if(of == "OP_REMOVE_NODE").alias("removed"))
 
 
-@query(f"""WITH {_WAYS}, t AS (SELECT id, count(*) AS versions FROM w GROUP BY 1),
+#: Nodes of ways by place, how often each stands in both versions, and which of them it is (k).
+CTE_PLACES = f"""{_WAYS}, t AS (SELECT id, count(*) AS versions FROM w GROUP BY 1),
 n AS (SELECT id, version, unnest(nodes) AS ref, generate_subscripts(nodes, 1) - 1 AS position FROM w),
 c AS (SELECT id, ref, count(*) FILTER (WHERE version = 1) AS a, count(*) FILTER (WHERE version = 2) AS b FROM n GROUP BY 1, 2),
-r AS (SELECT n.*, a, b, versions, row_number() OVER (PARTITION BY n.id, n.version, n.ref ORDER BY n.position) AS k FROM n JOIN c ON n.id = c.id AND n.ref = c.ref JOIN t ON t.id = n.id)
-SELECT id AS oid, version, 'OP_ADD_NODE' AS operation_type, ref AS ref_id, CAST(position AS INT) AS position FROM r WHERE versions = 1 OR version = 1 OR k <= b - a
-UNION ALL SELECT id, 2, 'OP_REMOVE_NODE', ref, CAST(position AS INT) FROM r WHERE versions = 2 AND version = 1 AND k <= a - b""", operations=False)
+r AS (SELECT n.*, a, b, versions, row_number() OVER (PARTITION BY n.id, n.version, n.ref ORDER BY n.position) AS k FROM n JOIN c ON n.id = c.id AND n.ref = c.ref JOIN t ON t.id = n.id),
+listed AS (SELECT id AS oid, version, 'OP_ADD_NODE' AS operation_type, ref AS ref_id, CAST(position AS INT) AS position FROM r WHERE versions = 1 OR version = 1 OR k <= b - a
+  UNION ALL SELECT id, 2, 'OP_REMOVE_NODE', ref, CAST(position AS INT) FROM r WHERE versions = 2 AND version = 1 AND k <= a - b)"""
+
+#: What removals and additions leave is brought into the new order, place by place from the front: where another node stands, the
+#: one that belongs there comes from behind.
+CTE_MOVES = """left_over AS (SELECT id, ref, row_number() OVER (PARTITION BY id ORDER BY position) AS m FROM r WHERE versions = 2 AND version = 1 AND k > a - b),
+wanted AS (SELECT *, sum(CASE WHEN k > b - a THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY position) AS m FROM r WHERE versions = 2 AND version = 2),
+starts AS (SELECT x.id, list(x.ref ORDER BY x.position) AS new, list(CASE WHEN x.k > x.b - x.a THEN l.ref ELSE x.ref END ORDER BY x.position) AS now FROM wanted x LEFT JOIN left_over l ON l.id = x.id AND l.m = x.m GROUP BY 1),
+walk AS (
+  SELECT id, new, now, 0 AS place, CAST(NULL AS BIGINT) AS moved FROM starts WHERE new <> now
+  UNION ALL
+  SELECT id, new, CASE WHEN p IS NULL THEN now ELSE list_concat(list_concat(now[1:place], [new[place + 1]]), list_concat(now[place + 1:p - 1], now[p + 1:])) END, place + 1, p - 1
+  FROM (SELECT *, CASE WHEN now[place + 1] <> new[place + 1] THEN place + 1 + nullif(list_position(now[place + 2:], new[place + 1]), 0) END AS p FROM walk WHERE place < len(new)) x),
+moves AS (SELECT id AS oid, 2 AS version, 'OP_REORDER_NODE' AS operation_type, moved AS ref_id, CAST(place - 1 AS INT) AS position FROM walk WHERE moved IS NOT NULL)"""
+
+
+@query(f"WITH {CTE_PLACES} SELECT * FROM listed", operations=False)
 def d4_way_list_positions(spark, d):
     return version_diff(way_versions(spark, d)).where("operation_type IN ('OP_ADD_NODE', 'OP_REMOVE_NODE')").select("oid", "version", "operation_type", "ref_id", "position")
 
@@ -569,7 +585,19 @@ def d5_member_diff(spark, d):
 
 @query()
 def d4_way_operations(spark, d):
-    return version_diff(way_versions(spark, d)).select("oid", "version", "seq", "operation_type", "ref_id", "position", "key", "value")
+    return version_diff(way_versions(spark, d)).select("oid", "version", "operation_type", "ref_id", "position", "key", "value")
+
+
+_SQL["d4_way_operations"] = (
+    f"WITH RECURSIVE {CTE_PLACES}, {CTE_MOVES}, t2 AS (SELECT id, min(version) AS v1 FROM w GROUP BY 1)"
+    + " SELECT oid, version, operation_type, ref_id, position, '' AS key, '' AS value FROM (SELECT * FROM listed UNION ALL SELECT * FROM moves) x UNION ALL SELECT id, v1, 'OP_CREATE_WAY', -1, -1, '', '' FROM t2"
+    + " UNION ALL SELECT w.id, w.version, 'OP_ADD_TAG', -1, -1, 'status', status FROM w JOIN t2 ON w.id = t2.id AND w.version = t2.v1 UNION ALL SELECT id, version, 'OP_ADD_TAG', -1, -1, 'priority', priority FROM w WHERE version = 2"
+)
+
+
+@query(f"WITH RECURSIVE {CTE_PLACES}, {CTE_MOVES} SELECT * FROM moves", operations=False)
+def d4_way_reorders(spark, d):
+    return version_diff(way_versions(spark, d)).where("operation_type = 'OP_REORDER_NODE'").select("oid", "version", "operation_type", "ref_id", "position")
 
 
 @query("SELECT geometry_type, oid, uid, session, count(*) AS n FROM s GROUP BY 1, 2, 3, 4", actions=True)
@@ -605,10 +633,10 @@ state AS (SELECT g.oid, g.g, t.rank, t.name, t.properties, coalesce(arg_max(x.op
 due AS (SELECT *, CASE WHEN now AND was THEN 'UPDATE' WHEN now THEN 'CREATE' ELSE 'DELETE' END AS kind FROM (SELECT *, coalesce(lag(now) OVER (PARTITION BY oid, name ORDER BY g), false) AS was FROM state) x WHERE now OR was),
 rules AS (SELECT * FROM (VALUES ('DELETE', 1, 'AC_DELETE_POINT', 'DELETE', ['OP_REMOVE_TAG', 'OP_MODIFY_TAG_VALUE']), ('UPDATE', 1, 'AC_UPDATE_POINT', 'UPDATE', ['OP_ADD_TAG', 'OP_MODIFY_TAG_VALUE', 'OP_REMOVE_TAG', 'OP_MODIFY_COORDINATE']),
   ('CREATE', 1, 'AC_CREATE_POINT', 'CREATE', ['OP_CREATE_NODE', 'OP_ADD_TAG', 'OP_MODIFY_TAG_VALUE']), ('CREATE', 2, 'AC_UPDATE_POINT', 'UPDATE', ['OP_REMOVE_TAG', 'OP_MODIFY_COORDINATE'])) r(kind, part, action_name, action_type, takes)),
-taken AS (SELECT u.oid, u.g, u.now, u.rank, u.name, r.part, r.action_name, r.action_type, count(*) AS n_operations, arg_min(x, [-x.high, x.version]) AS first
+taken AS (SELECT u.oid, u.g, u.now, u.rank, u.name, r.part, r.action_name, r.action_type, count(*) AS n_operations, count(*) FILTER (WHERE x.operation_type = 'OP_MODIFY_TAG_VALUE' AND x.key = 'building') AS retyped, arg_min(x, [-x.high, x.version]) AS first
   FROM due u JOIN rules r ON r.kind = u.kind JOIN grouped x ON x.oid = u.oid AND x.g = u.g AND list_contains(r.takes, x.operation_type) {own} GROUP BY ALL),
 made AS (SELECT 'POINT' AS geometry_type, oid, CAST(row_number() OVER (PARTITION BY oid ORDER BY g, now, rank, part) - 1 AS INT) AS action_no, name AS feature_type, action_name, action_type, first.uid AS uid, first.ts AS ts,
-  first.operation_type AS first_operation, CAST(n_operations AS INT) AS n_operations, geom_wkt, false AS deleted FROM taken JOIN shape USING (oid, g))"""
+  first.operation_type AS first_operation, CAST(n_operations AS INT) AS n_operations, retyped, geom_wkt, false AS deleted FROM taken JOIN shape USING (oid, g))"""
 
 
 _MADE = "SELECT geometry_type, oid, action_no, feature_type, action_name, action_type, uid, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, first_operation, n_operations, geom_wkt, deleted FROM made"
@@ -638,6 +666,18 @@ _SQL["actions_by_rules_only_properties"] = _with(CTE_SESSIONS, _rules_sql(True))
 _SQL["a15_batch_general_by_rules"] = _with(CTE_SESSIONS, _rules_sql(False)) + "SELECT feature_type, CAST(ts AS DATE) AS period, action_name, count(*) AS action_count, count(DISTINCT oid) AS affected_count, count(DISTINCT uid) AS user_count FROM made GROUP BY 1, 2, 3"
 
 
+@query()
+def a14_change_detection_of_points(spark, d):
+    return change_detection(generate_actions(_of_points(spark, d), default_config())).groupBy("osm_id", "status").agg(F.count("*").alias("n"))
+
+
+# every move of these points is farther than the buffer
+_SQL["a14_change_detection_of_points"] = _with(CTE_SESSIONS, _rules_sql(False)) + """SELECT oid AS osm_id, status, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT oid, CASE action_type WHEN 'CREATE' THEN 'CreateGeometry' ELSE 'DeleteGeometry' END AS status, 1 AS n FROM made WHERE feature_type = 'buildingPoint' AND action_type <> 'UPDATE'
+  UNION ALL SELECT oid, 'BuildingTypeModified', retyped FROM made WHERE feature_type = 'buildingPoint' AND retyped > 0
+  UNION ALL SELECT oid, 'BuildingOutsideBuffer', 1 FROM (SELECT oid, geom_wkt <> lag(geom_wkt) OVER (PARTITION BY oid ORDER BY action_no) AS moved FROM made WHERE feature_type = 'buildingPoint') x WHERE moved) y GROUP BY 1, 2"""
+
+
 @query()
 def r2_elements(spark, d):
     size = lambda c: F.size(c).cast("long").alias(f"n_{c}")
