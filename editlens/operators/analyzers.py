@@ -105,7 +105,8 @@ def hour_of_day(actions: DataFrame, all_users: DataFrame | None = None) -> DataF
         return out
     users = all_users.select("uid").distinct()
     if len(keys) > 1:
-        users = actions.select("region").distinct().crossJoin(users)
+        regions = [r[0] for r in actions.select("region").distinct().collect()]  # those of the configuration
+        users = users.withColumn("region", F.explode(F.array(*map(F.lit, regions)).cast("array<string>")))
     return users.join(out, keys, "left")
 
 

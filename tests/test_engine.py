@@ -238,6 +238,15 @@ def test_columns_of_geometry(spark):
     assert a < 13.0 and c > 13.1 and b < 46.0 and d > 46.1
 
 
+def test_hour_of_day_has_a_row_for_every_contributor(spark):
+    acts = spark.createDataFrame([("r1", 1, T0), ("r1", 2, T0 + dt.timedelta(hours=7)), ("r2", 1, T0)], "region string, uid int, ts timestamp")
+    users = spark.createDataFrame([(1,), (2,), (3,), (3,)], "uid int")
+    got = {(r.region, r.uid): (r.h00_06, r.h06_12) for r in analyzers.hour_of_day(acts, users).collect()}
+    assert got == {("r1", 1): (1, None), ("r1", 2): (None, 1), ("r1", 3): (None, None), ("r2", 1): (1, None), ("r2", 2): (None, None), ("r2", 3): (None, None)}
+    plain = analyzers.hour_of_day(acts.drop("region"), users).collect()
+    assert {(r.uid, r.h00_06) for r in plain} == {(1, 2), (2, None), (3, None)}
+
+
 def test_progress_counts_what_passes(spark):
     from pyspark.sql import Observation
 
