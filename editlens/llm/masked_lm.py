@@ -13,7 +13,7 @@ order of the hashes, and the copies are averaged, weighted by words, through a t
 tasks nor a lost executor changes the model (but for rounding), and what reaches the driver doesn't grow.
 
 Results for odd rows: null and empty texts, and those without words, have 0 words, log-probability 0 and a null mean; an empty
-table gives no rows; repeated rows are scored alike and count as often as they are there; of words that tie in their count the
+table gives no rows; repeated rows are scored alike (but for rounding) and count as often as they are there; of words that tie in their count the
 smaller hash comes first; texts are whole, however long; a null doc_id stays null; other columns are not read."""
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ OFFSETS = (*range(-RADIUS, 0), *range(1, RADIUS + 1))
 #: Input numbers: words of the vocabulary, hashed others, and the edge of a text.
 EDGE = VOCABULARY + SPARE
 SHARD_WORDS, ROUNDS, FANIN = 4_000_000, 1, 16
+#: Nodes at the top of the tree, which most steps pass, are computed for all positions by matrices.
+TOP = 63
 
 
 def words_of(texts: pa.Array) -> Words:
@@ -99,6 +101,16 @@ class Lexicon:
         leaf = np.repeat(np.arange(self.leaves), np.diff(self.start))
         np.add.at(ways, ((self.turns > 0).astype(int), self.nodes), weights[leaf])
         self.odds = np.log((ways[1] + 0.5) / (ways[0] + 0.5)).astype(np.float32)
+        # steps at the top as a matrix of turns (0 where a way doesn't pass), the others as before
+        self.top = np.sort(np.argsort(-ways.sum(0), kind="stable")[:TOP])
+        at = np.full(len(self.odds), -1)
+        at[self.top] = np.arange(len(self.top))
+        high = at[self.nodes] >= 0
+        self.top_turns = np.zeros((self.leaves, len(self.top)), np.float32)
+        self.top_turns[leaf[high], at[self.nodes[high]]] = self.turns[high]
+        self.passed_by = (self.top_turns == 0).sum(1)
+        self.nodes, self.turns = self.nodes[~high], self.turns[~high]
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(leaf[~high], minlength=self.leaves)))).astype(np.int64)
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(input number, leaf) of each word."""
@@ -146,38 +158,62 @@ class Network:
         return np.tanh(out, out=out)
 
     def ways(self, leaf: np.ndarray):
-        """(position, node, turn) of every step to each position's leaf, and where each position's steps start."""
+        """Below the top: (position, node, turn) of every step to each position's leaf; positions that have steps, and where
+        theirs start."""
         start = self.words.start
         size = start[leaf + 1] - start[leaf]
         at = flat_gather(start[leaf], size)
-        return np.repeat(np.arange(len(leaf)), size), self.words.nodes[at], self.words.turns[at], np.cumsum(size) - size
+        low = np.flatnonzero(size)
+        return np.repeat(np.arange(len(leaf)), size), self.words.nodes[at], self.words.turns[at], low, (np.cumsum(size) - size)[low]
+
+    def top(self, hidden: np.ndarray, leaf: np.ndarray):
+        """(turns, turns times scores) of the top's nodes for each position."""
+        turns = self.words.top_turns[leaf]
+        z = hidden @ self.parts[2][self.words.top].T
+        z += self.parts[3][self.words.top]
+        z *= turns
+        return turns, z
 
     def log_prob(self, context: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         if self.words.leaves < 2:
             return np.zeros(len(leaf))
-        position, node, turn, first = self.ways(leaf)
-        score = np.einsum("ij,ij->i", self.hidden(context)[position], self.parts[2][node]) + self.parts[3][node]
-        return -np.add.reduceat(np.logaddexp(np.float32(0), -turn * score), first)
+        hidden = self.hidden(context)
+        _, z = self.top(hidden, leaf)
+        # a node that isn't passed has turn 0 and log 2
+        out = np.log(2) * self.words.passed_by[leaf] - np.log1p(np.exp(-np.maximum(z, -60))).sum(1)
+        position, node, turn, low, first = self.ways(leaf)
+        if len(low):
+            score = np.einsum("ij,ij->i", hidden[position], self.parts[2][node]) + self.parts[3][node]
+            out[low] -= np.add.reduceat(np.log1p(np.exp(-np.maximum(turn * score, -60))), first)
+        return out
 
     def step(self, context: np.ndarray, leaf: np.ndarray) -> None:
         if self.words.leaves < 2:
             return
         _, _, vectors, base = self.parts
+        top = self.words.top
         hidden = self.hidden(context)
-        position, node, turn, first = self.ways(leaf)
-        own, there = hidden[position], vectors[node]
-        z = turn * (np.einsum("ij,ij->i", own, there) + base[node])
-        g = -turn / (1 + np.exp(z)) / np.float32(len(leaf))
-        there *= g[:, None]
-        back = np.add.reduceat(there, first, axis=0)
+        turns, z = self.top(hidden, leaf)
+        turns /= 1 + np.exp(np.minimum(z, 60))
+        turns /= np.float32(-len(leaf))
+        back = turns @ vectors[top]
+        grad, grad_base = np.zeros(vectors.shape, np.float32), np.zeros(len(base), np.float32)
+        grad[top], grad_base[top] = turns.T @ hidden, turns.sum(0)
+        position, node, turn, low, first = self.ways(leaf)
+        if len(low):
+            own, there = hidden[position], vectors[node]
+            g = -turn / (1 + np.exp(np.minimum(turn * (np.einsum("ij,ij->i", own, there) + base[node]), 60))) / np.float32(len(leaf))
+            there *= g[:, None]
+            back[low] += np.add.reduceat(there, first, axis=0)
+            own *= g[:, None]
+            grad += _sums(node, own, len(base))
+            grad_base += np.bincount(node, g, len(base))
         back *= 1 - hidden * hidden
-        own *= g[:, None]
-        self._move(2, np.stack([np.bincount(node, c, len(base)) for c in own.T], 1))
-        self._move(3, np.bincount(node, g, len(base)))
+        self._move(2, grad)
+        self._move(3, grad_base)
         self._move(1, back.sum(0))
-        columns = np.ascontiguousarray(back.T)
         for k in range(len(OFFSETS)):
-            self._move(0, np.stack([np.bincount(context[k], c, EDGE + 1) for c in columns], 1), k)
+            self._move(0, _sums(context[k], back, EDGE + 1), k)
 
     def _move(self, i: int, g: np.ndarray, k=slice(None)) -> None:
         g = g.astype(np.float32)
@@ -185,6 +221,13 @@ class Network:
         self.parts[i][k] -= RATE * g / np.sqrt(self.seen[i][k])
 
 
+def _sums(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of rows by their number."""
+    width = rows.shape[1]
+    index = (at[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(index, rows.ravel(), size * width).reshape(size, width)
+
+
 def contexts(w: Words, number: np.ndarray) -> np.ndarray:
     """For each place around a word the input number there, EDGE outside the text."""
     n = len(number)

@@ -361,7 +361,7 @@ def test_masked_lm(spark, rows):
     assert pseudo_likelihood(frame(spark, docs).where("false")).count() == 0
     odd = [(1, None, "en"), (2, " 1 ", "en"), (3, " . ", None), (4, text(1, 60_000), "en"), (5, "same words here", "en"), (5, "same words here", "en"), (None, "same words here", "en")]
     got = [tuple(x) for x in pseudo_likelihood(frame(spark, odd)).collect()]
-    assert len(got) == len(odd) and len({x[1:] for x in got if x[1] == 3}) == 1 and {x[1] for x in got} == {0, 1, 3, 60_000}
+    assert len(got) == len(odd) and len({round(x[2], 4) for x in got if x[1] == 3}) == 1 and {x[1] for x in got} == {0, 1, 3, 60_000}
 
 
 def test_masked_lm_tells_words_of_equal_frequency_apart(spark):
@@ -376,7 +376,7 @@ def test_masked_lm_tells_words_of_equal_frequency_apart(spark):
     assert got[900] > got[901] + 0.5
 
 
-def test_masked_lm_probabilities_and_model(spark):
+def test_masked_lm_probabilities_and_model(spark, monkeypatch):
     """All words' probabilities sum up to one at every position; rare words have exact shares; the score is that of the
     formula written out; the model doesn't depend on how many tasks there are."""
     from editlens.llm import masked_lm as M
@@ -386,11 +386,22 @@ def test_masked_lm_probabilities_and_model(spark):
     n, counts = 40, np.sort(r.randint(5, 500, 40))[::-1]
     names = [f"w{i}" for i in range(n)]
     hashes = M.words_of(pa.array([" ".join(names)])).hash
-    net = M.Network(M.Lexicon(hashes, counts, 77))
+    monkeypatch.setattr(M, "TOP", 9)
+    lexicon = M.Lexicon(hashes, counts, 77)
+    nodes, turns, start = M.huffman(np.append(counts, 77).astype(float))
+    for x in range(n + 1):  # the top and the rest are all steps of the tree
+        own = dict(zip(lexicon.nodes[lexicon.start[x] : lexicon.start[x + 1]], lexicon.turns[lexicon.start[x] : lexicon.start[x + 1]]))
+        own |= {k: v for k, v in zip(lexicon.top, lexicon.top_turns[x]) if v}
+        assert own == dict(zip(nodes[start[x] : start[x + 1]], turns[start[x] : start[x + 1]]))
+    net = M.Network(lexicon)
     net.parts[2] += r.standard_normal(net.parts[2].shape).astype(np.float32)
     context = r.randint(0, n, (len(M.OFFSETS), 7))
     every = np.stack([np.exp(net.log_prob(context, np.full(7, leaf))) for leaf in range(n + 1)])
     assert np.abs(every.sum(0) - 1).max() < 1e-4
+    before = net.log_prob(context, np.arange(7)).sum()
+    for _ in range(20):
+        net.step(context, np.arange(7))
+    assert net.log_prob(context, np.arange(7)).sum() > before + 1  # it learns what it is shown
 
     docs = [(i, text(i, 50), "en") for i in range(300)] + [(900, "once only", "en")]
     df = frame(spark, docs)
@@ -406,8 +417,10 @@ def test_masked_lm_probabilities_and_model(spark):
     for i in range(len(number)):
         near = [number[i + o] if 0 <= i + o < len(number) else M.EDGE for o in M.OFFSETS]
         hidden = np.tanh(sum(embed[k][x] for k, x in enumerate(near)) + bias)
-        for at in range(words.start[leaf[i]], words.start[leaf[i] + 1]):
-            total -= np.log1p(np.exp(-words.turns[at] * (hidden @ vectors[words.nodes[at]] + base[words.nodes[at]])))
+        steps = [(words.nodes[at], words.turns[at]) for at in range(words.start[leaf[i]], words.start[leaf[i] + 1])]
+        steps += [(node, turn) for node, turn in zip(words.top, words.top_turns[leaf[i]]) if turn]
+        for node, turn in steps:
+            total -= np.log1p(np.exp(-turn * (hidden @ vectors[node] + base[node])))
     assert len(flat.hash) == len(number) and abs(total - runs[0][4]) < 0.05
 
 
