@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_kinds, flat_gather, ship, slices, span_hash, tidy, utf8
+from .common import byte_kinds, flat_gather, list_slices, ship, slices, span_hash, spell, spelled, tidy, utf8
 
 #: Different cuts that a worker remembers.
 CACHE = 250_000
@@ -60,16 +60,16 @@ class Speller:
         names = {r: "".join(chars[b] for b in t) for t, r in read_ranks(path).items()}
         size = max(names) + 1
         back = {c: b for b, c in enumerate(chars)}
-        self.token_bytes, self.token_at = _blob([bytes(back[x] for x in names.get(i, "")) for i in range(size)])
-        self.digit_bytes, self.digit_at = _blob([b"%d," % i for i in range(size)])
+        self.token_bytes, self.token_at = spelled([bytes(back[x] for x in names.get(i, "")) for i in range(size)])
+        self.digit_bytes, self.digit_at = spelled([b"%d," % i for i in range(size)])
 
     def decode(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of consecutive lists of ids, and offsets."""
-        return _spell(ids, offs, self.token_bytes, self.token_at)
+        return spell(ids, offs, self.token_bytes, self.token_at)
 
     def digits(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Decimal ids, each with a comma behind it."""
-        return _spell(ids, offs, self.digit_bytes, self.digit_at)
+        return spell(ids, offs, self.digit_bytes, self.digit_at)
 
 
 def last_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
@@ -165,16 +165,6 @@ class Coder:
         return ids, total[np.searchsorted(start, offs)]
 
 
-def _blob(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(items), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in items])))
-
-
-def _spell(ids, offs, blob, at):
-    size = at[ids + 1] - at[ids]
-    total = np.concatenate(([0], np.cumsum(size)))
-    return blob[flat_gather(at[ids], size)], total[offs]
-
-
 def _cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Starts of the cuts: texts' starts, and blanks (ASCII white space) behind a character that isn't white space."""
     blank = byte_kinds("exact")[1][data]
@@ -222,23 +212,12 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text") -
     return docs.mapInArrow(tidy(_encoded(path, pattern, text)), f"{fields}, ids array<int>, n_tokens long")
 
 
-def _some(batch: pa.RecordBatch, column: int, limit: int = 200_000):
-    """Parts of a batch with lists of at most ``limit`` items in all, or one longer list."""
-    lists = batch.column(column)
-    total = np.concatenate(([0], np.cumsum(np.diff(lists.offsets.to_numpy()))))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(total, total[at] + limit, side="right")) - 1)
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def _decoded(path: str, pattern: str):
     def run(batches):
         own = speller(path)
         for batch in batches:
             at = batch.schema.get_field_index("ids")
-            for part in _some(batch, at):
+            for part in list_slices(batch, at):
                 lists = part.column(at).fill_null([]) if part.column(at).null_count else part.column(at)
                 cut = lists.offsets.to_numpy()
                 data, offs = own.decode(lists.flatten().to_numpy(zero_copy_only=False), (cut - cut[0]).astype(np.int64))

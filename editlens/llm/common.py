@@ -267,5 +267,28 @@ def flat_gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - out, size) + np.arange(total)
 
 
+def spelled(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Items one after another, and offsets."""
+    return np.frombuffer(b"".join(items), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in items], dtype=np.int64)))
+
+
+def spell(ids: np.ndarray, offs: np.ndarray, items: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the items (``spelled``) that consecutive lists of ids name, and offsets."""
+    size = at[ids + 1] - at[ids]
+    total = np.concatenate(([0], np.cumsum(size)))
+    return items[flat_gather(at[ids], size)], total[offs]
+
+
+def list_slices(batch: pa.RecordBatch, column: int, limit: int = 200_000):
+    """Parts of a batch with lists of at most ``limit`` items in all, or one longer list."""
+    lists = batch.column(column)
+    total = np.concatenate(([0], np.cumsum(np.diff(lists.offsets.to_numpy()))))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(total, total[at] + limit, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
