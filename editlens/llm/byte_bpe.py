@@ -237,7 +237,7 @@ def decode_ids(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def decode_texts(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """As ``decode_ids``, with ``decoded`` as text; bytes that form no character become U+FFFD."""
-    return decode_ids(tokens, path, pattern).withColumn("decoded", F.decode("decoded", "UTF-8"))
+    return decode_ids(tokens, path, pattern).withColumn("decoded", F.make_valid_utf8(F.col("decoded").cast("string")))
 
 
 def _both(path: str, pattern: str, digests: bool):

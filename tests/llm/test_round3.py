@@ -74,3 +74,18 @@ def test_piece_cache_is_bounded(model, monkeypatch):
         assert ids.tolist() == own.library.encode(t or "")
         met |= own.known.keys()
     assert len(own.known) + len(own.older) < len(met) / 2
+
+
+def test_byte_decoding_of_split_characters(spark):
+    """Ids that end or begin within a character."""
+    P = pytest.importorskip("public_tokenizers")
+    from editlens.llm.byte_bpe import decode_texts, read_ranks
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    token = {r: t for t, r in read_ranks(path).items()}
+    r = random.Random(6)
+    high = [i for i, t in token.items() if any(b >= 0x80 for b in t)]
+    lists = [[r.choice(high) if r.random() < 0.7 else r.randrange(50_000) for _ in range(r.randrange(8))] for _ in range(2000)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*lists, None])], "n long, ids array<int>")
+    for x in decode_texts(rows, path, P.PATTERN).collect():
+        assert x.decoded == b"".join(token[i] for i in x.ids or []).decode("utf-8", "replace")
