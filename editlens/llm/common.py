@@ -167,11 +167,12 @@ def byte_kinds(kind: str) -> tuple[np.ndarray, np.ndarray]:
 
     ``ascii``: words are runs without space, tab, LF, VT, FF, CR; A-Z count as a-z.
     ``letters``: words are runs of letters, digits and bytes of 128 and more; A-Z count as a-z.
+    ``terms``: as ``letters``, without digits.
     ``exact``: as ``ascii``, with letter case."""
     counts_as, apart = np.arange(256, dtype=np.uint8), np.zeros(256, bool)
-    if kind == "letters":
+    if kind in ("letters", "terms"):
         apart[:128] = True
-        for a, b in ((48, 58), (65, 91), (97, 123)):
+        for a, b in ((48, 58), (65, 91), (97, 123))[kind == "terms" :]:
             apart[a:b] = False
     else:
         apart[[32, 9, 10, 11, 12, 13]] = True

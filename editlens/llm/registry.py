@@ -80,6 +80,12 @@ def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -128,5 +134,31 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+tokens AS (SELECT id, lang, source, unnest(words) AS term FROM docs),
+kept AS (SELECT lang, term FROM tokens GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS n FROM tokens SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+vocabulary AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+groups AS (SELECT d.lang, d.source, coalesce(v.v, 0) AS v, coalesce(s.n, 0) AS total FROM (SELECT DISTINCT lang, source FROM docs) d
+  LEFT JOIN vocabulary v USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM counts GROUP BY 1, 2) s USING (lang, source)),
+shares AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (g.total + g.v) AS p
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+langs AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (sum(n) + 1) // (any_value(t.total) + any_value(t.v)) AS q
+  FROM counts JOIN (SELECT lang, sum(total) AS total, max(v) AS v FROM groups GROUP BY 1) t USING (lang) GROUP BY 1, 2),
+pairs AS (SELECT g.lang, g.source, h.source AS item, coalesce(x.value, 0) AS value FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3) x ON x.lang = g.lang AND x.source = g.source AND x.item = h.source),
+terms AS (SELECT s.lang, s.source, s.term AS item, (p - q) * (p - q) // q AS value FROM shares s JOIN langs l ON s.lang = l.lang AND s.term = l.term WHERE s.n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql():
-    return {"op1_exact_top_k": OP1_SQL, "op6_minhash_near_dedup": OP6_SQL}
+    return {"op1_exact_top_k": OP1_SQL, "op6_minhash_near_dedup": OP6_SQL, "op13_source_divergence": OP13_SQL}

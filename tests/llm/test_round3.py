@@ -89,3 +89,90 @@ def test_byte_decoding_of_split_characters(spark):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate([*lists, None])], "n long, ids array<int>")
     for x in decode_texts(rows, path, P.PATTERN).collect():
         assert x.decoded == b"".join(token[i] for i in x.ids or []).decode("utf-8", "replace")
+
+
+# ---------------------------------------------------------------- divergence of sources
+
+
+def brute_divergence(rows, least, top):
+    import re
+    from collections import Counter, defaultdict
+
+    groups, docs, counts = set(), defaultdict(Counter), defaultdict(Counter)
+    for _, t, lang, source in rows:
+        lang, source = lang or "", source or ""
+        groups.add((lang, source))
+        words = re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        docs[lang].update(set(words))
+        counts[lang, source].update(words)
+    out = []
+    for lang, source in groups:
+        kept = sorted(w for w, n in docs[lang].items() if n >= least)
+        sources = sorted(s for x, s in groups if x == lang)
+        share = lambda of, kept=kept: {w: 1 + 10**9 * (of[w] + 1) // (sum(of[x] for x in kept) + len(kept)) for w in kept}
+        f = lambda p, q: (p - q) ** 2 // q
+        p = share(counts[lang, source])
+        pairs = [(sum(f(p[w], q[w]) for w in kept), s) for s in sources if s != source for q in [share(counts[lang, s])]]
+        q = share(sum((counts[lang, s] for s in sources), Counter()))
+        terms = [(f(p[w], q[w]), w) for w in kept if counts[lang, source][w] and p[w] > q[w]]
+        for part, items in (("pair", pairs), ("term", terms)):
+            items = sorted(items, key=lambda x: (-x[0], x[1].encode()))
+            out += [(lang, source, part, w, v, k) for k, (v, w) in enumerate(items, 1) if part == "pair" or k <= top]
+    return sorted(out)
+
+
+def _divergent_rows():
+    r = random.Random(8)
+    words = ["Été", "river", "STONE", "straße", "Ünder", "a1b", "naïve", "x_y", "don't", "日本", "\U0001f600", "z"]
+    rows = [(i, " ".join(r.choice(words[: r.randrange(2, 13)]) for _ in range(r.randrange(40))), r.choice(["en", "fr", None]), r.choice(["a", "b", "c", None])) for i in range(300)]
+    rows += [(None, "only here here", "xx", "q"), (7, None, "xx", "r"), (7, "", "xx", "r"), (8, "12 !!", "yy", "s"), (9, "river " * 9000, "en", "long"), (1, None, None, None)]
+    return rows + rows[:20]
+
+
+@pytest.mark.parametrize("least, top, small", [(3, 200, False), (2, 3, True), (10_000, 5, False)])
+def test_source_divergence_brute_force(spark, monkeypatch, least, top, small):
+    from editlens.llm import divergence
+
+    if small:  # many partial runs and blocks of pairs
+        monkeypatch.setattr(divergence, "ROWS", 10)
+        monkeypatch.setattr(divergence, "PAIRS", 3)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rows = _divergent_rows()
+    try:
+        got = divergence.source_divergence(frame(spark, rows).repartition(3), least, top)
+        assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
+        assert sorted(map(tuple, got.collect())) == brute_divergence(rows, least, top)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_source_divergence_of_nothing(spark):
+    from editlens.llm.divergence import source_divergence
+
+    assert source_divergence(frame(spark, [(1, "a", "b", "c")]).where("false")).collect() == []
+
+
+def test_shares_and_sums_are_exact():
+    from editlens.llm.divergence import shares
+
+    r = random.Random(9)
+    whole = [r.randrange(1, 10 ** r.randrange(1, 16)) for _ in range(2000)]
+    count = [r.randrange(1, w + 1) for w in whole]
+    got = shares(np.array(count), np.array(whole))
+    assert got.tolist() == [1 + 10**9 * c // w for c, w in zip(count, whole)]
+
+
+def test_terms_of_one_hash_are_told_apart(monkeypatch):
+    from editlens.llm import divergence
+
+    plain = divergence.Words
+
+    class Colliding(plain):
+        def __init__(self, *a):
+            super().__init__(*a)
+            self.hash = self.hash % np.uint64(3)
+
+    monkeypatch.setattr(divergence, "Words", Colliding)
+    part = pa.record_batch([["en"] * 3, ["a b c d a", "b e", None], ["s", "t", "s"]], names=["lang", "text", "source"])
+    got = {tuple(r.values()) for r in divergence.term_runs(part).to_pylist()}
+    assert got == {("en", "a", "s", 1, 2), ("en", "b", "s", 1, 1), ("en", "c", "s", 1, 1), ("en", "d", "s", 1, 1), ("en", "b", "t", 1, 1), ("en", "e", "t", 1, 1)}
