@@ -72,6 +72,14 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+    from .vector_search import quantized
+
+    rows = quantized(table(spark, sf_dir, "embeddings").selectExpr("vec_id", "embedding", "if(vec_id % 7 = 0, (label + 1) % 10, label) AS label").where("label IS NOT NULL"), 256, "label")
+    return hard_negatives(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -134,6 +142,22 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(CAST(256 AS DOUBLE) * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT vec_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM v),
+s AS (SELECT q.vec_id AS anchor_id, d.vec_id, CAST(sum(q.x * d.x) AS BIGINT) AS score FROM c q JOIN c d ON q.i = d.i AND q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1, 2),
+l AS (SELECT s.*, a.label = b.label AS same FROM s JOIN v a ON a.vec_id = anchor_id JOIN v b ON b.vec_id = s.vec_id),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM l WHERE same) x WHERE k <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, l.vec_id AS negative_id, p.score AS positive_score, l.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY l.score DESC, l.vec_id) AS INTEGER) AS rank
+  FROM p JOIN l ON l.anchor_id = p.anchor_id AND NOT l.same AND 80 * p.score <= 100 * l.score AND l.score <= p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
 OP13_SQL = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -161,4 +185,4 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 
 
 def oracle_sql():
-    return {"op1_exact_top_k": OP1_SQL, "op6_minhash_near_dedup": OP6_SQL, "op13_source_divergence": OP13_SQL}
+    return {"op1_exact_top_k": OP1_SQL, "op6_minhash_near_dedup": OP6_SQL, "op11_hard_negatives": OP11_SQL, "op13_source_divergence": OP13_SQL}

@@ -31,28 +31,39 @@ LEAST = -(1 << 62)
 PIVOTS, SAMPLE, RING, WAVE_BYTES, SCALE = 32, 2048, 512, 32 << 20, 1024
 
 
-def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component x as double; rows that take no part are left out."""
+def quantized(vectors: DataFrame, scale: int = SCALE, *others: str) -> DataFrame:
+    """(vec_id, others, v): floor(scale * x) of each component x as double; rows that take no part are left out."""
     x = F.col("embedding")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf")))
     return (
-        vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding"))
+        vectors.select(F.col("vec_id").cast("long").alias("vec_id"), *others, x.alias("embedding"))
         .where("vec_id is not null and embedding is not null and size(embedding) > 0")
         .where(~bad)
-        .select("vec_id", F.transform("embedding", lambda c: F.floor(F.lit(scale).cast("double") * c.cast("double")).cast("long")).alias("v"))
+        .select("vec_id", *others, F.transform("embedding", lambda c: F.floor(F.lit(scale).cast("double") * c.cast("double")).cast("long")).alias("v"))
     )
 
 
-def _matrix(column) -> np.ndarray:
+def most_frequent_length(vectors: DataFrame) -> int | None:
+    """The length that most vectors have, of equally frequent ones the smallest."""
+    usual = vectors.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("k"), "n").first()
+    return usual and usual.n
+
+
+def matrix(column) -> np.ndarray:
     size = np.diff(column.offsets.to_numpy())
     if len(size) and (size != size[0]).any():
         raise ValueError("vectors differ in length")
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(size), -1)
 
 
+def _largest(a: np.ndarray) -> int:
+    """The largest absolute value, at least 1 (that of the smallest 64-bit integer has no place in 64 bits)."""
+    return max(1, int(a.max(initial=0)), -int(a.min(initial=0)))
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer inner products of rows; by floating point where every partial sum is exact in it."""
-    most = (int(np.abs(a).max(initial=0)) or 1) * (int(np.abs(b).max(initial=0)) or 1) * max(1, a.shape[1])
+    most = _largest(a) * _largest(b) * max(1, a.shape[1])
     if most < 1 << 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     if most < 1 << 63:
@@ -61,7 +72,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(exact, LEAST + 1, -LEAST).astype(np.int64)
 
 
-def _lift(v: np.ndarray, most: float) -> np.ndarray:
+def lift(v: np.ndarray, most: float) -> np.ndarray:
     x = v.astype(np.float64)
     return np.hstack([x, np.sqrt(np.maximum(most - (x * x).sum(1), 0))[:, None]])
 
@@ -81,7 +92,7 @@ def _keyed(pivots: np.ndarray, most: float):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                p = _lift(_matrix(part.column(1)), most)
+                p = lift(matrix(part.column(1)), most)
                 d = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * p @ pivots.T, 0))
                 near = d.argmin(1)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])], names=["vec_id", "v", "pivot", "distance"])
@@ -102,7 +113,7 @@ class Best:
         score = np.where(ids[None, :] == own[:, None], LEAST, score)
         floor = self.score[rows, -1]
         for i in np.flatnonzero((score >= floor[:, None]).any(1) & (score.max(1, initial=LEAST) > LEAST)):
-            take = np.flatnonzero((score[i] >= floor[i]) & (ids != own[i]))
+            take = np.flatnonzero((score[i] >= floor[i]) & (score[i] > LEAST))
             s, d = np.concatenate((self.score[rows[i]], score[i, take])), np.concatenate((self.id[rows[i]], ids[take]))
             order = np.lexsort((d, -s))[: self.k]
             self.score[rows[i]], self.id[rows[i]] = s[order], d[order]
@@ -120,7 +131,7 @@ def _search(shared, pivots: np.ndarray, most: float, k: int):
             if not batch.num_rows:
                 continue
             ids, pivot, dist = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
-            v = _matrix(batch.column(1))
+            v = matrix(batch.column(1))
             narrow = v.astype(np.int32)
             v = narrow if (narrow == v).all() else v
             edge = np.flatnonzero(np.concatenate(([True], pivot[1:] != pivot[:-1])))
@@ -157,20 +168,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """vectors(vec_id, v), queries(vec_id, v) -> (query_id, rank, vec_id, score): the k largest inner products."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    usual = vectors.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("k"), "n").first()
+    usual = most_frequent_length(vectors)
     if usual is None:
         return spark.createDataFrame([], _RANKED)
-    rows = scratch.save(vectors.where(F.size("v") == usual.n))
-    queries = scratch.save(queries.where(F.size("v") == usual.n).groupBy("vec_id").agg(F.min("v").alias("v")))
+    rows = scratch.save(vectors.where(F.size("v") == usual))
+    queries = scratch.save(queries.where(F.size("v") == usual).groupBy("vec_id").agg(F.min("v").alias("v")))
     square = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     most, n = rows.agg(F.coalesce(F.max(square), F.lit(0.0)), F.count("*")).first()
     most = most * (1 + 1e-12) + 1
-    waves = max(1, -(-queries.count() * usual.n * 8 // WAVE_BYTES))
+    waves = max(1, -(-queries.count() * usual * 8 // WAVE_BYTES))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     if not len(sample):
         return spark.createDataFrame([], _RANKED)
     taken, taken_ids = np.array(sample["v"].tolist(), np.int64), sample["vec_id"].to_numpy(np.int64)
-    pivots = pick_pivots(_lift(taken, most), PIVOTS)
+    pivots = pick_pivots(lift(taken, most), PIVOTS)
     index = scratch.save(rows.mapInArrow(tidy(_keyed(pivots, most)), "vec_id long, v array<long>, pivot int, distance double").repartitionByRange("pivot", "distance", "vec_id").sortWithinPartitions("pivot", "distance", "vec_id"))
     found = None
     for wave in range(waves):

@@ -176,3 +176,84 @@ def test_terms_of_one_hash_are_told_apart(monkeypatch):
     part = pa.record_batch([["en"] * 3, ["a b c d a", "b e", None], ["s", "t", "s"]], names=["lang", "text", "source"])
     got = {tuple(r.values()) for r in divergence.term_runs(part).to_pylist()}
     assert got == {("en", "a", "s", 1, 2), ("en", "b", "s", 1, 1), ("en", "c", "s", 1, 1), ("en", "d", "s", 1, 1), ("en", "b", "t", 1, 1), ("en", "e", "t", 1, 1)}
+
+
+# ---------------------------------------------------------------- hard negatives
+
+
+def brute_negatives(rows, anchors, positives=5, negatives=5):
+    ask = {}
+    for i, label, v in anchors:
+        ask[i] = min(ask.get(i, (label, v)), (label, v))
+    out = set()
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    for i, (label, q) in ask.items():
+        scored = sorted((-dot(q, v), j, other) for j, other, v in rows if j != i)
+        for p, j in [(-s, j) for s, j, other in scored if other == label][:positives]:
+            hits = [(j2, -s) for s, j2, other in scored if other != label and 80 * p <= -100 * s <= 100 * p][:negatives]
+            out |= {(i, j, k, j2, p, s) for k, (j2, s) in enumerate(hits, 1)}
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hard_negatives_brute_force(spark, monkeypatch, seed):
+    """Small leaves, places and blocks; copies of a vector, ties, zero and negative scores, repeated ids."""
+    from editlens.llm import hard_negatives as H
+    from editlens.llm import shards
+
+    for name, value in (("LEAF", 4), ("PLACE", 24), ("SAMPLE", 40), ("CELL", 4), ("STEP", 2)):
+        monkeypatch.setattr(H, name, value)
+    monkeypatch.setattr(shards, "QUERIES", 3)
+    r = random.Random(seed)
+    centre = [[r.randrange(-40, 41) for _ in range(6)] for _ in range(5)]
+    rows = [(i, r.randrange(4), [x + r.randrange(-9, 10) for x in centre[i % 5]]) for i in range(300)]
+    rows += [(1000 + i, r.randrange(4), list(centre[0])) for i in range(120)]  # copies of one vector
+    rows += [(2000, 1, [0] * 6), (2001, 2, [0] * 6), (3, 2, [1] * 6), (3, 0, [2] * 6)]
+    rows.append((3000, 9, centre[1]))  # no other row of its label
+    schema = "vec_id long, label long, v array<long>"
+    odd = [(None, 1, [1] * 6), (50_000, None, [90] * 6), (50_001, 1, [90] * 5)]
+    asked = [x for x in rows if x[0] % 10 == 0 or x[0] == 3]
+    got = H.hard_negatives(spark.createDataFrame(rows + odd, schema).repartition(5), spark.createDataFrame(asked + odd, schema))
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    got = sorted(map(tuple, got.collect()))
+    assert got == brute_negatives(rows, asked) and len({x[1] for x in got}) > 20
+
+
+def test_hard_negatives_of_odd_rows(spark):
+    from editlens.llm.hard_negatives import hard_negatives
+    from editlens.llm.vector_search import quantized
+
+    rows = [(0, 1, [1.0, 0.5]), (1, 1, [1.0, 0.4]), (2, 2, [0.9, 0.3]), (3, 2, None), (4, 2, [float("nan"), 1.0]), (5, 2, [1.0, None]), (6, None, [1.0, 1.0]), (7, 2, [float("inf"), 1.0]), (8, 2, []), (9, 2, [1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>")
+    v = quantized(table, 256, "label")
+    assert sorted(map(tuple, hard_negatives(v, v.where("vec_id = 0")).collect())) == [(0, 1, 1, 2, 256 * 256 + 128 * 102, 256 * 230 + 128 * 76)]
+    assert hard_negatives(v.where("false"), v).collect() == [] and hard_negatives(v, v.where("false")).collect() == []
+    huge = spark.createDataFrame([(0, 1, [3 * 10**9, 1]), (1, 1, [3 * 10**9, 0]), (2, 2, [28 * 10**8, 0]), (3, 3, [3 * 10**9, 5])], "vec_id long, label long, v array<long>")
+    held = 1 << 62
+    assert sorted(map(tuple, hard_negatives(huge, huge.where("vec_id = 0")).collect())) == [(0, 1, 1, 2, held, held), (0, 1, 2, 3, held, held)]
+
+
+def test_leaves_lie_within_their_bounds():
+    from editlens.llm.hard_negatives import Tree, apart
+    from editlens.llm.vector_search import lift
+
+    r = np.random.RandomState(3)
+    v = r.randint(-300, 300, (3000, 16))
+    most = float((v * v).sum(1).max()) + 1
+    tree = Tree(np.arange(3000), np.zeros(3000, int), v, most)
+    q = np.hstack([r.randint(-300, 300, (40, 16)).astype(float), np.zeros((40, 1))])
+    least, greatest = tree.reach(q)
+    d = apart(q, lift(tree.v, most))
+    for leaf in range(len(tree.paths)):
+        own = d[:, tree.edge[leaf] : tree.edge[leaf + 1]]
+        assert (own >= least[:, leaf][:, None] - 1e-6).all() and (own <= greatest[:, leaf][:, None] + 1e-6).all()
+
+
+def test_top_k_of_huge_components(spark):
+    """The smallest integer has no absolute value in 64 bits; scores beyond 63 bits are held to 62."""
+    from editlens.llm.vector_search import quantized, top_k
+
+    v = quantized(spark.createDataFrame([(0, [1.0, 1.0]), (1, [-1e300, 1.0]), (2, [-5.0, 0.0])], "vec_id long, embedding array<double>"))
+    got = [tuple(r) for r in top_k(v, v, 10).orderBy("query_id", "rank").collect()]
+    held = 1 << 62
+    assert got == [(0, 1, 2, -5 * 1024 * 1024), (0, 2, 1, -held + 1), (1, 1, 2, held), (1, 2, 0, -held + 1), (2, 1, 1, held), (2, 2, 0, -5 * 1024 * 1024)]
