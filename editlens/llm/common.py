@@ -115,6 +115,14 @@ def _give_back() -> None:
         c.malloc_trim(0)
 
 
+def fresh(columns: list[str]) -> str:
+    """A name that none of the columns begins with, for columns of our own beside those of a caller."""
+    name = "_own"
+    while any(c.lower().startswith(name) for c in columns):
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, U64, Words, chain, mix, shingles, slices, tidy, utf8
+from .common import chain, fresh, mix, Scratch, shingles, slices, tidy, U64, utf8, Words
 from .components import Forest, connected_components
 
 CHUNKS, WIDTH, ERRORS = 14, 6, 1
@@ -415,11 +415,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns. Of rows that repeat a doc_id and its text the
     one whose columns have the smallest hash stays; rows of one doc_id with different texts all stay."""
-    kept = Scratch(docs.sparkSession).save(near_duplicates(docs, k, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct())
-    known = docs.join(kept, docs.doc_id.cast("long") == kept._kept, "left_semi")
+    own = fresh(docs.columns)
+    kept = Scratch(docs.sparkSession).save(near_duplicates(docs, k, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias(f"{own}kept")).distinct())
+    known = docs.join(kept, F.col("doc_id").cast("long") == F.col(f"{own}kept"), "left_semi")
     # rows of a doc_id are together after this join, so telling repeats moves nothing more
-    plain = [c for c, kind in docs.dtypes if "map<" not in kind]  # maps have no hash
-    first = Window.partitionBy("doc_id").orderBy("_text_hash", "_row_hash")
-    marks = known.withColumn("_text_hash", F.xxhash64("text")).withColumn("_row_hash", F.xxhash64(*plain))
-    marks = marks.withColumn("_hash_before", F.lag("_text_hash").over(first))
-    return marks.where("_hash_before is null or _hash_before != _text_hash").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]  # maps have no hash
+    first = Window.partitionBy("doc_id").orderBy(f"{own}text", f"{own}row")
+    marks = known.withColumn(f"{own}text", F.xxhash64("text")).withColumn(f"{own}row", F.xxhash64(*plain))
+    marks = marks.withColumn(f"{own}before", F.lag(f"{own}text").over(first))
+    return marks.where(F.col(f"{own}before").isNull() | (F.col(f"{own}before") != F.col(f"{own}text"))).drop(f"{own}text", f"{own}row", f"{own}before").unionByName(docs.where("doc_id is null"))

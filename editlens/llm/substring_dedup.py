@@ -1,8 +1,8 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
 The hash of the last 16 bytes, h = (h << 2) + G[byte] in 32 bits, ends a chunk wherever it is among the smallest
-1/RATE of all values (and no such place lies among the 7 before), so chunk borders move with their content and an
-insertion upsets only the chunks around it. A chunk that would be longer than MOST bytes (as in texts that go on repeating
+1/RATE of all values and no such place lies among the QUIET bytes before (where the 16 bytes hold DENSE blanks or more, so that
+words are short, borders are closer), so chunk borders move with their content and an insertion upsets only the chunks around it. A chunk that would be longer than MOST bytes (as in texts that go on repeating
 themselves) ends at the last place of the smallest hash within them. Chunks are compared by 64-bit digests. A chunk is repeated when a document of
 a smaller id has it, and votes for the place where one has it: a document and the shift between both. Neighbouring
 repeated chunks form runs. For each place that chunks of a run vote for, both documents' bytes are compared from REACH
@@ -15,8 +15,10 @@ Before the shuffle by digest a slice of texts keeps one document's rows of each
 repeated, bypass it (they are dealt by their own place). So a chunk that many documents share sends a row for each
 slice, not for each document. Texts move compressed, and only contexts of runs move further.
 
+Rows of one doc_id with different texts are told apart by their texts' hashes (``row``), so each is cut by its own passages.
+
 Results for odd rows: null and empty texts and rows with a null doc_id repeat nothing and stay as they are; repeats within
-one document, and between rows of the same doc_id, don't count; of several documents that have a passage (ties included) the
+one document, and between rows of the same doc_id, don't count; rows that repeat id and text are cut alike; of several documents that have a passage (ties included) the
 smallest id keeps it; an empty table gives no rows; texts are whole, however long; a document of which no word is left is
 dropped by ``without_repeats``; other columns are kept by it and not read here."""
 
@@ -28,12 +30,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, U64, slices, span_hash, tidy, utf8
-from .near_dedup import packed_texts
+from .common import Scratch, byte_kinds, fresh, slices, span_hash, tidy, utf8
 
 RATE, QUIET, WINDOW, MOST = 24, 7, 16, 96
-#: Bytes that a run of whole chunks must cover to be looked at, and bytes compared beyond a run and beyond votes.
-LEAST_RUN, CONTEXT, REACH = 64, 256, 512
+#: Blanks within WINDOW bytes from which on words count as short, and RATE and QUIET there.
+DENSE, DENSE_RATE, DENSE_QUIET = 5, 6, 4
+#: A run of whole chunks must cover so many bytes or word starts to be looked at; bytes compared beyond a run and beyond votes.
+LEAST_RUN, LEAST_STARTS, CONTEXT, REACH = 64, 8, 256, 512
+#: Places of a document that one row gathers.
+PLACES = 1000
 #: Equal bytes at an edge of what was compared that are followed beyond it.
 FOLLOWED = 8
 #: Ids that may be broadcast.
@@ -43,6 +48,18 @@ MIN_WORDS = 50
 _GEAR = np.random.RandomState(31).randint(0, 1 << 32, 256, np.int64).astype(np.uint32)
 
 
+_APART = byte_kinds("exact")[1]
+
+
+def word_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """How many words begin before each byte of consecutive texts, and in all."""
+    begins = ~_APART[data]
+    begins[1:] &= _APART[data[:-1]]
+    first = offs[:-1][offs[:-1] < offs[1:]]
+    begins[first] = ~_APART[data[first]]
+    return np.concatenate(([0], np.cumsum(begins)))
+
+
 def chunk_ends(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Ends (exclusive) of the chunks of consecutive texts, ascending."""
     h = _GEAR[data]
@@ -50,12 +67,15 @@ def chunk_ends(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         later = h.copy()
         later[width:] += h[:-width] << np.uint32(2 * width)
         h = later
-    cut = h < np.uint32((1 << 32) // RATE)
+    blanks = np.cumsum(_APART[data])
+    blanks[WINDOW:] -= blanks[:-WINDOW].copy()
+    dense = blanks >= DENSE
+    cut = h < np.where(dense, np.uint32((1 << 32) // DENSE_RATE), np.uint32((1 << 32) // RATE))
     place = np.arange(len(data)) - np.repeat(offs[:-1], np.diff(offs))
     cut &= place >= WINDOW - 1
     at = np.flatnonzero(cut)
     last = np.concatenate(([-QUIET - 1], at[:-1])) if len(at) else at
-    at = at[(at - last > QUIET) | (place[at] - (at - last) < 0)]
+    at = at[(at - last > np.where(dense[at], DENSE_QUIET, QUIET)) | (place[at] - (at - last) < 0)]
     ends = np.union1d(at + 1, offs[1:][offs[1:] > offs[:-1]])
     starts = np.concatenate(([0], ends[:-1]))
     more = []
@@ -68,10 +88,11 @@ def chunk_ends(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.union1d(ends, np.array(more, np.int64)) if more else ends
 
 
-_CHUNK = "route long, digest long, doc long, pos int, len int, ref_doc long, ref_pos int"
+_CHUNK = "route long, digest long, doc long, row long, pos int, len int, starts int, ref_doc long, ref_row long, ref_pos int"
 
 
 def _chunks(batches):
+    """(doc, text, row) -> the chunks of texts."""
     for batch in batches:
         for part in slices(batch, "text", 1 << 21):
             data, offs = utf8(part.column(1))
@@ -79,49 +100,51 @@ def _chunks(batches):
                 continue
             end = chunk_ends(data, offs)
             start = np.concatenate(([0], end[:-1]))
-            row = np.searchsorted(offs, start, side="right") - 1
+            at = np.searchsorted(offs, start, side="right") - 1
             digest = span_hash(data, start, end).view(np.int64)
-            doc = part.column(0).to_numpy()[row]
-            pos, size = (start - offs[row]).astype(np.int32), (end - start).astype(np.int32)
-            order = np.lexsort((pos, doc, digest))
-            digest, doc, pos, size = digest[order], doc[order], pos[order], size[order]
+            begun = word_starts(data, offs)
+            doc, row = part.column(0).to_numpy()[at], part.column(2).to_numpy()[at]
+            pos, size, starts = (start - offs[at]).astype(np.int32), (end - start).astype(np.int32), (begun[end] - begun[start]).astype(np.int32)
+            order = np.lexsort((pos, row, doc, digest))
+            digest, doc, row, pos, size, starts = (x[order] for x in (digest, doc, row, pos, size, starts))
             new = np.concatenate(([True], digest[1:] != digest[:-1]))
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             known = doc != doc[lead]
             own = (doc * np.int64(0x9E3779B97F4A7C1 | 1)) ^ (pos.astype(np.int64) * np.int64(0x632BE59BD9B4E019 | 1))
             route = np.where(known, own, digest)
-            ref_doc, ref_pos = (pa.array(x[lead], mask=~known) for x in (doc, pos))
-            yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(digest), pa.array(doc), pa.array(pos), pa.array(size), ref_doc, ref_pos], names=["route", "digest", "doc", "pos", "len", "ref_doc", "ref_pos"])
+            ref = [pa.array(x[lead], mask=~known) for x in (doc, row, pos)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (route, digest, doc, row, pos, size, starts)), *ref], names=[x.split()[0] for x in _CHUNK.split(", ")])
 
 
-_REPEATED = "doc long, pos int, len int, ref_doc long, ref_pos int"
+_REPEATED = "doc long, row long, pos int, len int, starts int, ref_doc long, ref_row long, ref_pos int"
 
 
 def _repeated(batches):
-    """Rows sorted by (known, digest, doc, pos): those that a smaller document has too, with a place where it stands."""
+    """Rows sorted by (digest, doc, row, pos): those that a smaller document has too, with a place where it stands."""
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        known = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
-        digest, doc, pos = (batch.column(i).to_numpy() for i in (1, 2, 3))
-        ref_doc, ref_pos = (batch.column(i).fill_null(0).to_numpy().copy() for i in (5, 6))
+        get = lambda c: batch.column(batch.schema.get_field_index(c))
+        known = get("ref_doc").is_valid().to_numpy(zero_copy_only=False)
+        digest, own = get("digest").to_numpy(), [get(c).to_numpy() for c in ("doc", "row", "pos")]
+        ref = [get(c).fill_null(0).to_numpy().copy() for c in ("ref_doc", "ref_row", "ref_pos")]
         open_ = np.flatnonzero(~known)
         keep = known.copy()
         if len(open_):
             d = digest[open_]
             new = np.concatenate(([last is None or last[0] != d[0]], d[1:] != d[:-1]))
             lead = np.cumsum(new) - 1 + (0 if new[0] else 1)
-            docs, places = doc[open_][new], pos[open_][new]
-            if not new[0]:
-                docs, places = np.concatenate(([last[1]], docs)), np.concatenate(([last[2]], places))
-            ref_doc[open_], ref_pos[open_] = docs[lead], places[lead]
-            keep[open_] = docs[lead] != doc[open_]
-            last = (d[-1], docs[lead[-1]], places[lead[-1]])
-        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(4), pa.array(ref_doc), pa.array(ref_pos)], names=["doc", "pos", "len", "ref_doc", "ref_pos"]).filter(pa.array(keep))
+            first = [x[open_][new] if new[0] else np.concatenate(([y], x[open_][new])) for x, y in zip(own, last[1] if last else own)]
+            for r, x in zip(ref, first):
+                r[open_] = x[lead]
+            keep[open_] = ref[0][open_] != own[0][open_]
+            last = d[-1], [x[lead[-1]] for x in first]
+        kept = [*map(pa.array, own), get("len"), get("starts"), *map(pa.array, ref)]
+        yield pa.RecordBatch.from_arrays(kept, names=[x.split()[0] for x in _REPEATED.split(", ")]).filter(pa.array(keep))
 
 
-_PLACE = "doc long, start int, end int, ref_doc long, ref_start int"
+_PLACE = "doc long, row long, start int, end int, ref_doc long, ref_row long, ref_start int"
 _BLANK = b" \t\n\x0b\x0c\r"
 
 
@@ -132,35 +155,35 @@ def _batch(columns, spec: str) -> pa.RecordBatch:
 
 
 def _places(batches):
-    """Rows sorted by (doc, pos) -> the places that runs of neighbouring chunks of LEAST_RUN bytes vote for."""
+    """Rows sorted by (doc, row, pos) -> the places that long enough runs of neighbouring chunks vote for."""
     held = None
 
-    def out(doc, pos, size, ref, place):
+    def out(doc, row, pos, size, starts, ref, ref_row, place):
         end, shift = pos + size, place - pos
-        run = np.cumsum(np.concatenate(([False], (doc[1:] != doc[:-1]) | (pos[1:] > end[:-1]))))
+        run = np.cumsum(np.concatenate(([False], _parted(doc, row, pos, end))))
         first, last = np.searchsorted(run, np.arange(run[-1] + 1)), np.searchsorted(run, np.arange(run[-1] + 1), side="right") - 1
         from_, to = pos[first], end[last]
-        long = np.flatnonzero((to - from_ >= LEAST_RUN)[run])
+        words = np.add.reduceat(starts, first)
+        long = np.flatnonzero(((to - from_ >= LEAST_RUN) | (words >= LEAST_STARTS))[run])
         if not len(long):
             return _batch(None, _PLACE)
-        order = long[np.lexsort((pos[long], shift[long], ref[long], run[long]))]
-        r, d, s = run[order], ref[order], shift[order]
-        new = np.concatenate(([True], (r[1:] != r[:-1]) | (d[1:] != d[:-1]) | (s[1:] != s[:-1])))
+        order = long[np.lexsort((pos[long], shift[long], ref_row[long], ref[long], run[long]))]
+        r, d, e, s = run[order], ref[order], ref_row[order], shift[order]
+        new = np.concatenate(([True], (r[1:] != r[:-1]) | (d[1:] != d[:-1]) | (e[1:] != e[:-1]) | (s[1:] != s[:-1])))
         a = np.flatnonzero(new)
         b = np.append(a[1:], len(order)) - 1
         start = np.maximum(pos[order[a]] - REACH, from_[r[a]] - CONTEXT)
         start = np.maximum(start, np.maximum(0, -s[a]))  # both texts begin at 0
         stop = np.minimum(end[order[b]] + REACH, to[r[a]] + CONTEXT)
-        return _batch((doc[order[a]], start.astype(np.int32), stop.astype(np.int32), d[a], (start + s[a]).astype(np.int32)), _PLACE)
+        return _batch((doc[order[a]], row[order[a]], start.astype(np.int32), stop.astype(np.int32), d[a], e[a], (start + s[a]).astype(np.int32)), _PLACE)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = [batch.column(i).to_numpy().astype(np.int64) for i in range(5)]
+        t = [c.to_numpy().astype(np.int64) for c in batch.columns]
         if held is not None:
             t = [np.concatenate(x) for x in zip(held, t)]
-        ends = t[1] + t[2]
-        breaks = np.flatnonzero((t[0][1:] != t[0][:-1]) | (t[1][1:] > ends[:-1])) + 1
+        breaks = np.flatnonzero(_parted(t[0], t[1], t[2], t[2] + t[3])) + 1
         cut = int(breaks[-1]) if len(breaks) else 0
         held = [x[cut:] for x in t]
         if cut:
@@ -169,19 +192,34 @@ def _places(batches):
         yield out(*held)
 
 
+def _parted(doc, row, pos, end) -> np.ndarray:
+    """Where a chunk doesn't follow on the one before."""
+    return (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (pos[1:] > end[:-1])
+
+
 #: Bytes of texts or pieces that are worked on at once.
 _HELD = 1 << 21
-_SEEN = "kind int, doc long, start int, end int, ref_doc long, ref_start int, ref_end int, bytes binary, more int"
+_SEEN = "kind int, doc long, row long, start int, end int, ref_doc long, ref_row long, ref_start int, ref_end int, bytes binary, more int"
+
+
+def _packed(batches):
+    """(doc, row, text) -> texts compressed before they are shuffled."""
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for part in slices(batch, "text"):
+            data, offs = utf8(part.column(2))
+            raw = data.tobytes()
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([squeeze.compress(raw[a:b]) for a, b in zip(offs, offs[1:])], pa.binary())], names=["doc", "row", "packed"])
 
 
 def _contexts(batches):
-    """(doc, packed, wants) -> the bytes of places, one more on either side: kind 0 the document's own, kind 1 those that
+    """(doc, row, packed, wants) -> the bytes of places, one more on either side: kind 0 the document's own, kind 1 those that
     others are held against; ``more``: 1 if the text has more before them, 2 behind them, 3 both."""
     expand = zstandard.ZstdDecompressor()
     rows, held = [], 0
     for batch in batches:
         for part in slices(batch, "packed", _HELD):
-            for doc, packed, wants in zip(*(part.column(i).to_pylist() for i in range(3))):
+            for doc, row, packed, wants in zip(*(part.column(i).to_pylist() for i in range(4))):
                 text = expand.decompress(packed)
                 for w in wants:
                     a, b = w["start"], w["end"]
@@ -190,9 +228,9 @@ def _contexts(batches):
                     piece += text[a:b] + (text[b : b + 1] or b" ")
                     more = (a > 0) + 2 * (b < len(text))
                     if w["kind"]:
-                        rows.append((1, None, None, None, doc, a, b, piece, more))
+                        rows.append((1, None, None, None, None, doc, row, a, b, piece, more))
                     else:
-                        rows.append((0, doc, a, b, w["ref_doc"], w["ref_start"], w["ref_start"] + b - a, piece, more))
+                        rows.append((0, doc, row, a, b, w["ref_doc"], w["ref_row"], w["ref_start"], w["ref_start"] + b - a, piece, more))
                     held += len(piece)
                     if held > _HELD:
                         yield _batch(list(zip(*rows)), _SEEN)
@@ -225,8 +263,8 @@ def passages(own: bytes, there: bytes, min_words: int) -> list[tuple[int, int, i
     return out
 
 
-_PASSAGE = "doc_id long, start int, end int, n_words int, first_doc_id long"
-_COMPARED = _PASSAGE + ", ref_start int, again boolean"
+_PASSAGE = "doc_id long, row long, start int, end int, n_words int, first_doc_id long"
+_COMPARED = _PASSAGE + ", ref_row long, ref_start int, again boolean"
 
 
 def goes_on(own: bytes, there: bytes, more: int) -> tuple[bool, bool]:
@@ -238,89 +276,118 @@ def goes_on(own: bytes, there: bytes, more: int) -> tuple[bool, bool]:
 
 
 def _compared(min_words: int):
-    """(doc, start, end, ref_doc, ref_start, own bytes, the other's, more) -> passages, or a wider place to compare."""
+    """(doc, row, start, end, ref_doc, ref_row, ref_start, own bytes, the other's, more) -> passages, or a wider place to compare."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, start, end, ref, ref_start, own, there, more in (x for part in slices(batch, "bytes", _HELD) for x in zip(*(c.to_pylist() for c in part.columns))):
+            for doc, row, start, end, ref, ref_row, ref_start, own, there, more in (x for part in slices(batch, "bytes", _HELD) for x in zip(*(c.to_pylist() for c in part.columns))):
                 before, behind = goes_on(own, there, more)
                 if before or behind:
                     wider = min(end - start, start, ref_start) if before else 0
-                    rows.append((doc, start - wider, end + (end - start if behind else 0), None, ref, ref_start - wider, True))
+                    rows.append((doc, row, start - wider, end + (end - start if behind else 0), None, ref, ref_row, ref_start - wider, True))
                 else:
-                    rows += [(doc, start + s, start + e, words, ref, None, False) for s, e, words in passages(own, there, min_words)]
+                    rows += [(doc, row, start + s, start + e, words, ref, None, None, False) for s, e, words in passages(own, there, min_words)]
             yield _batch(list(zip(*rows)), _COMPARED)
 
     return run
 
 
 def _outer(batches):
-    """Passages sorted by (doc_id, start, end descending, first_doc_id) -> those that lie within no other."""
+    """Passages sorted by (doc_id, row, start, end descending, first_doc_id) -> those that lie within no other."""
     last, reached = None, 0
     for batch in batches:
         keep = []
-        for doc, end in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-            if doc != last:
-                last, reached = doc, 0
+        for doc, row, end in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3))):
+            if (doc, row) != last:
+                last, reached = (doc, row), 0
             keep.append(end > reached)
             reached = max(reached, end)
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, start, end, n_words, first_doc_id): passages, in bytes of the UTF-8 text, that
-    a document of a smaller id, first_doc_id, has too, in one piece."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+def row_numbers(docs: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """docs with a number (long) in ``name`` that tells the different texts of one doc_id apart; 0 where an id doesn't repeat."""
+    doc = F.col("doc_id").cast("long")
+    repeated = scratch.save(docs.where("doc_id is not null").groupBy(doc.alias(f"{name}of")).count().where("count > 1").select(f"{name}of"))
+    if repeated.isEmpty():
+        return docs.withColumn(name, F.lit(0).cast("long"))
+    joined = docs.join(repeated, doc == F.col(f"{name}of"), "left")
+    return joined.withColumn(name, F.when(F.col(f"{name}of").isNull(), 0).otherwise(F.xxhash64(F.col("text").cast("string")))).drop(f"{name}of")
+
+
+def _in_parts(wanted: DataFrame) -> DataFrame:
+    """(doc, row, wants): places of a document, PLACES or so in a row."""
+    busy = wanted.groupBy("doc", "row").count().where(F.col("count") > PLACES).withColumn("parts", F.ceil(F.col("count") / PLACES)).drop("count")
+    dealt = wanted.join(busy, ["doc", "row"], "left").withColumn("part", F.pmod(F.hash("kind", "start", "end", "ref_doc", "ref_start"), F.coalesce(F.col("parts"), F.lit(1))))
+    return dealt.groupBy("doc", "row", "part").agg(F.collect_list(F.struct("kind", "start", "end", "ref_doc", "ref_row", "ref_start")).alias("wants")).drop("part")
+
+
+def _passages(plain: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+    """plain(doc, text, row) -> _PASSAGE."""
     places = (
         plain.where("text is not null")
         .mapInArrow(tidy(_chunks), _CHUNK)
         .repartition("route")
-        .sortWithinPartitions("digest", "doc", "pos")
+        .sortWithinPartitions("digest", "doc", "row", "pos")
         .mapInArrow(tidy(_repeated), _REPEATED)
-        .repartition("doc")
-        .sortWithinPartitions("doc", "pos")
+        .repartition("doc", "row")
+        .sortWithinPartitions("doc", "row", "pos")
         .mapInArrow(tidy(_places), _PLACE)
     )
     places, found = scratch.save(places), None
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
     while True:
-        own = places.select("doc", F.lit(0).alias("kind"), "start", "end", "ref_doc", "ref_start")
-        asked = places.select(F.col("ref_doc").alias("doc"), F.lit(1).alias("kind"), F.col("ref_start").alias("start"), (F.col("ref_start") + F.col("end") - F.col("start")).alias("end"), F.lit(None).cast("long").alias("ref_doc"), F.lit(None).cast("int").alias("ref_start")).distinct()
-        wants = scratch.save(own.union(asked).groupBy("doc").agg(F.collect_list(F.struct("kind", "start", "end", "ref_doc", "ref_start")).alias("wants")).withColumnRenamed("doc", "doc_id"))
+        own = places.select("doc", "row", F.lit(0).alias("kind"), "start", "end", "ref_doc", "ref_row", "ref_start")
+        asked = places.select(F.col("ref_doc").alias("doc"), F.col("ref_row").alias("row"), F.lit(1).alias("kind"), F.col("ref_start").alias("start"), (F.col("ref_start") + F.col("end") - F.col("start")).alias("end"), null("long", "ref_doc"), null("long", "ref_row"), null("int", "ref_start")).distinct()
+        wants = scratch.save(_in_parts(own.union(asked)))
         texts = plain
         if found is not None and wants.count() <= FEW_IDS:  # only these texts are moved again
-            texts = plain.join(F.broadcast(wants.select("doc_id")), "doc_id", "left_semi")
-        seen = scratch.save(packed_texts(texts).join(wants, "doc_id").select("doc_id", "packed", "wants").mapInArrow(tidy(_contexts), _SEEN))
-        key = ["ref_doc", "ref_start", "ref_end"]
+            texts = plain.join(F.broadcast(wants.select("doc", "row").distinct()), ["doc", "row"], "left_semi")
+        moved = texts.select("doc", "row", "text").mapInArrow(tidy(_packed), "doc long, row long, packed binary")
+        seen = scratch.save(moved.join(wants, ["doc", "row"]).select("doc", "row", "packed", "wants").mapInArrow(tidy(_contexts), _SEEN))
+        key = ["ref_doc", "ref_row", "ref_start", "ref_end"]
         there = seen.where("kind = 1").select(*key, F.col("bytes").alias("there"), F.col("more").alias("more_there"))
         both = seen.where("kind = 0").join(there, key)
-        both = both.select("doc", "start", "end", "ref_doc", "ref_start", "bytes", "there", F.col("more").bitwiseAND(F.col("more_there")).alias("more"))
+        both = both.select("doc", "row", "start", "end", "ref_doc", "ref_row", "ref_start", "bytes", "there", F.col("more").bitwiseAND(F.col("more_there")).alias("more"))
         compared = scratch.save(both.mapInArrow(tidy(_compared(min_words)), _COMPARED))
         scratch.drop(places, wants, seen)
-        here = compared.where("not again").select("doc_id", "start", "end", "n_words", "first_doc_id")
+        here = compared.where("not again").select("doc_id", "row", "start", "end", "n_words", "first_doc_id")
         found = here if found is None else found.union(here)
-        again = compared.where("again").select(F.col("doc_id").alias("doc"), "start", "end", F.col("first_doc_id").alias("ref_doc"), "ref_start")
+        again = compared.where("again").select(F.col("doc_id").alias("doc"), "row", "start", "end", F.col("first_doc_id").alias("ref_doc"), "ref_row", "ref_start")
         if again.isEmpty():
             break
         places = scratch.save(again.distinct())
-    out = found.repartition("doc_id").sortWithinPartitions("doc_id", "start", F.desc("end"), "first_doc_id").mapInArrow(tidy(_outer), _PASSAGE)
-    return scratch.save(out)
+    order = ("doc_id", "row", "start", F.desc("end"), "first_doc_id")
+    return scratch.save(found.repartition("doc_id", "row").sortWithinPartitions(*order).mapInArrow(tidy(_outer), _PASSAGE))
+
+
+def _plain(docs: DataFrame, row: str) -> DataFrame:
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"), F.col(row).alias("row"))
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, start, end, n_words, first_doc_id): passages, in bytes of the UTF-8 text, that
+    a document of a smaller id, first_doc_id, has too, in one piece."""
+    scratch = Scratch(docs.sparkSession)
+    numbered = row_numbers(docs.select("doc_id", "text"), "row", scratch)
+    return _passages(_plain(numbered, "row"), min_words, scratch).drop("row")
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeated passages cut from ``text`` (``n_chars``, if there, counts anew); columns stay the same."""
-    found = repeated_passages(docs, min_words).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_cuts"))
-    joined = docs.join(found.withColumnRenamed("doc_id", "_of"), docs.doc_id == F.col("_of"), "left").drop("_of")
+    scratch, own = Scratch(docs.sparkSession), fresh(docs.columns)
+    numbered = row_numbers(docs, own, scratch)
+    found = _passages(_plain(numbered, own), min_words, scratch).groupBy(F.col("doc_id").alias(f"{own}doc"), F.col("row").alias(f"{own}row")).agg(F.collect_list(F.struct("start", "end")).alias(f"{own}cuts"))
+    joined = numbered.join(found, (F.col("doc_id").cast("long") == F.col(f"{own}doc")) & (F.col(own) == F.col(f"{own}row")), "left").drop(own, f"{own}doc", f"{own}row")
     names, schema = docs.columns, docs.schema
 
     def run(batches):
         for batch in batches:
-            at, cuts = batch.schema.get_field_index("text"), batch.schema.get_field_index("_cuts")
+            at, cuts = names.index("text"), len(names)
             hit = np.flatnonzero(batch.column(cuts).is_valid().to_numpy(zero_copy_only=False))
             if not len(hit):
-                yield batch.select(names)
+                yield batch.select(range(len(names)))
                 continue
             texts, keep = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
             for i in hit.tolist():
@@ -331,13 +398,14 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     last = max(last, c["end"])
                 texts[i] = b"".join([*out, raw[last:]]).decode()
                 keep[i] = bool(texts[i].strip())
-            columns = {n: batch.column(n) for n in names}
-            columns["text"] = pa.array(texts, batch.column(at).type)
-            if "n_chars" in columns:
-                counted = columns["n_chars"].to_pylist()
+            columns = [batch.column(i) for i in range(len(names))]
+            columns[at] = pa.array(texts, batch.column(at).type)
+            if "n_chars" in names:
+                n = names.index("n_chars")
+                counted = columns[n].to_pylist()
                 for i in hit.tolist():
                     counted[i] = len(texts[i])
-                columns["n_chars"] = pa.array(counted, columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names).filter(pa.array(keep))
+                columns[n] = pa.array(counted, columns[n].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
     return joined.mapInArrow(tidy(run), schema)

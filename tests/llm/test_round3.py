@@ -257,3 +257,60 @@ def test_top_k_of_huge_components(spark):
     got = [tuple(r) for r in top_k(v, v, 10).orderBy("query_id", "rank").collect()]
     held = 1 << 62
     assert got == [(0, 1, 2, -5 * 1024 * 1024), (0, 2, 1, -held + 1), (1, 1, 2, held), (1, 2, 0, -held + 1), (2, 1, 1, held), (2, 2, 0, -5 * 1024 * 1024)]
+
+
+# ---------------------------------------------------------------- repeated passages
+
+
+def test_passages_of_short_and_long_words(spark):
+    """At least 99 of 100 planted passages of 50 words are found, whatever the length of the words."""
+    from editlens.llm.substring_dedup import repeated_passages
+
+    r = random.Random(17)
+    word = lambda a, b: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(a, b)))
+    kinds, rows, n = [(1, 1), (1, 2), (1, 3), (2, 3), (1, 6), (4, 7), (12, 12)], [], 300
+    for k, (a, b) in enumerate(kinds):
+        for i in range(n):
+            passage = [word(a, b) for _ in range(50)]
+            for copy in (0, 1):
+                around = [[word(3, 9) for _ in range(r.randint(20, 60))] for _ in range(2)]
+                rows.append((2 * (k * n + i) + copy, " ".join([*around[0], *passage, *around[1]])))
+    got = {x.doc_id: x for x in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert all(x.doc_id % 2 and x.first_doc_id == x.doc_id - 1 and x.n_words >= 50 for x in got.values())
+    share = [sum(2 * (k * n + i) + 1 in got for i in range(n)) / n for k in range(len(kinds))]
+    print("recall by word length", dict(zip(kinds, share)))
+    assert min(share) >= 0.99
+
+
+def test_rows_of_one_id_are_cut_apart(spark, monkeypatch):
+    """Each row is cut by its own passages, also with characters of several bytes; places of a busy document in parts."""
+    from editlens.llm import substring_dedup as S
+
+    monkeypatch.setattr(S, "PLACES", 3)
+    words = lambda s, n, sign="w": [f"{sign}{random.Random(s * 1000 + i).randrange(10**6)}" for i in range(n)]
+    p, q = words(1, 60), words(2, 60)
+    rows = [(3, p + words(4, 10)), (5, ["x"] + p), (5, words(5, 150, "é")), (5, words(6, 150)), (5, ["x"] + p), (6, q), (6, q + words(7, 20)), (9, words(8, 30) + q + words(9, 30) + p), (None, p)]
+    rows += [(100 + i, words(100 + i, 10) + p + words(200 + i, 10)) for i in range(40)]
+    table = spark.createDataFrame([(i, " ".join(w), len(" ".join(w)), 1, 2, 3, "r") for i, w in rows], "doc_id long, text string, n_chars long, _of int, _cuts int, _own int, row string")
+    got = S.without_repeats(table.repartition(5))
+    assert got.columns == table.columns
+    left = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in got.collect())
+    at = lambda i: sorted(t for j, t in left if j == i)
+    assert at(3) == [" ".join(p + words(4, 10))] and at(-1) == [" ".join(p)]
+    assert at(5) == sorted(["x ", "x ", " ".join(words(5, 150, "é")), " ".join(words(6, 150))])
+    assert at(6) == sorted([" ".join(q), " ".join(q + words(7, 20))])
+    assert [t.split() for t in at(9)] == [words(8, 30) + words(9, 30)]
+    for i in range(40):
+        assert [t.split() for t in at(100 + i)] == [words(100 + i, 10) + words(200 + i, 10)]
+
+
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    from editlens.llm.near_dedup import distinct_documents
+
+    names = ["_text_hash", "_row_hash", "_hash_before", "_kept", "_own", "_OWN_"]
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (2, text), (1, text), (1, "another text of this id that is kept too"), (3, None), (None, text)]
+    table = spark.createDataFrame([(*r, *range(6)) for r in rows], ", ".join(["doc_id long", "text string", *(f"{n} long" for n in names)]))
+    got = distinct_documents(table)
+    assert got.columns == table.columns
+    assert sorted((r.doc_id or 0, r.text or "", tuple(r[2:])) for r in got.collect()) == sorted((i or 0, t or "", tuple(range(6))) for i, t in [rows[0], *rows[3:]])
