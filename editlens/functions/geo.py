@@ -179,6 +179,128 @@ def within_buffer(line, other, radius: float) -> bool:
     return not (to_segments(line, other) > radius).any() and not outside_buffer(line, other, radius)
 
 
+def _disc(x, u, centres, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where x + t * u lies within ``radius`` of each centre."""
+    square = (u * u).sum(-1)
+    away = x - centres
+    half, rest = (away * u).sum(-1), (away * away).sum(-1) - radius * radius
+    root = half * half - square * rest
+    reach = np.sqrt(np.maximum(root, 0))
+    return np.where(root >= 0, (-half - reach) / square, np.inf), np.where(root >= 0, (-half + reach) / square, -np.inf)
+
+
+def _flat_stretches(x, u, q, radius: float, grown: float) -> tuple[np.ndarray, np.ndarray]:
+    """From where to where each x + t * u lies in each convex part of the grown buffer of q with flat ends."""
+    d = np.diff(q, axis=0)
+    size = np.hypot(*d.T)
+    along = d / size[:, None]
+    across = np.stack([-along[:, 1], along[:, 0]], 1)
+    dot = lambda v, w: (v * w).sum(-1)
+    far, wide, ahead, aside = dot(x - q[:-1], along), dot(x - q[:-1], across), dot(u, along), dot(u, across)
+    parts = []
+    for e, f in ((grown, 0.0), (0.0, grown)) if grown else ((0.0, 0.0),):
+        (l1, h1), (l2, h2) = _between(far, ahead, -e, size + e), _between(wide, aside, -radius - f, radius + f)
+        parts.append((np.maximum(l1, l2), np.minimum(h1, h2)))
+    if grown:
+        parts += [_disc(x, u, q[:-1] + s * d + t * radius * across, grown) for s in (0, 1) for t in (-1, 1)]
+    lo = np.minimum.reduce([np.where(a <= b, a, np.inf) for a, b in parts])
+    hi = np.maximum.reduce([np.where(a <= b, b, -np.inf) for a, b in parts])
+    if len(d) > 1:  # sectors: beyond the end of one segment, before the start of the next
+        v = q[1:-1]
+        a, b = _disc(x, u, v, radius + grown)
+        for side, sign in ((along[:-1], 1.0), (along[1:], -1.0)):
+            l, h = _between(sign * dot(x - v, side), sign * dot(u, side), 0.0, np.inf)
+            a, b = np.maximum(a, l), np.minimum(b, h)
+        lo, hi = np.concatenate((lo, np.where(a <= b, a, np.inf)), 1), np.concatenate((hi, np.where(a <= b, b, -np.inf)), 1)
+    return lo, hi
+
+
+def against_flat_buffer(line, other, radius: float, grown: float = 0.0) -> tuple[list[tuple[int, float, float]], bool]:
+    """A line against the buffer of another one with flat ends and round joins, which is then grown on all sides: the stretches
+    outside as (segment, from and to as shares of it), and whether any point of the line is within or on the border.
+
+    The buffer is made of a rectangle for each segment and, where two meet, of the sector between their ends. Grown, a rectangle is
+    two crossing rectangles and four discs, whose union is convex, and a sector is one of a larger radius (its straight sides
+    lie within the grown rectangles); so each has one stretch of a segment of the line."""
+    p, q = np.asarray(line, float), np.asarray(other, float)
+    q = q[np.concatenate(([True], (np.diff(q, axis=0) != 0).any(1)))]
+    if len(q) < 2:
+        return [(n, 0.0, 1.0) for n in range(len(p) - 1)], False
+    out, met = [], False
+    for first in range(0, len(p) - 1, 256):
+        x, u = p[first : first + 257][:-1, None], np.diff(p[first : first + 257], axis=0)[:, None]
+        u = np.where((u == 0).all(2, keepdims=True), [1e-9, 0.0], u)  # one point
+        lo, hi = _flat_stretches(x, u, q, radius, grown)
+        met = met or bool(((lo <= hi) & (lo <= 1) & (hi >= 0)).any())
+        order = np.argsort(lo, 1)
+        for n, (los, his) in enumerate(zip(np.take_along_axis(lo, order, 1).tolist(), np.take_along_axis(hi, order, 1).tolist()), first):
+            covered = 0.0
+            for a, b in zip(los, his):
+                if a >= 1:
+                    break
+                if b <= covered:
+                    continue
+                if a > covered + 1e-9:
+                    out.append((n, covered, a))
+                covered = b
+            if covered < 1 - 1e-9:
+                out.append((n, covered, 1.0))
+    return out, met
+
+
+def _needed(p: np.ndarray, ring: bool, near: float) -> np.ndarray:
+    """Corners without those that repeat the one before or lie on the way from it to the next. A ring isn't closed here."""
+    while True:
+        before, behind = np.roll(p, 1, 0), np.roll(p, -1, 0)
+        keep = (p != before).any(1)
+        if not ring:
+            keep[0] = True
+        if keep.all():
+            chord, part = behind - before, p - before
+            size = (chord * chord).sum(1)
+            share = (part * chord).sum(1)
+            off = np.abs(chord[:, 0] * part[:, 1] - chord[:, 1] * part[:, 0])
+            keep = ~((off <= near * np.sqrt(size)) & (share > 0) & (share < size))
+            if not ring:
+                keep[0] = keep[-1] = True
+            drop = np.flatnonzero(~keep)
+            keep[drop[1:][np.diff(drop) == 1]] = True  # neighbours one after the other
+        if keep.all() or len(p) <= 2:
+            return p
+        p = p[keep]
+
+
+def normal_form(kind: str, rings, near: float = 1e-6) -> list[np.ndarray]:
+    """The same for all ways to write a geometry down: rings from their smallest corner on, counter-clockwise, lines from their
+    smaller end, holes in order, without repeated corners and those that lie on an edge (but for ``near``)."""
+    out = []
+    for r in rings:
+        p = np.asarray(r, float)
+        closed = len(p) > 2 and bool((p[0] == p[-1]).all())
+        if kind == "POINT" or len(p) < 2:
+            out.append(p)
+        elif kind == "POLYGON" or closed:
+            p = _needed(p[:-1] if closed else p, True, near)
+            x, y = p.T
+            if kind == "POLYGON" and (x * np.roll(y, -1) - np.roll(x, -1) * y).sum() < 0:
+                p = p[::-1]
+            p = np.roll(p, -np.lexsort((p[:, 1], p[:, 0]))[0], 0)
+            if kind != "POLYGON" and len(p) > 2 and tuple(p[-1]) < tuple(p[1]):
+                p = np.roll(p[::-1], 1, 0)
+            out.append(p)
+        else:
+            p = _needed(p, False, near)
+            out.append(p[::-1] if tuple(p[-1]) < tuple(p[0]) else p)
+    return out[:1] + sorted(out[1:], key=lambda p: p.tolist())
+
+
+def same_geometry(kind_a: str, a, kind_b: str, b, near: float = 1e-6) -> bool:
+    """Whether two geometries are made of the same points, however they are written down."""
+    if kind_a != kind_b or len(a) != len(b) or any(np.abs(f(a[0]) - f(b[0])).max() > near for f in (lambda r: r.min(0), lambda r: r.max(0))):
+        return False
+    return all(x.shape == y.shape and np.allclose(x, y, rtol=0, atol=near) for x, y in zip(normal_form(kind_a, a, near), normal_form(kind_b, b, near)))
+
+
 def pieces_wkt(line, stretches: list[tuple[int, float, float]]) -> str | None:
     """Stretches of a line's segments as lines; those that go on from one segment to the next are one."""
     p, lines, last = np.asarray(line, float), [], None

@@ -1,8 +1,9 @@
 """Changes of buildings and streets from action to action: attributes by windows' logic in a fold, geometry in UTM 33N.
 
 Actions of a feature and feature type follow each other in order; the state starts anew with either. Within an action
-attributes come first, then geometry against the one before, then split or merge, creation and deletion. A street is within the
-buffer of another if no point of it is farther away than that (ends are round)."""
+attributes come first, then geometry against the one before, then split or merge, creation and deletion. Geometries are the same
+if they are made of the same points, wherever a ring starts and whatever nodes lie on its edges. A street is held against the
+buffer of the other with flat ends, grown by AROUND on all sides; with ``round_ends`` against all that is near enough to it."""
 
 from __future__ import annotations
 
@@ -15,7 +16,7 @@ from ..functions import geo
 from .filters import FEATURE
 from .fold import grouped_rows
 
-NEAR, SHORTER, LONGER, NAME_EDITS = 20.0, 0.8, 1.2, 3
+NEAR, AROUND, SHORTER, LONGER, NAME_EDITS = 20.0, 1.0, 0.8, 1.2, 3
 _BUILDINGS = ("building", "buildingPoint")
 
 
@@ -51,16 +52,36 @@ def attribute_changes(feature_type: str, ops: list[dict], state: dict[str, str])
         state[op["key"]] = new
 
 
-def _projected(wkt: str):
+def _projected(wkt: str, project):
     kind, rings = geo.parse_wkt(wkt)
-    return kind, [np.stack(geo.utm33(r[:, 0], r[:, 1]), 1) for r in rings]
+    return kind, [np.stack(project(r[:, 0], r[:, 1]), 1) for r in rings]
 
 
-def geometry_change(feature_type: str, old, new):
+def planar(x, y):
+    """For coordinates that are metres already."""
+    return x, y
+
+
+def _street_change(x, y, away: float, round_ends: bool):
+    """As ``geometry_change``, for lines."""
+    against = (lambda a, b: (geo.outside_buffer(a, b, NEAR), away <= NEAR)) if round_ends else lambda a, b: geo.against_flat_buffer(a, b, NEAR, AROUND)
+    out, meets = ([], False) if away > NEAR + AROUND else against(y, x)
+    if not meets:
+        return "StreetDisjoint", None, away, True, None
+    was, now = geo.length(x), geo.length(y)
+    if out and against(x, y)[0]:
+        return "StreetCrossesBuffer", was, now, True, None
+    status, much = ("StreetLengthened", now > LONGER * was) if out else ("StreetShortened", now < SHORTER * was)
+    if not much:
+        return ("StreetWithinBuffer", was, now, False, None) if now != was else None
+    return status, was, now, True, geo.outside_buffer(x, y, NEAR) if round_ends else geo.against_flat_buffer(x, y, NEAR)[0]
+
+
+def geometry_change(feature_type: str, old, new, round_ends: bool = False):
     """(status, old value, new value, whether the old geometry is told, stretches of the old that are gone) of a geometry
     against the one before, or None. Values are areas and lengths, or the distance as the new one."""
     (ka, a), (kb, b) = old, new
-    if ka == kb and len(a) == len(b) and all(x.shape == y.shape and np.allclose(x, y, atol=1e-6) for x, y in zip(a, b)):
+    if geo.same_geometry(ka, a, kb, b):
         return None
     away = geo.distance(ka, a, kb, b)
     if feature_type == "building":
@@ -71,20 +92,11 @@ def geometry_change(feature_type: str, old, new):
     if feature_type == "buildingPoint":
         return ("BuildingOutsideBuffer", None, away, True, None) if away > NEAR else None
     if feature_type == "street":
-        x, y = a[0], b[0]
-        if away > NEAR:
-            return "StreetDisjoint", None, away, True, None
-        was, now = geo.length(x), geo.length(y)
-        for fits, status, much in ((geo.within_buffer(y, x, NEAR), "StreetShortened", now < SHORTER * was), (geo.within_buffer(x, y, NEAR), "StreetLengthened", now > LONGER * was)):
-            if fits:
-                if much:
-                    return status, was, now, True, geo.outside_buffer(x, y, NEAR)
-                return ("StreetWithinBuffer", was, now, False, None) if now != was else None
-        return "StreetCrossesBuffer", was, now, True, None
+        return _street_change(a[0], b[0], away, round_ends)
     return None
 
 
-def action_changes(feature_type: str, actions):
+def action_changes(feature_type: str, actions, project=geo.utm33, round_ends: bool = False):
     """Changes of one feature and feature type, in order."""
     attributes, before = {}, None
     for a in actions:
@@ -92,8 +104,8 @@ def action_changes(feature_type: str, actions):
         kinds = [op["operation_type"] for op in ops]
         for op, status, old, new in attribute_changes(feature_type, ops, attributes):
             yield op, status, old, new, None, None, None
-        shape = _projected(a["geom_wkt"])
-        if before is not None and (change := geometry_change(feature_type, before[0], shape)):
+        shape = _projected(a["geom_wkt"], project)
+        if before is not None and (change := geometry_change(feature_type, before[0], shape, round_ends)):
             gone = geo.pieces_wkt(geo.parse_wkt(before[1])[1][0], change[4]) if change[4] else None
             yield first, change[0], *(None if v is None else str(v) for v in change[1:3]), before[1] if change[3] else None, a["geom_wkt"], gone
         joined = next((k for k in kinds if k in ("OP_SPLIT_WAY", "OP_MERGE_WAY")), None)
@@ -109,8 +121,10 @@ def action_changes(feature_type: str, actions):
 _CHANGES = "geometry_type string, osm_id long, feature_type string, change_no int, version int, changeset long, us long, status string, value_old string, value_new string, geometry_old string, geometry_new string, geometry_diff string"
 
 
-def change_detection(actions: DataFrame) -> DataFrame:
-    """actions -> changes in order by ``change_no`` within (region, where there is that column,) feature and feature type."""
+def change_detection(actions: DataFrame, project=geo.utm33, round_ends: bool = False) -> DataFrame:
+    """actions -> changes in order by ``change_no`` within (region, where there is that column,) feature and feature type.
+
+    ``project`` brings coordinates to metres (``planar`` where they are)."""
     region = [c for c in ("region",) if c in actions.columns]
     keys, spec = [*region, *FEATURE, "feature_type"], "".join(f"{c} string, " for c in region) + _CHANGES
     schema = pa.schema([(n.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[n.split()[1]]) for n in spec.split(", ")])
@@ -118,7 +132,7 @@ def change_detection(actions: DataFrame) -> DataFrame:
     def run(batches):
         rows = []
         for key, group in grouped_rows(batches, len(keys)):
-            for n, (op, *rest) in enumerate(action_changes(key[-1], group)):
+            for n, (op, *rest) in enumerate(action_changes(key[-1], group, project, round_ends)):
                 rows.append((*key, n, op["version"], op["changeset"], op["us"], *rest))
             if len(rows) >= 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)

@@ -171,7 +171,8 @@ def localized(regions: list[Region], path: str) -> str | None:
 def hexagon_grid(spark: SparkSession, west: float, south: float, east: float, north: float, width: float = 10_000.0) -> DataFrame:
     """(id, row, col, points, wkt): hexagons over a rectangle in metres, row by row; odd rows stand 3/4 of a width to the east.
 
-    The id is 1, three digits of the row and three of the column. A row ends with the first cell past the east border,
+    The id is 1, the row and the column, each of three digits at least (where both go beyond 999, only row and column tell cells
+    apart for sure). A row ends with the first cell past the east border,
     the grid with the first row that reaches the north border."""
     height = width * math.sqrt(3) / 2
     rows = max(0, math.ceil((north - south - height) / (height / 2))) + 1
@@ -184,6 +185,7 @@ def hexagon_grid(spark: SparkSession, west: float, south: float, east: float, no
     y = F.lit(float(south)) + F.col("row") * (height / 2)
     corner = lambda dx, dy: F.struct((x + dx * width).alias("x"), (y + dy * height).alias("y"))
     ring = F.array(*(corner(*c) for c in ((0.0, 0.5), (0.25, 0.0), (0.75, 0.0), (1.0, 0.5), (0.75, 1.0), (0.25, 1.0), (0.0, 0.5))))
-    number = F.concat(F.lit("1"), F.lpad(F.col("row").cast("string"), 3, "0"), F.lpad(F.col("col").cast("string"), 3, "0"))
+    digits = lambda c: F.format_string("%03d", F.col(c))
+    number = F.concat(F.lit("1"), digits("row"), digits("col"))
     points = F.transform(F.col("points"), lambda p: F.format_string("%.7f %.7f", p["x"], p["y"]))
     return grid.select(number.alias("id"), "row", "col", ring.alias("points")).withColumn("wkt", F.concat(F.lit("POLYGON (("), F.array_join(points, ", "), F.lit("))")))

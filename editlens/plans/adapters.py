@@ -67,6 +67,35 @@ SELECT o_orderkey, 1, CASE o_orderstatus WHEN 'O' THEN 'OP_CREATE_WAY' ELSE 'OP_
 ORDER_EDITS = "SELECT o_custkey AS oid, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS version, o_orderdate AS ts FROM {o}"
 
 
+#: orders as shapes of customers' buildings and streets in whole metres, each order one that follows on the one before.
+PLANAR_SHAPES = """
+SELECT o_custkey AS oid, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS action_no, o_orderdate AS ts, o_orderkey AS k,
+  o_orderkey % 3 * 30 AS bx, CAST(floor(o_orderkey / 3) AS BIGINT) % 2 * 10 AS bn, 10 + CAST(floor(o_orderkey / 6) AS BIGINT) % 2 * 10 AS bw,
+  CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 150 END AS sx, CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 20 WHEN 2 THEN 21 WHEN 3 THEN 42 ELSE 5 END AS sy,
+  CASE CAST(floor(o_orderkey / 7) AS BIGINT) % 4 WHEN 0 THEN 100 WHEN 1 THEN 70 WHEN 2 THEN 99 ELSE 140 END AS sw
+FROM {o}"""
+
+
+def planar_actions(spark: SparkSession, sf_dir: str, feature_type: str) -> DataFrame:
+    """ACTIONS' columns that change detection reads. Rings start at any corner, go either way round and may have a node on an
+    edge; streets run along the x-axis in either direction, some with a node between."""
+    rows = spark.sql(PLANAR_SHAPES, o=table(spark, sf_dir, "orders"))
+    p = lambda x, y: F.format_string("%.7f %.7f", x.cast("double"), y.cast("double"))
+    c, k = F.col, F.col("k")
+    if feature_type == "building":
+        x, y, w, h = c("bx"), c("bn"), c("bw"), 10
+        corners = F.array(p(x, y), p(x + w, y), p(x + w, y + h), p(x, y + h))
+        corners = F.when(k % 7 < 3, F.concat(F.slice(corners, 1, 1), F.array(p(x + 3, y)), F.slice(corners, 2, 3))).otherwise(corners)
+        turned = F.concat(F.slice(corners, k % 3 + 1, F.size(corners)), F.slice(corners, F.lit(1), k % 3))
+        turned = F.when(k % 2 == 0, F.reverse(turned)).otherwise(turned)
+        wkt = F.concat(F.lit("POLYGON (("), F.array_join(F.concat(turned, F.slice(turned, 1, 1)), ", "), F.lit("))"))
+    else:
+        nodes = F.when(k % 7 < 3, F.array(p(c("sx"), c("sy")), p(c("sx") + 33, c("sy")), p(c("sx") + c("sw"), c("sy")))).otherwise(F.array(p(c("sx"), c("sy")), p(c("sx") + c("sw"), c("sy"))))
+        wkt = F.concat(F.lit("LINESTRING ("), F.array_join(F.when(k % 2 == 0, F.reverse(nodes)).otherwise(nodes), ", "), F.lit(")"))
+    op = F.struct(F.lit("OP_MODIFY_WAY_COORDINATE").alias("operation_type"), (c("action_no") + 1).alias("version"), k.alias("changeset"), c("ts").cast("timestamp").alias("ts"), F.lit("").alias("key"), F.lit("").alias("value"))
+    return rows.select(F.lit("LINE").alias("geometry_type"), "oid", "action_no", F.lit(feature_type).alias("feature_type"), F.lit("UPDATE").alias("action_type"), F.array(op).alias("operations"), wkt.alias("geom_wkt"))
+
+
 def _operations(rows: DataFrame) -> DataFrame:
     """OPERATIONS of rows that have some of its columns."""
     blank = {"geometry_type": "LINE", "operation_type": "OP_ADD_TAG", "uid": 0, "seq": 0, "changeset": 0, "lon": None, "lat": None, "key": "", "value": "", "ref_id": -1, "position": -1}

@@ -11,9 +11,9 @@ from ..functions import geo
 from ..operators import analyzers as A
 from ..operators import enrich, filters, fold, regions
 from ..operators.actions import clock_anomalies, generate_actions, sessions
-from ..operators.change_detection import change_detection
+from ..operators.change_detection import change_detection, planar
 from ..operators.diff import version_diff
-from .adapters import CTE_ACTIONS, CTE_OPERATIONS, CTE_SESSIONS, GAP_MS, HIERARCHY_SQL, NODE_VERSIONS, ORDER_EDITS, WAY_EDITS, WAY_VERSIONS, event_operations, node_versions, order_edits, part_operations, relation_versions, session_actions, table, way_edits, way_versions
+from .adapters import CTE_ACTIONS, CTE_OPERATIONS, CTE_SESSIONS, GAP_MS, HIERARCHY_SQL, NODE_VERSIONS, ORDER_EDITS, PLANAR_SHAPES, WAY_EDITS, WAY_VERSIONS, event_operations, node_versions, order_edits, part_operations, planar_actions, relation_versions, session_actions, table, way_edits, way_versions
 from .config import Region, default_config
 from .schema import OPERATION_TYPES, operation_dimension
 
@@ -678,6 +678,33 @@ _SQL["a14_change_detection_of_points"] = _with(CTE_SESSIONS, _rules_sql(False))
   UNION ALL SELECT oid, 'BuildingOutsideBuffer', 1 FROM (SELECT oid, geom_wkt <> lag(geom_wkt) OVER (PARTITION BY oid ORDER BY action_no) AS moved FROM made WHERE feature_type = 'buildingPoint') x WHERE moved) y GROUP BY 1, 2"""
 
 
+def _changes_sql(judged: str) -> str:
+    """Changes of ``judged`` (oid, action_no, status, old, new), numbered as they come."""
+    return f"""WITH shapes AS ({PLANAR_SHAPES.replace("{o}", "orders")}),
+pairs AS (SELECT *, lag(bx) OVER w AS bx0, lag(bn) OVER w AS bn0, lag(bw) OVER w AS bw0, lag(sx) OVER w AS sx0, lag(sy) OVER w AS sy0, lag(sw) OVER w AS sw0 FROM shapes WINDOW w AS (PARTITION BY oid ORDER BY action_no)),
+{judged}
+SELECT oid AS osm_id, CAST(row_number() OVER (PARTITION BY oid ORDER BY action_no) - 1 AS INT) AS change_no, action_no + 1 AS version, status, CAST(CAST(old AS DOUBLE) AS VARCHAR) AS value_old, CAST(CAST(new AS DOUBLE) AS VARCHAR) AS value_new FROM judged WHERE status IS NOT NULL"""
+
+
+_CHANGED = ("osm_id", "change_no", "version", "status", "value_old", "value_new")
+
+
+@query(_changes_sql("""gaps AS (SELECT *, greatest(0, bx - bx0 - bw0, bx0 - bx - bw) AS dx, greatest(0, bn - bn0 - 10, bn0 - bn - 10) AS dy FROM pairs WHERE bx0 IS NOT NULL AND (bx, bn, bw) <> (bx0, bn0, bw0)),
+judged AS (SELECT *, CASE WHEN dx = 0 AND dy = 0 THEN 'BuildingIntersects' WHEN sqrt(dx * dx + dy * dy) < 20 THEN 'BuildingWithinBuffer' ELSE 'BuildingOutsideBuffer' END AS status,
+  CASE WHEN dx = 0 AND dy = 0 THEN 10 * bw0 END AS old, CASE WHEN dx = 0 AND dy = 0 THEN 10 * bw ELSE sqrt(dx * dx + dy * dy) END AS new FROM gaps)"""), operations=False)
+def a14_change_detection_of_buildings(spark, d):
+    return change_detection(planar_actions(spark, d, "building"), planar).select(*_CHANGED)
+
+
+@query(_changes_sql("""gaps AS (SELECT *, greatest(0, sx - sx0 - sw0, sx0 - sx - sw) AS dx, abs(sy - sy0) AS dy, CASE WHEN abs(sy - sy0) <= 20 THEN 1 WHEN abs(sy - sy0) = 21 THEN 0 ELSE -1000000 END AS e FROM pairs WHERE sx0 IS NOT NULL AND (sx, sy, sw) <> (sx0, sy0, sw0)),
+judged AS (SELECT *, CASE WHEN dx > e THEN 'StreetDisjoint'
+    WHEN sx >= sx0 - e AND sx + sw <= sx0 + sw0 + e THEN CASE WHEN sw < 0.8 * sw0 THEN 'StreetShortened' WHEN sw <> sw0 THEN 'StreetWithinBuffer' END
+    WHEN sx0 >= sx - e AND sx0 + sw0 <= sx + sw + e THEN CASE WHEN sw > 1.2 * sw0 THEN 'StreetLengthened' WHEN sw <> sw0 THEN 'StreetWithinBuffer' END
+    ELSE 'StreetCrossesBuffer' END AS status, CASE WHEN dx <= e THEN sw0 END AS old, CASE WHEN dx <= e THEN sw ELSE sqrt(dx * dx + dy * dy) END AS new FROM gaps)"""), operations=False)
+def a14_change_detection_of_streets(spark, d):
+    return change_detection(planar_actions(spark, d, "street"), planar).select(*_CHANGED)
+
+
 @query()
 def r2_elements(spark, d):
     size = lambda c: F.size(c).cast("long").alias(f"n_{c}")
