@@ -11,6 +11,9 @@ followed exactly; its memory is the history of one feature."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import deque
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,22 +40,75 @@ def clock_anomalies(operations: DataFrame) -> DataFrame:
     return operations.withColumn("_back", F.col("ts") < F.lag("ts").over(w)).where("_back").select(*FEATURE).distinct()
 
 
+class _Later:
+    """Where the first of the operations that are left, from a place on, is later than a time.
+
+    Ascending times need no more than a search; else a tree of greatest times, from which operations are taken out."""
+
+    _GONE = -(1 << 63)
+
+    def __init__(self, times: list[int]):
+        self.times = times
+        self.ascending = all(a <= b for a, b in zip(times, times[1:]))
+        if not self.ascending:
+            self.size = 1 << (len(times) - 1).bit_length()
+            self.tree = [self._GONE] * self.size + times + [self._GONE] * (self.size - len(times))
+            for i in range(self.size - 1, 0, -1):
+                self.tree[i] = max(self.tree[2 * i], self.tree[2 * i + 1])
+
+    def take(self, i: int) -> None:
+        if self.ascending:
+            return  # what lies behind a later one is later too, and was seen with it
+        tree, i = self.tree, i + self.size
+        tree[i] = self._GONE
+        while i > 1:
+            i >>= 1
+            most = max(tree[2 * i], tree[2 * i + 1])
+            if tree[i] == most:
+                break
+            tree[i] = most
+
+    def first(self, i: int, time: int) -> int:
+        if self.ascending:
+            return bisect_right(self.times, time, min(i, len(self.times)))
+        if i >= self.size:
+            return len(self.times)
+        tree, i = self.tree, i + self.size
+        while tree[i] <= time:
+            while i & 1:  # a right side: up to the next subtree
+                i >>= 1
+            if not i:
+                return len(self.times)
+            i += 1
+        while i < self.size:
+            i = 2 * i if tree[2 * i] > time else 2 * i + 1
+        return i - self.size
+
+
 def edit_groups(ops: list[dict], gap_us: int):
-    """(group, number of operations seen) of a feature's operations in canonical order, each with ``us`` and ``uid``."""
-    left = list(range(len(ops)))
-    seen = 0
-    while left:
-        who, last, taken = ops[left[0]]["uid"], ops[left[0]]["us"], []
-        for i in left:
-            if ops[i]["us"] - last > gap_us:
+    """(group, number of operations seen) of a feature's operations in canonical order, each with ``us`` and ``uid``.
+
+    A group begins with the first operation that is left and goes on through its contributor's, until any that is left is
+    more than the gap later than the group's last. Each contributor's operations wait in a queue, so nothing is gone through twice."""
+    queues: dict = {}
+    for i, op in enumerate(ops):
+        queues.setdefault(op["uid"], deque()).append(i)
+    later, taken, seen = _Later([op["us"] for op in ops]), [False] * len(ops), 0
+    for head in range(len(ops)):
+        if taken[head]:
+            continue
+        own, group, at = queues[ops[head]["uid"]], [], head
+        while True:
+            own.popleft()
+            group.append(at)
+            taken[at] = True
+            later.take(at)
+            end = later.first(at + 1, ops[at]["us"] + gap_us)
+            if not own or own[0] >= end:
                 break
-            seen = max(seen, i + 1)
-            if ops[i]["uid"] == who:
-                taken.append(i)
-                last = ops[i]["us"]
-        gone = set(taken)
-        left = [i for i in left if i not in gone]
-        yield [ops[i] for i in taken], seen
+            at = own[0]
+        seen = max(seen, end, at + 1)
+        yield [ops[i] for i in group], seen
 
 
 def type_matches(t: FeatureType, tags: dict[str, str]) -> bool:
@@ -113,8 +169,8 @@ def feature_actions(ops: list[dict], config: AnalysisConfig, rules: Rules):
                 tags.pop(op["key"], None)
         now = [t for t in config.feature_types if type_matches(t, tags)]
         ordered = sorted(group, key=lambda op: -HIERARCHY.get(op["operation_type"], 0))
-        shapes = state.shapes()
         due = [(t, "DELETE") for t in before if t not in now] + [(t, "UPDATE" if t in before else "CREATE") for t in now]
+        shapes = state.shapes() if due else {}
         for t, kind in due:
             if t.geometry not in shapes:
                 continue

@@ -7,7 +7,7 @@ specific ones, then tags by key, then deletion or re-creation."""
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,49 @@ EDIT = T.ArrayType(
 )
 
 
-def list_edits(old: list, new: list, first_is_new: bool) -> tuple[list[int], list[int], list[tuple[int, int]], list]:
-    """How a list became another: removed positions (from the end), added positions, moves (from, to), and the result.
+class _Left:
+    """How many items of a list are left before each (a tree of counts)."""
+
+    def __init__(self, n: int):
+        self.count = [i & -i for i in range(n + 1)]
+
+    def before(self, i: int) -> int:
+        total = 0
+        while i > 0:
+            total += self.count[i]
+            i &= i - 1
+        return total
+
+    def take(self, i: int) -> None:
+        i += 1
+        while i < len(self.count):
+            self.count[i] -= 1
+            i += i & -i
+
+
+def reorder(now: list, new: list) -> tuple[list[tuple[int, int]], list[int]]:
+    """The moves (from, to) that make ``new`` of ``now``, which has the same items, and where each item of ``new`` stood.
+
+    From the front on, each place gets the first item that fits of those behind it."""
+    if now == new:
+        return [], list(range(len(now)))
+    places: dict = {}
+    for i, item in enumerate(now):
+        places.setdefault(item, deque()).append(i)
+    left, moves, order = _Left(len(now)), [], []
+    for to, wanted in enumerate(new):
+        at = places[wanted].popleft()
+        ahead = left.before(at)
+        left.take(at)
+        order.append(at)
+        if ahead:
+            moves.append((to + ahead, to))
+    return moves, order
+
+
+def list_edits(old: list, new: list, first_is_new: bool) -> tuple[list[int], list[int], list[tuple[int, int]], list[int]]:
+    """How a list became another: removed positions (from the end), added positions, moves (from, to), and where each item of
+    the result stood before the moves.
 
     Where an item stands more often in ``new`` than in ``old``, ``first_is_new`` tells whether its first or its last
     occurrences count as added."""
@@ -59,14 +100,8 @@ def list_edits(old: list, new: list, first_is_new: bool) -> tuple[list[int], lis
                 added.append(i)
     gone, fresh = set(removed), set(added)
     kept = iter([x for i, x in enumerate(old) if i not in gone])
-    now = [new[i] if i in fresh else next(kept) for i in range(len(new))]
-    moves = []
-    for to, wanted in enumerate(new if now != new else ()):
-        if to < len(now) and now[to] != wanted and wanted in now[to + 1 :]:
-            at = now.index(wanted, to + 1)
-            moves.append((at, to))
-            now.insert(to, now.pop(at))
-    return removed, added, moves, now
+    moves, order = reorder([new[i] if i in fresh else next(kept) for i in range(len(new))], new)
+    return removed, added, moves, order
 
 
 def _edit(kind, key="", value="", ref=-1, position=-1):
@@ -81,12 +116,11 @@ def way_edits(old, new) -> list[tuple]:
 def member_edits(old, new) -> list[tuple]:
     """old, new: (element_type, id, role); a member's identity is its type and id."""
     same = lambda m: m[:2]
-    removed, added, moves, now = list_edits([same(m) for m in old], [same(m) for m in new], False)
+    removed, added, moves, order = list_edits([same(m) for m in old], [same(m) for m in new], False)
     gone, fresh = set(removed), set(added)
     kept = iter([m[2] for i, m in enumerate(old) if i not in gone])
     roles = [new[i][2] if i in fresh else next(kept) for i in range(len(new))]
-    for a, b in moves:
-        roles.insert(b, roles.pop(a))
+    roles = [roles[i] for i in order]
     out = [_edit("REMOVE_MEMBER", ref=0, position=i) for i in removed]
     out += [_edit("ADD_MEMBER", key=new[i][0][:1].lower(), value=new[i][2] or "", ref=new[i][1], position=i) for i in added]
     out += [_edit("REORDER_MEMBER", ref=a, position=b) for a, b in moves]

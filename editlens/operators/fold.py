@@ -25,7 +25,9 @@ class FeatureState:
 
     def __init__(self):
         self.point = None
-        self.nodes: list[tuple[int, tuple | None]] = []
+        #: [id, coordinate] of each node, and those of an id.
+        self.nodes: list[list] = []
+        self.of_id: dict[int, list[list]] = {}
         self.tags: dict[str, str] = {}
         self.members: list[tuple[str, int, str]] = []
         self.before_deletion: tuple | None = None
@@ -42,19 +44,24 @@ class FeatureState:
             self.point = at or self.point
         elif kind in ("DELETE_NODE", "DELETE_WAY", "DELETE_RELATION"):
             if kind != "DELETE_RELATION":
-                self.before_deletion = (self.point, list(self.nodes), dict(self.tags))
+                self.before_deletion = (self.point, [tuple(n) for n in self.nodes], dict(self.tags))
                 if kind == "DELETE_NODE":
                     self.point = None
         elif kind == "ADD_NODE":
-            self.nodes.insert(max(place, 0), (ref, at))
+            node = [ref, at]
+            self.nodes.insert(max(place, 0), node)
+            self.of_id.setdefault(ref, []).append(node)
         elif kind == "REMOVE_NODE":
             if 0 <= place < len(self.nodes):
-                del self.nodes[place]
+                node = self.nodes.pop(place)
+                own = self.of_id[node[0]]
+                own.pop(next(i for i, n in enumerate(own) if n is node))
         elif kind == "REORDER_NODE":
             if 0 <= ref < len(self.nodes):
                 self.nodes.insert(max(place, 0), self.nodes.pop(ref))
         elif kind == "MODIFY_WAY_COORDINATE":
-            self.nodes = [(n, at if n == ref else c) for n, c in self.nodes]
+            for node in self.of_id.get(ref, ()):
+                node[1] = at
         elif kind in ("ADD_TAG", "MODIFY_TAG_VALUE"):
             self.tags[op["key"]] = op["value"]
         elif kind == "REMOVE_TAG":

@@ -80,6 +80,27 @@ def test_case(found, case):
     assert [r.seq for r in found[list(CASES).index(case)] if r.version == last] == list(range(len(want)))
 
 
+def slow_moves(now, new):
+    """Each place in turn gets the first item that fits of those behind it."""
+    now, moves = list(now), []
+    for to, wanted in enumerate(new):
+        if now[to] != wanted:
+            moves.append((now.index(wanted, to + 1), to))
+            now.insert(to, now.pop(moves[-1][0]))
+    return moves
+
+
+def test_long_lists_are_reordered_in_little_time():
+    import time
+
+    n, began = 100_000, time.process_time()
+    removed, added, moves, _ = list_edits(list(range(n)), list(range(n))[::-1], True)
+    assert not removed and not added and moves == [(n - 1, i) for i in range(n - 1)]
+    members = [("NODE", i, "a") for i in range(n)]
+    assert len(member_edits(members, members[::-1])) == n - 1
+    assert time.process_time() - began < 30
+
+
 def test_lists_are_rebuilt_from_their_edits():
     import random
 
@@ -87,13 +108,15 @@ def test_lists_are_rebuilt_from_their_edits():
     for _ in range(3000):
         old, new = ([r.randrange(5) for _ in range(r.randrange(7))] for _ in range(2))
         for first in (True, False):
-            removed, added, moves, now = list_edits(old, new, first)
+            removed, added, moves, order = list_edits(old, new, first)
             again = [x for i, x in enumerate(old) if i not in removed]
             for i in added:
                 again.insert(i, new[i])
+            before = list(again)
             for a, b in moves:
                 again.insert(b, again.pop(a))
-            assert again == now == new
+            assert again == new == [before[i] for i in order]
+            assert moves == slow_moves(before, new)
 
 
 def test_repeated_nodes():

@@ -86,6 +86,44 @@ def slow_groups(ops, gap):
     return out
 
 
+def rebuilt_groups(ops, gap):
+    """The groups and what they have seen, with the list of what is left made anew for each."""
+    left, seen, out = list(range(len(ops))), 0, []
+    while left:
+        last, group = ops[left[0]]["us"], []
+        for i in left:
+            if ops[i]["us"] - last > gap:
+                break
+            seen = max(seen, i + 1)
+            if ops[i]["uid"] == ops[left[0]]["uid"]:
+                group.append(i)
+                last = ops[i]["us"]
+        left = [i for i in left if i not in group]
+        out.append((group, seen))
+    return out
+
+
+@pytest.mark.parametrize("users, span, step", [(1, 3, 2), (3, 40, 0), (4, 5, 3), (9, 200, 0), (3, 12, 6)])
+def test_groups_and_what_they_have_seen(users, span, step):
+    r = random.Random(users * 100 + span)
+    for _ in range(300):
+        ops = [{"uid": r.randrange(users), "us": i * step + r.randrange(span), "n": i} for i in range(r.randrange(40))]
+        assert [([o["n"] for o in g], seen) for g, seen in edit_groups(ops, 12)] == rebuilt_groups(ops, 12)
+        ops = [{**o, "us": t} for o, t in zip(ops, sorted(o["us"] for o in ops))]
+        assert [([o["n"] for o in g], seen) for g, seen in edit_groups(ops, 12)] == rebuilt_groups(ops, 12)
+
+
+@pytest.mark.parametrize("wild", [False, True])
+def test_groups_of_many_operations_in_little_time(wild):
+    import time
+
+    r, n = random.Random(4), 200_000
+    ops = [{"uid": i % 50, "us": r.randrange(n) if wild else 20 * i, "n": i} for i in range(n)]
+    began = time.process_time()
+    assert sum(len(g) for g, _ in edit_groups(ops, 12)) == n
+    assert time.process_time() - began < 30
+
+
 def test_groups_of_random_histories_and_sessions(spark):
     r = random.Random(0)
     rows, want = [], {}
@@ -131,6 +169,28 @@ def test_relations_never_make_actions(spark):
     assert generate_actions(frame(spark, *rows), default_config()).count() == 0
 
 
+def test_nodes_that_stand_more_than_once_move_together():
+    from editlens.operators.fold import FeatureState
+
+    r = random.Random(12)
+    blank = {"lon": None, "lat": None, "key": "", "value": "", "ref_id": -1, "position": -1}
+    for _ in range(300):
+        state, plain = FeatureState(), []
+        for k in range(60):
+            kind = r.choice(["ADD_NODE", "ADD_NODE", "REMOVE_NODE", "REORDER_NODE", "MODIFY_WAY_COORDINATE"])
+            ref, place = r.randrange(4), r.randrange(-1, 6)
+            state.apply({**blank, "operation_type": f"OP_{kind}", "ref_id": ref, "position": place, "lon": float(k), "lat": 0.0})
+            if kind == "ADD_NODE":
+                plain.insert(max(place, 0), (ref, (float(k), 0.0)))
+            elif kind == "REMOVE_NODE" and 0 <= place < len(plain):
+                del plain[place]
+            elif kind == "REORDER_NODE" and ref < len(plain):
+                plain.insert(max(place, 0), plain.pop(ref))
+            elif kind == "MODIFY_WAY_COORDINATE":
+                plain = [(n, (float(k), 0.0) if n == ref else c) for n, c in plain]
+            assert [tuple(n) for n in state.nodes] == plain
+
+
 def test_assembly():
     state = fold.FeatureState()
     for i, at in enumerate([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]):
