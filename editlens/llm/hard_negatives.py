@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, tidy
 from .shards import searched
-from .vector_search import LEAST, Best, lift, matrix, most_frequent_length, products
+from .vector_search import LEAST, Best, lift, matrix, most_frequent_length, places_of, products, rows_of_a_place
 
-SAMPLE, CELL, PLACE, LEAF, STEP = 2048, 16, 131_072, 256, 4
+SAMPLE, CELL, LEAF, STEP = 2048, 16, 256, 4
 POSITIVES, NEGATIVES = 5, 5
 #: Above every score.
 MOST = -LEAST
@@ -195,7 +195,7 @@ def hard_negatives(vectors: DataFrame, anchors: DataFrame, positives: int = POSI
     most = most * (1 + 1e-12) + 1
     taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "label", "v").limit(SAMPLE).toPandas()
     sample = taken["vec_id"].to_numpy(np.int64), taken["label"].to_numpy(np.int64), np.array(taken["v"].tolist(), np.int64)
-    full = min(PLACE, max(LEAF, -(-n // int(spark.conf.get("spark.sql.shuffle.partitions")))))  # rows of a place
+    full = rows_of_a_place(n, LEAF, spark)
     depth = max(0, min(n // full, len(taken) // CELL)).bit_length()
     top = Top(lift(sample[2], most), depth)
 
@@ -206,12 +206,8 @@ def hard_negatives(vectors: DataFrame, anchors: DataFrame, positives: int = POSI
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(top.cells(lift(matrix(part.column(2)), most)).astype(np.int32))], names=[*part.schema.names, "cell"])
 
     celled = scratch.save(rows.mapInArrow(tidy(dealt), "vec_id long, label long, v array<long>, cell int"))
-    first, of, places = {}, {}, 0
-    for cell, size in celled.groupBy("cell").count().orderBy("cell").collect():  # at most 2 ** depth cells
-        first[cell], of[cell] = places, -(-size // full)
-        places += of[cell]
-    number = lambda m: F.element_at(F.create_map(*(F.lit(x) for kv in m.items() for x in kv)), F.col("cell"))
-    index = scratch.save(celled.withColumn("place", (number(first) + F.pmod(F.xxhash64("vec_id"), number(of))).cast("int")).select("place", "vec_id", "label", "v"))
+    index, places = places_of(celled, "cell", full)  # at most 2 ** depth cells
+    index = scratch.save(index.select("place", "vec_id", "label", "v"))
     scratch.drop(celled)
 
     def build(t):

@@ -121,22 +121,30 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame):
     return w["at"].to_numpy(np.int32), w["weight"].to_numpy(), float(model.weight[model.kind == 1].iloc[0])
 
 
+def _scorer(model):
+    """A function from a column of texts to their scores."""
+    if model is None:
+        return lambda texts: np.zeros(len(texts))
+    at, w, bias = model
+    dense = np.zeros(1 << BITS)
+    dense[at] = w
+
+    def scores(texts: pa.Array) -> np.ndarray:
+        ids, docs = _features(texts)
+        hot = np.flatnonzero(dense[ids])
+        both = np.unique(docs[hot].astype(np.int64) << BITS | ids[hot])
+        total = np.bincount(both >> BITS, dense[both & ((1 << BITS) - 1)], len(texts)) + bias
+        return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
+
+    return scores
+
+
 def _score(shared):
     def run(batches):
-        dense = None
-        if shared.value is not None:
-            at, w, bias = shared.value
-            dense = np.zeros(1 << BITS)
-            dense[at] = w
+        scores = _scorer(shared.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                score = np.zeros(part.num_rows)
-                if dense is not None:
-                    ids, docs = _features(part.column(part.schema.get_field_index("text")))
-                    hot = np.flatnonzero(dense[ids])
-                    both = np.unique(docs[hot].astype(np.int64) << BITS | ids[hot])
-                    total = np.bincount(both >> BITS, dense[both & ((1 << BITS) - 1)], part.num_rows) + bias
-                    score = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
+                score = scores(part.column(part.schema.get_field_index("text")))
                 yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(part.columns) if part.schema.names[i] != "text"), pa.array(score)], names=[*(n for n in part.schema.names if n != "text"), "score"])
 
     return run
@@ -155,10 +163,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels))
 
     def run(batches):
+        scores = _scorer(shared.value)
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             for part in slices(batch, "text"):
-                found = next(iter(_score(shared)(iter([pa.record_batch([part.column(at)], ["text"])])))).column(0) if part.num_rows else pa.array([], pa.float64())
-                yield part.filter(pc.less(found, 0.5))
+                yield part.filter(pa.array(scores(part.column(part.schema.get_field_index("text"))) < 0.5))
 
     return docs.mapInArrow(tidy(run), docs.schema)

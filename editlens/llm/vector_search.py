@@ -2,14 +2,15 @@
 
 A vector x of integers becomes a point (x, sqrt(M - |x|^2)), M the largest squared norm, and a query q the point
 (q, 0): then |q - x|^2 = |q|^2 + M - 2 q.x, so the largest inner products are the nearest points. Every point is keyed by
-its nearest pivot and its distance to it; sorted by that key, consecutive points of a pivot form annuli of at most
-RING points. A task holds a range of keys, each of its rings with its vectors; a block of queries expands the rings of
-that range from the one nearest to each query outwards and stops when the triangle inequality's bound for all that
-remain is beyond the query's k-th best score so far. A first k-th best comes from a bounded sample of the vectors.
+its nearest pivot and its distance to it. The points of a pivot are dealt to places of at most PLACE rows (by hashed id, so
+that copies of a vector don't meet in one task) and sorted by distance there: consecutive ones form annuli of at most RING
+points. Each place meets every block of queries, which expands its rings from the one nearest to each query outwards and stops
+when the triangle inequality's bound for all that remain is beyond the query's k-th best score so far. A first k-th best comes from
+a bounded sample of the vectors, which tasks hold against blocks of queries.
 Scores are exact integers; bounds have a slack over their rounding, and ties are never cut off.
 
-The pivots are picked on at most SAMPLE vectors (those of the smallest hashed id), each far from those before.
-Queries are broadcast in waves of at most WAVE_BYTES, so any number of them can be asked.
+The pivots are picked on at most SAMPLE vectors (those of the smallest hashed id), each far from those before. Queries go to
+places by a shuffle (``shards``), so any number of them can be asked and none pass through the driver.
 
 Results for odd rows: vectors that are null or empty, or hold a null or a non-finite component, and rows with a null id take no
 part, nor do vectors of another length than the most frequent one (of equally frequent ones the smallest); repeated ids are
@@ -21,14 +22,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, tidy
+from .shards import searched
 
 #: Below every score.
 LEAST = -(1 << 62)
-PIVOTS, SAMPLE, RING, WAVE_BYTES, SCALE = 32, 2048, 512, 32 << 20, 1024
+PIVOTS, SAMPLE, RING, PLACE, SCALE = 32, 2048, 512, 131_072, 1024
 
 
 def quantized(vectors: DataFrame, scale: int = SCALE, *others: str) -> DataFrame:
@@ -119,42 +121,49 @@ class Best:
             self.score[rows[i]], self.id[rows[i]] = s[order], d[order]
 
 
-def _search(shared, pivots: np.ndarray, most: float, k: int):
-    def run(batches):
-        q_ids, q, floor = shared.value
+class Rings:
+    """The annuli of a place: pivot, least and greatest distance, ids and vectors of each."""
+
+    def __init__(self, t: pa.Table):
+        ids, pivot, dist = (t[c].to_numpy() for c in ("vec_id", "pivot", "distance"))
+        v = matrix(t["v"].combine_chunks())
+        narrow = v.astype(np.int32)
+        v = narrow if (narrow == v).all() else v
+        edge = np.flatnonzero(np.concatenate(([True], pivot[1:] != pivot[:-1])))
+        cut = [(i, min(i + RING, b)) for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(ids)]) for i in range(a, b, RING)]
+        self.pivot, self.lo, self.hi = np.array([pivot[i] for i, _ in cut]), np.array([dist[i] for i, _ in cut]), np.array([dist[j - 1] for _, j in cut])
+        self.ids, self.v = [ids[i:j] for i, j in cut], [v[i:j] for i, j in cut]
+
+
+def _floors(sample, k: int):
+    """Adds to a block of queries the k-th best score of each among the sample."""
+    taken_ids, taken = sample
+
+    def run(block: pa.RecordBatch) -> pa.RecordBatch:
+        best = Best(block.num_rows, k)
+        if block.num_rows:
+            ids, q = block.column(0).to_numpy(), matrix(block.column(1))
+            best.add(np.arange(len(ids)), products(q, taken), taken_ids, ids)
+        return block.append_column("floor", pa.array(best.score[:, -1]))
+
+    return run
+
+
+def _search(pivots: np.ndarray, most: float, k: int):
+    def run(rings: Rings, block: pa.RecordBatch):
+        q_ids, q, floor = block.column(0).to_numpy(), matrix(block.column(1)), block.column(2).to_numpy()
         points = np.hstack([q.astype(np.float64), np.zeros((len(q), 1))])
         square = (q.astype(np.float64) ** 2).sum(1)
         to_pivot = np.sqrt(np.maximum((points * points).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * points @ pivots.T, 0))
-        best = Best(len(q), k)
-        rings = []
-        for batch in batches:  # sorted by pivot and distance
-            if not batch.num_rows:
-                continue
-            ids, pivot, dist = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
-            v = matrix(batch.column(1))
-            narrow = v.astype(np.int32)
-            v = narrow if (narrow == v).all() else v
-            edge = np.flatnonzero(np.concatenate(([True], pivot[1:] != pivot[:-1])))
-            for a, b in zip(edge, [*edge[1:], len(ids)]):
-                for i in range(a, b, RING):
-                    j = min(i + RING, b)
-                    rings.append((pivot[i], dist[i], dist[j - 1], ids[i:j], v[i:j].astype(np.int64)))
-        if not rings:
-            return
-        p, lo, hi = np.array([r[0] for r in rings]), np.array([r[1] for r in rings]), np.array([r[2] for r in rings])
-        for first in range(0, len(q), 4096):
-            block = np.arange(first, min(first + 4096, len(q)))
-            d = to_pivot[block][:, p]
-            bound = np.maximum(0, np.maximum(lo - d, d - hi))
-            for r in np.argsort(bound.min(0), kind="stable"):
-                reach = np.maximum(best.score[block, -1], floor[block]).astype(np.float64)
-                limit = np.sqrt(np.maximum(square[block] + most - 2 * reach, 0)) * (1 + 1e-9) + 1e-3 + 1e-6 * np.sqrt(square[block] + most)
-                live = np.flatnonzero((bound[:, r] <= limit) | (reach <= LEAST))
-                if len(live):
-                    rows = block[live]
-                    best.add(rows, products(q[rows], rings[r][4]), rings[r][3], q_ids[rows])
-        full = (best.id < np.iinfo(np.int64).max) & (best.score >= floor[:, None])
-        i, j = np.nonzero(full)
+        best, d = Best(len(q), k), to_pivot[:, rings.pivot]
+        bound = np.maximum(0, np.maximum(rings.lo - d, d - rings.hi))
+        for r in np.argsort(bound.min(0), kind="stable"):
+            reach = np.maximum(best.score[:, -1], floor).astype(np.float64)
+            limit = np.sqrt(np.maximum(square + most - 2 * reach, 0)) * (1 + 1e-9) + 1e-3 + 1e-6 * np.sqrt(square + most)
+            rows = np.flatnonzero((bound[:, r] <= limit) | (reach <= LEAST))
+            if len(rows):
+                best.add(rows, products(q[rows], rings.v[r].astype(np.int64)), rings.ids[r], q_ids[rows])
+        i, j = np.nonzero((best.score > LEAST) & (best.score >= floor[:, None]))
         yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(best.id[i, j]), pa.array(best.score[i, j])], names=["query_id", "vec_id", "score"])
 
     return run
@@ -164,6 +173,22 @@ _OUT = "query_id long, vec_id long, score long"
 _RANKED = "query_id long, rank int, vec_id long, score long"
 
 
+def places_of(keyed: DataFrame, key: str, size: int) -> tuple[DataFrame, int]:
+    """keyed(vec_id, key, ...) with ``place`` (0, 1, ...): each key's rows, of which there are few, in places of about ``size`` rows by
+    hashed id; and how many places there are."""
+    first, of, places = {}, {}, 0
+    for value, n in keyed.groupBy(key).count().orderBy(key).collect():
+        first[value], of[value] = places, -(-n // size)
+        places += of[value]
+    number = lambda m: F.element_at(F.create_map(*(F.lit(x) for kv in m.items() for x in kv)), F.col(key))
+    return keyed.withColumn("place", (number(first) + F.pmod(F.xxhash64("vec_id"), number(of))).cast("int")), places
+
+
+def rows_of_a_place(rows: int, least: int, spark) -> int:
+    """As many as give each shuffle partition a place, between ``least`` and PLACE."""
+    return min(PLACE, max(least, -(-rows // int(spark.conf.get("spark.sql.shuffle.partitions")))))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """vectors(vec_id, v), queries(vec_id, v) -> (query_id, rank, vec_id, score): the k largest inner products."""
     spark = vectors.sparkSession
@@ -171,34 +196,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     usual = most_frequent_length(vectors)
     if usual is None:
         return spark.createDataFrame([], _RANKED)
-    rows = scratch.save(vectors.where(F.size("v") == usual))
-    queries = scratch.save(queries.where(F.size("v") == usual).groupBy("vec_id").agg(F.min("v").alias("v")))
+    rows = scratch.save(vectors.where(F.size("v") == usual).select("vec_id", "v"))
+    queries = queries.where(F.size("v") == usual).groupBy("vec_id").agg(F.min("v").alias("v"))
     square = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     most, n = rows.agg(F.coalesce(F.max(square), F.lit(0.0)), F.count("*")).first()
     most = most * (1 + 1e-12) + 1
-    waves = max(1, -(-queries.count() * usual * 8 // WAVE_BYTES))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    if not len(sample):
-        return spark.createDataFrame([], _RANKED)
     taken, taken_ids = np.array(sample["v"].tolist(), np.int64), sample["vec_id"].to_numpy(np.int64)
     pivots = pick_pivots(lift(taken, most), PIVOTS)
-    index = scratch.save(rows.mapInArrow(tidy(_keyed(pivots, most)), "vec_id long, v array<long>, pivot int, distance double").repartitionByRange("pivot", "distance", "vec_id").sortWithinPartitions("pivot", "distance", "vec_id"))
-    found = None
-    for wave in range(waves):
-        own = (queries if waves == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == wave)).toPandas()
-        if not len(own):
-            continue
-        q_ids, q = own["vec_id"].to_numpy(np.int64), np.array(own["v"].tolist(), np.int64)
-        start = Best(len(q), k)
-        for a in range(0, len(q), 1024):
-            r = np.arange(a, min(a + 1024, len(q)))
-            start.add(r, products(q[r], taken), taken_ids, q_ids[r])
-        shared = spark.sparkContext.broadcast((q_ids, q, start.score[:, -1]))
-        part = index.mapInArrow(tidy(_search(shared, pivots, most, k)), _OUT)
-        found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], _RANKED)
-    from pyspark.sql import Window
-
+    keyed = scratch.save(rows.mapInArrow(tidy(_keyed(pivots, most)), "vec_id long, v array<long>, pivot int, distance double"))
+    index, places = places_of(keyed, "pivot", rows_of_a_place(n, RING, spark))
+    found = searched(index, places, queries, Rings, _search(pivots, most, k), _OUT, ["pivot", "distance", "vec_id"], _floors((taken_ids, taken), k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

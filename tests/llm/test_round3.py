@@ -199,10 +199,11 @@ def brute_negatives(rows, anchors, positives=5, negatives=5):
 def test_hard_negatives_brute_force(spark, monkeypatch, seed):
     """Small leaves, places and blocks; copies of a vector, ties, zero and negative scores, repeated ids."""
     from editlens.llm import hard_negatives as H
-    from editlens.llm import shards
+    from editlens.llm import shards, vector_search
 
-    for name, value in (("LEAF", 4), ("PLACE", 24), ("SAMPLE", 40), ("CELL", 4), ("STEP", 2)):
+    for name, value in (("LEAF", 4), ("SAMPLE", 40), ("CELL", 4), ("STEP", 2)):
         monkeypatch.setattr(H, name, value)
+    monkeypatch.setattr(vector_search, "PLACE", 24)
     monkeypatch.setattr(shards, "QUERIES", 3)
     r = random.Random(seed)
     centre = [[r.randrange(-40, 41) for _ in range(6)] for _ in range(5)]
