@@ -103,11 +103,6 @@ def only_properties(operations: DataFrame, feature_type: FeatureType) -> DataFra
     return operations.where(~(tagged & ~F.col("key").isin(*feature_type.properties)))
 
 
-def without_untagged(operations: DataFrame) -> DataFrame:
-    """Operations of features that ever had a tag."""
-    return operations.join(operations.where(F.col("operation_type").isin(*TAG_SET)).select(*FEATURE).distinct(), FEATURE, "left_semi")
-
-
 def feature_types_of(tags: str | Column, types: tuple[FeatureType, ...]) -> Column:
     """Names of all feature types that a map of tags has, in the order of the configuration.
 

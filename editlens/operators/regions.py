@@ -18,22 +18,11 @@ from .fold import assembled_features
 SPAN = 8
 #: Cells of level n are 360 / 2**n degrees wide and high.
 FINEST = 24
+#: Characters of regions' geometries that are broadcast at once.
+BLOCK = 32 << 20
 LEAF_FEATURES, MAX_LEVEL = 100_000, 10
 
 
-def region_table(spark: SparkSession, regions: list[Region]) -> DataFrame:
-    """(label, wkt, xmin, ymin, xmax, ymax); broken geometries are left out."""
-    rows = []
-    for r in regions:
-        try:
-            _, rings = geo.parse_wkt(r.wkt)
-        except ValueError:
-            continue
-        p = rings[0]
-        rows.append((r.label, r.wkt, *map(float, (*p.min(0), *p.max(0)))))
-    return spark.createDataFrame(rows, "label string, wkt string, xmin double, ymin double, xmax double, ymax double")
-
-
 def _level(size: float, cells: int) -> int:
     """The finest level of whose cells a box of this width or height spans at most ``cells``."""
     return FINEST if size <= 0 else max(0, min(FINEST, math.floor(math.log2(360.0 * cells / size))))
@@ -53,7 +42,7 @@ def _with_cells(boxes: DataFrame, levels: Column) -> DataFrame:
 
 
 def _envelopes(spark: SparkSession, regions: list[Region]) -> tuple[DataFrame, list[int]]:
-    """(no, label, wkt, rxmin, rymin, rxmax, rymax, own) and the levels in use; broken geometries are left out."""
+    """(no, rxmin, rymin, rxmax, rymax, own) and the levels in use; broken geometries are left out."""
     rows = []
     for no, r in enumerate(regions):
         try:
@@ -61,8 +50,8 @@ def _envelopes(spark: SparkSession, regions: list[Region]) -> tuple[DataFrame, l
         except ValueError:
             continue
         (x0, y0), (x1, y1) = p.min(0), p.max(0)
-        rows.append((no, r.label, r.wkt, float(x0), float(y0), float(x1), float(y1), _level(max(x1 - x0, y1 - y0), SPAN)))
-    return spark.createDataFrame(rows, "no int, label string, wkt string, rxmin double, rymin double, rxmax double, rymax double, own int"), sorted({r[-1] for r in rows})
+        rows.append((no, float(x0), float(y0), float(x1), float(y1), _level(max(x1 - x0, y1 - y0), SPAN)))
+    return spark.createDataFrame(rows, "no int, rxmin double, rymin double, rxmax double, rymax double, own int"), sorted({r[-1] for r in rows})
 
 
 def near_pairs(boxes: DataFrame, regions: DataFrame, levels: list[int]) -> DataFrame:
@@ -92,31 +81,54 @@ def near_regions(operations: DataFrame, regions: list[Region]) -> DataFrame:
     return operations.where("geometry_type = 'RELATION'").unionByName(operations.where("geometry_type != 'RELATION'").join(kept, FEATURE, "left_semi"))
 
 
-def features_in_regions(operations: DataFrame, config: AnalysisConfig, regions: list[Region] | None = None) -> DataFrame:
-    """(region, geometry_type, oid) for each feature whose latest geometry shares a point with the region.
-
-    Boxes of all coordinates ever meet the envelopes first, by cells of a grid; the geometries of the pairs that are left
-    are then compared exactly."""
-    table, levels = _envelopes(operations.sparkSession, list(config.regions if regions is None else regions))
-    near = near_pairs(bounding_boxes(operations), table, levels).select(*FEATURE, "label", "wkt")
-    latest = assembled_features(operations.join(near.select(*FEATURE).distinct(), FEATURE, "left_semi"), config).select(*FEATURE, "geom_wkt")
+def _shares_point(shared):
+    """(geometry_type, oid, geom_wkt, no) -> (region, geometry_type, oid) of those that share a point; ``shared`` has the regions."""
 
     def run(batches):
-        known: dict[str, tuple] = {}
+        known: dict[int, tuple] = {}
         for batch in batches:
             rows = []
-            for kind, oid, wkt, label, area in zip(*(c.to_pylist() for c in batch.columns)):
-                if area not in known:
-                    known.clear() if len(known) > 1000 else None
-                    rk, rings = geo.parse_wkt(area)
-                    known[area] = rk, rings, rings[0].min(0), rings[0].max(0)
-                rk, rings, rlo, rhi = known[area]
+            for kind, oid, wkt, no in zip(*(c.to_pylist() for c in batch.columns)):
+                if no not in known:
+                    rk, rings = geo.parse_wkt(shared.value[no].wkt)
+                    known[no] = rk, rings, rings[0].min(0), rings[0].max(0)
+                rk, rings, rlo, rhi = known[no]
                 k, g = geo.parse_wkt(wkt)
                 if (g[0].min(0) <= rhi).all() and (g[0].max(0) >= rlo).all() and geo.intersects(k, g, rk, rings):
-                    rows.append((label, kind, oid))
+                    rows.append((shared.value[no].label, kind, oid))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, (pa.string(), pa.string(), pa.int64()))], names=["region", *FEATURE])
 
-    return latest.join(near, FEATURE).select(*FEATURE, "geom_wkt", "label", "wkt").mapInArrow(run, "region string, geometry_type string, oid long")
+    return run
+
+
+def region_blocks(regions: list[Region], limit: int):
+    """Regions by their numbers, in blocks of at most ``limit`` characters of geometry, or one larger region."""
+    block, size = {}, 0
+    for no, r in enumerate(regions):
+        if block and size + len(r.wkt) > limit:
+            yield block
+            block, size = {}, 0
+        block[no] = r
+        size += len(r.wkt)
+    yield block
+
+
+def features_in_regions(operations: DataFrame, config: AnalysisConfig, regions: list[Region] | None = None) -> DataFrame:
+    """(region, geometry_type, oid) for each feature whose latest geometry shares a point with the region.
+
+    Boxes of all coordinates ever meet the envelopes first, by cells of a grid; the geometries of the pairs that are left are then
+    compared exactly. Pairs carry the region's number; its geometry goes to the tasks in blocks of a bounded size."""
+    spark, regions = operations.sparkSession, list(config.regions if regions is None else regions)
+    table, levels = _envelopes(spark, regions)
+    near = near_pairs(bounding_boxes(operations), table, levels).select(*FEATURE, "no")
+    latest = assembled_features(operations.join(near.select(*FEATURE).distinct(), FEATURE, "left_semi"), config).select(*FEATURE, "geom_wkt")
+    pairs, out = latest.join(near, FEATURE).select(*FEATURE, "geom_wkt", "no"), None
+    for block in region_blocks(regions, BLOCK):
+        shared = spark.sparkContext.broadcast(block)
+        own = pairs if len(block) == len(regions) else pairs.where(F.col("no").between(min(block), max(block)))
+        found = own.mapInArrow(_shares_point(shared), "region string, geometry_type string, oid long")
+        out = found if out is None else out.union(found)
+    return out
 
 
 def quadtree(operations: DataFrame, levels: int = MAX_LEVEL) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.actions import sessions
-from .schema import HIERARCHY, OPERATION_COLUMNS, canonical_order
+from .schema import HIERARCHY, OPERATION_COLUMNS
 
 #: events as operations; {json} reads the key k of props.
 EVENT_OPERATIONS = """
@@ -188,7 +188,3 @@ actions AS (
     CASE WHEN operation_type LIKE 'OP_CREATE%' THEN 'CREATE' WHEN operation_type = 'OP_REMOVE_TAG' THEN 'DELETE' ELSE 'UPDATE' END AS action_type,
     uid, ts, operation_type AS first_operation, n_operations, session
   FROM first_ops WHERE n = 1)"""
-
-
-def canonical(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(*canonical_order())
