@@ -6,6 +6,9 @@ where they are given, so no job looks for them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -96,8 +99,9 @@ def tags(operations: DataFrame, tag_key: str = "", strict: bool = False) -> Data
     return rows.groupBy(*by_region(rows, "period", "tag")).agg(*(F.nullif(F.count_if(F.col("operation_type") == t), F.lit(0)).alias(n) for t, n in zip(TAG_EDITS, ("added", "modified", "removed"))))
 
 
-def hour_of_day(actions: DataFrame, all_users: DataFrame | None = None) -> DataFrame:
-    """Actions of each contributor in the quarters of the day (UTC); ``all_users`` (uid) adds empty rows for others."""
+def hour_of_day(actions: DataFrame, all_users: DataFrame | None = None, regions: list[str] | None = None) -> DataFrame:
+    """Actions of each contributor in the quarters of the day (UTC); ``all_users`` (uid) adds empty rows for others, in each of
+    ``regions`` where actions have regions (without them the actions are asked)."""
     quarter = F.floor(F.hour("ts") / 6)
     keys = by_region(actions, "uid")
     out = actions.groupBy(*keys).agg(*(F.nullif(F.count_if(quarter == i), F.lit(0)).alias(n) for i, n in enumerate(("h00_06", "h06_12", "h12_18", "h18_00"))))
@@ -105,7 +109,8 @@ def hour_of_day(actions: DataFrame, all_users: DataFrame | None = None) -> DataF
         return out
     users = all_users.select("uid").distinct()
     if len(keys) > 1:
-        regions = [r[0] for r in actions.select("region").distinct().collect()]  # those of the configuration
+        if regions is None:
+            regions = [r[0] for r in actions.select("region").distinct().collect()]
         users = users.withColumn("region", F.explode(F.array(*map(F.lit, regions)).cast("array<string>")))
     return users.join(out, keys, "left")
 
@@ -196,38 +201,80 @@ def progress(rows: DataFrame, name: str | Observation = "progress") -> DataFrame
     return rows.observe(name, F.count("*").alias("operations"), F.approx_count_distinct(F.struct(*FEATURE)).alias("features"))
 
 
-def run_all(operations: DataFrame, actions: DataFrame, config: AnalysisConfig, features: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The results of the analyzers named in the configuration, by name (with or without the prefix of older profiles).
+@dataclass(frozen=True)
+class Run:
+    """What analyzers are given: operations and actions with their period (and region), and the configuration.
 
     ``features``: actions for the analyzers of whole features, where they aren't the same."""
-    ops, acts = with_period(operations, config), with_period(actions, config)
-    names, types = [a.name for a in config.actions], [t.name for t in config.feature_types]
-    updates = [a.name for a in config.actions if a.action_type == "UPDATE"]
+
+    operations: DataFrame
+    actions: DataFrame
+    features: DataFrame
+    config: AnalysisConfig
+
+    @property
+    def action_names(self) -> list[str]:
+        return [a.name for a in self.config.actions]
+
+    @property
+    def update_names(self) -> list[str]:
+        return [a.name for a in self.config.actions if a.action_type == "UPDATE"]
+
+    @property
+    def type_names(self) -> list[str]:
+        return [t.name for t in self.config.feature_types]
+
+
+def _change_detection(run: Run, settings: dict) -> DataFrame:
     from .change_detection import change_detection
 
-    known = {
-        "OperationPerType": lambda s: operation_per_type(ops),
-        "ActionPerType": lambda s: action_per_type(acts),
-        "ActionPerFeatureType": lambda s: action_per_feature_type(acts, types),
-        "UserPerAction": lambda s: user_per_action(acts, names, s.get("mergeActionTypes") == "true"),
-        "UserPerOperation": lambda s: user_per_operation(ops, s.get("mergeOperationTypes") == "true"),
-        "UserPerTags": lambda s: user_per_tags(ops, s.get("tagKey", "")),
-        "Tags": lambda s: tags(ops, s.get("tagKey", "")),
-        "HourOfDay": lambda s: hour_of_day(acts),
-        "GeometryType": lambda s: geometry_type(acts, types),
-        "ActionDetails": lambda s: action_details(acts, s.get("includeOperationDetails") == "true"),
-        "FeatureStability": lambda s: feature_stability(acts if features is None else features),
-        "Update": lambda s: update(acts, updates),
-        "UpdateGeometry": lambda s: update_geometry(ops),
-        "ChangeDetection": lambda s: change_detection(acts),
-        "BatchGeneral": lambda s: batch_general(acts),
-        "BatchContributor": lambda s: batch_contributor(acts),
-        "BatchUserActionType": lambda s: batch_user_action_type(acts, names),
-    }
-    out = {}
+    return change_detection(run.actions, round_ends=settings.get("roundEnds") == "true")
+
+
+Analysis = Callable[[Run, dict[str, str]], DataFrame]
+
+#: Analyzers by the names that profiles end their analyzers' names with: of a run and the analyzer's settings.
+ANALYZERS: dict[str, Analysis] = {
+    "OperationPerType": lambda r, s: operation_per_type(r.operations),
+    "ActionPerType": lambda r, s: action_per_type(r.actions),
+    "ActionPerFeatureType": lambda r, s: action_per_feature_type(r.actions, r.type_names),
+    "UserPerAction": lambda r, s: user_per_action(r.actions, r.action_names, s.get("mergeActionTypes") == "true"),
+    "UserPerOperation": lambda r, s: user_per_operation(r.operations, s.get("mergeOperationTypes") == "true"),
+    "UserPerTags": lambda r, s: user_per_tags(r.operations, s.get("tagKey", "")),
+    "Tags": lambda r, s: tags(r.operations, s.get("tagKey", "")),
+    "HourOfDay": lambda r, s: hour_of_day(r.actions),
+    "GeometryType": lambda r, s: geometry_type(r.actions, r.type_names),
+    "ActionDetails": lambda r, s: action_details(r.actions, s.get("includeOperationDetails") == "true"),
+    "FeatureStability": lambda r, s: feature_stability(r.features),
+    "Update": lambda r, s: update(r.actions, r.update_names),
+    "UpdateGeometry": lambda r, s: update_geometry(r.operations),
+    "ChangeDetection": _change_detection,
+    "BatchGeneral": lambda r, s: batch_general(r.actions),
+    "BatchContributor": lambda r, s: batch_contributor(r.actions),
+    "BatchUserActionType": lambda r, s: batch_user_action_type(r.actions, r.action_names),
+}
+
+
+def analyzer(name: str) -> Callable[[Analysis], Analysis]:
+    """Registers an analyzer of one's own, which profiles then run by its name. Its results should be grouped by ``by_region``, so that
+    runs with regions have them for each."""
+
+    def add(f: Analysis) -> Analysis:
+        if name in ANALYZERS:
+            raise ValueError(f"there is an analyzer {name!r} already")
+        ANALYZERS[name] = f
+        return f
+
+    return add
+
+
+def run_all(operations: DataFrame, actions: DataFrame, config: AnalysisConfig, features: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The results of the analyzers named in the configuration, by name (with or without the prefix of older profiles)."""
+    acts = with_period(actions, config)
+    run, out = Run(with_period(operations, config), acts, acts if features is None else features, config), {}
     for a in config.analyzers:
-        short = next((k for k in sorted(known, key=len, reverse=True) if a.name.endswith(k)), None)
+        short = next((k for k in sorted(ANALYZERS, key=len, reverse=True) if a.name.endswith(k)), None)
         if short is None:
             raise ValueError(f"analyzer {a.name!r} is unknown")
-        out[short] = known[short](a.settings)
+        out[short] = ANALYZERS[short](run, a.settings)
     return out

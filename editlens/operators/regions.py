@@ -81,6 +81,12 @@ def near_regions(operations: DataFrame, regions: list[Region]) -> DataFrame:
     return operations.where("geometry_type = 'RELATION'").unionByName(operations.where("geometry_type != 'RELATION'").join(kept, FEATURE, "left_semi"))
 
 
+def features_near(operations: DataFrame, regions: list[Region]) -> DataFrame:
+    """(geometry_type, oid, xmin, ymin, xmax, ymax) of features whose box touches the envelope of a region."""
+    table, levels = _envelopes(operations.sparkSession, regions)
+    return near_pairs(bounding_boxes(operations), table, levels).select(*FEATURE, "xmin", "ymin", "xmax", "ymax").distinct()
+
+
 def _shares_point(shared):
     """(geometry_type, oid, geom_wkt, no) -> (region, geometry_type, oid) of those that share a point; ``shared`` has the regions."""
 

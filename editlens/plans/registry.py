@@ -275,7 +275,7 @@ def f1_tag_filter(spark, d):
 
 @query("SELECT geometry_type, oid, min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) AS ymax FROM ops WHERE lon IS NOT NULL GROUP BY 1, 2 HAVING max(lon) >= 9.5 AND min(lon) <= 12.3 AND max(lat) >= 46.4 AND min(lat) <= 49.0")
 def f2_region_envelope(spark, d):
-    return filters.bounding_boxes(event_operations(spark, d)).where("xmax >= 9.5 AND xmin <= 12.3 AND ymax >= 46.4 AND ymin <= 49.0")
+    return regions.features_near(event_operations(spark, d), [RECTANGLE])
 
 
 @query()

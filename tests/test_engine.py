@@ -400,10 +400,21 @@ def test_a_profile_from_end_to_end(spark, tmp_path):
     assert len(read_regions(spark, f"{tmp_path}/data/raster")) > 10
 
 
-def test_every_analyzer_gives_each_region_what_it_gives_it_alone(spark):
+def test_every_analyzer_gives_each_region_what_it_gives_it_alone(spark, monkeypatch):
+    from editlens.operators import analyzers, regions
     from editlens.plans.analysis import analyze
     from editlens.plans.config import Analyzer
 
+    monkeypatch.setattr(regions, "BLOCK", 40)  # each region's geometry goes to tasks by itself
+    monkeypatch.setattr(analyzers, "ANALYZERS", dict(analyzers.ANALYZERS))
+
+    @analyzers.analyzer("UsersOfTypes")
+    def users_of_types(run, settings):
+        return run.actions.groupBy(*analyzers.by_region(run.actions, "feature_type")).agg(F.count_distinct("uid").alias(settings.get("column", "users")))
+
+    with pytest.raises(ValueError):
+        analyzers.analyzer("UsersOfTypes")(users_of_types)
+
     rows = []
     for i in range(12):  # three in each overlap
         at = (i + 0.5, 0.5)
@@ -411,7 +422,7 @@ def test_every_analyzer_gives_each_region_what_it_gives_it_alone(spark):
         rows += [op("CREATE_WAY", i, "LINE", hours=i), op("ADD_TAG", i, "LINE", seq=1, hours=i, key="highway", value="path"), *(op("ADD_NODE", i, "LINE", version=v, seq=2 + p + v, hours=i + v, at=(i + 0.2 + 0.1 * p + 0.01 * v, 0.5), ref=1000 + p, pos=p) for v in (1, 2) for p in (0, 1))]
     ops = frame(spark, *rows)
     squares = [Region(f"r{n}", f"POLYGON (({a} 0, {b} 0, {b} 1, {a} 1, {a} 0))") for n, a, b in ((0, 0, 7), (1, 4, 12))]
-    names = ["OperationPerType", "ActionPerType", "ActionPerFeatureType", "UserPerAction", "UserPerOperation", "UserPerTags", "Tags", "HourOfDay", "GeometryType", "ActionDetails", "FeatureStability", "Update", "UpdateGeometry", "ChangeDetection", "BatchGeneral", "BatchContributor", "BatchUserActionType"]
+    names = ["OperationPerType", "ActionPerType", "ActionPerFeatureType", "UserPerAction", "UserPerOperation", "UserPerTags", "Tags", "HourOfDay", "GeometryType", "ActionDetails", "FeatureStability", "Update", "UpdateGeometry", "ChangeDetection", "BatchGeneral", "BatchContributor", "BatchUserActionType", "UsersOfTypes"]
     config = default_config(analyzers=tuple(Analyzer(n, {"includeOperationDetails": "true"}) for n in names))
     plain = lambda df: sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in df.collect())
     together = analyze(ops, config.with_(regions=tuple(squares)))
