@@ -760,9 +760,27 @@ crowded AS (SELECT prefix FROM above GROUP BY 1 HAVING count(*) > 10)
 SELECT geometry_type, oid, qt_path, substr(qt_path, 1, coalesce((SELECT max(length(c.prefix)) + 3 FROM crowded c WHERE starts_with(p.qt_path, c.prefix)), 0)) AS quadrant FROM paths p"""
 
 
-@query("SELECT '1' || lpad(CAST(r AS VARCHAR), 3, '0') || lpad(CAST(c AS VARCHAR), 3, '0') AS id, CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM range(23) a(r), range(9) b(c) WHERE c <= CASE WHEN r % 2 = 1 THEN 6 ELSE 7 END", operations=False)
+_HEX = "sqrt(3.0) / 2"
+_HEX_ID = "'1' || printf('%03d', r) || printf('%03d', c)"
+
+
+@query(f"""SELECT {_HEX_ID} AS id, CAST(r AS INT) AS row, CAST(c AS INT) AS col
+FROM (SELECT unnest(range(0, CAST(greatest(0, ceil((1000.0 * count(*) - 10000 * {_HEX}) / (5000 * {_HEX}))) AS BIGINT) + 1)) AS r FROM supplier) a, range(9) b(c)
+WHERE c <= CASE WHEN r % 2 = 1 THEN 6 ELSE 7 END""", operations=False)
 def hexagon_cells(spark, d):
-    return regions.hexagon_grid(spark, 0.0, 0.0, 105_000.0, 100_000.0).select("id", "row", "col")
+    """A grid as high as there are suppliers."""
+    return regions.hexagon_grid(spark, 0.0, 0.0, 105_000.0, 1000.0 * table(spark, d, "supplier").count()).select("id", "row", "col")
+
+
+@query()
+def points_by_hexagon(spark, d):
+    cells = regions.hexagon_grid(spark, 9.5, 46.4, 12.3, 49.0, 0.6).select("id", "wkt").collect()  # 35 of them
+    return regions.features_in_regions(event_operations(spark, d).where("geometry_type = 'POINT'"), default_config(), [Region(c.id, c.wkt) for c in cells])
+
+
+_SQL["points_by_hexagon"] = _with(CTE_SHAPES, f"""cells AS (SELECT {_HEX_ID} AS id, 9.5 + c * 0.9 + CASE WHEN r % 2 = 1 THEN 0.45 ELSE 0 END + 0.3 AS x, 46.4 + r * 0.3 * {_HEX} + 0.3 * {_HEX} AS y
+  FROM range(10) a(r), range(4) b(c) WHERE c <= CASE WHEN r % 2 = 1 THEN 2 ELSE 3 END)""") + f"""
+SELECT id AS region, geometry_type, oid FROM points JOIN cells ON abs(lat - y) <= 0.3 * {_HEX} + 1e-7 AND abs(lon - x) <= 0.3 - 0.15 * abs(lat - y) / (0.3 * {_HEX}) + 1e-7"""
 
 
 @query()
