@@ -57,10 +57,9 @@ def main(arguments: list[str] | None = None) -> None:
     spark = SparkSession.builder.getOrCreate()
     began = time.time()
     if args.history:
-        from ..sources.pbf import HistoryPbf
+        from ..sources.pbf import read_history
 
-        spark.dataSource.register(HistoryPbf)
-        import_operations(spark.read.format("history_pbf").load(args.history), config)
+        import_operations(read_history(spark, args.history), config)
     if args.quadtree:
         build_quadtree(spark, config)
     if args.raster:

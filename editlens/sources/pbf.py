@@ -1,8 +1,13 @@
-"""A data source for full-history PBF files: blobs are found once and decoded by as many tasks.
+"""A data source for full-history PBF files, read by tasks of some 64 MB that find the borders of blobs themselves.
 
-``spark.dataSource.register(HistoryPbf)``, then ``spark.read.format("history_pbf").load(path)`` gives element versions.
-The wire format is read directly; only the public layout of blocks is assumed (headers, dense and plain nodes, ways,
-relations). Elements without information are left out, invisible nodes have no coordinate."""
+``read_history(spark, path)`` gives element versions, of the asked element types and times only: elements of other types
+aren't decoded. It is short for ``spark.dataSource.register(HistoryPbf)`` and ``spark.read.format("history_pbf")`` with the options
+``elementTypes``, ``since`` and ``until``. Types and times are options, not filters that Spark pushes, because Spark 4.1 reads with what it
+pushed for one query of a DataFrame in the next one as well. Planning reads the file's size and first blob only.
+
+The wire format is read directly; only the public layout of blocks is assumed (headers whose type comes first, dense and
+plain nodes, ways, relations). Elements without information are left out, invisible nodes have no coordinate. What stands
+between two blobs and is no blob ends the job, as does a blob that is cut off."""
 
 from __future__ import annotations
 
@@ -10,11 +15,18 @@ import struct
 import zlib
 from datetime import datetime, timezone
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..plans.schema import ELEMENT_VERSIONS
 
 SUPPORTED = {"OsmSchema-V0.6", "DenseNodes", "HistoricalInformation"}
+PARTITION_BYTES = 64 << 20
+#: How a blob's header begins, by its type, and the greatest lengths of headers and blobs that the format allows.
+HEADERS = {"OSMData": b"\x0a\x07OSMData", "OSMHeader": b"\x0a\x09OSMHeader"}
+MOST_HEADER, MOST_BLOB = 64 << 10, 32 << 20
+_LOOK = 1 << 20
+_FOLLOWING = 3
 
 
 def fields(data: bytes):
@@ -72,15 +84,62 @@ def running(values: list[int]) -> list[int]:
     return out
 
 
-def blob_index(read, size: int):
-    """(type, offset, length) of each blob of a file; ``read(offset, length)`` gives bytes."""
-    at = 0
-    while at < size:
+def blob_at(read, size: int, at: int):
+    """(type, offset, length) of the blob whose header's length stands at ``at``; ``read(offset, length)`` gives bytes."""
+    try:
         head = struct.unpack(">I", read(at, 4))[0]
+        if not 0 < head <= MOST_HEADER:
+            raise ValueError
         found = dict(fields(read(at + 4, head)))
-        at += 4 + head
-        yield found[1].decode(), at, found[3]
-        at += found[3]
+        kind, offset, length = found[1].decode(), at + 4 + head, found[3]
+        if not 0 <= length <= MOST_BLOB or offset + length > size:
+            raise ValueError
+    except (struct.error, ValueError, LookupError, AttributeError, TypeError) as e:
+        raise ValueError(f"no whole blob at byte {at}") from e
+    return kind, offset, length
+
+
+def _is_border(read, size: int, at: int) -> bool:
+    """Whether a blob begins at ``at``: it and the ones that follow (up to three) must be whole, and the last end with the file."""
+    for _ in range(_FOLLOWING + 1):
+        if at == size:
+            return True
+        try:
+            kind, offset, length = blob_at(read, size, at)
+        except ValueError:
+            return False
+        if kind not in HEADERS:
+            return False
+        at = offset + length
+    return True
+
+
+def first_border(read, size: int, start: int, end: int) -> int | None:
+    """The first place in [start, end) where a blob begins, or None."""
+    if start == 0:
+        return 0 if size else None
+    longest = 4 + max(map(len, HEADERS.values()))
+    for at in range(start, end, _LOOK):
+        window = read(at, min(_LOOK, end - at) + longest)
+        places = []
+        for sign in HEADERS.values():
+            found = window.find(sign, 4)
+            while found >= 0:
+                places.append(at + found - 4)
+                found = window.find(sign, found + 1)
+        for place in sorted(places):
+            if place < end and _is_border(read, size, place):
+                return place
+    return None
+
+
+def blobs(read, size: int, start: int, end: int):
+    """(type, offset, length) of the blobs that begin in [start, end)."""
+    at = first_border(read, size, start, end)
+    while at is not None and at < min(end, size):
+        kind, offset, length = blob_at(read, size, at)
+        yield kind, offset, length
+        at = offset + length
 
 
 def unpack(blob: bytes) -> bytes:
@@ -98,8 +157,11 @@ def check_header(block: bytes) -> None:
         raise ValueError(f"required features aren't supported: {sorted(unknown)}")
 
 
-def versions(block: bytes):
-    """Rows of ELEMENT_VERSIONS of a data block."""
+_KINDS = {1: "NODE", 2: "NODE", 3: "WAY", 4: "RELATION"}
+
+
+def versions(block: bytes, kinds: frozenset = frozenset(_KINDS.values())):
+    """Rows of ELEMENT_VERSIONS of a data block; elements of other types than ``kinds`` aren't decoded."""
     strings, groups, step, lat0, lon0, date_step = [], [], 100, 0, 0, 1000
     for k, v in fields(block):
         if k == 1:
@@ -130,11 +192,11 @@ def versions(block: bytes):
 
     for group in groups:
         for k, v in fields(group):
+            if _KINDS.get(k) not in kinds:
+                continue
             if k == 2:
                 yield from _dense(v, strings, when, lambda y: place(lat0, y), lambda x: place(lon0, x))
                 continue
-            if k not in (1, 3, 4):
-                continue
             f, tags = plain(v)
             if 4 not in f:
                 continue
@@ -169,9 +231,9 @@ def _dense(data: bytes, strings, when, lat, lon):
         yield ("NODE", ids[n], version[n], uid[n], strings[name[n]], when(ts[n]), changeset[n], visible[n], own, lon(xs[n]) if visible[n] else None, lat(ys[n]) if visible[n] else None, None, None)
 
 
-class Blob(InputPartition):
-    def __init__(self, path: str, offset: int, length: int):
-        super().__init__((path, offset, length))
+class Range(InputPartition):
+    def __init__(self, start: int, end: int):
+        super().__init__((start, end))
 
 
 def opened(path: str):
@@ -183,34 +245,46 @@ def opened(path: str):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, partition_bytes: int, kinds: frozenset, since: datetime, until: datetime):
+        self.path, self.partition_bytes, self.kinds, self.since, self.until = path, partition_bytes, kinds, since, until
+
+    def _reading(self, f):
+        def read(at, n):
+            f.seek(at)
+            return f.read(n)
+
+        return read, f.size()
 
     def partitions(self):
-        out = []
         with opened(self.path) as f:
-            size = f.size()
-
-            def read(at, n):
-                f.seek(at)
-                return f.read(n)
+            read, size = self._reading(f)
+            if size:
+                self._check(read, *blob_at(read, size, 0))
+        return [Range(at, min(at + self.partition_bytes, size)) for at in range(0, size, self.partition_bytes)] or [Range(0, 0)]
 
-            for kind, at, n in blob_index(read, size):
-                if kind == "OSMHeader":
-                    check_header(unpack(read(at, n)))
-                elif kind == "OSMData":
-                    out.append(Blob(self.path, at, n))
-        return out
+    def _check(self, read, kind, at, n):
+        if kind == "OSMHeader":
+            check_header(unpack(read(at, n)))
 
     def read(self, partition):
-        path, at, n = partition.value
-        with opened(path) as f:
-            f.seek(at)
-            yield from versions(unpack(f.read(n)))
+        with opened(self.path) as f:
+            read, size = self._reading(f)
+            for kind, at, n in blobs(read, size, *partition.value):
+                self._check(read, kind, at, n)
+                if kind == "OSMData":
+                    for row in versions(unpack(read(at, n)), self.kinds):
+                        if self.since <= row[5] <= self.until:
+                            yield row
+
+
+def _time(text: str) -> datetime:
+    time = datetime.fromisoformat(text)
+    return time if time.tzinfo else time.replace(tzinfo=timezone.utc)
 
 
 class HistoryPbf(DataSource):
-    """A file in storage that all executors reach; each blob of about 8,000 elements is a task."""
+    """A file in storage that all executors reach; ``partitionBytes`` of it are a task. ``elementTypes`` are names with commas
+    between, ``since`` and ``until`` the earliest and latest time (ISO 8601, without a zone in UTC) of the versions that are read."""
 
     @classmethod
     def name(cls) -> str:
@@ -220,4 +294,19 @@ class HistoryPbf(DataSource):
         return ELEMENT_VERSIONS
 
     def reader(self, schema):
-        return _Reader(self.options["path"])
+        every = frozenset(_KINDS.values())
+        kinds = frozenset(k.strip().upper() for k in self.options["elementTypes"].split(",")) if "elementTypes" in self.options else every
+        if kinds - every:
+            raise ValueError(f"unknown element types: {sorted(kinds - every)}")
+        size = int(self.options.get("partitionBytes", PARTITION_BYTES))
+        if size < 1:
+            raise ValueError("partitionBytes must be positive")
+        since, until = (_time(self.options[k]) if k in self.options else end.replace(tzinfo=timezone.utc) for k, end in (("since", datetime.min), ("until", datetime.max)))
+        return _Reader(self.options["path"], size, kinds, since, until)
+
+
+def read_history(spark: SparkSession, path: str, element_types: tuple[str, ...] = (), since: datetime | None = None, until: datetime | None = None, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """Element versions of a full-history file: of some types, or of all if none is named, from ``since`` to ``until`` inclusive."""
+    spark.dataSource.register(HistoryPbf)
+    options = {"elementTypes": ",".join(element_types) or None, "since": since and since.isoformat(), "until": until and until.isoformat()}
+    return spark.read.format("history_pbf").options(partitionBytes=partition_bytes, **{k: v for k, v in options.items() if v}).load(path)

@@ -519,6 +519,52 @@ def pbf_field(n, v):
     return varint(n << 3 | 2) + varint(len(v)) + v
 
 
+def pbf_blob(kind, raw, packed=True):
+    blob = pbf_field(2, len(raw)) + pbf_field(3, zlib.compress(raw)) if packed else pbf_field(1, raw)
+    head = pbf_field(1, kind) + pbf_field(3, len(blob))
+    return struct.pack(">I", len(head)) + head + blob
+
+
+def pbf_ways(ids, name=b"bob"):
+    """A block of ways, each made a second after the one before; its nodes can't be decoded."""
+    zz = lambda x: (x << 1) ^ (x >> 63)
+    ways = b"".join(pbf_field(3, pbf_field(1, i) + pbf_field(4, pbf_field(1, 1) + pbf_field(2, i) + pbf_field(3, 9) + pbf_field(4, 3) + pbf_field(5, 1)) + pbf_field(8, [zz(5)])) for i in ids)
+    return pbf_field(1, b"".join(pbf_field(1, s) for s in (b"", name))) + pbf_field(2, pbf_field(2, b"\xff")) + pbf_field(2, ways)
+
+
+def test_tasks_of_a_pbf_file_find_blobs_themselves(spark, tmp_path):
+    from editlens.sources.pbf import blobs, read_history
+
+    header = pbf_blob(b"OSMHeader", pbf_field(4, b"DenseNodes"))
+    lure = struct.pack(">I", 11) + b"\x0a\x07OSMData\x18\x05" + b"12345"  # a text within a block that looks like a blob
+    parts = [header] + [pbf_blob(b"OSMData", pbf_ways(range(n * 50, n * 50 + 50), lure if n % 2 else b"bob"), n % 3 > 0) for n in range(9)] + [header]
+    file = b"".join(parts)
+    ends = np.cumsum([len(p) for p in parts]).tolist()
+    want = list(zip([0, *ends[:-1]], ends))
+    read = lambda at, n: file[at : at + n]
+    for size in (7, 64, 1000, len(file)):
+        got = [b for at in range(0, len(file), size) for b in blobs(read, len(file), at, min(at + size, len(file)))]
+        assert [(at, at + n) for _, at, n in got] == [(end - n, end) for (_, end), (_, _, n) in zip(want, got)] and len(got) == len(parts)
+    path = str(tmp_path / "y.osh.pbf")
+    (tmp_path / "y.osh.pbf").write_bytes(file)
+    cut = dt.datetime.fromtimestamp(99, dt.timezone.utc)
+    ways = read_history(spark, path, ("WAY",), until=cut, partition_bytes=500)
+    assert sorted(r.id for r in ways.where("uid = 3").collect()) == list(range(100))  # nodes would have failed
+    assert read_history(spark, path, ("way", "relation"), since=cut).count() == 9 * 50 - 99
+    assert read_history(spark, path, ("RELATION",)).count() == 0 and ways.count() == 100
+    with pytest.raises(Exception, match="IndexError"):
+        read_history(spark, path).collect()
+    assert ways.rdd.getNumPartitions() == -(-len(file) // 500)
+    with pytest.raises(Exception, match="unknown element types"):
+        read_history(spark, path, ("AREA",)).collect()
+    cut_off = tmp_path / "z.osh.pbf"
+    cut_off.write_bytes(file[:-3])
+    with pytest.raises(Exception, match="no whole blob"):
+        read_history(spark, str(cut_off), ("WAY",)).collect()
+    (tmp_path / "e.osh.pbf").write_bytes(b"")
+    assert read_history(spark, str(tmp_path / "e.osh.pbf")).count() == 0
+
+
 def test_pbf_source(spark, tmp_path):
     from editlens.sources.pbf import HistoryPbf
 
@@ -531,9 +577,7 @@ def test_pbf_source(spark, tmp_path):
     block = pbf_field(1, strings) + pbf_field(2, pbf_field(2, dense)) + pbf_field(2, pbf_field(3, way) + pbf_field(4, rel))
     out = b""
     for kind, raw in ((b"OSMHeader", pbf_field(4, b"DenseNodes")), (b"OSMData", block)):
-        blob = pbf_field(2, len(raw)) + pbf_field(3, zlib.compress(raw))
-        head = pbf_field(1, kind) + pbf_field(3, len(blob))
-        out += struct.pack(">I", len(head)) + head + blob
+        out += pbf_blob(kind, raw)
     (tmp_path / "x.osh.pbf").write_bytes(out)
     spark.dataSource.register(HistoryPbf)
     got = {(r.element_type, r.id, r.version): r for r in spark.read.format("history_pbf").load(str(tmp_path / "x.osh.pbf")).collect()}
