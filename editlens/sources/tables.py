@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import number_text
 from ..plans.config import AnalysisConfig, Region
 from ..plans.schema import OPERATION_COLUMNS, OPERATIONS, lookup
+from .one_file import BOUNDS, write_one_file
 
 OPERATIONS_PER_FILE = 500_000
 
@@ -113,58 +115,66 @@ FILES = {
 _TAG_FILES = {"OP_ADD_TAG": "added_tag_per_key.csv", "OP_MODIFY_TAG_VALUE": "modified_tag_per_key.csv", "OP_REMOVE_TAG": "removed_tag_per_key.csv"}
 
 
-def write_csv(rows: DataFrame, path: str, **how) -> None:
-    """A folder of text files; the header stands in the first only."""
-    csv_lines(rows, **how).write.mode("overwrite").text(path)
+def write_csv(rows: DataFrame, path: str, as_folder: bool = False, header: list[str] | None = None, trailing: bool = True, **how) -> None:
+    """One file, with a header if there is one; ``as_folder`` leaves a folder of what tasks write, the header in the first file only."""
+    if as_folder:
+        csv_lines(rows, header=header, trailing=trailing, **how).write.mode("overwrite").text(path)
+        return
+    lines = csv_lines(rows, trailing=trailing, **how)
+    write_one_file(lines.select(F.concat("value", F.lit("\n")).alias("value")), path, before="" if header is None else ";".join(header) + (";\n" if trailing else "\n"))
 
 
-def write_results(results: dict[str, DataFrame], folder: str, config: AnalysisConfig) -> dict[str, float]:
-    """Each analyzer's file; milliseconds that each took."""
+def write_results(results: dict[str, DataFrame], folder: str, config: AnalysisConfig, as_folders: bool = False) -> dict[str, float]:
+    """Each analyzer's file (folders if asked for); milliseconds that each took."""
+    write = partial(write_csv, as_folder=as_folders)
     took = {}
     for name, rows in results.items():
         began = time.time()
         if name == "UserPerTags":
             for kind, file in _TAG_FILES.items():
-                write_csv(rows.where(F.col("operation_type") == kind).drop("operation_type"), f"{folder}/{file}", header=["uid", "tag_key", "count(n)", "count(w)", "count(r)"], trailing=False)
+                write(rows.where(F.col("operation_type") == kind).drop("operation_type"), f"{folder}/{file}", header=["uid", "tag_key", "count(n)", "count(w)", "count(r)"], trailing=False)
         elif name == "ActionDetails":
             place = F.when(F.col("lon").isNotNull(), F.format_string("(%s, %s, NaN)", F.col("lon").cast("string"), F.col("lat").cast("string")))
             rows = rows.withColumn("coordinate", place).drop("lon", "lat")
             header = FILES[name][1]
-            write_csv(rows, f"{folder}/{FILES[name][0]}", columns=["action_id", "oid", "geometry_type", "feature_type", "action_type", "operation_type", "uid", "version", "ts", "changeset", "coordinate", "key", "value", "ref_id", "position"], header=header, quoted=tuple(header[-5:]))
+            write(rows, f"{folder}/{FILES[name][0]}", columns=["action_id", "oid", "geometry_type", "feature_type", "action_type", "operation_type", "uid", "version", "ts", "changeset", "coordinate", "key", "value", "ref_id", "position"], header=header, quoted=tuple(header[-5:]))
         elif name == "ChangeDetection":
             for kind in ("building", "buildingPoint", "street"):
-                write_csv(rows.where(F.col("feature_type") == kind), f"{folder}/change_detection_{kind}.csv", header=rows.columns, trailing=False)
+                write(rows.where(F.col("feature_type") == kind), f"{folder}/change_detection_{kind}.csv", header=rows.columns, trailing=False)
         else:
             file, header, trailing, decimals, null = FILES[name]
             if "region" not in rows.columns and name.startswith("Batch"):
                 rows = rows.select(F.lit("").alias("region"), *rows.columns)
-            write_csv(rows, f"{folder}/{file}", header=header or rows.columns, trailing=trailing, decimals=tuple(rows.columns[2:]) if decimals == "rest" else decimals, null=null)
+            write(rows, f"{folder}/{file}", header=header or rows.columns, trailing=trailing, decimals=tuple(rows.columns[2:]) if decimals == "rest" else decimals, null=null)
         took[name] = (time.time() - began) * 1000
     return took
 
 
 def geojson_features(features: DataFrame, properties: list[str]) -> DataFrame:
-    """(value): a GeoJSON feature on each line, of features that aren't deleted; seven decimals."""
+    """(value, west, south, east, north): a GeoJSON feature on each line and its bounds, of features that aren't deleted; seven decimals."""
     kind = F.regexp_extract("geom_wkt", "^([A-Z]+)", 1)
     numbers = F.regexp_replace(F.regexp_replace(F.regexp_extract("geom_wkt", r"^[A-Z]+ (.*)$", 1), r"(-?\d+\.\d+) (-?\d+\.\d+)", "[$1,$2]"), ", ", ",")
     flat = F.regexp_replace(numbers, "[()]", "")
     coordinates = F.when(kind == "POINT", flat).when(kind == "LINESTRING", F.concat(F.lit("["), flat, F.lit("]"))).otherwise(F.translate(numbers, "()", "[]"))
     name = F.when(kind == "POINT", "Point").when(kind == "LINESTRING", "LineString").otherwise("Polygon")
     line = F.concat(F.lit('{"type":"Feature","geometry":{"type":"'), name, F.lit('","coordinates":'), coordinates, F.lit('},"properties":'), F.to_json(F.struct(*properties)), F.lit("}"))
-    return features.where("NOT deleted").select(line.alias("value"))
+    place = lambda n: F.transform(F.regexp_extract_all("geom_wkt", F.lit(r"(-?[\d.]+) (-?[\d.]+)"), F.lit(n)), lambda x: x.cast("double"))
+    ends = (end(place(n)).alias(b) for b, end, n in zip(BOUNDS, (F.array_min, F.array_min, F.array_max, F.array_max), (1, 2, 1, 2)))
+    return features.where("NOT deleted").select(line.alias("value"), *ends)
 
 
 def write_geojson(features: DataFrame, properties: list[str], path: str) -> None:
-    geojson_features(features, properties).write.mode("overwrite").text(path)
+    """A folder of files with a feature on each line."""
+    geojson_features(features, properties).select("value").write.mode("overwrite").text(path)
 
 
-def feature_collection(features: DataFrame, properties: list[str]) -> str:
-    """One document with bounds; for results that fit into the driver."""
-    lines = [r[0] for r in geojson_features(features, properties).collect()]
-    return '{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"EPSG:4326"}},"features":[' + ",".join(lines) + "]}"
+def write_feature_collection(features: DataFrame, properties: list[str], path: str) -> None:
+    """One document with bounds (null if it has no feature), in one file."""
+    before = '{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"EPSG:4326"}},"bbox":{bounds},"features":[\n'
+    write_one_file(geojson_features(features, properties), path, before, ",\n", "\n]}\n")
 
 
 def write_metadata(spark: SparkSession, config: AnalysisConfig, took: dict[str, float], path: str) -> None:
     """Settings and times as one JSON line."""
     said = {"setting": config.name, "folder": config.data_folder, "filter_timestamp": str(config.filter_timestamp), "start": str(config.start), "end": str(config.end), "resolution": config.temporal_resolution, "gap_ms": config.action_gap_ms, "feature_types": [t.name for t in config.feature_types], "analyzers": {a.name: a.settings for a in config.analyzers}, "milliseconds": took, "total_milliseconds": sum(took.values())}
-    spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    write_one_file(spark.createDataFrame([(json.dumps(said),)], "value string"), path, after="\n")

@@ -476,7 +476,7 @@ def test_analysis_to_files(spark, tmp_path):
     from editlens.plans.analysis import analyze, import_history
     from editlens.plans.config import Analyzer
     from editlens.plans.schema import ELEMENT_VERSIONS
-    from editlens.sources.tables import feature_collection, read_regions, write_metadata, write_results
+    from editlens.sources.tables import read_regions, write_feature_collection, write_metadata, write_results
 
     v = lambda kind, i, n, **k: (kind, i, n, 1, "u", T0 + dt.timedelta(hours=n), n, True, k.get("tags", {}), *k.get("at", (None, None)), k.get("nodes"), k.get("members"))
     rows = [v("NODE", 1, 1, at=(13.0, 47.0), tags={"amenity": "cafe"}), v("NODE", 2, 1, at=(13.01, 47.0)), v("WAY", 3, 2, nodes=[1, 2], tags={"highway": "track"}), v("NODE", 2, 40, at=(13.02, 47.0)), v("RELATION", 4, 1, members=[("WAY", 3, "outer")], tags={"building": "yes"})]
@@ -493,7 +493,11 @@ def test_analysis_to_files(spark, tmp_path):
     lines = [r[0] for r in spark.read.text(str(tmp_path / "out" / "user_per_action.csv")).collect()]
     assert any(x.split(";")[2:].count("1.0") for x in lines)
     features = fold.assembled_features(ops, config)
-    doc = json.loads(feature_collection(features, ["oid", "feature_type"]))
+    write_feature_collection(features, ["oid", "feature_type"], str(tmp_path / "geom.json"))
+    doc = json.loads((tmp_path / "geom.json").read_text())
+    assert doc["bbox"] == [13.0, 47.0, 13.02, 47.0]
+    assert (tmp_path / "out" / "action_per_type.csv").read_text().startswith("action_type;time_period;count;\n")
+    assert json.loads((tmp_path / "out" / "metadata").read_text())["setting"] == config.name
     assert {f["geometry"]["type"] for f in doc["features"]} == {"Point", "LineString"}
     street = fold.with_export_columns(features, config.feature_type("street")).first()
     assert street.highway == "track" and 1400 < street.length < 1700
@@ -503,6 +507,28 @@ def test_analysis_to_files(spark, tmp_path):
     assert {r.region for r in analyze(ops, west)["BatchGeneral"].collect()} == {"w"}
 
 
+def test_one_file_of_many_parts(spark, tmp_path):
+    from editlens.sources.one_file import write_one_file
+    from editlens.sources.tables import write_csv
+
+    path = tmp_path / "x.csv"
+    write_csv(spark.range(0, 10_000, 1, 7).withColumn("name", F.concat(F.lit("ü"), "id")), str(path), header=["id", "name"])
+    assert path.read_text() == "id;name;\n" + "".join(f"{i};ü{i};\n" for i in range(10_000))
+    rows = spark.range(0, 100, 1, 9).where("id % 17 = 3").select(F.when(F.col("id") != 20, F.col("id").cast("string")).alias("value"), F.col("id").cast("double").alias("west"), F.lit(1.0).alias("south"), F.col("id").cast("double").alias("east"), F.lit(2.0).alias("north"))
+    write_one_file(rows, f"file://{path}", "{bounds}[", ",", "]")  # in its place; most parts are empty
+    assert path.read_text() == "[3.0, 1.0, 88.0, 2.0][3,37,54,71,88]"
+    write_one_file(rows.where("false"), str(path), "{bounds}[", ",", "]")
+    assert path.read_text() == "null[]"
+    for how in (lambda: write_one_file(rows, str(path), overwrite=False), lambda: write_one_file(rows.select(F.raise_error(F.lit("broken")).cast("string").alias("value")), str(path))):
+        with pytest.raises(Exception, match="exists|broken"):
+            how()
+    assert path.read_text() == "null[]" and [p.name for p in tmp_path.iterdir()] == ["x.csv"]
+    write_csv(rows, str(tmp_path / "folder"), as_folder=True)
+    assert (tmp_path / "folder").is_dir()
+    write_csv(rows.select("value"), str(tmp_path / "folder"), trailing=False)
+    assert (tmp_path / "folder").read_text() == "3\n\n37\n54\n71\n88\n"
+
+
 def pbf_field(n, v):
     def varint(x):
         x &= (1 << 64) - 1
