@@ -507,6 +507,47 @@ def test_analysis_to_files(spark, tmp_path):
     assert {r.region for r in analyze(ops, west)["BatchGeneral"].collect()} == {"w"}
 
 
+def test_a_store_is_rewritten_in_part(spark, tmp_path):
+    from editlens.sources.store import OperationStore
+
+    path = str(tmp_path / "store")
+    made = spark.range(20_000).selectExpr("IF(id % 4 = 0, 'LINE', 'POINT') AS geometry_type", "IF(id % 3 = 0, 7, id) AS oid", "CAST(id AS INT) AS version", "0 AS seq", "'OP_ADD_TAG' AS operation_type", "1 AS uid", "timestamp_seconds(id) AS ts", "id AS changeset", "CAST(NULL AS DOUBLE) AS lon", "CAST(NULL AS DOUBLE) AS lat", "'k' AS key", "'v' AS value", "-1L AS ref_id", "-1 AS position", "'x' AS no")
+    held = lambda rows: {(r.geometry_type, r.oid, r.version, r.value) for r in rows.collect()}
+    want = held(made)
+    s = OperationStore(spark, path)
+    s.create(made, per_range=500)
+    assert held(s.read()) == want and s.read().columns == OPERATION_COLUMNS
+    folders = set(s._manifest()[2].folders())
+    assert 20 <= len(folders) <= 45  # the feature with a third of all rows is in one range
+    assert held(s.read(("LINE",), 100, 900)) == {w for w in want if w[0] == "LINE" and 100 <= w[1] <= 900}
+    wanted = spark.createDataFrame([("LINE", 7), ("POINT", 19_999), ("POINT", None), ("AREA", 3), ("POINT", 10**15)], "geometry_type string, oid long")
+    rows = s.read_features(wanted)
+    assert held(rows) == {w for w in want if w[:2] in (("LINE", 7), ("POINT", 19_999))} and len({f.rsplit("/", 1)[0] for f in rows.inputFiles()}) <= 3
+    before = s.read()
+    fresh = made.where("geometry_type = 'POINT' AND oid BETWEEN 5000 AND 5200 AND version < 5190").withColumn("value", F.lit("new"))
+    replaced = {(w[0], w[1]) for w in held(fresh)}
+    n = s.replace(fresh)
+    want2 = {w for w in want if w[:2] not in replaced} | held(fresh)
+    assert held(s.read()) == want2 and n <= 2 and len(folders - set(s._manifest()[2].folders())) == n
+    assert held(before) == want == held(s.read(version=1))
+    new = made.where("oid > 19000").withColumn("oid", F.col("oid") + 10_000).withColumn("geometry_type", F.lit("RELATION")).unionByName(made.where("geometry_type = 'POINT'").withColumn("oid", F.col("oid") + 20_000))
+    s.replace(new)  # a type that wasn't there, and a last range that is split
+    assert held(s.read()) == want2 | held(new) and len(s._manifest()[2].folders()) > len(folders) + 15
+    gone = s.read().where("oid >= 20000").select("geometry_type", "oid")
+    s.remove(gone)
+    assert held(s.read()) == want2 and s.remove(wanted.where("oid IS NULL")) == 0
+    assert s.vacuum(1) > 0 and held(s.read()) == want2 and s._versions() == [4] and s.vacuum(1) == 0
+    with pytest.raises(ValueError):
+        s.replace(made.limit(5).withColumn("oid", F.lit(None).cast("long")))
+    with pytest.raises(FileExistsError):
+        s.create(made)
+    empty = OperationStore(spark, str(tmp_path / "empty"))
+    with pytest.raises(FileNotFoundError):
+        empty.read()
+    empty.create(made.where("false"))
+    assert empty.read().count() == 0 and empty.replace(fresh) == 1 and held(empty.read()) == held(fresh)
+
+
 def test_one_file_of_many_parts(spark, tmp_path):
     from editlens.sources.one_file import write_one_file
     from editlens.sources.tables import write_csv
