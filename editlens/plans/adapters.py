@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.actions import sessions
 from .schema import HIERARCHY, OPERATION_COLUMNS
 
-#: events as operations; {json} reads the key k of props.
+#: events as operations; {json} reads the key k of props. Five users edit fifteen features, so there are more of them with more users.
 EVENT_OPERATIONS = """
 SELECT CASE oid % 3 WHEN 0 THEN 'POINT' WHEN 1 THEN 'LINE' ELSE 'RELATION' END AS geometry_type,
   oid, CAST(version AS INT) AS version, CAST(0 AS INT) AS seq,
@@ -26,8 +26,8 @@ SELECT CASE oid % 3 WHEN 0 THEN 'POINT' WHEN 1 THEN 'LINE' ELSE 'RELATION' END A
   CASE WHEN version > 1 AND event_type IN ('click', 'view') THEN concat('v', CAST(k % 7 AS STRING)) ELSE '' END AS value,
   CASE WHEN version > 1 AND oid % 3 > 0 AND event_type IN ('signup', 'purchase') THEN k ELSE CAST(-1 AS BIGINT) END AS ref_id,
   CAST(CASE WHEN version > 1 AND oid % 3 > 0 AND event_type IN ('signup', 'purchase') THEN 0 ELSE -1 END AS INT) AS position
-FROM (SELECT event_id, ts, event_type, CAST({json} AS BIGINT) AS k, event_id % 40 AS oid, user_id % 5 AS uid,
-  row_number() OVER (PARTITION BY event_id % 40 ORDER BY ts, event_id) AS version FROM {events}) e
+FROM (SELECT event_id, ts, event_type, CAST({json} AS BIGINT) AS k, (user_id - user_id % 5) * 3 + event_id % 15 AS oid, user_id % 5 AS uid,
+  row_number() OVER (PARTITION BY (user_id - user_id % 5) * 3 + event_id % 15 ORDER BY ts, event_id) AS version FROM {events}) e
 """
 
 #: lineitem and orders as versions of ways: nodes of a version are parts in line order.
@@ -136,7 +136,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OPERATIONS from events (40 features, whatever the size: their histories grow)."""
+    """OPERATIONS from events: fifteen features of every five users."""
     sql = EVENT_OPERATIONS.replace("{json}", "get_json_object(props, '$.k')")
     return spark.sql(sql, events=table(spark, sf_dir, "events")).select(*OPERATION_COLUMNS)
 
