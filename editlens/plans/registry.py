@@ -600,6 +600,21 @@ def d4_way_reorders(spark, d):
     return version_diff(way_versions(spark, d)).where("operation_type = 'OP_REORDER_NODE'").select("oid", "version", "operation_type", "ref_id", "position")
 
 
+#: The same of members: where one stands more often in the new list, its last places are the added ones, and roles change with versions.
+CTE_MEMBERS = f"""{CTE_PLACES.split("listed AS (")[0].rstrip().rstrip(",")}, first AS (SELECT id, min(version) AS v1 FROM w GROUP BY 1),
+listed AS (SELECT id AS oid, version, 'OP_ADD_MEMBER' AS operation_type, ref AS ref_id, CAST(position AS INT) AS position, CASE ref % 3 WHEN 0 THEN 'n' WHEN 1 THEN 'w' ELSE 'r' END AS key, concat('r', CAST(version AS STRING)) AS value FROM r WHERE versions = 1 OR version = 1 OR k > a
+  UNION ALL SELECT id, 2, 'OP_REMOVE_MEMBER', 0, CAST(position AS INT), '', '' FROM r WHERE versions = 2 AND version = 1 AND k <= a - b
+  UNION ALL SELECT id, 2, 'OP_MODIFY_ROLE', -1, CAST(position AS INT), '', 'r2' FROM r WHERE versions = 2 AND version = 2 AND k <= a
+  UNION ALL SELECT id, v1, 'OP_CREATE_RELATION', -1, -1, '', '' FROM first
+  UNION ALL SELECT w.id, w.version, 'OP_ADD_TAG', -1, -1, 'status', status FROM w JOIN first ON w.id = first.id AND w.version = first.v1 UNION ALL SELECT id, version, 'OP_ADD_TAG', -1, -1, 'priority', priority FROM w WHERE version = 2)"""
+CTE_MEMBER_MOVES = CTE_MOVES.replace("k > b - a", "k <= a").replace("x.k > x.b - x.a", "x.k <= x.a").replace("OP_REORDER_NODE", "OP_REORDER_MEMBER")
+
+
+@query(f"WITH RECURSIVE {CTE_MEMBERS}, {CTE_MEMBER_MOVES} SELECT * FROM listed UNION ALL SELECT *, '' AS key, '' AS value FROM moves", operations=False)
+def d5_member_operations(spark, d):
+    return version_diff(relation_versions(spark, d)).select("oid", "version", "operation_type", "ref_id", "position", "key", "value")
+
+
 @query("SELECT geometry_type, oid, uid, session, count(*) AS n FROM s GROUP BY 1, 2, 3, 4", actions=True)
 def sessions_by_gap(spark, d):
     return sessions(event_operations(spark, d), 43_200_000).groupBy("geometry_type", "oid", "uid", "session").agg(F.count("*").alias("n"))
