@@ -153,9 +153,18 @@ class Rules:
             ops = [op for op in ops if HIERARCHY.get(op["operation_type"], 0) not in d[4]]
 
 
-def feature_actions(ops: list[dict], config: AnalysisConfig, rules: Rules):
-    """(feature type, action name, action type, operations, WKT, deleted) of one feature's operations in canonical order."""
-    state, folded, tags, before = FeatureState(), 0, {}, []
+class Past:
+    """What actions depend on of a feature's earlier operations."""
+
+    def __init__(self):
+        self.state, self.tags, self.types = FeatureState(), {}, []
+
+
+def feature_actions(ops: list[dict], config: AnalysisConfig, rules: Rules, past: Past | None = None):
+    """(feature type, action name, action type, operations, WKT, deleted) of one feature's operations in canonical order, which
+    follow on ``past``; that is brought up to date."""
+    past = past or Past()
+    state, folded, tags = past.state, 0, past.tags
     for group, seen in edit_groups(ops, config.action_gap_ms * 1000):
         while folded < seen:
             state.apply(ops[folded])
@@ -169,7 +178,7 @@ def feature_actions(ops: list[dict], config: AnalysisConfig, rules: Rules):
                 tags.pop(op["key"], None)
         now = [t for t in config.feature_types if type_matches(t, tags)]
         ordered = sorted(group, key=lambda op: -HIERARCHY.get(op["operation_type"], 0))
-        due = [(t, "DELETE") for t in before if t not in now] + [(t, "UPDATE" if t in before else "CREATE") for t in now]
+        due = [(t, "DELETE") for t in past.types if t not in now] + [(t, "UPDATE" if t in past.types else "CREATE") for t in now]
         shapes = state.shapes() if due else {}
         for t, kind in due:
             if t.geometry not in shapes:
@@ -179,7 +188,9 @@ def feature_actions(ops: list[dict], config: AnalysisConfig, rules: Rules):
                 own = [op for op in own if not op["operation_type"].endswith(("_TAG", "_TAG_VALUE")) or op["key"] in t.properties]
             for name, action_type, taken in rules.actions(own, kind):
                 yield t.name, name, action_type, taken, shape_wkt(t.geometry, shapes[t.geometry]), state.deleted
-        before = now
+        past.types = now
+    for op in ops[folded:]:
+        state.apply(op)
 
 
 _OP_TYPES = {"geometry_type": pa.string(), "oid": pa.int64(), "version": pa.int32(), "seq": pa.int32(), "operation_type": pa.string(), "uid": pa.int32(), "us": pa.int64(), "changeset": pa.int64(), "lon": pa.float64(), "lat": pa.float64(), "key": pa.string(), "value": pa.string(), "ref_id": pa.int64(), "position": pa.int32()}
@@ -210,7 +221,11 @@ def generate_actions(operations: DataFrame, config: AnalysisConfig) -> DataFrame
     typed = F.col("operation_type").isin(*TAG_SET) & F.col("key").isin(*keys)
     rows = by_feature(operations.where("geometry_type != 'RELATION'").withColumn("ts", F.col("ts").cast("timestamp")), only=typed)
     rows = rows.withColumn("ts", F.unix_micros("ts")).withColumnRenamed("ts", "us").withColumn("uid", F.col("uid").cast("int")).withColumn("version", F.col("version").cast("int")).withColumn("seq", F.col("seq").cast("int")).withColumn("position", F.col("position").cast("int"))
-    made = rows.mapInArrow(run, _DDL)
+    return named_actions(rows.mapInArrow(run, _DDL))
+
+
+def named_actions(made: DataFrame) -> DataFrame:
+    """ACTIONS of rows whose operations have their times in microseconds."""
     timed = F.transform("operations", lambda o: F.struct(*((F.timestamp_micros(o["us"]) if c == "ts" else o[c]).alias(c) for c in OPERATION_COLUMNS)))
     first = lambda c: F.col("operations")[0][c]
     made = made.withColumn("operations", timed)

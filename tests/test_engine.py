@@ -662,3 +662,43 @@ def test_streams(spark, tmp_path):
         q = f(spark.readStream.schema(OPERATIONS).parquet(f"{tmp_path}/in")).writeStream.outputMode("append").format("memory").queryName(f.__name__).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert spark.sql(f"SELECT * FROM {f.__name__}").count() >= n
+
+
+def test_actions_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
+    from editlens.streaming.actions import action_stream
+
+    r, rows = random.Random(5), []
+    for oid in range(40):
+        t, geom, length = r.randrange(200), ("POINT", "LINE", "RELATION")[oid % 3], 0
+        for v in range(1, r.randrange(3, 22)):
+            t += r.choice((0, 1, 5, 11, 13, 30, 100))
+            how = dict(oid=oid, geom=geom, version=v, uid=r.randrange(2), hours=t)
+            if v == 1:
+                rows.append(op("CREATE_NODE" if geom == "POINT" else "CREATE_WAY", at=(13.0, 47.0) if geom == "POINT" else None, **how))
+            elif geom == "LINE" and r.random() < 0.5:
+                if length > 2 and r.random() < 0.3:
+                    length -= 1
+                    rows.append(op("REMOVE_NODE", pos=r.randrange(length + 1), **how))
+                else:
+                    rows.append(op("ADD_NODE", pos=r.randrange(length + 1), ref=v, at=(13 + v / 100, 47 + oid / 100), **how))
+                    length += 1
+            elif r.random() < 0.25:
+                rows.append(op("MODIFY_COORDINATE", at=(13 + v / 100, 47.0), **how) if geom == "POINT" else op("MODIFY_WAY_COORDINATE", ref=2, at=(14.0, 47.0), **how))
+            else:
+                key = r.choice(("building", "amenity", "highway", "name"))
+                rows.append(op("REMOVE_TAG", key=key, **how) if r.random() < 0.3 else op("ADD_TAG", key=key, value=r.choice(("track", "yes")), **how))
+    want = generate_actions(frame(spark, *rows), default_config())
+    rows.sort(key=lambda x: x[6])
+    last = rows[-1][6]
+    for n in range(4):  # each file is a micro-batch; then two rows move the watermark on
+        part = [x for i, x in enumerate(rows) if i * 4 // len(rows) == n]
+        r.shuffle(part)
+        frame(spark, *part).coalesce(1).write.parquet(f"{tmp_path}/in/part={n}")
+    for n in (4, 5):
+        frame(spark, op("ADD_TAG", 999, version=n, hours=(last - T0).total_seconds() / 3600 + 100 * n)).coalesce(1).write.parquet(f"{tmp_path}/in/part={n}")
+    stream = spark.readStream.schema(OPERATIONS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    for _ in range(2):  # the second run goes on where the first ended: nothing comes twice
+        q = action_stream(stream, default_config(), "2 days").writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/kept").trigger(availableNow=True).start()
+        assert q.awaitTermination(150) and q.exception() is None
+    plain = lambda x: sorted(map(repr, x.select(*want.columns).collect()))
+    assert plain(spark.read.parquet(f"{tmp_path}/out")) == plain(want) and want.count() > 60
