@@ -635,23 +635,40 @@ def _of_points(spark, d) -> DataFrame:
     return event_operations(spark, d).where("geometry_type = 'POINT'")
 
 
-def _rules_sql(only_properties: bool) -> str:
-    """Actions of points by the rules of the default configuration, whose times ascend with versions."""
+#: What differs between points and lines: feature types, operations that rules take, and the shapes a group sees (nodes of lines are put
+#: in and taken out at the front).
+_POINT_TYPES = "(2, 'buildingPoint', 'building', ['building', 'name']), (3, 'amenity', 'amenity', ['amenity', 'name']), (4, 'natural', 'natural', ['natural'])"
+_LINE_TYPES = "(0, 'street', 'highway', ['highway', 'name', 'ref', 'maxspeed']), (1, 'building', 'building', ['building', 'name'])"
+_POINT_RULES = """('DELETE', 1, 'AC_DELETE_POINT', 'DELETE', ['OP_REMOVE_TAG', 'OP_MODIFY_TAG_VALUE']), ('UPDATE', 1, 'AC_UPDATE_POINT', 'UPDATE', ['OP_ADD_TAG', 'OP_MODIFY_TAG_VALUE', 'OP_REMOVE_TAG', 'OP_MODIFY_COORDINATE']),
+  ('CREATE', 1, 'AC_CREATE_POINT', 'CREATE', ['OP_CREATE_NODE', 'OP_ADD_TAG', 'OP_MODIFY_TAG_VALUE']), ('CREATE', 2, 'AC_UPDATE_POINT', 'UPDATE', ['OP_REMOVE_TAG', 'OP_MODIFY_COORDINATE'])"""
+_LINE_RULES = """('DELETE', 1, 'AC_DELETE_LINE', 'DELETE', ['OP_REMOVE_TAG', 'OP_MODIFY_TAG_VALUE', 'OP_REMOVE_NODE']), ('UPDATE', 1, 'AC_UPDATE_LINE', 'UPDATE', ['OP_ADD_TAG', 'OP_MODIFY_TAG_VALUE', 'OP_REMOVE_TAG', 'OP_ADD_NODE', 'OP_REMOVE_NODE']),
+  ('CREATE', 1, 'AC_CREATE_LINE', 'CREATE', ['OP_CREATE_WAY', 'OP_ADD_TAG', 'OP_MODIFY_TAG_VALUE', 'OP_ADD_NODE']), ('CREATE', 2, 'AC_UPDATE_LINE', 'UPDATE', ['OP_REMOVE_TAG', 'OP_REMOVE_NODE'])"""
+_POINT_SHAPES = """shape AS (SELECT r.oid, r.g, printf('POINT (%.7f %.7f)', arg_max(o.lon, o.version), arg_max(o.lat, o.version)) AS geom_wkt FROM reach r JOIN ops o ON o.geometry_type = 'POINT' AND o.oid = r.oid AND o.version <= r.upto AND o.lon IS NOT NULL GROUP BY 1, 2)"""
+_LINE_SHAPES = """steps AS MATERIALIZED (SELECT oid, version, operation_type, printf('%.7f %.7f', lon, lat) AS node FROM ops WHERE geometry_type = 'LINE'),
+walk AS (SELECT oid, version, CAST([] AS VARCHAR[]) AS nodes FROM steps WHERE version = 1
+  UNION ALL SELECT s.oid, s.version, CASE s.operation_type WHEN 'OP_ADD_NODE' THEN list_prepend(s.node, nodes) WHEN 'OP_REMOVE_NODE' THEN nodes[2:] ELSE nodes END FROM walk w JOIN steps s ON s.oid = w.oid AND s.version = w.version + 1),
+seen AS (SELECT r.oid, r.g, nodes FROM reach r JOIN walk w ON w.oid = r.oid AND w.version = r.upto),
+shape AS (SELECT oid, g, 'street' AS name, concat('LINESTRING (', array_to_string(nodes, ', '), ')') AS geom_wkt FROM seen WHERE len(nodes) >= 2
+  UNION ALL SELECT oid, g, 'building', concat('POLYGON ((', array_to_string(nodes, ', '), '))') FROM seen WHERE len(nodes) >= 4 AND nodes[1] = nodes[-1])"""
+
+
+def _rules_sql(only_properties: bool, kind: str = "POINT") -> str:
+    """Actions of points or lines by the rules of the default configuration, whose times ascend with versions."""
+    types, rules, shapes, same = (_POINT_TYPES, _POINT_RULES, _POINT_SHAPES, "oid, g") if kind == "POINT" else (_LINE_TYPES, _LINE_RULES, _LINE_SHAPES, "oid, g, name")
     own = "AND (x.operation_type NOT LIKE '%TAG%' OR list_contains(u.properties, x.key))" if only_properties else ""
-    return f"""g AS (SELECT *, row_number() OVER (PARTITION BY oid ORDER BY from_version) AS g FROM (SELECT oid, uid, session, min(version) AS from_version, max(ts) AS last_ts FROM s WHERE geometry_type = 'POINT' GROUP BY 1, 2, 3) x),
-grouped AS (SELECT s.*, g.g FROM s JOIN g ON s.geometry_type = 'POINT' AND s.oid = g.oid AND s.uid = g.uid AND s.session = g.session),
-reach AS (SELECT oid, g, max(upto) OVER (PARTITION BY oid ORDER BY g) AS upto FROM (SELECT g.oid, g.g, max(o.version) AS upto FROM g JOIN ops o ON o.geometry_type = 'POINT' AND o.oid = g.oid AND date_diff('microsecond', g.last_ts, o.ts) <= {GAP_MS * 1000} GROUP BY 1, 2) x),
-shape AS (SELECT r.oid, r.g, printf('POINT (%.7f %.7f)', arg_max(o.lon, o.version), arg_max(o.lat, o.version)) AS geom_wkt FROM reach r JOIN ops o ON o.geometry_type = 'POINT' AND o.oid = r.oid AND o.version <= r.upto AND o.lon IS NOT NULL GROUP BY 1, 2),
-types AS (SELECT * FROM (VALUES (2, 'buildingPoint', 'building', ['building', 'name']), (3, 'amenity', 'amenity', ['amenity', 'name']), (4, 'natural', 'natural', ['natural'])) t(rank, name, key, properties)),
+    return f"""g AS (SELECT *, row_number() OVER (PARTITION BY oid ORDER BY from_version) AS g FROM (SELECT oid, uid, session, min(version) AS from_version, max(ts) AS last_ts FROM s WHERE geometry_type = '{kind}' GROUP BY 1, 2, 3) x),
+grouped AS (SELECT s.*, g.g FROM s JOIN g ON s.geometry_type = '{kind}' AND s.oid = g.oid AND s.uid = g.uid AND s.session = g.session),
+reach AS (SELECT oid, g, max(upto) OVER (PARTITION BY oid ORDER BY g) AS upto FROM (SELECT g.oid, g.g, max(o.version) AS upto FROM g JOIN ops o ON o.geometry_type = '{kind}' AND o.oid = g.oid AND date_diff('microsecond', g.last_ts, o.ts) <= {GAP_MS * 1000} GROUP BY 1, 2) x),
+{shapes},
+types AS (SELECT * FROM (VALUES {types}) t(rank, name, key, properties)),
 state AS (SELECT g.oid, g.g, t.rank, t.name, t.properties, coalesce(arg_max(x.operation_type <> 'OP_REMOVE_TAG', x.g * 10000000 + x.version), false) AS now
   FROM g CROSS JOIN types t LEFT JOIN grouped x ON x.oid = g.oid AND x.g <= g.g AND x.key = t.key AND x.operation_type IN ('OP_ADD_TAG', 'OP_MODIFY_TAG_VALUE', 'OP_REMOVE_TAG') GROUP BY 1, 2, 3, 4, 5),
 due AS (SELECT *, CASE WHEN now AND was THEN 'UPDATE' WHEN now THEN 'CREATE' ELSE 'DELETE' END AS kind FROM (SELECT *, coalesce(lag(now) OVER (PARTITION BY oid, name ORDER BY g), false) AS was FROM state) x WHERE now OR was),
-rules AS (SELECT * FROM (VALUES ('DELETE', 1, 'AC_DELETE_POINT', 'DELETE', ['OP_REMOVE_TAG', 'OP_MODIFY_TAG_VALUE']), ('UPDATE', 1, 'AC_UPDATE_POINT', 'UPDATE', ['OP_ADD_TAG', 'OP_MODIFY_TAG_VALUE', 'OP_REMOVE_TAG', 'OP_MODIFY_COORDINATE']),
-  ('CREATE', 1, 'AC_CREATE_POINT', 'CREATE', ['OP_CREATE_NODE', 'OP_ADD_TAG', 'OP_MODIFY_TAG_VALUE']), ('CREATE', 2, 'AC_UPDATE_POINT', 'UPDATE', ['OP_REMOVE_TAG', 'OP_MODIFY_COORDINATE'])) r(kind, part, action_name, action_type, takes)),
+rules AS (SELECT * FROM (VALUES {rules}) r(kind, part, action_name, action_type, takes)),
 taken AS (SELECT u.oid, u.g, u.now, u.rank, u.name, r.part, r.action_name, r.action_type, count(*) AS n_operations, count(*) FILTER (WHERE x.operation_type = 'OP_MODIFY_TAG_VALUE' AND x.key = 'building') AS retyped, arg_min(x, [-x.high, x.version]) AS first
   FROM due u JOIN rules r ON r.kind = u.kind JOIN grouped x ON x.oid = u.oid AND x.g = u.g AND list_contains(r.takes, x.operation_type) {own} GROUP BY ALL),
-made AS (SELECT 'POINT' AS geometry_type, oid, CAST(row_number() OVER (PARTITION BY oid ORDER BY g, now, rank, part) - 1 AS INT) AS action_no, name AS feature_type, action_name, action_type, first.uid AS uid, first.ts AS ts,
-  first.operation_type AS first_operation, CAST(n_operations AS INT) AS n_operations, retyped, geom_wkt, false AS deleted FROM taken JOIN shape USING (oid, g))"""
+made AS (SELECT '{kind}' AS geometry_type, oid, CAST(row_number() OVER (PARTITION BY oid ORDER BY g, now, rank, part) - 1 AS INT) AS action_no, name AS feature_type, action_name, action_type, first.uid AS uid, first.ts AS ts,
+  first.operation_type AS first_operation, CAST(n_operations AS INT) AS n_operations, retyped, geom_wkt, false AS deleted FROM taken JOIN shape USING ({same}))"""
 
 
 _MADE = "SELECT geometry_type, oid, action_no, feature_type, action_name, action_type, uid, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, first_operation, n_operations, geom_wkt, deleted FROM made"
@@ -673,10 +690,11 @@ def actions_by_rules_only_properties(spark, d):
 
 @query()
 def actions_by_rules_of_lines(spark, d):
-    return generate_actions(event_operations(spark, d).where("geometry_type = 'LINE'"), default_config()).drop("operations")
+    return _made(generate_actions(event_operations(spark, d).where("geometry_type = 'LINE'"), default_config()))
 
 
 _SQL["actions_by_rules"] = _with(CTE_SESSIONS, _rules_sql(False)) + _MADE
+_SQL["actions_by_rules_of_lines"] = _with(CTE_SESSIONS, _rules_sql(False, "LINE")).replace("WITH", "WITH RECURSIVE", 1) + _MADE
 _SQL["actions_by_rules_only_properties"] = _with(CTE_SESSIONS, _rules_sql(True)) + _MADE
 _SQL["a15_batch_general_by_rules"] = _with(CTE_SESSIONS, _rules_sql(False)) + "SELECT feature_type, CAST(ts AS DATE) AS period, action_name, count(*) AS action_count, count(DISTINCT oid) AS affected_count, count(DISTINCT uid) AS user_count FROM made GROUP BY 1, 2, 3"
 
