@@ -229,7 +229,7 @@ def a15_batch_general(spark, d):
 
 @query()
 def a15_batch_general_by_rules(spark, d):
-    return A.batch_general(A.with_period(generate_actions(_of_points(spark, d), default_config()), DAY))
+    return A.batch_general(A.with_period(generate_actions(event_operations(spark, d), default_config()), DAY))
 
 
 _IN_REGION = """in_region AS (
@@ -680,12 +680,12 @@ def _made(actions: DataFrame) -> DataFrame:
 
 @query()
 def actions_by_rules(spark, d):
-    return _made(generate_actions(_of_points(spark, d), default_config()))
+    return _made(generate_actions(event_operations(spark, d), default_config()))
 
 
 @query()
 def actions_by_rules_only_properties(spark, d):
-    return _made(generate_actions(_of_points(spark, d), default_config(only_feature_type_tags=True)))
+    return _made(generate_actions(event_operations(spark, d), default_config(only_feature_type_tags=True)))
 
 
 @query()
@@ -693,10 +693,16 @@ def actions_by_rules_of_lines(spark, d):
     return _made(generate_actions(event_operations(spark, d).where("geometry_type = 'LINE'"), default_config()))
 
 
-_SQL["actions_by_rules"] = _with(CTE_SESSIONS, _rules_sql(False)) + _MADE
-_SQL["actions_by_rules_of_lines"] = _with(CTE_SESSIONS, _rules_sql(False, "LINE")).replace("WITH", "WITH RECURSIVE", 1) + _MADE
-_SQL["actions_by_rules_only_properties"] = _with(CTE_SESSIONS, _rules_sql(True)) + _MADE
-_SQL["a15_batch_general_by_rules"] = _with(CTE_SESSIONS, _rules_sql(False)) + "SELECT feature_type, CAST(ts AS DATE) AS period, action_name, count(*) AS action_count, count(DISTINCT oid) AS affected_count, count(DISTINCT uid) AS user_count FROM made GROUP BY 1, 2, 3"
+def _made_of(*kinds: str, only_properties: bool = False) -> str:
+    """made: the actions of these geometry types."""
+    made = (_with(CTE_SESSIONS, _rules_sql(only_properties, kind)).replace("WITH", "WITH RECURSIVE", 1) + "SELECT * EXCLUDE (retyped) FROM made" for kind in kinds)
+    return "WITH made AS (" + " UNION ALL ".join(f"SELECT * FROM ({m}) {kind}_actions" for m, kind in zip(made, kinds)) + ") "
+
+
+_SQL["actions_by_rules"] = _made_of("POINT", "LINE") + _MADE
+_SQL["actions_by_rules_of_lines"] = _made_of("LINE") + _MADE
+_SQL["actions_by_rules_only_properties"] = _made_of("POINT", "LINE", only_properties=True) + _MADE
+_SQL["a15_batch_general_by_rules"] = _made_of("POINT", "LINE") + "SELECT feature_type, CAST(ts AS DATE) AS period, action_name, count(*) AS action_count, count(DISTINCT oid) AS affected_count, count(DISTINCT uid) AS user_count FROM made GROUP BY 1, 2, 3"
 
 
 @query()
