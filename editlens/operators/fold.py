@@ -31,18 +31,20 @@ class FeatureState:
         self.tags: dict[str, str] = {}
         self.members: list[tuple[str, int, str]] = []
         self.before_deletion: tuple | None = None
+        self.visible = True
 
     def apply(self, op: dict) -> None:
         kind = op["operation_type"].removeprefix("OP_")
         at = (op["lon"], op["lat"]) if op["lon"] is not None and op["lat"] is not None else None
         ref, place = op["ref_id"], op["position"]
         if kind.startswith(("CREATE_", "RECREATE_")):
-            self.before_deletion = None
+            self.before_deletion, self.visible = None, True
             if kind.endswith("_NODE") and at:
                 self.point = at
         elif kind == "MODIFY_COORDINATE":
             self.point = at or self.point
         elif kind in ("DELETE_NODE", "DELETE_WAY", "DELETE_RELATION"):
+            self.visible = False
             if kind != "DELETE_RELATION":
                 self.before_deletion = (self.point, [tuple(n) for n in self.nodes], dict(self.tags))
                 if kind == "DELETE_NODE":
@@ -144,30 +146,44 @@ def _as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
 
 
-def assembled_features(operations: DataFrame, config: AnalysisConfig) -> DataFrame:
+FEATURE_ROWS = "geometry_type string, oid long, feature_type string, geometry string, geom_wkt string, deleted boolean, tags map<string,string>"
+_FEATURE_SCHEMA = pa.schema([("geometry_type", pa.string()), ("oid", pa.int64()), ("feature_type", pa.string()), ("geometry", pa.string()), ("geom_wkt", pa.string()), ("deleted", pa.bool_()), ("tags", pa.map_(pa.string(), pa.string()))])
+
+
+def feature_rows(states: Iterator[tuple[tuple, FeatureState]], types: tuple[FeatureType, ...]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``assembled_features`` from features' states."""
+    out = []
+    for key, state in states:
+        if shapes := state.shapes():
+            tags = state.seen()[2]
+            name, kind = exported_type(tags, shapes, types)
+            out.append((*key, name, kind, shape_wkt(kind, shapes[kind]), state.deleted, sorted(tags.items())))
+        if len(out) >= 1000:
+            yield _as_batch(out, _FEATURE_SCHEMA)
+            out = []
+    yield _as_batch(out, _FEATURE_SCHEMA)
+
+
+def states_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, FeatureState]]:
+    """(feature, state after all of its operations) of rows dealt and sorted by feature."""
+    for key, rows in grouped_rows(batches, 2):
+        state = FeatureState()
+        for op in rows:
+            state.apply(op)
+        yield key, state
+
+
+def assembled_features(operations: DataFrame, config: AnalysisConfig, slice_rows: int | None = None) -> DataFrame:
     """(geometry_type, oid, feature_type, geometry, geom_wkt, deleted, tags): features as they are after all of operations.
 
-    Features without a geometry, and relations, don't come out."""
-    types = config.feature_types
-    schema = pa.schema([("geometry_type", pa.string()), ("oid", pa.int64()), ("feature_type", pa.string()), ("geometry", pa.string()), ("geom_wkt", pa.string()), ("deleted", pa.bool_()), ("tags", pa.map_(pa.string(), pa.string()))])
-
-    def run(batches):
-        out = []
-        for key, rows in grouped_rows(batches, 2):
-            state = FeatureState()
-            for op in rows:
-                state.apply(op)
-            if shapes := state.shapes():
-                tags = state.seen()[2]
-                name, kind = exported_type(tags, shapes, types)
-                out.append((*key, name, kind, shape_wkt(kind, shapes[kind]), state.deleted, sorted(tags.items())))
-            if len(out) >= 1000:
-                yield _as_batch(out, schema)
-                out = []
-        yield _as_batch(out, schema)
-
-    rows = by_feature(operations.where("geometry_type != 'RELATION'"), STATE_COLUMNS)
-    return rows.mapInArrow(run, "geometry_type string, oid long, feature_type string, geometry string, geom_wkt string, deleted boolean, tags map<string,string>")
+    Features without a geometry, and relations, don't come out. ``slice_rows``: long histories are folded in slices of about
+    so many operations, by many tasks (``split_fold``)."""
+    types, rows = config.feature_types, operations.where("geometry_type != 'RELATION'")
+    if slice_rows:
+        from .split_fold import fold_in_slices
+
+        return fold_in_slices(rows, lambda states: feature_rows(states, types), FEATURE_ROWS, slice_rows)
+    return by_feature(rows, STATE_COLUMNS).mapInArrow(lambda batches: feature_rows(states_of(batches), types), FEATURE_ROWS)
 
 
 def with_export_columns(features: DataFrame, feature_type: FeatureType) -> DataFrame:
@@ -193,29 +209,32 @@ def all_tag_values(operations: DataFrame) -> DataFrame:
     return operations.where(F.col("operation_type").isin(*TAG_SET)).groupBy(*FEATURE, "key").agg(F.sort_array(F.collect_set("value")).alias("values"))
 
 
-def elements_at(operations: DataFrame, cutoff: datetime | None = None) -> DataFrame:
-    """(geometry_type, oid, visible, lon, lat, nodes, members, tags): elements rebuilt from operations up to a time."""
-    schema = pa.schema(
-        [("geometry_type", pa.string()), ("oid", pa.int64()), ("visible", pa.bool_()), ("lon", pa.float64()), ("lat", pa.float64()), ("nodes", pa.list_(pa.int64())), ("members", pa.list_(pa.struct([("element_type", pa.string()), ("id", pa.int64()), ("role", pa.string())]))), ("tags", pa.map_(pa.string(), pa.string()))]
-    )
-    kinds = {"n": "NODE", "w": "WAY", "r": "RELATION"}
-
-    def run(batches):
-        out = []
-        for key, rows in grouped_rows(batches, 2):
-            state, visible = FeatureState(), True
-            for op in rows:
-                state.apply(op)
-                if op["operation_type"].startswith("OP_DELETE_"):
-                    visible = False
-                elif op["operation_type"].startswith(("OP_CREATE_", "OP_RECREATE_")):
-                    visible = True
-            x, y = state.point if state.point and visible else (None, None)
-            out.append((*key, visible, x, y, [n for n, _ in state.nodes], [{"element_type": kinds.get(k, k), "id": i, "role": r} for k, i, r in state.members], sorted(state.tags.items())))
-            if len(out) >= 1000:
-                yield _as_batch(out, schema)
-                out = []
-        yield _as_batch(out, schema)
+ELEMENT_ROWS = "geometry_type string, oid long, visible boolean, lon double, lat double, nodes array<long>, members array<struct<element_type:string,id:long,role:string>>, tags map<string,string>"
+_ELEMENT_SCHEMA = pa.schema(
+    [("geometry_type", pa.string()), ("oid", pa.int64()), ("visible", pa.bool_()), ("lon", pa.float64()), ("lat", pa.float64()), ("nodes", pa.list_(pa.int64())), ("members", pa.list_(pa.struct([("element_type", pa.string()), ("id", pa.int64()), ("role", pa.string())]))), ("tags", pa.map_(pa.string(), pa.string()))]
+)
+
+
+def element_rows(states: Iterator[tuple[tuple, FeatureState]]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``elements_at`` from features' states."""
+    kinds, out = {"n": "NODE", "w": "WAY", "r": "RELATION"}, []
+    for key, state in states:
+        x, y = state.point if state.point and state.visible else (None, None)
+        members = [{"element_type": kinds.get(k, k), "id": i, "role": r} for k, i, r in state.members]
+        out.append((*key, state.visible, x, y, [n for n, _ in state.nodes], members, sorted(state.tags.items())))
+        if len(out) >= 1000:
+            yield _as_batch(out, _ELEMENT_SCHEMA)
+            out = []
+    yield _as_batch(out, _ELEMENT_SCHEMA)
 
+
+def elements_at(operations: DataFrame, cutoff: datetime | None = None, slice_rows: int | None = None) -> DataFrame:
+    """(geometry_type, oid, visible, lon, lat, nodes, members, tags): elements rebuilt from operations up to a time.
+
+    ``slice_rows``: as in ``assembled_features``."""
     rows = operations if cutoff is None else operations.where(F.col("ts") <= F.lit(cutoff))
-    return by_feature(rows, STATE_COLUMNS).mapInArrow(run, "geometry_type string, oid long, visible boolean, lon double, lat double, nodes array<long>, members array<struct<element_type:string,id:long,role:string>>, tags map<string,string>")
+    if slice_rows:
+        from .split_fold import fold_in_slices
+
+        return fold_in_slices(rows, element_rows, ELEMENT_ROWS, slice_rows)
+    return by_feature(rows, STATE_COLUMNS).mapInArrow(lambda batches: element_rows(states_of(batches)), ELEMENT_ROWS)

@@ -755,6 +755,21 @@ SELECT geometry_type, oid, true AS visible, lon, lat, CASE WHEN geometry_type =
 FROM (SELECT DISTINCT geometry_type, oid FROM ops) f LEFT JOIN points USING (geometry_type, oid) LEFT JOIN sizes USING (geometry_type, oid) LEFT JOIN tags USING (geometry_type, oid)"""
 
 
+#: Histories of events are short: slices of so many operations cut them as longer ones are cut in longer histories.
+_SLICE = 16
+
+
+@query(_SQL["r2_elements"], operations=False)
+def r2_elements_in_slices(spark, d):
+    size = lambda c: F.size(c).cast("long").alias(f"n_{c}")
+    return fold.elements_at(event_operations(spark, d), slice_rows=_SLICE).select("geometry_type", "oid", "visible", "lon", "lat", size("nodes"), size("members"), size("tags"))
+
+
+@query(_SQL["f10_exported_features"], operations=False)
+def f10_exported_features_in_slices(spark, d):
+    return fold.assembled_features(event_operations(spark, d), default_config(), slice_rows=_SLICE).drop("tags")
+
+
 # ---------------------------------------------------------------- functions, spatial keys
 
 
