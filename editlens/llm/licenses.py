@@ -42,6 +42,8 @@ WORDINGS = (
     ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the {GNU Affero General Public License} as published by the Free Software Foundation, either {version 3 of the License}, or (at your option) {any later version}."),
     ("LGPL-3.0-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the {GNU Lesser General Public License} as published by the Free Software Foundation; either {version 3 of the License}, or (at your option) {any later version}."),
     ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the {GNU Lesser General Public License} as published by the Free Software Foundation; either {version 2.1 of the License}, or (at your option) {any later version}."),
+    ("LGPL-2.0-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the {GNU Library General Public License} as published by the Free Software Foundation; either {version 2 of the License}, or (at your option) {any later version}."),
+    ("LGPL-2.0-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the {GNU Lesser General Public License} as published by the Free Software Foundation; either {version 2 of the License}, or (at your option) {any later version}."),
     ("GPL-3.0", "{GNU GENERAL PUBLIC LICENSE Version 3}, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
     ("GPL-2.0", "{GNU GENERAL PUBLIC LICENSE Version 2}, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
     ("AGPL-3.0", "{GNU AFFERO GENERAL PUBLIC LICENSE Version 3}, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
@@ -55,6 +57,9 @@ WORDINGS = (
     ("EPL-2.0", "{Eclipse Public License - v 2.0} THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT."),
     ("ISC", "{Permission to use, copy, modify, and/or distribute this software for any purpose} with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("ISC", "{Permission to use, copy, modify, and distribute this software for any purpose} with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("0BSD", "{Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED} \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
+    ("Apache-1.1", "The end-user documentation included with the redistribution, if any, must include the following acknowledgment: \"This product includes {software developed by the Apache Software Foundation} (http://www.apache.org/).\""),
+    ("Artistic-2.0", "{The Artistic License 2.0} Copyright (c) 2000-2006, The Perl Foundation. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: {The origin of this software must not be misrepresented}; you must not claim that you wrote the original software."),
     ("BSL-1.0", "{Boost Software License - Version 1.0} - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software"),
     ("Unlicense", "This is free and unencumbered software {released into the public domain}. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
@@ -71,15 +76,25 @@ NAMES = (
     ("GPL-2.0", "GNU General Public License, version 2"), ("GPL-2.0", "GNU General Public License v2"), ("GPL-2.0", "GNU GPL version 2"), ("GPL-3.0", "GNU General Public License, version 3"),
     ("GPL-3.0", "GNU General Public License v3"), ("GPL-3.0", "GNU GPL version 3"), ("AGPL-3.0", "GNU Affero General Public License, version 3"),
     ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"), ("LGPL-3.0", "GNU Lesser General Public License, version 3"), ("CC0-1.0", "CC0 1.0 Universal License"),
+    ("GPL", "GNU General Public License"), ("GPL-2.0", "GPLv2"), ("GPL-3.0", "GPLv3"), ("AGPL-3.0", "AGPLv3"), ("LGPL-2.1", "LGPLv2.1"), ("LGPL-3.0", "LGPLv3"), ("0BSD", "0BSD License"),
+    ("Apache-1.1", "Apache Software License, Version 1.1"), ("Apache-2.0", "Apache-2.0 license"), ("Artistic-2.0", "Artistic License 2.0"), ("Unlicense", "Unlicense License"),
 )
-LEADS = ("Released under the", "Licensed under the", "Distributed under the", "This work is licensed under the", "This software is licensed under the")
+LEADS = ("Released under the", "Licensed under the", "Distributed under the", "This work is licensed under the", "This software is licensed under the", "under the terms of the")
+#: Names short enough for "is licensed under MIT" and "code is MIT licensed", and what such notices speak of.
+SHORT = (("MIT", "MIT"), ("ISC", "ISC"), ("BSD", "BSD"), ("Apache-2.0", "Apache 2.0"), ("GPL-2.0", "GPLv2"), ("GPL-3.0", "GPLv3"), ("MPL-2.0", "MPL 2.0"), ("0BSD", "0BSD"))
+THINGS = ("code", "software", "project", "library", "package", "program", "work", "and")
+#: Identifiers of notices by tag, beside those that have templates.
+TAGS = ("MIT-0", "BSD-3-Clause-Clear", "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later")
 _CREATIVE = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
 
 
 def templates() -> tuple[tuple[str, str], ...]:
-    """WORDINGS, and notices made of LEADS and names; those of Creative Commons from their conditions and versions."""
+    """WORDINGS, and notices made of LEADS and names, of SHORT names, and of tags; those of Creative Commons from their conditions
+    and versions. None has fewer than GRAM + WINDOW - 1 words, which are sure to share a fingerprint with a text ("Licensed under
+    MIT", of three words, isn't sure to, and is no template)."""
     out = [*WORDINGS, *((i, f"{lead} {{{name}}}") for i, name in NAMES for lead in LEADS)]
     out += [(i, f"{{{name}}}") for i, name in NAMES if len(name.split()) > 5]  # long enough without a lead
+    out += [(i, f"is licensed under {{{name}}}") for i, name in SHORT] + [(i, f"{thing} is {{{name} licensed}}") for i, name in SHORT for thing in THINGS]
     for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
         words = "-".join(_CREATIVE[k] for k in kind.split("-"))
         for version, port in (("4.0", "International"), ("3.0", "Unported")):
@@ -87,7 +102,8 @@ def templates() -> tuple[tuple[str, str], ...]:
             out += [(f"CC-{kind}-{version}", f"{lead} {{CC {kind} {version}}}") for lead in ("Licensed under", "Released under", "This work is licensed under")]
             out.append((f"CC-{kind}-{version}", f"This work is licensed under a {{{name}}} {port} License."))
             out.append((f"CC-{kind}-{version}", f"By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this {{{name}}} {port} Public License (\"Public License\")."))
-    return tuple(out)
+    tags = sorted({i for i, _ in out if i not in ("BSD", "GPL")} | set(TAGS))
+    return (*out, *((i, f"{{SPDX-License-Identifier: {i}}}") for i in tags))
 
 
 TEMPLATES = templates()
@@ -252,22 +268,32 @@ def _spans(template: str):
         n += size
 
 
+def characters(text: np.ndarray) -> np.ndarray:
+    """Where each character of UTF-8 bytes begins, and their end. Lower case has other bytes, but as many characters."""
+    return np.append(np.flatnonzero((text & 0xC0) != 0x80), len(text))
+
+
 _FOUND = "doc_id long, license string, words_matched int, template_words int, coverage double, start int, end int, span string"
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_COVERAGE) -> DataFrame:
     """docs(doc_id, text) -> a row for each span of a text that covers a template; start and end are bytes of the
-    lower-cased UTF-8 text, span its words."""
+    UTF-8 text, span is what stands there in lower case."""
     ship(docs.sparkSession)
 
     def run(batches):
         index = Templates(templates)
         for batch in batches:
             for part in slices(batch, "text"):
-                data, offs = utf8(pc.utf8_lower(part.column(1)))
-                rows = []
+                (data, offs), (lower, low_offs) = utf8(part.column(1)), utf8(pc.utf8_lower(part.column(1)))
+                rows, last = [], None
                 for d, name, matched, size, a, b in index.search(part.column(1), least):
-                    rows.append((part.column(0)[d].as_py(), name, matched, size, matched / size, a - int(offs[d]), b - int(offs[d]), data[a:b].tobytes().decode("utf-8", "replace")))
+                    if d != last:
+                        last = d
+                        at, low_at = characters(data[offs[d] : offs[d + 1]]), characters(lower[low_offs[d] : low_offs[d + 1]])
+                    span = lower[a:b].tobytes().decode("utf-8", "replace")
+                    a, b = (int(at[np.searchsorted(low_at, x - low_offs[d])]) for x in (a, b))
+                    rows.append((part.column(0)[d].as_py(), name, matched, size, matched / size, a, b, span))
                 types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 8, types)], names=[x.split()[0] for x in _FOUND.split(", ")])
 
