@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -32,6 +32,17 @@ def edit_distance(a: str, b: str) -> int:
     return int(row[-1])
 
 
+def edit_distances(a: Column, b: Column) -> Column:
+    """``edit_distance`` of two columns; null where either is. Built in, but where a character has two UTF-16 units."""
+
+    @F.arrow_udf("int")
+    def in_units(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([None if s is None or t is None else edit_distance(s, t) for s, t in zip(x.to_pylist(), y.to_pylist())], pa.int32())
+
+    wide = F.concat(a, b).rlike(r"[\x{10000}-\x{10FFFF}]")
+    return F.when(wide, in_units(F.when(wide, a), F.when(wide, b))).otherwise(F.levenshtein(a, b))
+
+
 def attribute_changes(feature_type: str, ops: list[dict], state: dict[str, str]):
     """(status, old, new) of tag operations; ``state`` has the attributes and is brought up to date."""
     if feature_type in _BUILDINGS:

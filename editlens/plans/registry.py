@@ -11,7 +11,7 @@ from ..functions import geo
 from ..operators import analyzers as A
 from ..operators import enrich, filters, fold, regions
 from ..operators.actions import clock_anomalies, generate_actions, sessions
-from ..operators.change_detection import change_detection, planar
+from ..operators.change_detection import change_detection, edit_distances, planar
 from ..operators.diff import version_diff
 from .adapters import CTE_ACTIONS, CTE_OPERATIONS, CTE_SESSIONS, GAP_MS, HIERARCHY_SQL, NODE_VERSIONS, ORDER_EDITS, PLANAR_SHAPES, WAY_EDITS, WAY_VERSIONS, event_operations, node_versions, order_edits, part_operations, planar_actions, relation_versions, session_actions, table, way_edits, way_versions
 from .config import Region, default_config
@@ -773,10 +773,14 @@ def f10_exported_features_in_slices(spark, d):
 # ---------------------------------------------------------------- functions, spatial keys
 
 
-@query("SELECT c_custkey, s_suppkey, CAST(levenshtein(c_name, s_name) AS INT) AS edits FROM customer JOIN supplier ON c_nationkey = s_nationkey", operations=False)
+@query("""SELECT l_orderkey, l_linenumber, CAST(levenshtein(name, before) AS INT) AS edits
+FROM (SELECT l_orderkey, l_linenumber, p_name || ' ' || p_type || ' ' || p_brand AS name, lag(p_name || ' ' || p_type || ' ' || p_brand) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS before FROM lineitem JOIN part ON l_partkey = p_partkey) x WHERE before IS NOT NULL""", operations=False)
 def levenshtein_names(spark, d):
-    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
-    return c.join(s, c.c_nationkey == s.s_nationkey).select("c_custkey", "s_suppkey", F.levenshtein("c_name", "s_name").alias("edits"))
+    """Each part's name against the one before it in its order."""
+    name = F.concat_ws(" ", "p_name", "p_type", "p_brand")
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("name", name)
+    rows = rows.withColumn("before", F.lag("name").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")))
+    return rows.where("before IS NOT NULL").select("l_orderkey", "l_linenumber", edit_distances(F.col("name"), F.col("before")).alias("edits"))
 
 
 @query("SELECT geometry_type, oid, version, CAST(floor(lon * 1e7 + 0.5) AS BIGINT) AS x, CAST(floor(lat * 1e7 + 0.5) AS BIGINT) AS y FROM ops WHERE lon IS NOT NULL")

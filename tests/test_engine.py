@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from editlens.functions import geo
 from editlens.operators import analyzers, enrich, filters, fold, regions
 from editlens.operators.actions import Rules, edit_groups, feature_actions, generate_actions, sessions
-from editlens.operators.change_detection import change_detection, edit_distance
+from editlens.operators.change_detection import change_detection, edit_distance, edit_distances
 from editlens.plans.config import FeatureType, Region, default_config, expand, load_settings
 from editlens.plans.schema import OPERATION_COLUMNS, OPERATIONS, OPERATION_TYPES
 
@@ -241,6 +241,14 @@ def test_edit_distance():
     assert [edit_distance(*p) for p in (("kitten", "sitting"), ("", "abc"), ("a\U0001f600b", "ab"))] == [3, 3, 2]
 
 
+def test_edit_distances_of_columns(spark):
+    r = random.Random(2)
+    pairs = [tuple("".join(r.choices("abß€\U0001f600", k=r.randrange(8))) for _ in range(2)) for _ in range(300)] + [(None, "a"), ("a", None), ("", "")]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = {x.i: x.n for x in rows.select("i", edit_distances(F.col("a"), F.col("b")).alias("n")).collect()}
+    assert got == {i: None if a is None or b is None else edit_distance(a, b) for i, (a, b) in enumerate(pairs)}
+
+
 def test_change_detection(spark):
     line = lambda pts, v0: [op("ADD_NODE", 1, "LINE", seq=i + 1, ref=i, pos=i, at=p) for i, p in enumerate(pts)]
     rows = [op("CREATE_WAY", 1, "LINE"), *line([(13.0, 47.0), (13.01, 47.0)], 0), op("ADD_TAG", 1, "LINE", seq=9, key="highway", value="track"), op("ADD_TAG", 1, "LINE", seq=10, key="name", value="High Street")]
