@@ -179,7 +179,7 @@ def feature_actions(ops: list[dict], config: AnalysisConfig, rules: Rules, past:
         now = [t for t in config.feature_types if type_matches(t, tags)]
         ordered = sorted(group, key=lambda op: -HIERARCHY.get(op["operation_type"], 0))
         due = [(t, "DELETE") for t in past.types if t not in now] + [(t, "UPDATE" if t in past.types else "CREATE") for t in now]
-        shapes = state.shapes() if due else {}
+        shapes = state.shapes(config.short_rings) if due else {}
         for t, kind in due:
             if t.geometry not in shapes:
                 continue

@@ -88,8 +88,10 @@ class FeatureState:
         point, nodes, tags = self.before_deletion or (self.point, self.nodes, self.tags)
         return point, [c for _, c in nodes if c is not None], tags
 
-    def shapes(self) -> dict[str, list]:
-        """Coordinates for each geometry type that the feature can have: a point, or a line, and a ring a polygon too."""
+    def shapes(self, short_rings: bool = False) -> dict[str, list]:
+        """Coordinates for each geometry type that the feature can have: a point, or a line, and a ring a polygon too.
+
+        A ring of less than four is nothing, or with ``short_rings`` a line."""
         point, line, _ = self.seen()
         if point is not None:
             return {"Point": [point]}
@@ -97,7 +99,9 @@ class FeatureState:
             return {}
         if line[0] != line[-1]:
             return {"LineString": line}
-        return {"LineString": line, "Polygon": line} if len(line) >= 4 else {}
+        if len(line) < 4:
+            return {"LineString": line} if short_rings else {}
+        return {"LineString": line, "Polygon": line}
 
 
 def shape_wkt(kind: str, points: list) -> str:
@@ -150,11 +154,11 @@ FEATURE_ROWS = "geometry_type string, oid long, feature_type string, geometry st
 _FEATURE_SCHEMA = pa.schema([("geometry_type", pa.string()), ("oid", pa.int64()), ("feature_type", pa.string()), ("geometry", pa.string()), ("geom_wkt", pa.string()), ("deleted", pa.bool_()), ("tags", pa.map_(pa.string(), pa.string()))])
 
 
-def feature_rows(states: Iterator[tuple[tuple, FeatureState]], types: tuple[FeatureType, ...]) -> Iterator[pa.RecordBatch]:
+def feature_rows(states: Iterator[tuple[tuple, FeatureState]], types: tuple[FeatureType, ...], short_rings: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows of ``assembled_features`` from features' states."""
     out = []
     for key, state in states:
-        if shapes := state.shapes():
+        if shapes := state.shapes(short_rings):
             tags = state.seen()[2]
             name, kind = exported_type(tags, shapes, types)
             out.append((*key, name, kind, shape_wkt(kind, shapes[kind]), state.deleted, sorted(tags.items())))
@@ -178,12 +182,12 @@ def assembled_features(operations: DataFrame, config: AnalysisConfig, slice_rows
 
     Features without a geometry, and relations, don't come out. ``slice_rows``: long histories are folded in slices of about
     so many operations, by many tasks (``split_fold``)."""
-    types, rows = config.feature_types, operations.where("geometry_type != 'RELATION'")
+    types, short, rows = config.feature_types, config.short_rings, operations.where("geometry_type != 'RELATION'")
     if slice_rows:
         from .split_fold import fold_in_slices
 
-        return fold_in_slices(rows, lambda states: feature_rows(states, types), FEATURE_ROWS, slice_rows)
-    return by_feature(rows, STATE_COLUMNS).mapInArrow(lambda batches: feature_rows(states_of(batches), types), FEATURE_ROWS)
+        return fold_in_slices(rows, lambda states: feature_rows(states, types, short), FEATURE_ROWS, slice_rows)
+    return by_feature(rows, STATE_COLUMNS).mapInArrow(lambda batches: feature_rows(states_of(batches), types, short), FEATURE_ROWS)
 
 
 def with_export_columns(features: DataFrame, feature_type: FeatureType) -> DataFrame:

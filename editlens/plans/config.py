@@ -74,6 +74,8 @@ class AnalysisConfig:
     write_geometry: bool = False
     action_gap_ms: int = ACTION_GAP_MS
     only_feature_type_tags: bool = False
+    #: Whether a closed way of two or three nodes is a line; else it has no geometry.
+    short_rings: bool = False
     feature_types: tuple[FeatureType, ...] = ()
     actions: tuple[ActionDefinition, ...] = ()
     analyzers: tuple[Analyzer, ...] = ()
