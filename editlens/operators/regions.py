@@ -126,7 +126,9 @@ def features_in_regions(operations: DataFrame, config: AnalysisConfig, regions:
     compared exactly. Pairs carry the region's number; its geometry goes to the tasks in blocks of a bounded size."""
     spark, regions = operations.sparkSession, list(config.regions if regions is None else regions)
     table, levels = _envelopes(spark, regions)
-    near = near_pairs(bounding_boxes(operations), table, levels).select(*FEATURE, "no")
+    # geometries are rounded to 1e-7 degrees, so boxes are as much wider
+    grown = {c: F.col(c) + by for c, by in (("xmin", -1e-7), ("ymin", -1e-7), ("xmax", 1e-7), ("ymax", 1e-7))}
+    near = near_pairs(bounding_boxes(operations).withColumns(grown), table, levels).select(*FEATURE, "no")
     latest = assembled_features(operations.join(near.select(*FEATURE).distinct(), FEATURE, "left_semi"), config).select(*FEATURE, "geom_wkt")
     pairs, out = latest.join(near, FEATURE).select(*FEATURE, "geom_wkt", "no"), None
     for block in region_blocks(regions, BLOCK):
