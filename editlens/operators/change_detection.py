@@ -7,6 +7,8 @@ buffer of the other with flat ends, grown by AROUND on all sides; with ``round_e
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +19,8 @@ from .filters import FEATURE
 from .fold import grouped_rows
 
 NEAR, AROUND, SHORTER, LONGER, NAME_EDITS = 20.0, 1.0, 0.8, 1.2, 3
+#: Geometries, and pairs of them, whose comparison a task keeps, as shapes come again (edits and their reverts, tags of the same shape).
+KEPT = 1 << 16
 _BUILDINGS = ("building", "buildingPoint")
 
 
@@ -107,26 +111,38 @@ def geometry_change(feature_type: str, old, new, round_ends: bool = False):
     return None
 
 
-def action_changes(feature_type: str, actions, project=geo.utm33, round_ends: bool = False):
+def comparison(project=geo.utm33, round_ends: bool = False):
+    """(feature type, old WKT, new WKT) -> ``geometry_change``'s result, with the stretches that are gone as WKT. What was compared
+    before is looked up, the least recent of more than ``KEPT`` is compared anew."""
+    projected = lru_cache(KEPT)(lambda wkt: _projected(wkt, project))
+
+    @lru_cache(KEPT)
+    def compare(feature_type: str, old: str, new: str):
+        change = geometry_change(feature_type, projected(old), projected(new), round_ends)
+        return change and (*change[:4], geo.pieces_wkt(geo.parse_wkt(old)[1][0], change[4]) if change[4] else None)
+
+    return lambda feature_type, old, new: None if old == new else compare(feature_type, old, new)
+
+
+def action_changes(feature_type: str, actions, project=geo.utm33, round_ends: bool = False, compare=None):
     """Changes of one feature and feature type, in order."""
-    attributes, before = {}, None
+    attributes, before, compare = {}, None, compare or comparison(project, round_ends)
     for a in actions:
         ops, first = a["operations"], a["operations"][0]
         kinds = [op["operation_type"] for op in ops]
         for op, status, old, new in attribute_changes(feature_type, ops, attributes):
             yield op, status, old, new, None, None, None
-        shape = _projected(a["geom_wkt"], project)
-        if before is not None and (change := geometry_change(feature_type, before[0], shape, round_ends)):
-            gone = geo.pieces_wkt(geo.parse_wkt(before[1])[1][0], change[4]) if change[4] else None
-            yield first, change[0], *(None if v is None else str(v) for v in change[1:3]), before[1] if change[3] else None, a["geom_wkt"], gone
+        wkt = a["geom_wkt"]
+        if before is not None and (change := compare(feature_type, before, wkt)):
+            yield first, change[0], *(None if v is None else str(v) for v in change[1:3]), before if change[3] else None, wkt, change[4]
         joined = next((k for k in kinds if k in ("OP_SPLIT_WAY", "OP_MERGE_WAY")), None)
         if joined:
-            yield first, "GeometrySplit" if joined == "OP_SPLIT_WAY" else "GeometryMerge", None, None, before and before[1], a["geom_wkt"], None
+            yield first, "GeometrySplit" if joined == "OP_SPLIT_WAY" else "GeometryMerge", None, None, before, wkt, None
         if a["action_type"] == "CREATE" and kinds[0] != "OP_SPLIT_WAY":
-            yield first, "CreateGeometry", None, None, None, a["geom_wkt"], None
+            yield first, "CreateGeometry", None, None, None, wkt, None
         if a["action_type"] == "DELETE" and kinds[0] != "OP_MERGE_WAY":
-            yield first, "DeleteGeometry", None, None, before and before[1], None, None
-        before = (shape, a["geom_wkt"])
+            yield first, "DeleteGeometry", None, None, before, None, None
+        before = wkt
 
 
 _CHANGES = "geometry_type string, osm_id long, feature_type string, change_no int, version int, changeset long, us long, status string, value_old string, value_new string, geometry_old string, geometry_new string, geometry_diff string"
@@ -141,9 +157,9 @@ def change_detection(actions: DataFrame, project=geo.utm33, round_ends: bool = F
     schema = pa.schema([(n.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[n.split()[1]]) for n in spec.split(", ")])
 
     def run(batches):
-        rows = []
+        rows, compare = [], comparison(project, round_ends)
         for key, group in grouped_rows(batches, len(keys)):
-            for n, (op, *rest) in enumerate(action_changes(key[-1], group, project, round_ends)):
+            for n, (op, *rest) in enumerate(action_changes(key[-1], group, compare=compare)):
                 rows.append((*key, n, op["version"], op["changeset"], op["us"], *rest))
             if len(rows) >= 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
