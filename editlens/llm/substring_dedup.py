@@ -8,7 +8,7 @@ a smaller id has it, and votes for the place where one has it: a document and th
 repeated chunks form runs. For each place that chunks of a run vote for, both documents' bytes are compared from REACH
 before its first vote to REACH after its last (CONTEXT beyond the run at most), so that a chunk within a passage may vote
 for another place; where the equal bytes go on to the end of what was compared (FOLLOWED of them or more), twice as much is
-compared, again and again. Stretches of equal bytes, cut back to words that are whole in both documents, are passages if they have
+compared, again and again; places of the same two texts and shift that overlap by then are compared as one. Stretches of equal bytes, cut back to words that are whole in both documents, are passages if they have
 ``min_words`` words: each stands in one piece in its ``first_doc_id``. Passages within others aren't reported.
 
 Before the shuffle by digest a slice of texts keeps one document's rows of each digest; the others' rows, known to be
@@ -27,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, byte_kinds, fresh, slices, span_hash, tidy, utf8
@@ -323,6 +323,17 @@ def _in_parts(wanted: DataFrame) -> DataFrame:
     return dealt.groupBy("doc", "row", "part").agg(F.collect_list(F.struct("kind", "start", "end", "ref_doc", "ref_row", "ref_start")).alias("wants")).drop("part")
 
 
+def _joined_up(places: DataFrame) -> DataFrame:
+    """places with those of the same two texts and shift that overlap as one: none is compared twice, however far each is followed."""
+    of = ["doc", "row", "ref_doc", "ref_row", "shift"]
+    along = Window.partitionBy(*of).orderBy("start", "end")
+    reached = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    apart = places.withColumn("shift", F.col("ref_start") - F.col("start")).withColumn("apart", F.coalesce((F.col("start") > reached).cast("int"), F.lit(0)))
+    parts = apart.withColumn("part", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = parts.groupBy(*of, "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return whole.select("doc", "row", "start", "end", "ref_doc", "ref_row", (F.col("start") + F.col("shift")).alias("ref_start"))
+
+
 def _passages(plain: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
     """plain(doc, text, row) -> _PASSAGE."""
     places = (
@@ -335,7 +346,7 @@ def _passages(plain: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
         .sortWithinPartitions("doc", "row", "pos")
         .mapInArrow(tidy(_places), _PLACE)
     )
-    places, found = scratch.save(places), None
+    places, found = scratch.save(_joined_up(places)), None
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
     while True:
         own = places.select("doc", "row", F.lit(0).alias("kind"), "start", "end", "ref_doc", "ref_row", "ref_start")
@@ -357,7 +368,7 @@ def _passages(plain: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
         again = compared.where("again").select(F.col("doc_id").alias("doc"), "row", "start", "end", F.col("first_doc_id").alias("ref_doc"), "ref_row", "ref_start")
         if again.isEmpty():
             break
-        places = scratch.save(again.distinct())
+        places = scratch.save(_joined_up(again))
     order = ("doc_id", "row", "start", F.desc("end"), "first_doc_id")
     return scratch.save(found.repartition("doc_id", "row").sortWithinPartitions(*order).mapInArrow(tidy(_outer), _PASSAGE))
 
