@@ -14,11 +14,16 @@ from ..plans.schema import OPERATION_COLUMNS, canonical_order
 LOCATED = ("OP_CREATE_NODE", "OP_RECREATE_NODE", "OP_MODIFY_COORDINATE")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str], order: list[str], fallback: bool = True) -> DataFrame:
+def dealt(rows: DataFrame, partitions: int | None, *keys: str) -> DataFrame:
+    """rows dealt by keys to so many tasks; with None Spark chooses."""
+    return rows if partitions is None else rows.repartition(partitions, *keys)
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str], order: list[str], fallback: bool = True, partitions: int | None = None) -> DataFrame:
     """left with ``values`` of the latest right row of the same key that isn't later (of equal times the last by ``order``).
 
     With ``fallback``, a left row before all right rows gets the first one's (by ``order``). Rows of left without a
-    match, and those with a null key, stay with nulls."""
+    match, and those with a null key, stay with nulls. ``partitions``: how many tasks both sides are dealt to."""
     names = left.columns
     r = right.where(F.col(key).isNotNull()).select(
         F.col(key).alias("_key"), F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), F.struct(*(F.col(c) for c in order)).alias("_order"), F.struct(*(F.col(v) for v in values)).alias("_value"), F.lit(None).cast(left.select(F.struct(*names).alias("x")).schema["x"].dataType).alias("_row")
@@ -28,10 +33,11 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: s
         F.col(key).alias("_key"), F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(None).cast(blank["_order"].dataType).alias("_order"), F.lit(None).cast(blank["_value"].dataType).alias("_value"), F.struct(*names).alias("_row")
     )
     w = Window.partitionBy("_key").orderBy("_ts", "_side", "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = r.unionByName(lft).withColumn("_found", F.last("_value", True).over(w)).where("_side = 1")
-    if fallback:
-        first = r.groupBy("_key").agg(F.min_by("_value", "_order").alias("_first"))
-        found = found.join(first, "_key", "left").withColumn("_found", F.coalesce("_found", "_first"))
+    both = dealt(r.unionByName(lft), partitions, "_key")
+    found = both.withColumn("_found", F.last("_value", True).over(w))
+    if fallback:  # over the same sorted rows; left rows have no order, so they are passed over
+        found = found.withColumn("_found", F.coalesce("_found", F.min_by("_value", "_order").over(Window.partitionBy("_key"))))
+    found = found.where("_side = 1")
     got = F.when(F.col("_key").isNotNull(), F.col("_found"))
     return found.select(*(F.col("_row")[n].alias(n) for n in names if n not in values), *(got[v].alias(v) for v in values))
 
@@ -44,11 +50,11 @@ def with_node_coordinates(operations: DataFrame, fallback: bool = True) -> DataF
     return rest.unionByName(as_of(adds, located, "ref_id", "ts", "ts", ["lon", "lat"], ["version", "seq"], fallback).select(*operations.columns))
 
 
-def way_coordinate_changes(operations: DataFrame, respect_removal: bool = False) -> DataFrame:
+def way_coordinate_changes(operations: DataFrame, respect_removal: bool = False, partitions: int | None = None) -> DataFrame:
     """MODIFY_WAY_COORDINATE operations: each move of a node, for every way that it had been added to before.
 
     Without ``respect_removal`` a node still counts for ways that it was removed from; with it, only while it was added
-    more often than removed. ``version`` is the way's as of the move."""
+    more often than removed. ``version`` is the way's as of the move. ``partitions``: how many tasks join moves and ways."""
     moves = operations.where("operation_type = 'OP_MODIFY_COORDINATE'").select(F.col("oid").alias("node"), "uid", "ts", "changeset", "lon", "lat", F.col("seq").alias("move_seq"), F.col("version").alias("node_version"))
     ways = operations.where("geometry_type = 'LINE'")
     if respect_removal:
@@ -59,7 +65,7 @@ def way_coordinate_changes(operations: DataFrame, respect_removal: bool = False)
         hit = due.withColumn("step", F.lit(None).cast("int")).unionByName(steps, allowMissingColumns=True).withColumn("n", F.sum("step").over(w)).where("step IS NULL AND n > 0").drop("n", "step")
     else:
         first = ways.where("operation_type = 'OP_ADD_NODE'").groupBy(F.col("oid").alias("way"), F.col("ref_id").alias("node")).agg(F.min("ts").alias("since"))
-        hit = moves.join(first, "node").where("since <= ts").drop("since")
+        hit = dealt(moves, partitions, "node").join(dealt(first, partitions, "node"), "node").where("since <= ts").drop("since")
     versions = ways.select(F.col("oid").alias("way"), "ts", "version", "seq")
     dated = as_of(hit.withColumn("version", F.lit(None).cast("int")), versions, "way", "ts", "ts", ["version"], ["version", "seq"])
     seq = F.row_number().over(Window.partitionBy("way", "version").orderBy("ts", "node", "node_version", "move_seq")) + 1_000_000
@@ -82,15 +88,19 @@ def referenced(operations: DataFrame) -> DataFrame:
     return refs.join(features, ["ref_type", "ref_id"], "left")
 
 
-def split_and_merged_ways(operations: DataFrame) -> DataFrame:
+def split_and_merged_ways(operations: DataFrame, partitions: int | None = None) -> DataFrame:
     """SPLIT_WAY and MERGE_WAY operations. A way created in a changeset where a node that it adds is removed from a way
     is split off; one deleted where a node that it removes is added to a way is merged. One operation for each way,
-    changeset and position, however many ways it has in common; the first creation or deletion of the changeset counts."""
-    lines = operations.where("geometry_type = 'LINE'")
-    nodes = lines.where("operation_type IN ('OP_ADD_NODE', 'OP_REMOVE_NODE')").withColumn("opposite", F.when(F.col("operation_type") == "OP_ADD_NODE", "OP_REMOVE_NODE").otherwise("OP_ADD_NODE"))
-    there = nodes.select("ref_id", "changeset", F.col("operation_type").alias("opposite")).distinct()
-    ends = lines.where("operation_type IN ('OP_CREATE_WAY', 'OP_DELETE_WAY')").select("oid", "changeset", F.when(F.col("operation_type") == "OP_CREATE_WAY", "OP_ADD_NODE").otherwise("OP_REMOVE_NODE").alias("operation_type")).distinct()
-    hit = nodes.join(ends, ["oid", "changeset", "operation_type"], "left_semi").join(there, ["ref_id", "changeset", "opposite"], "left_semi")
+    changeset and position, however many ways it has in common; the first creation or deletion of the changeset counts.
+    ``partitions``: how many tasks ways and nodes of changesets are dealt to."""
+    is_ = lambda name: F.col("operation_type") == name
+    has = lambda name, *keys: F.max(is_(name)).over(Window.partitionBy(*keys))
+    lines = dealt(operations.where("geometry_type = 'LINE' AND oid IS NOT NULL AND changeset IS NOT NULL"), partitions, "oid", "changeset")
+    way, node = ("oid", "changeset"), ("ref_id", "changeset")
+    ends = lines.withColumn("_created", has("OP_CREATE_WAY", *way)).withColumn("_deleted", has("OP_DELETE_WAY", *way))
+    nodes = dealt(ends.where("operation_type IN ('OP_ADD_NODE', 'OP_REMOVE_NODE') AND ref_id IS NOT NULL"), partitions, *node)
+    both = nodes.withColumn("_both", has("OP_ADD_NODE", *node) & has("OP_REMOVE_NODE", *node))
+    hit = both.where(F.col("_both") & F.when(is_("OP_ADD_NODE"), F.col("_created")).otherwise(F.col("_deleted")))
     first = Window.partitionBy("oid", "changeset", "operation_type", "position").orderBy(*canonical_order())
     kept = hit.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     made = kept.withColumn("operation_type", F.when(F.col("operation_type") == "OP_ADD_NODE", "OP_SPLIT_WAY").otherwise("OP_MERGE_WAY"))

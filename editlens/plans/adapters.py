@@ -104,12 +104,15 @@ def _operations(rows: DataFrame) -> DataFrame:
 
 
 def part_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(PART_OPERATIONS, l=table(spark, sf_dir, "lineitem"), o=table(spark, sf_dir, "orders"))
+    line, orders = joined_lines(spark, sf_dir)
+    by_part = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice").repartition(line_tasks(spark, sf_dir), "l_partkey")
+    rows = spark.sql(PART_OPERATIONS.replace("FROM {l} GROUP BY", "FROM {p} GROUP BY"), l=line, o=orders, p=by_part)
     return _operations(rows.withColumn("lat", F.col("lon")))
 
 
 def way_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _operations(spark.sql(WAY_EDITS, l=table(spark, sf_dir, "lineitem"), o=table(spark, sf_dir, "orders")))
+    line, orders = joined_lines(spark, sf_dir)
+    return _operations(spark.sql(WAY_EDITS, l=line, o=orders))
 
 
 def order_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +138,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of lineitem for each task of a join or a window.
+TASK_ROWS = 250_000
+
+
+def line_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """How many tasks the rows of lineitem are dealt to: as many as Spark is set to, more where there are more rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, "lineitem").count() // TASK_ROWS))
+
+
+def joined_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """lineitem and orders, dealt by order."""
+    n = line_tasks(spark, sf_dir)
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_shipdate", "l_extendedprice")
+    return line.repartition(n, "l_orderkey"), table(spark, sf_dir, "orders").repartition(n, "o_orderkey")
+
+
 def event_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OPERATIONS from events: fifteen features of every five users."""
     sql = EVENT_OPERATIONS.replace("{json}", "get_json_object(props, '$.k')")
