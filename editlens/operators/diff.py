@@ -11,6 +11,7 @@ from collections import Counter, deque
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,6 +128,13 @@ def member_edits(old, new) -> list[tuple]:
     return out + [_edit("MODIFY_ROLE", value=m[2] or "", position=i) for i, m in enumerate(new) if i < len(roles) and roles[i] != m[2]]
 
 
+def member_tuples(lists: pa.Array) -> list[list[tuple]]:
+    """Lists of members as (element_type, id, role), without a dict for each."""
+    flat, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+    every = list(zip(*(pc.struct_field(flat, n).to_pylist() for n in ("element_type", "id", "role"))))
+    return [every[a:b] for a, b in zip([0, *ends], ends)]
+
+
 _EDIT_ARROW = pa.struct([("operation_type", pa.string()), ("lon", pa.float64()), ("lat", pa.float64()), ("key", pa.string()), ("value", pa.string()), ("ref_id", pa.int64()), ("position", pa.int32())])
 
 
@@ -134,11 +142,10 @@ _EDIT_ARROW = pa.struct([("operation_type", pa.string()), ("lon", pa.float64()),
 def _list_edits(old_nodes: pa.Array, nodes: pa.Array, old_members: pa.Array, members: pa.Array) -> pa.Array:
     edits, offsets = [], np.zeros(len(nodes) + 1, np.int32)
     counts = np.zeros(len(nodes), np.int64)
-    tuples = lambda ms: [(m["element_type"], m["id"], m["role"]) for m in ms]
-    for column, other, edit, shape in ((old_nodes, nodes, way_edits, lambda x: x), (old_members, members, member_edits, tuples)):
+    for column, other, edit, shape in ((old_nodes, nodes, way_edits, pa.Array.to_pylist), (old_members, members, member_edits, member_tuples)):
         at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))  # only these rows become Python values
-        for i, was, now in zip(at.tolist(), column.take(pa.array(at)).to_pylist(), other.take(pa.array(at)).to_pylist()):
-            own = edit(shape(was), shape(now))
+        for i, was, now in zip(at.tolist(), shape(column.take(pa.array(at))), shape(other.take(pa.array(at)))):
+            own = edit(was, now)
             counts[i] = len(own)
             edits.append((i, own))
     np.cumsum(counts, out=offsets[1:])
