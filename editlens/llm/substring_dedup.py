@@ -4,7 +4,10 @@ The hash of the last 16 bytes, h = (h << 2) + G[byte] in 32 bits, ends a chunk w
 1/RATE of all values and no such place lies among the QUIET bytes before (where the 16 bytes hold DENSE blanks or more, so that
 words are short, borders are closer), so chunk borders move with their content and an insertion upsets only the chunks around it. A chunk that would be longer than MOST bytes (as in texts that go on repeating
 themselves) ends at the last place of the smallest hash within them. Chunks are compared by 64-bit digests. A chunk is repeated when a document of
-a smaller id has it, and votes for the place where one has it: a document and the shift between both. Neighbouring
+a smaller id has it, and votes for the place where one has it: a document and the shift between both. Where both have it several
+times (texts that go on repeating themselves), the first votes for the first, the second for the second, so that all vote for one shift; if the
+other has it fewer times, m, each m do so, and the last m for the last m. Where it comes OFTEN, the first of all votes for the second and
+the last for the one before its own, as what repeats may begin or end before its chunks do. Neighbouring
 repeated chunks form runs. For each place that chunks of a run vote for, both documents' bytes are compared from REACH
 before its first vote to REACH after its last (CONTEXT beyond the run at most), so that a chunk within a passage may vote
 for another place; where the equal bytes go on to the end of what was compared (FOLLOWED of them or more), twice as much is
@@ -37,6 +40,8 @@ RATE, QUIET, WINDOW, MOST = 24, 7, 16, 96
 DENSE, DENSE_RATE, DENSE_QUIET = 5, 6, 4
 #: A run of whole chunks must cover so many bytes or word starts to be looked at; bytes compared beyond a run and beyond votes.
 LEAST_RUN, LEAST_STARTS, CONTEXT, REACH = 64, 8, 256, 512
+#: From so many places of a chunk on in both texts, what repeats is looked for a chunk earlier and later too.
+OFTEN = 8
 #: Places of a document that one row gathers.
 PLACES = 1000
 #: Equal bytes at an edge of what was compared that are followed beyond it.
@@ -88,6 +93,25 @@ def chunk_ends(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.union1d(ends, np.array(more, np.int64)) if more else ends
 
 
+def votes(digest: np.ndarray, doc: np.ndarray, row: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The row that each of rows sorted by (digest, doc, row, pos) votes for: one of the first text that has its digest."""
+
+    def begins(*columns):
+        return np.concatenate(([True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])))
+
+    places = begins(digest, doc, row, pos)  # rows that repeat id and text count once
+    at = np.flatnonzero(places)
+    kinds, texts = begins(digest[at]), begins(digest[at], doc[at], row[at])
+    start = np.flatnonzero(texts)
+    size, text = np.diff(np.append(start, len(at))), np.cumsum(texts) - 1
+    lead = text[kinds][np.cumsum(kinds) - 1]
+    nth, all_, there = np.arange(len(at)) - start[text], size[text], size[lead]
+    vote = np.where(nth < all_ - there, nth % there, nth - np.maximum(all_ - there, 0))
+    vote += np.where(np.minimum(all_, there) < OFTEN, 0, (nth == 0).astype(np.int64) - (nth == all_ - 1))
+    vote += start[lead]
+    return at[vote][np.cumsum(places) - 1]
+
+
 _CHUNK = "route long, digest long, doc long, row long, pos int, len int, starts int, ref_doc long, ref_row long, ref_pos int"
 
 
@@ -107,12 +131,11 @@ def _chunks(batches):
             pos, size, starts = (start - offs[at]).astype(np.int32), (end - start).astype(np.int32), (begun[end] - begun[start]).astype(np.int32)
             order = np.lexsort((pos, row, doc, digest))
             digest, doc, row, pos, size, starts = (x[order] for x in (digest, doc, row, pos, size, starts))
-            new = np.concatenate(([True], digest[1:] != digest[:-1]))
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            known = doc != doc[lead]
+            vote = votes(digest, doc, row, pos)
+            known = doc != doc[vote]
             own = (doc * np.int64(0x9E3779B97F4A7C1 | 1)) ^ (pos.astype(np.int64) * np.int64(0x632BE59BD9B4E019 | 1))
             route = np.where(known, own, digest)
-            ref = [pa.array(x[lead], mask=~known) for x in (doc, row, pos)]
+            ref = [pa.array(x[vote], mask=~known) for x in (doc, row, pos)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, (route, digest, doc, row, pos, size, starts)), *ref], names=[x.split()[0] for x in _CHUNK.split(", ")])
 
 
@@ -121,27 +144,44 @@ _REPEATED = "doc long, row long, pos int, len int, starts int, ref_doc long, ref
 
 def _repeated(batches):
     """Rows sorted by (digest, doc, row, pos): those that a smaller document has too, with a place where it stands."""
-    last = None
+    held, first = None, None  # rows of the last text and digest; digest, doc, row, pos of the first text that has the last digest
+
+    def out(t):
+        nonlocal first
+        names = _CHUNK.split(", ")
+        at = {x.split()[0]: t.column(i) for i, x in enumerate(names)}
+        known = at["ref_doc"].is_valid().to_numpy(zero_copy_only=False)
+        ref = [at[c].fill_null(0).to_numpy().copy() for c in ("ref_doc", "ref_row", "ref_pos")]
+        open_, keep = np.flatnonzero(~known), known.copy()
+        if len(open_):
+            own = [at[c].to_numpy()[open_] for c in ("digest", "doc", "row", "pos")]
+            before = len(first[0]) if first and first[0][0] == own[0][0] else 0
+            if before:
+                own = [np.concatenate(x) for x in zip(first, own)]
+            vote = votes(*own)
+            for r, x in zip(ref, own[1:]):
+                r[open_] = x[vote][before:]
+            keep[open_] = ref[0][open_] != own[1][before:]
+            a = int(np.searchsorted(own[0] == own[0][-1], True)) if own[0][0] != own[0][-1] else 0
+            b = a + int(np.count_nonzero((own[1][a:] == own[1][a]) & (own[2][a:] == own[2][a])))
+            first = [x[a:b].copy() for x in own]
+        kept = [*(at[c] for c in ("doc", "row", "pos", "len", "starts")), *map(pa.array, ref)]
+        return pa.RecordBatch.from_arrays(kept, names=[x.split()[0] for x in _REPEATED.split(", ")]).filter(pa.array(keep))
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        get = lambda c: batch.column(batch.schema.get_field_index(c))
-        known = get("ref_doc").is_valid().to_numpy(zero_copy_only=False)
-        digest, own = get("digest").to_numpy(), [get(c).to_numpy() for c in ("doc", "row", "pos")]
-        ref = [get(c).fill_null(0).to_numpy().copy() for c in ("ref_doc", "ref_row", "ref_pos")]
-        open_ = np.flatnonzero(~known)
-        keep = known.copy()
-        if len(open_):
-            d = digest[open_]
-            new = np.concatenate(([last is None or last[0] != d[0]], d[1:] != d[:-1]))
-            lead = np.cumsum(new) - 1 + (0 if new[0] else 1)
-            first = [x[open_][new] if new[0] else np.concatenate(([y], x[open_][new])) for x, y in zip(own, last[1] if last else own)]
-            for r, x in zip(ref, first):
-                r[open_] = x[lead]
-            keep[open_] = ref[0][open_] != own[0][open_]
-            last = d[-1], [x[lead[-1]] for x in first]
-        kept = [*map(pa.array, own), get("len"), get("starts"), *map(pa.array, ref)]
-        yield pa.RecordBatch.from_arrays(kept, names=[x.split()[0] for x in _REPEATED.split(", ")]).filter(pa.array(keep))
+        t = batch.select([x.split()[0] for x in _CHUNK.split(", ")])
+        if held is not None:
+            t = pa.concat_batches([held, t])
+        own = [t.column(i).to_numpy() for i in (1, 2, 3)]
+        breaks = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in own])) + 1
+        cut = int(breaks[-1]) if len(breaks) else 0
+        held = t.slice(cut)
+        if cut:
+            yield out(t.slice(0, cut))
+    if held is not None:
+        yield out(held)
 
 
 _PLACE = "doc long, row long, start int, end int, ref_doc long, ref_row long, ref_start int"
