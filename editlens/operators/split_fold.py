@@ -192,6 +192,19 @@ def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def _gathered(made: Iterator[tuple[tuple, int]], fields: list[tuple[str, pa.DataType]]) -> Iterator[pa.RecordBatch]:
+    """(row, operations that it is made of) in batches of rows of about SLICE_ROWS operations: short slices have no batch of their own."""
+    out, held = [], 0
+    for row, n in made:
+        out.append(row)
+        held += n
+        if held >= SLICE_ROWS:
+            yield _batch(out, fields)
+            out, held = [], 0
+    if out:
+        yield _batch(out, fields)
+
+
 def with_borders(operations: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """operations with ``_borders``, those of their feature in order, null if it isn't cut, and ``_strides``, the powers of two up to
     their number, downwards."""
@@ -211,15 +224,20 @@ def with_slices(operations: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFram
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 1: how each slice changes lengths."""
     fields = [(f"{c}_{w}", pa.int64() if c == "grown" else pa.list_(pa.int64())) for w in ("nodes", "members") for c in ("grown", "steps")]
-    for key, rows in grouped_rows(batches, 3):
-        lists = {"NODE": Lengths(), "MEMBER": Lengths()}
-        for op in rows:
-            edit, _, what = op["operation_type"].removeprefix("OP_").partition("_")
-            if edit == "ADD" and what in lists:
-                lists[what].add()
-            elif edit == "REMOVE" and what in lists:
-                lists[what].remove(op["position"])
-        yield _batch([(*key, *(x for w in lists.values() for x in (w.grown, w.steps)))], fields)
+
+    def made():
+        for key, rows in grouped_rows(batches, 3):
+            lists, n = {"NODE": Lengths(), "MEMBER": Lengths()}, 0
+            for op in rows:
+                edit, _, what = op["operation_type"].removeprefix("OP_").partition("_")
+                if edit == "ADD" and what in lists:
+                    lists[what].add()
+                elif edit == "REMOVE" and what in lists:
+                    lists[what].remove(op["position"])
+                n += 1
+            yield (*key, *(x for w in lists.values() for x in (w.grown, w.steps))), n
+
+    yield from _gathered(made(), fields)
 
 
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,17 +263,21 @@ _SNAPSHOTS = ("OP_DELETE_NODE", "OP_DELETE_WAY")
 def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 3: slices to changes. Each slice's first row has its lengths. ``kept``: whether the slice's last deletion or creation
     deletes, and ``before``: the change up to there."""
-    for key, rows in grouped_rows(batches, 3):
-        first = next(rows)
-        change, ops = SliceChange(first["ref_id"], first["position"]), list(rows)
-        turns = [i for i, op in enumerate(ops) if op["operation_type"] in _SNAPSHOTS or op["operation_type"].startswith(("OP_CREATE_", "OP_RECREATE_"))]
-        kept, before = None, None
-        for i, op in enumerate(ops):
-            if turns and i == turns[-1]:
-                kept = op["operation_type"] in _SNAPSHOTS
-                before = change.row() if kept else None
-            change.apply(op)
-        yield _batch([(*key, kept, before, change.row())], [("kept", pa.bool_()), ("before", CHANGE), ("change", CHANGE)])
+
+    def made():
+        for key, rows in grouped_rows(batches, 3):
+            first = next(rows)
+            change, ops = SliceChange(first["ref_id"], first["position"]), list(rows)
+            turns = [i for i, op in enumerate(ops) if op["operation_type"] in _SNAPSHOTS or op["operation_type"].startswith(("OP_CREATE_", "OP_RECREATE_"))]
+            kept, before = None, None
+            for i, op in enumerate(ops):
+                if turns and i == turns[-1]:
+                    kept = op["operation_type"] in _SNAPSHOTS
+                    before = change.row() if kept else None
+                change.apply(op)
+            yield (*key, kept, before, change.row()), len(ops)
+
+    yield from _gathered(made(), [("kept", pa.bool_()), ("before", CHANGE), ("change", CHANGE)])
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, FeatureState]]:

@@ -80,3 +80,19 @@ def test_slices_follow_the_order_and_have_about_the_size_asked_for(spark):
 
 def test_nothing_gives_nothing(spark):
     assert fold.elements_at(spark.createDataFrame([], OPERATIONS), slice_rows=10).count() == 0
+
+
+def test_short_slices_share_batches():
+    import pyarrow as pa
+
+    from editlens.operators import split_fold
+
+    n, each = 500, 4
+    key = {"geometry_type": ["LINE"] * n * each, "oid": [i // each for i in range(n * each)], "slice": [0] * n * each}
+    edits = pa.RecordBatch.from_pydict(key | {"operation_type": ["OP_ADD_NODE"] * n * each, "position": [0] * n * each})
+    ops = {"operation_type": ["", *["OP_ADD_NODE"] * (each - 1)] * n, "lon": [None] * n * each, "lat": [None] * n * each, "key": [""] * n * each, "value": [""] * n * each, "ref_id": [0, *[7] * (each - 1)] * n, "position": [0] * n * each}
+    for run, rows in ((split_fold._lengths, edits), (split_fold._changes, pa.RecordBatch.from_pydict(key | ops))):
+        out = list(run(iter([rows])))
+        assert sum(b.num_rows for b in out) == n
+        assert len(out) == 1
+        assert sorted(x for b in out for x in b.column("oid").to_pylist()) == list(range(n))
