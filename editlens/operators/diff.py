@@ -128,6 +128,12 @@ def member_edits(old, new) -> list[tuple]:
     return out + [_edit("MODIFY_ROLE", value=m[2] or "", position=i) for i, m in enumerate(new) if i < len(roles) and roles[i] != m[2]]
 
 
+def id_lists(lists: pa.Array) -> list[list[int]]:
+    """Lists of ids, without a scalar for each."""
+    flat, ends = lists.flatten().to_pylist(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def member_tuples(lists: pa.Array) -> list[list[tuple]]:
     """Lists of members as (element_type, id, role), without a dict for each."""
     flat, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
@@ -142,7 +148,7 @@ _EDIT_ARROW = pa.struct([("operation_type", pa.string()), ("lon", pa.float64()),
 def _list_edits(old_nodes: pa.Array, nodes: pa.Array, old_members: pa.Array, members: pa.Array) -> pa.Array:
     edits, offsets = [], np.zeros(len(nodes) + 1, np.int32)
     counts = np.zeros(len(nodes), np.int64)
-    for column, other, edit, shape in ((old_nodes, nodes, way_edits, pa.Array.to_pylist), (old_members, members, member_edits, member_tuples)):
+    for column, other, edit, shape in ((old_nodes, nodes, way_edits, id_lists), (old_members, members, member_edits, member_tuples)):
         at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))  # only these rows become Python values
         for i, was, now in zip(at.tolist(), shape(column.take(pa.array(at))), shape(other.take(pa.array(at)))):
             own = edit(was, now)
@@ -231,3 +237,19 @@ def version_diff(versions: DataFrame, lists: bool = True) -> DataFrame:
         F.posexplode(F.concat(create, move, list_part, tag_edits(old("tags"), F.col("tags")), delete, again)).alias("seq", "op"),
     )
     return every.select(*(F.col(f"op.{c}").alias(c) if c in EDIT.elementType.names else F.col(c) for c in OPERATION_COLUMNS))
+
+
+def node_moves(versions: DataFrame) -> DataFrame:
+    """The rows of ``version_diff`` that are OP_REORDER_NODE, and no other: only ways whose nodes may have moved reach Python, and neither tags nor what is added or removed is made into operations."""
+    w = Window.partitionBy("element_type", "id").orderBy("version", "ts")
+    ways = versions.where("element_type = 'WAY'").select("element_type", "id", "version", "uid", "ts", "changeset", "nodes")
+    pairs = ways.withColumn("old", F.lag("nodes").over(w)).where((F.size("old") > 0) & (F.size("nodes") > 0) & (F.col("old") != F.col("nodes")))
+    # where no node comes twice and those of both lists stand in the same order, nothing moves
+    twice = (F.size(F.array_distinct("old")) < F.size("old")) | (F.size(F.array_distinct("nodes")) < F.size("nodes"))
+    pairs = pairs.where(twice | (F.array_intersect("old", "nodes") != F.array_intersect("nodes", "old")))
+    none = F.lit(None).cast(versions.schema["members"].dataType)
+    every = pairs.select("element_type", "id", "version", "uid", "ts", "changeset", _list_edits("old", "nodes", none, none).alias("_edits"))
+    moves = every.select(
+        lookup("element_type", ELEMENT_TO_GEOMETRY).alias("geometry_type"), F.col("id").alias("oid"), F.col("version").cast("int").alias("version"), "uid", "ts", "changeset", F.posexplode("_edits").alias("seq", "op")
+    ).where("op.operation_type = 'OP_REORDER_NODE'")
+    return moves.select(*(F.col(f"op.{c}").alias(c) if c in EDIT.elementType.names else F.col(c) for c in OPERATION_COLUMNS))

@@ -162,9 +162,17 @@ def event_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def way_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ELEMENT_VERSIONS of ways from lineitem and orders."""
-    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    nodes = "transform(array_sort(collect_list(struct(l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice))), x -> x.l_partkey)"
-    rows = spark.sql(WAY_VERSIONS.replace("{nodes_not_r}", nodes), l=line, o=orders)
+    # WAY_VERSIONS with each order's lines gathered once, and joined as one row; orders that come again have their lines as often
+    line, orders, c = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), F.col
+    lines = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_returnflag"))).alias("lines"))
+    once = orders.groupBy("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus").agg(F.collect_list(F.struct("o_orderpriority")).alias("own"))
+    parts = lambda flag: F.transform(F.filter("lines", lambda x: x["l_returnflag"] != flag), lambda x: x["l_partkey"])
+    again = lambda nodes, n: F.when(n == 1, nodes).otherwise(F.flatten(F.transform(nodes, lambda x: F.array_repeat(x, n))))
+    first = F.struct(F.lit(1).alias("version"), F.lit(None).cast("string").alias("priority"), again(parts("R"), F.size("own")).alias("nodes"))
+    second = F.transform(F.array_distinct("own"), lambda o: F.struct(F.lit(2).alias("version"), o["o_orderpriority"].alias("priority"), again(parts("A"), F.size(F.filter("own", lambda x: x.eqNullSafe(o)))).alias("nodes")))
+    rows = lines.join(once, c("l_orderkey") == c("o_orderkey")).select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", F.explode(F.concat(F.array(first), second)).alias("v")).where(F.size("v.nodes") > 0)
+    ts = F.when(c("v.version") == 1, c("o_orderdate")).otherwise(F.expr("o_orderdate + INTERVAL 1 DAY"))
+    rows = rows.select(c("o_orderkey").alias("id"), c("v.version").alias("version"), c("o_custkey").cast("int").alias("uid"), ts.alias("ts"), c("v.nodes").alias("nodes"), c("o_orderstatus").alias("status"), c("v.priority").alias("priority"))
     tags = F.map_from_entries(F.filter(F.array(F.struct(F.lit("status").alias("key"), F.col("status").alias("value")), F.struct(F.lit("priority").alias("key"), F.col("priority").alias("value"))), lambda e: e["value"].isNotNull()))
     members = F.lit(None).cast("array<struct<element_type:string,id:bigint,role:string>>")
     return rows.select(
